@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, quality
+from . import decontaminate, mixing, near_dedup, pii, quality
+
+#: Key of the surrogates in the registered query; production runs bring their own.
+PII_KEY = "quaver-demonstration-key"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +22,26 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", *quality.METRICS, "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), share=80, k=4)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, count="n_entities")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op8_minhash_near_dedup)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_decontamination, op7_mixing, op8_minhash_near_dedup, op10_pii_surrogates)}
 
 
 OP2 = r"""
@@ -49,5 +65,23 @@ FROM b LEFT JOIN v USING (source)
 """
 
 
+OP3 = r"""
+WITH d AS (SELECT DISTINCT doc_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM benchmark WHERE text IS NOT NULL),
+ig AS (SELECT len(ws) AS l, greatest(len(ws) - 4, 1) AS n, item_id, ws FROM i WHERE len(ws) > 0),
+im AS (SELECT DISTINCT l, o, array_to_string(ws[o : o + least(l, 5) - 1], ' ') AS g, least(l, 5) AS z FROM (SELECT l, ws, unnest(range(1, n + 1)) AS o FROM ig)),
+dg AS (SELECT doc_id, ws, len(ws) AS n, p, z, array_to_string(ws[p : p + z - 1], ' ') AS g FROM (SELECT doc_id, ws, z, unnest(range(1, len(ws) - z + 2)) AS p FROM d, (SELECT DISTINCT z FROM im) WHERE len(ws) >= z)),
+w AS (SELECT DISTINCT doc_id, ws, l, greatest(least(p - o, n - l), 0) AS s FROM dg JOIN im USING (z, g)),
+x AS (SELECT row_number() OVER () AS wid, doc_id, l, ws[s + 1 : s + l] AS ws FROM w),
+wg AS (SELECT wid, g, count(*) AS c FROM (SELECT wid, array_to_string(ws[o : o + least(len(ws), 5) - 1], ' ') AS g FROM (SELECT wid, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS o FROM x)) GROUP BY ALL),
+bg AS (SELECT item_id, l, g, count(*) AS c FROM (SELECT item_id, l, array_to_string(ws[o : o + least(l, 5) - 1], ' ') AS g FROM (SELECT item_id, l, ws, unnest(range(1, n + 1)) AS o FROM ig)) GROUP BY ALL),
+wt AS (SELECT wid, sum(c) AS t FROM wg GROUP BY wid),
+bt AS (SELECT item_id, sum(c) AS t FROM bg GROUP BY item_id),
+common AS (SELECT wid, item_id, sum(least(wg.c, bg.c)) AS b FROM wg JOIN x USING (wid) JOIN bg ON bg.g = wg.g AND bg.l = x.l GROUP BY ALL)
+SELECT doc_id, item_id, round(max(CAST(b AS DOUBLE) / CAST(wt.t + bt.t - b AS DOUBLE)), 6) AS similarity
+FROM common JOIN wt USING (wid) JOIN bt USING (item_id) JOIN x USING (wid) WHERE 100 * b >= 80 * (wt.t + bt.t - b) GROUP BY doc_id, item_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2}
+    return {"op2_quality_rules": OP2, "op3_decontamination": OP3}
