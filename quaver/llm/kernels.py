@@ -73,7 +73,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words_of(column: pa.Array, lower: bool = True) -> Words:
+def words_of(column: pa.Array, lower: bool = True, breaks: bytes = b"") -> Words:
+    """The words of each text; A-Z in lower case if asked; bytes of ``breaks`` separate words as well."""
     data, offsets = text_bytes(column)
     if lower:
         data = _LOWER[data]
@@ -82,6 +83,10 @@ def words_of(column: pa.Array, lower: bool = True) -> Words:
         z = np.zeros(0, np.int64)
         return Words(data, offsets, np.zeros(0, np.uint64), z, z)
     ws = _WS[data]
+    if breaks:
+        more = np.zeros(256, dtype=bool)
+        more[list(breaks)] = True
+        ws = ws | more[data]
     edge = np.zeros(n + 1, dtype=bool)  # a text begins here
     edge[offsets] = True
     begin = ~ws

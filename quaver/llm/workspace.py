@@ -30,11 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    ``by``: a column whose few values get a folder each.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quaver-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
