@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, katz, mixing, near_dedup, pii, quality, toxicity
+from . import decontaminate, katz, mixing, near_dedup, pii, preference, quality, sql, toxicity, url_filter, warc
 
 #: Key of the surrogates in the registered query; production runs bring their own.
 PII_KEY = "quaver-demonstration-key"
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = quality.quality_report(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return report.select("doc_id", *quality.METRICS, "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
@@ -37,6 +41,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, weights).select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def _spans(c: str) -> Column:
+    return F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",").alias(c)
+
+
+def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = preference.format_pairs(turns, preference.neighbours(turns))
+    return found.select("chosen_id", "rejected_id", "n_common", "prompt", "chosen", _spans("chosen_spans"), "rejected", _spans("rejected_spans"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -46,52 +60,19 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derive(table(spark, sf_dir, "pages"))
+    return made.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "source_headers", "payload_digest", "block_digest", "content_length")
+
+
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, count="n_entities")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_decontamination, op4_katz_backoff, op5_toxicity, op7_mixing, op8_minhash_near_dedup, op10_pii_surrogates)}
-
-
-OP2 = r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT rid, doc_id, source, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
-grams AS (SELECT rid, i, array_to_string(ws[i : i + 7], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
-twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM grams) WHERE c > 1),
-rep AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY rid),
-lines AS (SELECT rid, count(*) - count(DISTINCT l) AS n_dup_lines FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid),
-m AS (SELECT doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
-  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
-  FROM w LEFT JOIN lines USING (rid) LEFT JOIN rep USING (rid)),
-b AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM m),
-h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN base_failed OR 3 * (n_symbols + n_dup_lines) > n_words THEN 1 ELSE 0 END) AS DOUBLE) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
-a AS (SELECT sum(f) / sum(n) AS mean, sum(n) AS total FROM h),
-s AS (SELECT any_value(mean) AS mean, any_value(total) AS total, sum(n * pow(f / n - mean, 2)) AS spread FROM h, a),
-p AS (SELECT mean, CASE WHEN spread = 0 THEN 1000 ELSE least(greatest(mean * (1 - mean) / (spread / total) - 1, 1), 1000) END AS k FROM s),
-v AS (SELECT source, (f + mean * k) / (n + k) AS rate FROM h, p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND NOT coalesce(rate >= 0.5, false)) AS kept, round(rate, 6) AS host_rate
-FROM b LEFT JOIN v USING (source)
-"""
-
-
-OP3 = r"""
-WITH d AS (SELECT DISTINCT doc_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
-i AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM benchmark WHERE text IS NOT NULL),
-ig AS (SELECT len(ws) AS l, greatest(len(ws) - 4, 1) AS n, item_id, ws FROM i WHERE len(ws) > 0),
-im AS (SELECT DISTINCT l, o, array_to_string(ws[o : o + least(l, 5) - 1], ' ') AS g, least(l, 5) AS z FROM (SELECT l, ws, unnest(range(1, n + 1)) AS o FROM ig)),
-dg AS (SELECT doc_id, ws, len(ws) AS n, p, z, array_to_string(ws[p : p + z - 1], ' ') AS g FROM (SELECT doc_id, ws, z, unnest(range(1, len(ws) - z + 2)) AS p FROM d, (SELECT DISTINCT z FROM im) WHERE len(ws) >= z)),
-w AS (SELECT DISTINCT doc_id, ws, l, greatest(least(p - o, n - l), 0) AS s FROM dg JOIN im USING (z, g)),
-x AS (SELECT row_number() OVER () AS wid, doc_id, l, ws[s + 1 : s + l] AS ws FROM w),
-wg AS (SELECT wid, g, count(*) AS c FROM (SELECT wid, array_to_string(ws[o : o + least(len(ws), 5) - 1], ' ') AS g FROM (SELECT wid, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS o FROM x)) GROUP BY ALL),
-bg AS (SELECT item_id, l, g, count(*) AS c FROM (SELECT item_id, l, array_to_string(ws[o : o + least(l, 5) - 1], ' ') AS g FROM (SELECT item_id, l, ws, unnest(range(1, n + 1)) AS o FROM ig)) GROUP BY ALL),
-wt AS (SELECT wid, sum(c) AS t FROM wg GROUP BY wid),
-bt AS (SELECT item_id, sum(c) AS t FROM bg GROUP BY item_id),
-common AS (SELECT wid, item_id, sum(least(wg.c, bg.c)) AS b FROM wg JOIN x USING (wid) JOIN bg ON bg.g = wg.g AND bg.l = x.l GROUP BY ALL)
-SELECT doc_id, item_id, round(max(CAST(b AS DOUBLE) / CAST(wt.t + bt.t - b AS DOUBLE)), 6) AS similarity
-FROM common JOIN wt USING (wid) JOIN bt USING (item_id) JOIN x USING (wid) WHERE 100 * b >= 80 * (wt.t + bt.t - b) GROUP BY doc_id, item_id
-"""
+    own = (op1_url_filter, op2_quality_rules, op3_decontamination, op4_katz_backoff, op5_toxicity, op6_preference_pairs, op7_mixing, op8_minhash_near_dedup, op9_warc_derivatives, op10_pii_surrogates)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2, "op3_decontamination": OP3}
+    return {"op1_url_filter": sql.OP1, "op2_quality_rules": sql.OP2, "op3_decontamination": sql.OP3, "op6_preference_pairs": sql.OP6, "op9_warc_derivatives": sql.OP9}
