@@ -246,7 +246,7 @@ def map_notes_full(spark, sf_dir):
 @query(
     with_(
         FULL_SUNG + "," + keyed("done", "best"),
-        "SELECT d.song_id, count(*) AS n_notes, count_if(pyin_agrees) AS n_pyin_agrees, count_if(chord_fit) AS n_chord_fit, count_if(beat_aligned) AS n_beat_aligned, count(lyric) AS n_lyric, round(min(start_time), 6) AS first_start, round(max(end_time), 6) AS last_end, any_value(b.key) AS key, any_value(format('{:.0f}%', b.score * 100)) AS key_score FROM done d JOIN best b ON b.song_id = d.song_id AND b.place = 1 GROUP BY d.song_id",
+        "SELECT d.song_id, count(*) AS n_notes, CAST(count_if(pyin_agrees) AS BIGINT) AS n_pyin_agrees, CAST(count_if(chord_fit) AS BIGINT) AS n_chord_fit, CAST(count_if(beat_aligned) AS BIGINT) AS n_beat_aligned, count(lyric) AS n_lyric, round(min(start_time), 6) AS first_start, round(max(end_time), 6) AS last_end, any_value(b.key) AS key, any_value(format('{:.0f}%', b.score * 100)) AS key_score FROM done d JOIN best b ON b.song_id = d.song_id AND b.place = 1 GROUP BY d.song_id",
     )
 )
 def song_summary(spark, sf_dir):

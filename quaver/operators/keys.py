@@ -22,13 +22,23 @@ def _ranked(counts: list[Column], total: Column) -> Column:
     return F.slice(F.array_sort(F.array(*keys)), 1, 3)
 
 
+def histogram() -> list[Column]:
+    """Aggregates: how many events there are, and how many of each pitch class."""
+    pc = M.pitch_class(F.col("midi"))
+    return [F.count("midi").alias("__n"), *(F.count_if(pc == i).alias(f"__{i}") for i in range(12))]
+
+
+def best_keys() -> list[Column]:
+    """key, score and candidates from ``histogram``."""
+    ranked = _ranked([F.col(f"__{i}") for i in range(12)], F.col("__n"))
+    best = F.get(ranked, F.lit(0))
+    slim = F.transform(ranked, lambda k: F.struct(k["key"].alias("key"), k["score"].alias("score")))
+    return [best["key"].alias("key"), best["score"].alias("score"), slim.alias("candidates")]
+
+
 def detect_key(events: DataFrame, songs: DataFrame | None = None) -> DataFrame:
     """(song_id, key, score, candidates): one aggregation by song. ``songs``: songs without events get key Unknown."""
-    pc = M.pitch_class(F.col("midi"))
-    found = events.where(F.col("midi").isNotNull()).groupBy("song_id").agg(F.count(F.lit(1)).alias("__n"), *(F.count_if(pc == i).alias(f"__{i}") for i in range(12)))
-    found = found.select("song_id", _ranked([F.col(f"__{i}") for i in range(12)], F.col("__n")).alias("__k"))
-    slim = F.transform("__k", lambda k: F.struct(k["key"].alias("key"), k["score"].alias("score")))
-    found = found.select("song_id", F.get("__k", F.lit(0))["key"].alias("key"), F.get("__k", F.lit(0))["score"].alias("score"), slim.alias("candidates"))
+    found = events.where(F.col("midi").isNotNull()).groupBy("song_id").agg(*histogram()).select("song_id", *best_keys())
     if songs is None:
         return found
     none = F.array().cast("array<struct<key: string, score: double>>")

@@ -37,8 +37,10 @@ def song_summary(events: DataFrame) -> DataFrame:
     flag = lambda c: F.count_if(F.col(c)).alias(f"n_{c}")
     more = [flag(c) for c in ("pyin_agrees", "chord_fit", "beat_aligned") if c in events.columns]
     more += [F.count("lyric").alias("n_lyric")] if "lyric" in events.columns else []
-    counts = events.groupBy("song_id").agg(F.count(F.lit(1)).alias("n_notes"), *more, F.min("start_time").alias("first_start"), F.max("end_time").alias("last_end"))
-    return counts.join(keys.detect_key(events).select("song_id", "key", F.concat(M.rounded_text(F.col("score") * 100, 0), F.lit("%")).alias("key_score")), "song_id")
+    ends = [F.min("start_time").alias("first_start"), F.max("end_time").alias("last_end")]
+    counts = events.groupBy("song_id").agg(F.count(F.lit(1)).alias("n_notes"), *more, *ends, *keys.histogram())
+    shown = [c for c in counts.columns if not c.startswith("__")]
+    return counts.select(*shown, *keys.best_keys()).select(*shown, "key", F.concat(M.rounded_text(F.col("score") * 100, 0), F.lit("%")).alias("key_score"))
 
 
 def frame_ranges(frames: DataFrame) -> DataFrame:
