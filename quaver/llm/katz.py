@@ -9,7 +9,7 @@ begins with a mark, and an end token follows its last word.
 
 1. Words are counted (combined before the shuffle): the word table.
 2. The ``DICT`` most frequent words, a fixed number, are broadcast with their counts.
-3. Word pairs are routed, packed and sorted, to the partition that holds all of the
+3. Word pairs are routed, packed and sorted, to the partition that holds all of a
    pair: by history; by pair, where the history is so frequent that it alone would fill
    a partition; by the word, where that is not in the dictionary. Pairs that alone would
    fill a partition are counted before and never routed. A partition counts
@@ -38,7 +38,9 @@ from .workspace import materialize
 
 K = 5
 DICT = 1 << 17
-FLUSH = 1 << 21
+FLUSH = 1 << 20
+#: A partition's pairs are counted in so many turns.
+TURNS = 4
 END, BEGIN = 1, 2
 _RARE = np.uint64(1 << 63)
 _CODEC = pa.Codec("zstd", compression_level=1)
@@ -184,7 +186,10 @@ def _route(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
         heavy[dict_u] = uni.heavy[u[dict_u].astype(np.int64)]
         heavy |= u == uni.size
         key = np.where(kv, np.where(heavy, mix64(u * np.uint64(0x9E3779B97F4A7C15) ^ v), mix64(u)), mix64(v))
-        part = uni.places[(mix64(key + np.uint64(1)) % np.uint64(len(uni.places))).astype(np.int64)]
+        n = np.uint64(len(uni.places))
+        part = mix64(key + np.uint64(1))
+        part = uni.places[(part % n).astype(np.int64)] * TURNS + (part // n % np.uint64(TURNS)).astype(np.int32)
+        del key, heavy, dict_u
         order = np.lexsort((v, u, part))
         u, v, rid, teach, part = (x[order] for x in (u, v, rid, teach, part))
         cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
@@ -223,7 +228,7 @@ def _route(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
                 value = np.log10(hot_counts[at[is_hot]] / uni.counts[du[is_hot].astype(np.int64)])
                 seen, beyond = np.bincount(rows[is_hot], value, m), np.bincount(rows[is_hot], minlength=m)
             own = [rid, np.ones(m, np.int64), np.bincount(rows, minlength=m), known, base, seen, beyond]
-            spread = int(uni.places[int(mix64(rid[:1].view(np.uint64))[0] % np.uint64(len(uni.places)))])
+            spread = TURNS * int(uni.places[int(mix64(rid[:1].view(np.uint64))[0] % np.uint64(len(uni.places)))])
             yield pa.RecordBatch.from_arrays([pa.array([-1 - spread], pa.int32()), pa.array([_pack(*(np.ascontiguousarray(x) for x in own))], pa.binary())], names=["part", "blob"])
             held.append(tuple(x[rest] for x in (du, dv, ku, kv, rid[rows], teach[rows])))
             size += int(rest.sum())
@@ -265,8 +270,8 @@ def _group(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return number, order[new]
 
 
-def _settle(blobs: list[bytes], uni: Unigrams) -> Iterator[pa.RecordBatch]:
-    """One partition's pairs: by document what is decided (x: score, y: base, r: seen pairs by count), by history what its
+def _settle(blobs: list[bytes], uni: Unigrams, documents: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Some of a partition's pairs, all of each: by document what is decided (x: score, y: base, r: seen pairs by count), by history what its
     seen words take (x: their probability without history, y: those seen K + 1 times), and what is open (x: pairs not seen, y: pairs seen)."""
     us, vs, rids, teach = [], [], [], []
     for blob in blobs:
@@ -307,8 +312,9 @@ def _settle(blobs: list[bytes], uni: Unigrams) -> Iterator[pa.RecordBatch]:
     base = np.where(rare_token, uni.log_base(word_count[pair]), 0.0)
     d, own = _group(rid)
     m = len(own)
-    r = {f"r{i}": np.bincount(d, at == i, m) for i in range(1, K + 2)}
-    yield _rows(DOCUMENT, m, rid=rid[own], texts=np.zeros(m), tokens=np.zeros(m), known=np.bincount(d, rare_token & (word_count[pair] > 0), m), x=np.bincount(d, score, m), y=np.bincount(d, base, m), **r)
+    counts = [np.bincount(d, at == i, m).astype(np.int32) for i in range(1, K + 2)]
+    documents.append([rid[own], np.bincount(d, score, m), np.bincount(d, base, m), np.bincount(d, rare_token & (word_count[pair] > 0), m).astype(np.int32), *counts])
+    del d, own, score, base, log_c, at
     # open: alpha(u) of pairs not seen, c(u) of pairs whose history has no place in the dictionary
     left = ~seen | ~dict_u
     if left.any():
@@ -319,6 +325,7 @@ def _settle(blobs: list[bytes], uni: Unigrams) -> Iterator[pa.RecordBatch]:
 def _reduce(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     uni: Unigrams = sent.value
     held: list[bytes] = []
+    documents: list[list[np.ndarray]] = []
     now = None
     for batch in batches:
         for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -327,12 +334,17 @@ def _reduce(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]
                 yield _rows(DOCUMENT, len(rid), rid=rid, texts=texts, tokens=tokens, known=known, x=seen, y=base, **{f"r{i}": beyond if i > K else np.zeros(len(rid)) for i in range(1, K + 2)})
                 continue
             if part != now and held:
-                yield from _settle(held, uni)
+                yield from _settle(held, uni, documents)
                 held = []
             now = part
             held.append(blob)
     if held:
-        yield from _settle(held, uni)
+        yield from _settle(held, uni, documents)
+    if documents:
+        rid, score, base, known, *counts = (np.concatenate(x) for x in zip(*documents, strict=True))
+        d, own = _group(rid)
+        m = len(own)
+        yield _rows(DOCUMENT, m, rid=rid[own], texts=np.zeros(m), tokens=np.zeros(m), known=np.bincount(d, known, m), x=np.bincount(d, score, m), y=np.bincount(d, base, m), **{f"r{i}": np.bincount(d, c, m) for i, c in enumerate(counts, 1)})
 
 
 def held_out(doc_id: Column) -> Column:
@@ -383,7 +395,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", out: Colu
             extra = spark.createDataFrame(list(zip((pair // dictionary).tolist(), p.tolist(), c.tolist(), strict=True)), "u long, x double, c long")
     sent = sc.broadcast(uni)
     blobs = read.mapInArrow(lambda b: _route(b, sent), "part int, blob binary")
-    place = F.when(F.col("part") >= 0, F.col("part")).otherwise(-1 - F.col("part"))
+    place = F.floor(F.when(F.col("part") >= 0, F.col("part")).otherwise(-1 - F.col("part")) / F.lit(TURNS)).cast("int")
     packed = blobs.withColumn("place", place).repartition(parts, "place").sortWithinPartitions("part").select("part", "blob")
     made = materialize(packed.mapInArrow(lambda b: _reduce(b, sent), _SCHEMA), "pairs", by="kind")
     rs = [f"r{i}" for i in range(1, K + 2)]
