@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .functions import music as M
 from .operators import align, keys, leadsheet, segment
@@ -259,6 +260,34 @@ def frame_ranges(spark, sf_dir):
     return found.select("song_id", "n_frames", *_six(*(f"{n}_{c}" for c in ("time", "frequency", "confidence") for n in ("min", "max"))))
 
 
+@query(with_(NOTES, " UNION ALL ".join(f"SELECT song_id, '{stage}' AS stage, count(*) AS n FROM {t} GROUP BY song_id" for stage, t in (("frames", "frames"), ("confident", "sure"), ("segments", "segments"), ("in key", "in_key"), ("no outliers", "tame"), ("merged", "merged")))))
+def stage_counts(spark, sf_dir):
+    return T.stage_counts(A.frames(spark, sf_dir))
+
+
+@query(with_(EVENTS, f"SELECT {EVENT_COLS} FROM segments QUALIFY row_number() OVER (PARTITION BY song_id ORDER BY event_idx) <= 5"))
+def first_events(spark, sf_dir):
+    return _events(T.preview(_segments(spark, sf_dir)))
+
+
+@query(with_(EVENTS, f"SELECT song_id, event_idx, {NAME('midi')} AS note, round_even(start_time, 3) AS start_time, round_even(end_time, 3) AS end_time, round_even(avg_c, 3) AS confidence FROM (SELECT *, round(confidence, 6) AS avg_c FROM segments)"))
+def display_rows(spark, sf_dir):
+    return T.display(_segments(spark, sf_dir).withColumn("confidence", F.round("confidence", 6))).select("song_id", "event_idx", "note", "start_time", "end_time", "confidence")
+
+
+GAPS = "gaps AS (SELECT user_id, ts, value, CASE WHEN lag(ts) OVER w IS NULL OR epoch(ts) - epoch(lag(ts) OVER w) > 21600 OR event_type <> lag(event_type) OVER w THEN 1 ELSE 0 END AS nb, event_id, event_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), ev AS (SELECT *, sum(nb) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM gaps)"
+
+
+@query(with_(GAPS, "SELECT user_id AS song_id, CAST(run - 1 AS BIGINT) AS event_idx, any_value(event_type) AS event_type, count(*) AS n, round(avg(value), 6) AS confidence FROM ev GROUP BY user_id, run"))
+def event_runs(spark, sf_dir):
+    """The run logic of segmentation on another table: runs of one event type without a pause above six hours."""
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    pause = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w) > 21_600_000_000
+    new = F.coalesce((F.col("event_type") != F.lag("event_type").over(w)) | pause, F.lit(True))
+    runs = A.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("__new", new.cast("long")).withColumn("event_idx", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) - 1)
+    return runs.groupBy(F.col("user_id").alias("song_id"), "event_idx").agg(F.min("event_type").alias("event_type"), F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("confidence"))
+
+
 MARK = "CASE WHEN {0} < 0.3::DOUBLE THEN ' ' WHEN {0} < 0.8::DOUBLE THEN ' - ' WHEN {0} < 2.0::DOUBLE THEN ' -- ' ELSE ' --- ' END".format
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import music as M
 from ..operators import align, keys, segment
@@ -47,3 +48,29 @@ def frame_ranges(frames: DataFrame) -> DataFrame:
     """A row for each song: how many frames, and the ranges of their values."""
     ends = [f(c).alias(f"{n}_{c}") for c in ("time", "frequency", "confidence") for n, f in (("min", F.min), ("max", F.max))]
     return frames.groupBy("song_id").agg(F.count(F.lit(1)).alias("n_frames"), *ends)
+
+
+def stage_counts(frames: DataFrame, confidence_threshold: float = 0.85) -> DataFrame:
+    """(song_id, stage, n): how many rows each step leaves; the differences are what it removed or merged."""
+    steps = {"frames": frames}
+    steps["confident"] = segment.filter_by_confidence(frames, confidence_threshold)
+    steps["segments"] = segment.segment_notes(steps["confident"])
+    steps["in key"] = keys.filter_by_key(steps["segments"])
+    steps["no outliers"] = segment.remove_octave_outliers(steps["in key"])
+    steps["merged"] = segment.merge_flickers(steps["no outliers"])
+    out = None
+    for stage, df in steps.items():
+        one = df.groupBy("song_id").agg(F.count(F.lit(1)).alias("n")).select("song_id", F.lit(stage).alias("stage"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def preview(events: DataFrame, n: int = 5) -> DataFrame:
+    """The first events of each song."""
+    w = W.partitionBy("song_id").orderBy("event_idx")
+    return events.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
+
+
+def display(events: DataFrame) -> DataFrame:
+    """Events for a screen: times and confidence to three places, halves to even."""
+    return events.withColumns({c: F.bround(c, 3) for c in ("start_time", "end_time", "confidence")})
