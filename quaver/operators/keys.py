@@ -62,10 +62,9 @@ def filter_by_key(events: DataFrame, keys: DataFrame | None = None) -> DataFrame
         w = W.partitionBy("song_id")
         counted = events.withColumns({"__n": F.count("midi").over(w)} | {f"__{i}": F.count_if(pc == i).over(w) for i in range(12)})
         masks = list(dict.fromkeys((pcs, sum(1 << p for p in pcs)) for pcs in (tuple(sorted(pcs)) for _, pcs in M.scales())))  # a minor key has its major's notes
-        hits = [sum((F.col(f"__{p}") for p in pcs[1:]), F.col(f"__{pcs[0]}")) for pcs, _ in masks]
-        best, mask = F.greatest(*hits), F.lit(0)
-        for h, (_, m) in reversed(list(zip(hits, masks, strict=True))):
-            mask = F.when(h == best, F.lit(m)).otherwise(mask)
+        hits = F.array(*(sum((F.col(f"__{p}") for p in pcs[1:]), F.col(f"__{pcs[0]}")) for pcs, _ in masks))
+        best = F.array_max(hits)
+        mask = F.element_at(F.array(*(F.lit(m) for _, m in masks)), F.array_position(hits, best).cast("int"))
         bit = F.when(pc >= 0, F.call_function("shiftright", mask, pc).bitwiseAND(F.lit(1)) == 1).otherwise(F.lit(False))
         return counted.where((best / F.col("__n") < F.lit(MIN_SCORE)) | bit).select(*events.columns)
     judged = events.join(keys.select("song_id", F.col("score").alias("__score"), scale_of(F.col("key")).alias("__scale")), "song_id", "left")
