@@ -49,6 +49,8 @@ SKETCH = 1 << 16
 #: Lists are long from this count on, or from LONG_X times the mean counter.
 LONG, LONG_X = 400, 4
 BLOCK = 512
+#: Ids of classes that need their texts are broadcast up to this number.
+BROADCAST_IDS = 500_000
 
 _A = stream64(COORDS, 21) | np.uint64(1)
 _B = stream64(COORDS, 22)
@@ -231,6 +233,9 @@ def similar_links(classes: DataFrame, docs: DataFrame, doc_id: str = "doc_id", t
     groups = held.join(classes.select("rep", "n", "sig"), "rep").select("token", "bi", "bj", "blk", "rep", "n", "sig").repartition(parts, "token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "rep")
     found = materialize(groups.mapInArrow(lambda b: _candidates(b, long_lists, sizes, share), cols), "candidates")
     texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
+    wanted = found.select("rep").distinct()
+    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # else all texts are shuffled
+        texts = texts.join(F.broadcast(wanted), "rep", "left_semi")
     # a class may stand in several groups; its text goes along once each
     full = found.join(texts, "rep").select("token", "bi", "bj", "blk", "rep", "n", "sig", "text").repartition(parts, "token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "rep")
     return full.mapInArrow(lambda b: _links(b, long_lists, sizes, share, k), "src long, dst long")
