@@ -28,11 +28,12 @@ _BLOCK = r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article
 
 def digest(text: Column) -> Column:
     """``sha1:`` and the base 32 form of the SHA-1 of the UTF-8 bytes."""
-    hexa = F.sha1(text.cast("binary"))
-    group = lambda g: F.conv(F.substring(hexa, g * 5 + 1, F.lit(5)), 16, 10).cast("int")
     letter = lambda n: F.substring(F.lit(BASE32), n.cast("int") + 1, F.lit(1))
     four = lambda n: F.concat(letter(F.shiftright(n, 15)), letter(F.shiftright(n, 10) % 32), letter(F.shiftright(n, 5) % 32), letter(n % 32))
-    return F.concat(F.lit("sha1:"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda g: four(group(g))), ""))
+    # the hash is bound to a variable, so that it is computed once
+    groups = lambda h: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda g: F.conv(F.substring(h, g * 5 + 1, F.lit(5)), 16, 10).cast("int"))
+    base32 = F.transform(F.array(F.sha1(text.cast("binary"))), lambda h: F.array_join(F.transform(groups(h), four), ""))
+    return F.concat(F.lit("sha1:"), F.get(base32, F.lit(0)))
 
 
 def record_id(*parts: Column) -> Column:
