@@ -1,9 +1,11 @@
 """Benchmark decontamination with SimHash windows.
 
 1. Benchmark items and documents are cut into words (lower case) and shingles of five
-   words. A document position whose shingle occurs in the benchmark proposes the
-   item-sized windows that would align it with that item; a window that shares no
-   shingle with any item has similarity 0 and is never looked at.
+   words. Every item-sized window of a document is a candidate, wherever it starts,
+   unless fewer of its shingles than the threshold needs occur in items of its size: a
+   similarity of share % of two windows of m shingles takes 2 m share / (100 + share)
+   common ones, so no window that reaches the threshold is left out, in whatever order
+   it holds the item's parts.
 2. Each window and each item gets a 64-bit SimHash of its weighted shingles.
 3. Multi-index Hamming: the fingerprints are cut into ``BLOCKS`` blocks. Two that differ
    in at most ``RADIUS`` bits differ in at most RADIUS // BLOCKS bits in some block, so
@@ -63,7 +65,19 @@ def simhash(hashes: Column) -> Column:
 
 def _numbered(ordered: Column) -> Column:
     """A sorted multiset as a set: each repetition of a hash gets a number."""
-    return F.transform(ordered, lambda h, i: F.xxhash64(h, i + 1 - F.array_position(ordered, h).cast("int")))
+    # the list is bound to a variable, so that it is sorted once
+    return F.flatten(F.transform(F.array(ordered), lambda o: F.transform(o, lambda h, i: F.xxhash64(h, i + 1 - F.array_position(o, h).cast("int")))))
+
+
+def window_starts(at: Column, reach: Column, last: Column, need: Column) -> Column:
+    """Starts, from 0 to ``last``, of all windows of ``reach`` shingles that hold at least ``need`` of the sorted positions ``at``.
+
+    Each start is made once, from the first position that its window holds.
+    """
+    low = lambda i: F.greatest(F.coalesce(F.get(at, i - 1) + 1, F.lit(0)), F.get(at, i + need - 1) - reach + 1, F.lit(0))
+    high = lambda i: F.least(F.get(at, i), last)
+    some = lambda i: F.when(low(i) <= high(i), F.sequence(low(i), high(i))).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(at) >= need, F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - need), some))).otherwise(F.array().cast("array<int>"))
 
 
 def _variants(width: int, most: int) -> list[int]:
@@ -95,26 +109,33 @@ def _small(df: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: int = SHARE) -> DataFrame:
     """(doc_id, item_id, start, hamming, similarity): the best window of each document for each item it leaks."""
     items = benchmark.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("ws")).where(F.size("ws") > 0).select("item_id", F.size("ws").alias("len"), window_shingles(F.col("ws")).alias("h"))
-    items = materialize(items.withColumn("sim", simhash(F.col("h"))).withColumn("set", _numbered(F.array_sort("h"))), "items")
-    marks = materialize(items.select("len", F.posexplode("h").alias("o", "mark")).withColumn("size", F.least("len", F.lit(SHINGLE))).distinct(), "marks")
+    items = materialize(items.withColumn("sim", simhash(F.col("h"))).withColumn("set", _numbered(F.sort_array("h"))), "items")
+    marks = materialize(items.select("len", F.explode("h").alias("mark")).withColumn("size", F.least("len", F.lit(SHINGLE))).distinct(), "marks")
     sizes = [r[0] for r in marks.select("size").distinct().collect()] or [SHINGLE]  # five at most
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).where(F.col("t").isNotNull())
     read = read.select("doc_id", F.xxhash64("t").alias("key"), words(F.col("t")).alias("ws"))
-    proposals = None
+    shared = None
     for size in sizes:
         found = read.select("doc_id", "key", F.size("ws").alias("n"), F.posexplode(shingles(F.col("ws"), size)).alias("p", "mark"))
-        own = _small(marks.where(F.col("size") == size).select("mark", "len", "o"))
-        at = found.join(own, "mark").select("doc_id", "key", F.col("len"), F.greatest(F.least(F.col("p") - F.col("o"), F.col("n") - F.col("len")), F.lit(0)).alias("start"))
-        proposals = at if proposals is None else proposals.union(at)
-    windows = proposals.groupBy("doc_id", "key").agg(F.collect_set(F.struct("len", "start")).alias("at"))
-    windows = materialize(windows, "windows").withColumnsRenamed({"doc_id": "w_id", "key": "w_key"})
-    texts = read.join(_small(windows), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key"))).select("doc_id", "ws", F.explode("at").alias("at"))
-    cut = texts.select("doc_id", F.col("at.len").alias("len"), F.col("at.start").alias("start"), F.slice("ws", F.col("at.start") + 1, F.col("at.len")).alias("ws"))
-    cut = cut.withColumn("h", window_shingles(F.col("ws"))).drop("ws").withColumn("sim", simhash(F.col("h")))
-    cut = materialize(cut, "cut")
-    near = hamming_candidates(cut.select("doc_id", "len", "start", "h", "sim"), items.select("item_id", "len", "set", "sim"), "len", "sim")
-    both = F.size(F.array_intersect(_numbered(F.array_sort("h")), F.col("r_set")))
-    near = near.withColumn("both", both).withColumn("either", F.size("h") + F.size("r_set") - F.col("both")).where(F.lit(100) * F.col("both") >= F.lit(share) * F.col("either"))
+        at = found.join(_small(marks.where(F.col("size") == size).select("mark", "len", "size")), "mark").select("doc_id", "key", "n", "len", "size", "p")
+        shared = at if shared is None else shared.union(at)
+    held = shared.groupBy("doc_id", "key", "n", "len", "size").agg(F.sort_array(F.collect_set("p")).alias("at"))
+    reach, seen = F.col("len") - F.col("size") + 1, F.least("len", "n") - F.col("size") + 1
+    held = held.withColumn("need", F.greatest(F.ceil(F.lit(share) * (reach + seen) / F.lit(100 + share)).cast("int"), F.lit(1))).where(F.size("at") >= F.col("need"))
+    held = held.withColumn("starts", window_starts(F.col("at"), reach, F.greatest(F.col("n") - F.col("len"), F.lit(0)), F.col("need")))
+    held = materialize(held.select("doc_id", "key", F.struct("len", "size", "starts").alias("of")), "starts").where(F.size("of.starts") > 0)
+    windows = materialize(held.groupBy("doc_id", "key").agg(F.collect_list("of").alias("of")), "windows").withColumnsRenamed({"doc_id": "w_id", "key": "w_key"})
+    texts = read.join(_small(windows), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key"))).select("doc_id", "ws", F.explode("of").alias("of"))
+    # a window's shingles are a run of the document's; those are bound to a variable and hashed once
+    runs = lambda of, hashes: F.transform(of["starts"], lambda s: F.struct(of["len"].alias("len"), s.alias("start"), F.slice(hashes, s + 1, of["len"] - of["size"] + 1).alias("h")))
+    cut = None
+    for size in sizes:
+        own = texts.where(F.col("of.size") == size).select("doc_id", F.explode(F.flatten(F.transform(F.array(shingles(F.col("ws"), size)), lambda hashes: runs(F.col("of"), hashes)))).alias("w"))
+        cut = own if cut is None else cut.union(own)
+    cut = materialize(cut.select("doc_id", "w.*").withColumn("sim", simhash(F.col("h"))).withColumn("set", _numbered(F.sort_array("h"))).drop("h"), "cut")
+    near = hamming_candidates(cut, items.select("item_id", "len", "set", "sim"), "len", "sim")
+    both = F.size(F.array_intersect("set", "r_set"))
+    near = near.withColumn("both", both).withColumn("either", F.size("set") + F.size("r_set") - F.col("both")).where(F.lit(100) * F.col("both") >= F.lit(share) * F.col("either"))
     best = near.groupBy("doc_id", F.col("r_item_id").alias("item_id")).agg(F.min(F.struct((-F.col("both") / F.col("either")).alias("s"), "start", "hamming")).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.start").alias("start"), F.col("best.hamming").alias("hamming"), (-F.col("best.s")).alias("similarity"))
 

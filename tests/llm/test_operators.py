@@ -152,6 +152,36 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_every_window(spark):
+    """The best of all windows, also where the item's parts stand in another order."""
+    rng = random.Random(33)
+    items = [prose(rng, n, 10**6).split() for n in (50, 50, 40, 3)]
+    other = [prose(rng, 200, 10**6).split() for _ in range(7)]
+    swap = lambda x, at: x[at:] + x[:at]
+    texts = [other[0] + swap(items[0], 20) + other[1], other[2] + items[1][:12] + ["new"] + items[1][12:] + other[3], other[4] + items[2] * 3 + other[5], items[2][2:], items[0][:46] + items[3], other[6]]
+
+    def grams(x):
+        z = min(len(x), 5)
+        return Counter(tuple(x[i : i + z]) for i in range(len(x) - z + 1))
+
+    want = {}
+    for d, x in enumerate(texts):
+        for i, y in enumerate(items):
+            b = grams(y)
+            for s in range(max(len(x) - len(y), 0) + 1):
+                a = grams(x[s : s + len(y)])
+                both = (a & b).total()
+                either = a.total() + b.total() - both
+                if 100 * both >= 80 * either:
+                    want[d, i] = min(want.get((d, i), (0, 0)), (-both / either, s))
+    assert -want[0, 0][0] == 0.84 and set(want) == {(0, 0), (1, 1), (2, 2), (3, 2), (4, 0), (4, 3)}
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id bigint, text string")
+    docs = frame(spark, [" ".join(x) for x in texts])
+    out = {(r.doc_id, r.item_id): (-r.similarity, r.start) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert out == want
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()] == [5]
+
+
 def test_hamming_blocks(spark):
     rng = random.Random(4)
     base = [rng.getrandbits(64) - 2**63 for _ in range(20)]
