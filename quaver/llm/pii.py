@@ -10,7 +10,11 @@ octets in range, a name's gender, script and number of words.
 
 The distinct entities of the whole table are dealt replacements together. Where two
 would get the same one, or one would get a string that is itself an entity, all but
-the first are dealt again until none is left, so distinct entities stay distinct.
+the first are dealt again until none is left, so distinct entities stay distinct. Where
+a format has too few strings for its entities, those left after every ``GROW`` rounds
+get longer ones: one more syllable in made-up names, one more character in the local
+part of an address, an assigned secret, or a phone number. Cards (10^11 strings and more
+for each issuer digit and length), access keys and IPv4 addresses (254^4) keep their length.
 
 Everything is DataFrame operations. Texts without entities go straight through; only
 those with entities are joined with their replacements, on a 128-bit hash of the text,
@@ -43,6 +47,8 @@ NAME = rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L
 ENTITY = "|".join((EMAIL, SECRET, ACCESS_KEY, IPV4, CARD, PHONE, NAME))
 #: Cheap test that every text with an entity meets.
 HINT = rf"[@=:]|\d[ ().+-]*\d|AKIA|ASIA|(?:{_TITLES})\.? \p{{Lu}}"
+#: Rounds of draws after which the strings of a format get longer by one.
+GROW = 3
 _ASSIGNED = r"""(?i)^((?:password|passwd|secret|token|api[_-]?key)\s*[=:]\s*["']?)([A-Za-z0-9+/_=-]{8,})(["']?)$"""
 _TITLED = rf"^((?:{_TITLES})\.? )(.*)$"
 
@@ -89,6 +95,8 @@ def _render(kind: Column, e: Column, surrogate: Column) -> Column:
     chars = F.split(e, "")
     before = lambda i: F.length(F.regexp_replace(F.substring(e, F.lit(1), i + 1), "[^0-9]", ""))
     digits = F.concat_ws("", F.transform(F.filter(chars, lambda c: c != ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(surrogate, before(i), F.lit(1))).otherwise(c)))
+    # a surrogate with more digits than the mention has ends with the rest of them
+    digits = F.concat(digits, F.substring(surrogate, before(F.length(e) - 1) + 1, F.length(surrogate)))
     return (
         F.when(kind == "secret", F.concat(F.regexp_extract(e, _ASSIGNED, 1), surrogate, F.regexp_extract(e, _ASSIGNED, 3)))
         .when(kind.startswith("name"), F.concat(F.regexp_extract(e, _TITLED, 1), surrogate))
@@ -101,8 +109,8 @@ def _draw(seed: Column, i: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(seed, i), F.lit(n)).cast("int")
 
 
-def _alike(value: Column, seed: Column) -> Column:
-    """A string with the character classes of ``value``, drawn from the keyed seed; hexadecimal stays so."""
+def _alike(value: Column, seed: Column, more: Column | None = None) -> Column:
+    """A string with the character classes of ``value``, drawn from the keyed seed; hexadecimal stays so. ``more``: characters to add, like its last letter or digit."""
     hexa = value.rlike("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{16,}$")
     pick = lambda s, i: F.substring(F.lit(s), _draw(seed, i, len(s)) + 1, F.lit(1))
     one = lambda c, i: (
@@ -112,6 +120,9 @@ def _alike(value: Column, seed: Column) -> Column:
         .when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", i))
         .otherwise(c)
     )
+    if more is not None:
+        end = F.regexp_extract(value, "([A-Za-z0-9])[^A-Za-z0-9]*$", 1)
+        value = F.concat(value, F.repeat(F.when(end == "", "a").otherwise(end), more))
     return F.concat_ws("", F.transform(F.filter(F.split(value, ""), lambda c: c != ""), one))
 
 
@@ -122,11 +133,13 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), step) % 10
 
 
-def _name(value: Column, seed: Column, gender: str) -> Column:
+def _name(value: Column, seed: Column, gender: str, more: Column) -> Column:
     def of(script: str) -> Column:
         part = F.array(*map(F.lit, _PART[script]))
         firsts = _FIRST[script][gender]
-        last = lambda i: F.initcap(F.concat(*(F.element_at(part, _draw(seed, i * 8 + j, len(_PART[script])) + 1) for j in range(1, 5))))
+        syllable = lambda at: F.element_at(part, _draw(seed, at, len(_PART[script])) + 1)
+        grown = lambda i: F.array_join(F.transform(F.slice(F.sequence(F.lit(0), more), F.lit(2), more), lambda j: syllable(i * 1000 + j)), "")
+        last = lambda i: F.initcap(F.concat(*(syllable(i * 8 + j) for j in range(1, 5)), grown(i)))
         first = F.element_at(F.array(*map(F.lit, firsts)), _draw(seed, F.lit(0), len(firsts)) + 1)
         words = F.size(F.split(value, " "))
         return F.concat_ws(" ", F.transform(F.sequence(F.lit(1), words), lambda i: F.when((i == 1) & (words > 1), first).otherwise(last(i))))
@@ -137,26 +150,27 @@ def _name(value: Column, seed: Column, gender: str) -> Column:
 def _with_surrogate(entities: DataFrame, key: str) -> DataFrame:
     """(kind, value, attempt) with the surrogate that the key deals in this attempt."""
     kind, value, drawn, seed = (F.col(c) for c in ("kind", "value", "__drawn", "__seed"))
+    more = F.floor(F.col("attempt") / F.lit(GROW)).cast("int")
     at = F.when(kind == "email", F.substring_index(value, "@", 1)).otherwise(value)
     domain = F.when(kind == "email", F.substring_index(value, "@", -1))
     host = F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1)  # an address keeps its domain's company
     out = entities.withColumn("__seed", F.sha2(F.concat_ws("|", F.lit(key), kind, value, F.col("attempt").cast("string")), 256))
-    out = out.withColumn("__drawn", F.when(~kind.startswith("name") & (kind != "ip"), _alike(at, seed)))
+    out = out.withColumn("__drawn", F.when(~kind.startswith("name") & (kind != "ip"), _alike(at, seed, F.when(kind.isin("email", "secret", "phone"), more).otherwise(0))))
     out = out.withColumn("__host", F.when(kind == "email", F.concat(_alike(host, F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain), 256)), F.regexp_extract(domain, r"(\.[^.]+)$", 1))))
     number = F.when(kind == "card", value)
     body = F.concat(F.substring(value, 1, 1), F.substring(drawn, F.lit(2), F.length(value) - 2))
     out = out.withColumn("__body", F.when(kind == "card", body)).withColumn("__valid", _luhn(number) == 0)
     out = out.withColumn("__check", F.when(F.col("__valid"), ((F.lit(10) - _luhn(F.concat("__body", F.lit("0")))) % 10).cast("string")).otherwise(F.substring(drawn, -1, 1)))
     area = F.length(value) - 10
-    phone = F.when(area >= 0, F.concat(F.substring(value, F.lit(1), area), (_draw(seed, F.lit(99), 8) + 2).cast("string"), F.substring(drawn, area + 2, F.lit(9)))).otherwise(drawn)
+    phone = F.when(area >= 0, F.concat(F.substring(value, F.lit(1), area), (_draw(seed, F.lit(99), 8) + 2).cast("string"), F.substring(drawn, area + 2, more + 9))).otherwise(drawn)
     made = (
         F.when(kind == "email", F.concat(drawn, F.lit("@"), F.col("__host")))
         .when(kind == "ip", F.concat_ws(".", *((_draw(seed, F.lit(i), 254) + 1).cast("string") for i in range(4))))
         .when(kind == "card", F.concat("__body", "__check"))
         .when(kind == "phone", phone)
         .when(kind == "key", F.concat(F.substring(value, 1, 4), F.substring(drawn, 5, 16)))
-        .when(kind == "name_f", _name(value, seed, "f"))
-        .when(kind == "name_m", _name(value, seed, "m"))
+        .when(kind == "name_f", _name(value, seed, "f", more))
+        .when(kind == "name_m", _name(value, seed, "m", more))
         .otherwise(drawn)
     )
     return out.select("kind", "value", "attempt", made.alias("surrogate"))

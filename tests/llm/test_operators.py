@@ -477,5 +477,20 @@ def test_distinct_surrogates(spark):
     assert len({r.surrogate for r in out}) == 40 and not {r.surrogate for r in out} & {f"{i:02d}" for i in range(40)}
 
 
+def test_short_formats(spark, monkeypatch):
+    """More entities than their format has strings: all get their own, if need be a longer one."""
+    monkeypatch.setitem(pii._PART, "latin", ("ba", "do"))
+    values = [("email", f"{c}@d{d}.com") for c in "abcdefghijklmnopqrstuvwxyz" for d in range(20)]
+    values += [("name_m", f"Xa{chr(97 + i // 14)}{chr(97 + i % 14)}") for i in range(120)] + [("phone", f"{i:02d}") for i in range(100)] + [("secret", "--------"), ("secret", "========")]
+    out = pii.deal(spark.createDataFrame(values, "kind string, value string"), "k").collect()
+    assert sorted((r.kind, r.value) for r in out) == sorted(values) and len({(r.kind, r.surrogate) for r in out}) == len(values)
+    assert not {(r.kind, r.surrogate) for r in out} & set(values)
+    form = {"email": r"[a-z]+@[a-z]\d\d?\.com", "name_m": r"[BD](a|o)((ba|do)+)", "phone": r"\d{3,}", "secret": r"(-{8}|={8})[a-z]+"}
+    assert all(re.fullmatch(form[r.kind], r.surrogate) for r in out)
+    text = spark.range(1).select(pii._render(F.lit("phone"), F.lit("+1 (2) 34 56"), F.lit("9876540"))).first()[0]
+    assert text == "+9 (8) 76 540"
+    assert re.fullmatch(r"token = -{8}[a-z]+;", pii.replace_pii(frame(spark, ["token = --------;"]), "k").first().text)
+
+
 def test_release(spark):
     assert workspace.release(spark) > 0 and workspace.release(spark) == 0
