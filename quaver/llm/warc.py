@@ -1,8 +1,8 @@
 """WARC derivatives: metadata and plain-text conversion records of responses.
 
 Every response gives two records that refer to it. The metadata record lists the
-response's source headers and what is found in the page (title, language, links); the
-conversion record holds the page's plain text. Both keep the response's record id
+response's source headers and what is found in the page (title, language, and how many
+links it has, not their targets); the conversion record holds the page's plain text. Both keep the response's record id
 (WARC-Refers-To), its target URI, its date and its payload digest; each has an id and
 a block digest of its own. Ids are derived from contents, so a second run gives the
 same records.
