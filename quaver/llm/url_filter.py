@@ -2,8 +2,8 @@
 
 1. A rule names a host, a path prefix and a verdict. It fits its host and all
    subdomains where the path starts with its own; the longest that fits decides.
-2. Redirects (a refresh in the page, or a table of them) and canonical links say that
-   two URLs are the same page. The aliases of a page are its connected component.
+2. Redirects (refreshes in the page, or a table of them) and canonical links, all that
+   a page has, say that two URLs are the same page. The aliases of a page are its connected component.
 3. A URL that no rule decides takes its component's decision: an explicit allow among
    the aliases comes first, then a block; without either it is allowed. A rule that
    fits the URL itself always stands, so an allowed URL is never blocked through an alias.
@@ -74,19 +74,21 @@ def decide(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULES
 def _absolute(link: Column, page: Column) -> Column:
     link = F.regexp_replace(link, "&amp;", "&")
     base = F.regexp_extract(page, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = F.regexp_extract(page, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
     folder = F.regexp_extract(page, r"(?s)^.*?://[^/?#]*([^?#]*/)", 1)
     return (
         F.when(link.rlike(r"(?i)^https?://"), link)
         .when(link.startswith("//"), F.concat(F.substring_index(page, "://", 1), F.lit(":"), link))
         .when(link.startswith("/"), F.concat(base, link))
+        .when(link.startswith("?"), F.concat(base, F.when(path == "", "/").otherwise(path), link))
         .when(~link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:|^[?#]"), F.concat(base, F.when(folder == "", "/").otherwise(folder), link))
     )
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(src, dst): redirects and canonical links of the pages, as aliases."""
-    tag = lambda tags, link: F.regexp_extract(F.regexp_extract(F.col(html), tags, 0), link, 1)
-    targets = F.filter(F.array(tag(_CANONICAL, _HREF), tag(_REFRESH, _GOES_TO)), lambda x: x != "")
+    each = lambda tags, link: F.transform(F.regexp_extract_all(F.col(html), F.lit(tags), F.lit(0)), lambda t: F.regexp_extract(t, link, 1))
+    targets = F.filter(F.concat(each(_CANONICAL, _HREF), each(_REFRESH, _GOES_TO)), lambda x: x != "")
     linked = materialize(pages.where(F.col(html).rlike("(?i)canonical|refresh")).select(F.col(url).alias("u"), F.explode(targets).alias("l")), "links")
     known = materialize(linked.select(node_of(F.col("u")).alias("src"), _absolute(F.col("l"), F.col("u")).alias("l")).select("src", node_of(F.col("l")).alias("dst")), "aliases")
     return known.where("src is not null and dst is not null and src <> dst")

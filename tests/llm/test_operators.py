@@ -106,6 +106,13 @@ def test_url_aliases(spark):
 # 2
 
 
+def test_all_links_of_a_page(spark):
+    html = '<link rel="canonical"><link rel="canonical" href="/a"><link rel="canonical" href="?p=2"><meta http-equiv="refresh" content="5"><meta http-equiv="refresh" content="0; url=//y.org/">'
+    pages = spark.createDataFrame([(1, "http://x.org/d/e?q#f", html), (2, "http://z.org", '<link rel="canonical" href="?p">')], "page_id int, url string, html string")
+    got = {(r.src, r.dst) for r in url_filter.page_links(pages).collect()}
+    assert got == {("http://x.org/d/e?q", x) for x in ("http://x.org/a", "http://x.org/d/e?p=2", "http://y.org/")} | {("http://z.org/", "http://z.org/?p")}
+
+
 def test_quality_metrics(spark, odd, empty):
     out = quality.quality_report(odd.select("doc_id", "source", "text", "kept", "n_words")).collect()
     assert len(out) == len(ODD) + 3
