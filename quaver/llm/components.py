@@ -19,17 +19,20 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first())
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node that an edge names; component: the smallest node reachable.
 
     Nodes are of any orderable type. Edges with a null end count for nothing, loops
     name their node only, repeated edges count once; an empty table gives an empty one.
+    The rounds go on until one changes nothing; each but the last moves some node to a
+    smaller one, so they end, and nothing is raised.
     """
     both = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull())
     nodes = both.select(F.col("u").alias("node")).union(both.select("v")).distinct()
     now = materialize(both.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _state(now)
-    for _ in range(max_rounds if state[0] else 0):
+    settled = not state[0]
+    while not settled:
         # large star: every larger neighbour of u goes to the smallest of u and its neighbours
         way = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = way.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -39,10 +42,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
         now = materialize(small.distinct(), "edges")
         before, state = state, _state(now)
-        if state == before:
-            break
-    else:
-        if state[0]:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        settled = state == before
     roots = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

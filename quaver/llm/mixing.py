@@ -6,12 +6,15 @@ A source takes whole epochs of its documents and then, in key order, the documen
 its exact budget; the one that the budget ends in is taken in part.
 
 No task holds a whole source: a range has about ``RANGE_ROWS`` rows however large its
-source is, and only ids, sizes and keys are shuffled, never texts.
+source is, ``RANGE_ROWS`` ranges make a range of the second level, and the prefix sums
+are taken at each level. Only ids, sizes and keys are shuffled, never texts.
 
-Edge cases: null and empty texts have size 0, take nothing, and still get a row. A null
+Edge cases: null and empty texts have size 0, take nothing, and still get a row. A very
+long text is counted whole, and cut only where its source's budget ends. A null
 source is a source of its own, ordered last. Equal rows have equal keys; the prefix sums
 run over them one by one, so what they take together is the same in every run. Sources
-of size 0 have target 0. An empty table gives an empty one.
+of size 0 have target 0. Ids may be of any type. An empty table gives an empty one.
+Extra columns do not matter, whatever they are called.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from .rows import named, numbered, place
 from .workspace import materialize
 
 WEIGHTS = (3, 1, 2)
@@ -55,14 +59,15 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     """``sources`` (source, source_size) with weight and target.
 
     The share of all sizes is dealt by weight; a target above cap times its source's size stops there, and the
-    excess is dealt by weight among the others until none is above. Only two sums reach the driver in each round.
+    excess is dealt by weight among the others until none is above. Each round but the last fills some source for
+    good, so the rounds end, mostly after a few. Only two sums reach the driver in each.
     """
     weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("rank") % len(weights) + 1).cast("int"))
     ranked = materialize(_ranked(sources).withColumn("weight", weight), "ranked")
     most = F.lit(cap) * F.col("source_size")
     budget = share * (ranked.agg(F.sum("source_size")).first()[0] or 0)
     unit = 0.0
-    for _ in range(1000):
+    while True:
         full = most < F.col("weight") * F.lit(unit)
         fixed, rest = ranked.agg(F.sum(F.when(full, most)), F.sum(F.when(~full, F.col("weight")))).first()
         now = (budget - (fixed or 0.0)) / rest if rest else unit
@@ -83,8 +88,13 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     # the range of a key: its place among as many equal parts of the key space as the source needs
     ranges = F.ceil(F.col("docs") / F.lit(float(RANGE_ROWS)))
     rows = rows.withColumn("part", F.floor((F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), 11) / F.lit(float(1 << 53))) * ranges))
-    offsets = rows.groupBy("source", "part").agg(F.sum("size").alias("__sum"))
-    offsets = offsets.withColumn("__before", F.coalesce(F.sum("__sum").over(W.Window.partitionBy("source").orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("source").alias("__o"), F.col("part").alias("__p"), "__before")
+    offsets = rows.groupBy("source", "part").agg(F.sum("size").alias("__sum")).withColumn("__whole", F.floor(F.col("part") / F.lit(RANGE_ROWS)))
+    before = lambda *by: F.coalesce(F.sum("__sum").over(W.Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    wholes = offsets.groupBy("source", "__whole").agg(F.sum("__sum").alias("__sum"))
+    wholes = wholes.select(F.col("source").alias("__ws"), F.col("__whole").alias("__w"), before("source", "__whole").alias("__far"))
+    offsets = offsets.withColumn("__near", before("source", "__whole", "part"))
+    offsets = offsets.join(wholes, F.col("source").eqNullSafe(F.col("__ws")) & (F.col("__whole") == F.col("__w")))
+    offsets = offsets.select(F.col("source").alias("__o"), F.col("part").alias("__p"), (F.col("__far") + F.col("__near")).alias("__before"))
     within = F.sum("size").over(W.Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)) - F.col("size")
     placed = rows.withColumn("__within", within).join(offsets, F.col("source").eqNullSafe(F.col("__o")) & (F.col("part") == F.col("__p")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
@@ -102,10 +112,11 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     planned = materialize(plan(docs, doc_id, text, source, **how), "plan")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     over = planned.withColumn("e", epochs).withColumn("more", F.col("taken") - F.col("e") * F.col("size"))
-    cuts = over.groupBy("source").agg(F.first("e").alias("__epochs"), F.max(F.when(F.lit(2) * F.col("more") >= F.greatest("size", F.lit(1)), F.col("key"))).alias("__cut"))
+    cut = F.max(F.when(F.lit(2) * F.col("more") >= F.greatest("size", F.lit(1)), F.col("key"))).alias("cut")
+    cuts = over.groupBy(F.col("source").alias("of")).agg(F.first("e").alias("epochs"), cut)
     if cuts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         cuts = F.broadcast(cuts)
-    copies = (F.col("__epochs") + F.when(_key(F.col(doc_id), F.col(text)) <= F.col("__cut"), 1).otherwise(0)).cast("int")
-    cuts = cuts.withColumnRenamed("source", "__source")
-    out = docs.join(cuts, F.col(source).eqNullSafe(F.col("__source"))).where(word_count(F.col(text)) > 0).withColumn("__copies", copies).where("__copies > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    own, i, t, s = numbered(docs), place(docs, doc_id), place(docs, text), place(docs, source)
+    copies = (F.col("epochs") + F.when(_key(F.col(i), F.col(t)) <= F.col("cut"), 1).otherwise(0)).cast("int")
+    out = own.join(cuts, F.col(s).eqNullSafe(F.col("of"))).where(word_count(F.col(t)) > 0).withColumn("copies", copies).where("copies > 0")
+    return named(out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs)

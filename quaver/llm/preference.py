@@ -5,57 +5,102 @@ common prefix (same role, same text) is rendered once as the prompt; what follow
 either is its completion, with the spans that a loss may count: the texts of the
 assistant's turns with their end marks.
 
-Turns are compared where they are sorted and gathered by conversation, which is what one
-training example holds; pairs meet by equi joins.
+Turns meet their pairs by an equi join (a conversation in very many pairs is split by
+Spark) and go once to the task that holds their pair; offsets are running sums there.
+What is gathered in one row is one training example.
 
 Edge cases: a null role counts as "unknown", a null text as empty. Turns are ordered by
-number (null first), then role and text; equal turns stay repeated. Rows without a
-conversation id, and pairs of which one side has no turns, give nothing. Where one
-conversation is a prefix of the other, its completion is empty. Empty tables give an
-empty one. Extra columns are not read.
+number (null first), then role and text; equal turns stay repeated. A very long text or
+conversation is rendered whole. Rows without a conversation id, and pairs of which one
+side has no turns, give nothing; a pair given twice counts once. Where one conversation
+is a prefix of the other, its completion is empty. Empty tables give an empty one. Ids
+may be of any type. Extra columns are not read, whatever they are called.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 TRAINED = "assistant"
+#: Tables of at most this many pairs are broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 100_000
 
 
 def render(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(OPEN), t["role"], F.lit(MIDDLE), t["text"], F.lit(CLOSE))), "")
 
 
-def trained_spans(turns: Column) -> Column:
-    """[start, end) of the trained parts, in characters of the rendered turns."""
-    size = lambda t: F.length(t["role"]) + F.length(t["text"]) + len(OPEN + MIDDLE + CLOSE)
-    ends = F.aggregate(turns, F.array().cast("array<int>"), lambda a, t: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + size(t)))
-    spans = F.transform(turns, lambda t, i: F.struct((F.get(ends, i) - F.length(t["text"]) - len(CLOSE)).alias("start"), F.get(ends, i).alias("end"), t["role"].alias("role")))
-    return F.transform(F.filter(spans, lambda s: s["role"] == TRAINED), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-
-
-def conversations_of(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, turns): each conversation's turns in order."""
-    one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("unknown")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return turns.where(F.col(conv_id).isNotNull()).groupBy(F.col(conv_id).alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("turns"))
-
-
-def format_pairs(turns: DataFrame, pairs: DataFrame, chosen: str = "chosen_id", rejected: str = "rejected_id", **names: str) -> DataFrame:
-    """(chosen_id, rejected_id, n_common, prompt, chosen, chosen_spans, rejected, rejected_spans) for each pair of ``pairs``."""
-    convs = conversations_of(turns, **names)
-    met = pairs.select(F.col(chosen).alias("chosen_id"), F.col(rejected).alias("rejected_id"))
-    met = met.join(convs.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("__a")), "chosen_id").join(convs.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("__b")), "rejected_id")
-    same = F.zip_with("__a", "__b", lambda a, b: F.coalesce((a["role"] == b["role"]) & (a["text"] == b["text"]), F.lit(False)))
-    met = met.withColumn("__same", F.array_append(same, F.lit(False))).withColumn("n_common", (F.array_position("__same", F.lit(False)) - 1).cast("int"))
+def trained_spans(turns: Column, before: Column) -> Column:
+    """[start, end) of the trained parts, in characters of the rendered turns, which begin ``before`` characters into their conversation."""
+    own = F.filter(turns, lambda t: t["role"] == TRAINED)
+    return F.transform(own, lambda t: F.struct((t["end"] - F.length(t["text"]) - len(CLOSE) - before).cast("int").alias("start"), (t["end"] - before).cast("int").alias("end")))
+
+
+def _turns(turns: DataFrame, side: Column, conv_id: str, turn: str, role: str, text: str) -> DataFrame:
+    said = (F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("unknown")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return turns.where(F.col(conv_id).isNotNull()).select(F.col(conv_id).alias("conv"), *said, side.alias("only"))
+
+
+def format_pairs(
+    turns: DataFrame,
+    pairs: DataFrame,
+    chosen: str = "chosen_id",
+    rejected: str = "rejected_id",
+    rejected_turns: DataFrame | None = None,
+    conv_id: str = "conv_id",
+    turn: str = "turn",
+    role: str = "role",
+    text: str = "text",
+) -> DataFrame:
+    """(chosen_id, rejected_id, n_common, prompt, chosen, chosen_spans, rejected, rejected_spans) for each pair of ``pairs``.
+
+    ``rejected_turns``: the table of the rejected conversations, if they are not in ``turns``.
+    """
+    names = (conv_id, turn, role, text)
+    if rejected_turns is None:
+        said = _turns(turns, F.lit(None).cast("int"), *names)
+    else:
+        said = _turns(turns, F.lit(0), *names).unionByName(_turns(rejected_turns, F.lit(1), *names))
+    ids = pairs.select(F.col(chosen).alias("chosen_id"), F.col(rejected).alias("rejected_id")).distinct()
+    sides = F.array(F.struct(F.col("chosen_id").alias("id"), F.lit(0).alias("side")), F.struct(F.col("rejected_id").alias("id"), F.lit(1).alias("side")))
+    sides = ids.withColumn("s", F.explode(sides)).select("chosen_id", "rejected_id", "s.id", "s.side")
+    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        sides = F.broadcast(sides)
+    met = said.join(sides, (F.col("conv") == F.col("id")) & F.coalesce(F.col("only") == F.col("side"), F.lit(True)))
+    met = met.repartition("chosen_id", "rejected_id")
+    along = W.Window.partitionBy("chosen_id", "rejected_id", "side").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
+    size = F.length("role") + F.length("text") + len(OPEN + MIDDLE + CLOSE)
+    met = met.withColumn("end", F.sum(size).over(along))
+    one = F.struct("turn", "role", "text", "end")
+    side = lambda i: F.sort_array(F.collect_list(F.when(F.col("side") == i, one)))
+    both = met.groupBy("chosen_id", "rejected_id").agg(side(0).alias("a"), side(1).alias("b")).where((F.size("a") > 0) & (F.size("b") > 0))
+    same = F.zip_with("a", "b", lambda a, b: F.coalesce((a["role"] == b["role"]) & (a["text"] == b["text"]), F.lit(False)))
+    both = both.withColumn("n_common", (F.array_position(F.array_append(same, F.lit(False)), F.lit(False)) - 1).cast("int"))
     tail = lambda c: F.slice(c, F.col("n_common") + 1, F.size(c))
-    met = met.withColumns({"__p": F.slice("__a", F.lit(1), F.col("n_common")), "__c": tail(F.col("__a")), "__r": tail(F.col("__b"))})
-    return met.select("chosen_id", "rejected_id", "n_common", render(F.col("__p")).alias("prompt"), render(F.col("__c")).alias("chosen"), trained_spans(F.col("__c")).alias("chosen_spans"), render(F.col("__r")).alias("rejected"), trained_spans(F.col("__r")).alias("rejected_spans"))
-
-
-def neighbours(turns: DataFrame, conv_id: str = "conv_id") -> DataFrame:
-    """(chosen_id, rejected_id): each conversation of an even id with the one of the next id, where both exist."""
-    ids = turns.select(F.col(conv_id).alias("id")).where("id is not null").distinct()
-    even = ids.where("id % 2 = 0")
-    return even.join(ids.select((F.col("id") - 1).alias("id")), "id", "left_semi").select(F.col("id").alias("chosen_id"), (F.col("id") + 1).alias("rejected_id"))
+    both = both.withColumns({"p": F.slice("a", F.lit(1), F.col("n_common")), "c": tail(F.col("a")), "r": tail(F.col("b"))})
+    shared = F.coalesce(F.get("a", F.col("n_common") - 1)["end"], F.lit(0))
+    return both.select(
+        "chosen_id", "rejected_id", "n_common", render(F.col("p")).alias("prompt"),
+        render(F.col("c")).alias("chosen"), trained_spans(F.col("c"), shared).alias("chosen_spans"),
+        render(F.col("r")).alias("rejected"), trained_spans(F.col("r"), shared).alias("rejected_spans"),
+    )
+
+
+def other_replies(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """Rejected conversations for a table that has none, under the same ids.
+
+    Each conversation up to its last assistant turn, whose text is that of the conversation of the next id (of the
+    smallest, where there is no next one). Conversations without such a turn give none; only one's own ids are read.
+    """
+    said = turns.where(F.col(conv_id).isNotNull()).select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    last = said.where((F.col("role") == TRAINED) & F.col("turn").isNotNull()).groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
+    first = last.agg(F.min(F.struct("conv_id", "last"))).first()[0]
+    own = last.select("conv_id", F.col("last.turn").alias("at"))
+    replies = last.select((F.col("conv_id") - 1).alias("conv_id"), F.struct(F.col("last.text").alias("text")).alias("reply"))
+    fallback = F.struct(F.lit(first["last"]["text"] if first else None).cast("string").alias("text"))
+    reply = own.join(replies, "conv_id", "left").select("conv_id", "at", F.coalesce("reply", fallback)["text"].alias("reply"))
+    swapped = F.when((F.col("turn") == F.col("at")) & (F.col("role") == TRAINED), F.col("reply")).otherwise(F.col("text"))
+    return said.join(reply, "conv_id").where("turn is null or turn <= at").select("conv_id", "turn", "role", swapped.alias("text"))

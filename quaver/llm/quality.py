@@ -4,10 +4,12 @@ Each document is judged by rules on its own text. The failures are then added up
 host, each host's failure rate is shrunk towards the other hosts' with an empirical
 beta prior, and the verdict on the host is joined back to its documents.
 
-Edge cases: a null or empty text has no words and fails the length rule. Documents
+Edge cases: a null or empty text has no words and fails the length rule. A very long
+text is read whole; a task holds a slice of its batch, or that one text. Documents
 without a host get no host verdict. Repeated rows are judged each on its own and all
-count. An empty table gives an empty one. Further columns pass through; an input
-column named like one of the results is replaced by it.
+count; a rate that equals the limit rejects. An empty table gives an empty one. Further
+columns pass through whatever they are called; in a report, an input column named like
+one of the results is replaced by it.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import _WS, slices, text_bytes, words_of
+from .rows import named, numbered, place
 from .workspace import materialize
 
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -107,20 +110,35 @@ def rule_failed() -> F.Column:
     return base_failed() | (F.lit(3) * (F.col("n_symbols") + F.col("n_dup_lines")) > F.col("n_words"))
 
 
-def host_verdicts(metrics: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """(host, host_docs, host_failed, host_rate, host_rejected): failures by host, shrunk with an empirical beta prior.
+def prior(hosts: DataFrame) -> tuple[float, float]:
+    """Mean and strength of the beta prior of (host_docs, host_failed), by the moments of the beta-binomial.
 
-    The prior's mean is the overall failure rate and its strength follows from the spread
-    of the hosts' rates about it (method of moments, weighted by documents), within
-    ``PRIOR_STRENGTH``. One row per host that is not null.
+    The mean is the overall failure rate p. A host of n documents has a rate of variance
+    p (1 - p) (1 + (n - 1) r) / n with r = 1 / (1 + strength): the part that does not
+    depend on r is chance within the host and says nothing about the hosts, so it is
+    subtracted. Hosts of one document are all chance and count for the mean only. The
+    strength stays within ``PRIOR_STRENGTH``; without any spread beyond chance it is the
+    larger bound. Six sums reach the driver.
     """
-    hosts = metrics.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("host_docs"), F.sum(rule_failed().cast("long")).alias("host_failed"))
-    hosts = materialize(hosts, "hosts")
-    n, k = hosts.agg(F.sum("host_docs"), F.sum("host_failed")).first()
-    mean = k / n if n else 0.0
-    spread = hosts.agg(F.sum(F.col("host_docs") * F.pow(F.col("host_failed") / F.col("host_docs") - F.lit(mean), F.lit(2.0)))).first()[0]
+    n, k, several = F.col("host_docs").cast("double"), F.col("host_failed").cast("double"), F.col("host_docs") > 1
+    sums = (F.sum(n), F.sum(k), *(F.sum(F.when(several, x)) for x in (F.lit(1.0), n, n * n, k, k * k / n)))
+    total, failed, hosts_, docs, squares, bad, rates = (x or 0.0 for x in hosts.agg(*sums).first())
     low, high = PRIOR_STRENGTH
-    strength = min(max(mean * (1 - mean) / (spread / n) - 1, low), high) if n and spread else high
+    mean = failed / total if total else 0.0
+    spread = rates - 2 * mean * bad + mean * mean * docs
+    chance, slope = hosts_ - docs / max(total, 1.0), docs - hosts_ - (squares - docs) / max(total, 1.0)
+    if not 0 < mean < 1 or slope <= 0:
+        return mean, high
+    likeness = (spread / (mean * (1 - mean)) - chance) / slope
+    return mean, min(max(1 / likeness - 1, low), high) if likeness > 0 else high
+
+
+def host_verdicts(metrics: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+    """(host, host_docs, host_failed, host_rate, host_rejected): failures by host, shrunk with ``prior``. One row per host that is not null."""
+    failures = F.sum(rule_failed().cast("long")).alias("host_failed")
+    hosts = metrics.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("host_docs"), failures)
+    hosts = materialize(hosts, "hosts")
+    mean, strength = prior(hosts)
     rate = (F.col("host_failed") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))
     return hosts.withColumn("host_rate", rate).withColumn("host_rejected", F.col("host_rate") >= F.lit(limit))
 
@@ -130,15 +148,18 @@ def judge(metrics: DataFrame, verdicts: DataFrame, host: str = "source") -> Data
     small = verdicts.select(F.col("host").alias("__host"), "host_rate", "host_rejected")
     if verdicts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         small = F.broadcast(small)
-    metrics = metrics.select(*(c for c in metrics.columns if c not in ("base_failed", "host_rate", "host_rejected", "kept")))
     failed = base_failed()
-    return metrics.join(small, F.col(host) == F.col("__host"), "left").withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.coalesce("host_rejected", F.lit(False))).drop("__host", "host_rejected")
+    judged = metrics.join(small, F.col(host) == F.col("__host"), "left").withColumn("base_failed", failed)
+    return judged.withColumn("kept", ~failed & ~F.coalesce("host_rejected", F.lit(False))).drop("__host", "host_rejected")
 
 
 def quality_report(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """Every row of ``docs``, without its text, with metrics, base_failed, host_rate and kept."""
-    metrics = materialize(text_metrics(docs, text).drop(text), "metrics")
-    return judge(metrics, host_verdicts(metrics, host), host)
+    t, results = place(docs, text), (*METRICS, "base_failed", "host_rate", "kept")
+    metrics = materialize(text_metrics(numbered(docs), t).drop(t), "metrics")
+    h = place(docs, host)
+    judged = judge(metrics, host_verdicts(metrics, h), h)
+    return judged.select(*(F.col(place(docs, c)).alias(c) for c in docs.columns if c != text and c not in results), *results)
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
@@ -146,7 +167,6 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> Data
 
     The texts are judged twice, once for the hosts and once on the way through: no text is shuffled or stored.
     """
-    verdicts = host_verdicts(text_metrics(docs.select(host, text), text).drop(text), host)
-    hidden = {c: f"__{c}" for c in ("base_failed", "host_rate", "host_rejected", "kept", *METRICS) if c in docs.columns}
-    judged = judge(text_metrics(docs.withColumnsRenamed(hidden), text), verdicts, host)
-    return judged.where("kept").select(*(F.col(hidden.get(c, c)).alias(c) for c in docs.columns))
+    own, t, h = numbered(docs), place(docs, text), place(docs, host)
+    verdicts = host_verdicts(text_metrics(own.select(h, t), t).drop(t), h)
+    return named(judge(text_metrics(own, t), verdicts, h).where("kept"), docs)

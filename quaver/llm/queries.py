@@ -46,8 +46,11 @@ def _spans(c: str) -> Column:
 
 
 def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation against itself with another's last reply, so that every pair has a prompt."""
     turns = table(spark, sf_dir, "conversations")
-    found = preference.format_pairs(turns, preference.neighbours(turns))
+    rejected = preference.other_replies(turns)
+    pairs = rejected.select(F.col("conv_id").alias("chosen_id"), F.col("conv_id").alias("rejected_id")).distinct()
+    found = preference.format_pairs(turns, pairs, rejected_turns=rejected)
     return found.select("chosen_id", "rejected_id", "n_common", "prompt", "chosen", _spans("chosen_spans"), "rejected", _spans("rejected_spans"))
 
 

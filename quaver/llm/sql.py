@@ -22,8 +22,13 @@ FROM r LEFT JOIN names ON names.x = r.url LEFT JOIN comp ON comp.n = names.node
 """
 
 OP6 = r"""
-WITH t AS (SELECT conv_id, list(struct_pack(turn := turn, role := coalesce(role, 'unknown'), text := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS x FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
-p AS (SELECT a.conv_id AS chosen_id, b.conv_id AS rejected_id, a.x AS a, b.x AS b FROM t a JOIN t b ON b.conv_id = a.conv_id + 1 WHERE a.conv_id % 2 = 0),
+WITH s0 AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, max(turn) AS last_turn, max_by(text, struct_pack(turn := turn, text := text)) AS reply FROM s0 WHERE role = 'assistant' AND turn IS NOT NULL GROUP BY conv_id),
+o AS (SELECT l.conv_id, l.last_turn, CASE WHEN k.conv_id IS NULL THEN (SELECT reply FROM l ORDER BY conv_id LIMIT 1) ELSE k.reply END AS reply FROM l LEFT JOIN l k ON k.conv_id = l.conv_id + 1),
+s1 AS (SELECT conv_id, turn, role, CASE WHEN turn = last_turn AND role = 'assistant' THEN reply ELSE text END AS text FROM s0 JOIN o USING (conv_id) WHERE turn IS NULL OR turn <= last_turn),
+ta AS (SELECT conv_id, list(struct_pack(turn := turn, role := role, text := text) ORDER BY turn NULLS FIRST, role, text) AS x FROM s0 GROUP BY conv_id),
+tb AS (SELECT conv_id, list(struct_pack(turn := turn, role := role, text := text) ORDER BY turn NULLS FIRST, role, text) AS x FROM s1 GROUP BY conv_id),
+p AS (SELECT ta.conv_id AS chosen_id, tb.conv_id AS rejected_id, ta.x AS a, tb.x AS b FROM ta JOIN tb USING (conv_id)),
 n AS (SELECT *, list_position(list_append(list_transform(range(1, greatest(len(a), len(b)) + 1), lambda i: coalesce(a[i].role = b[i].role AND a[i].text = b[i].text, false)), false), false) - 1 AS k FROM p),
 s AS (SELECT *, a[1 : k] AS pre, a[k + 1 :] AS c, b[k + 1 :] AS r FROM n),
 m AS (SELECT *, list_transform(pre, lambda z: '<|' || z.role || '|>' || chr(10) || z.text || '<|end|>' || chr(10)) AS ps, list_transform(c, lambda z: '<|' || z.role || '|>' || chr(10) || z.text || '<|end|>' || chr(10)) AS cs, list_transform(r, lambda z: '<|' || z.role || '|>' || chr(10) || z.text || '<|end|>' || chr(10)) AS rs FROM s)
@@ -46,8 +51,9 @@ m AS (SELECT doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(l
 b AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM m),
 h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN base_failed OR 3 * (n_symbols + n_dup_lines) > n_words THEN 1 ELSE 0 END) AS DOUBLE) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
 a AS (SELECT sum(f) / sum(n) AS mean, sum(n) AS total FROM h),
-s AS (SELECT any_value(mean) AS mean, any_value(total) AS total, sum(n * pow(f / n - mean, 2)) AS spread FROM h, a),
-p AS (SELECT mean, CASE WHEN spread = 0 THEN 1000 ELSE least(greatest(mean * (1 - mean) / (spread / total) - 1, 1), 1000) END AS k FROM s),
+s AS (SELECT any_value(mean) AS mean, sum(n * pow(f / n - mean, 2)) FILTER (n > 1) AS spread, sum(1 - n / total) FILTER (n > 1) AS chance, sum((1 - n / total) * (n - 1)) FILTER (n > 1) AS slope FROM h, a),
+r AS (SELECT mean, CASE WHEN mean > 0 AND mean < 1 AND slope > 0 THEN (spread / (mean * (1 - mean)) - chance) / slope END AS likeness FROM s),
+p AS (SELECT mean, CASE WHEN likeness > 0 THEN least(greatest(1 / likeness - 1, 1), 1000) ELSE 1000 END AS k FROM r),
 v AS (SELECT source, (f + mean * k) / (n + k) AS rate FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND NOT coalesce(rate >= 0.5, false)) AS kept, round(rate, 6) AS host_rate
 FROM b LEFT JOIN v USING (source)
@@ -82,8 +88,9 @@ def _uuid(x: str) -> str:
 
 _STRIPPED = r"""regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)', ' ', 'g'),
   '(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|main|aside|nav|header|footer|title|head|body|blockquote|pre|form)\b[^>]*>', chr(10), 'g'), '<[^<>]*>', '', 'g')"""
-_CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '[ \t\r\f\x0B]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"""
-_TITLE = r"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'))"
+_ENTITIES = r"""replace(replace(replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&')""".format
+_CLEAN = rf"""regexp_replace(regexp_replace(regexp_replace({_ENTITIES("t")}, '[ \t\r\f\x0B]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"""
+_TITLE = rf"""trim(regexp_replace({_ENTITIES("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '\s+', ' ', 'g'))"""
 _LANG = r"""lower(regexp_extract(html, '(?i)<html\b[^>]*\blang\s*=\s*["'']?([A-Za-z-]+)', 1))"""
 _LINKS = r"len(regexp_extract_all(html, '(?i)<a\b[^>]*\bhref'))"
 _NL = "chr(13) || chr(10)"

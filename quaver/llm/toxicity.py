@@ -2,15 +2,19 @@
 
 Features of a text are its distinct words, word pairs and pairs with one word between,
 hashed into ``BUCKETS`` coordinates. Training is one sequential pass repeated ``EPOCHS``
-times over at most ``MAX_TRAIN`` labelled texts (those whose ids hash lowest), in one
-task whose size that bound fixes; every coordinate has its own rate, and L1 keeps most
-weights at exactly 0. The weights that are left, ``BUCKETS`` at most, are broadcast, and
+times over labelled texts in the order of their ids' hashes, at most ``MAX_TRAIN`` of
+them and at most ``MAX_FEATURES`` features in all, in one task that these two bounds fix
+(four bytes a feature); every coordinate has its own rate, and L1 keeps most weights at
+exactly 0. The weights that are left, ``BUCKETS`` at most, are broadcast, and
 all texts are scored where they are, without a shuffle.
 
 Only the text decides a score. Edge cases: null and empty texts get the score of no
 features. Labels that are null, or whose document is missing, teach nothing; a document
-with several labels is learnt once for each. Without any label every score is 0.5.
-Rows without an id are scored and not held out. Extra columns are not read.
+with several labels is learnt once for each; ids whose hashes tie come in the order of
+label and features. Without any label every score is 0.5. A very long text is scored
+whole. Repeated rows each get the same score. Rows without an id are scored and not held
+out. Ids may be of any type. An empty table gives an empty one. Extra columns are not
+read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from .workspace import materialize
 BITS = 18
 BUCKETS = 1 << BITS
 MAX_TRAIN = 16_384
+MAX_FEATURES = 1 << 25
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.6, 1.0, 10.0, 1.0
 BREAKS = b".,;:!?\"'()[]|"
@@ -73,8 +78,15 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["turn", "y", "at"])
 
 
-def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [(np.frombuffer(a, "<i4").astype(np.int64), y) for b in batches for y, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+def _train(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    rows, size = [], 0
+    for batch in batches:
+        for y, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            size += len(raw) // 4
+            if size <= most:
+                rows.append((np.frombuffer(raw, "<i4"), y))
+        if size > most:
+            break
     model = Ftrl()
     for _ in range(EPOCHS if rows else 0):
         for at, y in rows:
@@ -84,7 +96,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(w[some])], names=["at", "w"])
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_train: int = MAX_TRAIN) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> np.ndarray:
     """The weights of a model of ``labels`` (doc_id, label 0 or 1) on the texts of ``docs``."""
     turn = F.xxhash64(F.lit(5), F.col(doc_id))
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull())
@@ -93,7 +105,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows = texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("turn", "y", "text")  # max_train rows are broadcast
     rows = materialize(rows.mapInArrow(_featurise, "turn long, y double, at binary"), "features")
     weights = np.zeros(BUCKETS)
-    for at, w in rows.repartition(1).sortWithinPartitions("turn", "y", "at").mapInArrow(_train, "at long, w double").collect():  # BUCKETS rows at most
+    learnt = rows.repartition(1).sortWithinPartitions("turn", "y", "at").mapInArrow(lambda b: _train(b, max_features), "at long, w double")
+    for at, w in learnt.collect():  # BUCKETS rows at most
         weights[at] = w
     return weights
 
@@ -113,5 +126,5 @@ def held_out(doc_id: Column) -> Column:
 def score(docs: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, held_out, score) for every row."""
     sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
-    return rows.mapInArrow(lambda b: _score(b, sent.value.astype(np.float64)), "id long, held_out boolean, score double")
+    rows = docs.select(F.col(doc_id).alias("id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
+    return rows.mapInArrow(lambda b: _score(b, sent.value.astype(np.float64)), f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, score double")

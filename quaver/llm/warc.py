@@ -2,16 +2,19 @@
 
 Every response gives two records that refer to it. The metadata record lists the
 response's source headers and what is found in the page (title, language, and how many
-links it has, not their targets); the conversion record holds the page's plain text. Both keep the response's record id
-(WARC-Refers-To), its target URI, its date and its payload digest; each has an id and
-a block digest of its own. Ids are derived from contents, so a second run gives the
-same records.
+links it has, not their targets); the conversion record holds the page's plain text.
+Both keep the response's own record id (WARC-Refers-To), target URI, date, headers and
+payload digest as they are in the input; each has an id and a block digest of its own.
+A response that comes without an id or a digest gets one derived from its contents, as
+the new records do, so a second run gives the same records.
 
 Rows are converted where they are: no shuffle, and no task holds more than its rows.
 
 Edge cases: a null or empty page gives a conversion record with an empty block; a null
-URL leaves the target out. Repeated rows give repeated records with equal ids. An empty
-table gives an empty one. Extra columns are not read.
+URL leaves the target out; a null or empty id, digest or header block counts as not
+given. A very long page is converted whole. Repeated rows give repeated records with
+equal ids. An empty table gives an empty one. Extra columns are not read, whatever they
+are called.
 """
 
 from __future__ import annotations
@@ -42,14 +45,18 @@ def record_id(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), cut(1, 8), F.lit("-"), cut(9, 4), F.lit("-"), cut(13, 4), F.lit("-"), cut(17, 4), F.lit("-"), cut(21, 12), F.lit(">"))
 
 
+def entities(t: Column) -> Column:
+    """The text with the characters that its common entities name."""
+    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("amp", "&")):
+        t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
+    return t
+
+
 def plain_text(html: Column) -> Column:
     """The text of a page: no scripts, styles, comments or tags; a line for each block."""
     t = F.regexp_replace(html, _HIDDEN, " ")
     t = F.regexp_replace(t, _BLOCK, "\n")
-    t = F.regexp_replace(t, r"<[^<>]*>", "")
-    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("amp", "&")):
-        t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
-    t = F.regexp_replace(t, r"[ \t\r\f\x0B]+", " ")
+    t = F.regexp_replace(entities(F.regexp_replace(t, r"<[^<>]*>", "")), r"[ \t\r\f\x0B]+", " ")
     return F.regexp_replace(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
@@ -58,27 +65,46 @@ def _fields(*pairs: tuple[str, Column]) -> Column:
     return F.concat(*(F.coalesce(F.concat(F.lit(f"{k}: "), v, F.lit("\r\n")), F.lit("")) for k, v in pairs))
 
 
-def _flat(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+def derive(
+    pages: DataFrame,
+    page_id: str = "page_id",
+    url: str = "url",
+    html: str = "html",
+    headers: str | None = None,
+    date: Column | None = None,
+    record: str | None = None,
+    payload: str | None = None,
+) -> DataFrame:
+    """Two rows for each response.
 
+    (page_id, record_type, record_id, refers_to, target_uri, date, source_headers, payload_digest, block_digest, content_type, content_length, block)
 
-def derive(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", headers: str | None = None, date: Column | None = None) -> DataFrame:
-    """Two rows for each response: (page_id, record_type, record_id, refers_to, target_uri, date, source_headers, payload_digest, block_digest, content_type, content_length, block)."""
+    ``headers``, ``record`` and ``payload`` name the columns of the response's header block, record id and payload digest.
+    """
     page = F.coalesce(F.col(html), F.lit(""))
-    source = F.col(headers) if headers else F.concat(F.lit("Content-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(page).cast("string"))
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("target_uri"), (date if date is not None else F.lit(DATE)).alias("date"), source.alias("source_headers"), page.alias("__html"), digest(page).alias("payload_digest"))
-    rows = rows.withColumn("refers_to", record_id(F.lit("response"), F.col("page_id"), F.col("target_uri"), F.col("payload_digest")))
+    some = lambda c: F.when(c != "", c)
+    given = lambda name, own: F.coalesce(some(F.col(name)), own) if name else own
+    plain = F.concat(F.lit("Content-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(page).cast("string"))
+    rows = pages.select(
+        F.col(page_id).alias("page_id"), F.col(url).alias("target_uri"), (date if date is not None else F.lit(DATE)).alias("date"),
+        given(headers, plain).alias("source_headers"), page.alias("__html"), given(payload, digest(page)).alias("payload_digest"),
+        (F.col(record) if record else F.lit(None).cast("string")).alias("__id"),
+    )
+    rows = rows.withColumn("refers_to", given("__id", record_id(F.lit("response"), F.col("page_id"), F.col("target_uri"), F.col("payload_digest"))))
     rows = rows.withColumn("__text", plain_text(F.col("__html")))
-    title = _flat(F.regexp_extract("__html", r"(?is)<title[^>]*>(.*?)</title>", 1))
+    title = F.trim(F.regexp_replace(entities(F.regexp_extract("__html", r"(?is)<title[^>]*>(.*?)</title>", 1)), r"\s+", " "))
     lang = F.lower(F.regexp_extract("__html", r"""(?i)<html\b[^>]*\blang\s*=\s*["']?([A-Za-z-]+)""", 1))
     links = F.regexp_count("__html", F.lit(r"(?i)<a\b[^>]*\bhref")).cast("string")
-    some = lambda c: F.when(c != "", c)
-    about = F.concat(_fields(("title", some(title)), ("language", some(lang)), ("outlinks", links), ("text-length", F.octet_length("__text").cast("string"))), F.coalesce(F.concat(F.regexp_replace("source_headers", r"(?m)^(?=[^\r\n])", "http-header-"), F.lit("\r\n")), F.lit("")))
-    both = F.array(F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), about.alias("block")), F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("__text").alias("block")))
-    rows = rows.select("page_id", "target_uri", "date", "source_headers", "payload_digest", "refers_to", F.explode(both).alias("r"))
-    rows = rows.select("page_id", "target_uri", "date", "source_headers", "payload_digest", "refers_to", "r.record_type", "r.content_type", "r.block")
-    rows = rows.withColumn("block_digest", digest(F.col("block")))
-    return rows.select("page_id", "record_type", record_id(F.col("record_type"), F.col("refers_to"), F.col("block_digest")).alias("record_id"), "refers_to", "target_uri", "date", "source_headers", "payload_digest", "block_digest", "content_type", F.octet_length("block").alias("content_length"), "block")
+    found = _fields(("title", some(title)), ("language", some(lang)), ("outlinks", links), ("text-length", F.octet_length("__text").cast("string")))
+    about = F.concat(found, F.regexp_replace("source_headers", r"(?m)^(?=[^\r\n])", "http-header-"), F.lit("\r\n"))
+    one = lambda kind, content, block: F.struct(F.lit(kind).alias("record_type"), F.lit(content).alias("content_type"), block.alias("block"))
+    both = F.array(one("metadata", "application/warc-fields", about), one("conversion", "text/plain; charset=utf-8", F.col("__text")))
+    kept = ("page_id", "target_uri", "date", "source_headers", "payload_digest", "refers_to")
+    rows = rows.select(*kept, F.explode(both).alias("r")).select(*kept, "r.*").withColumn("block_digest", digest(F.col("block")))
+    rows = rows.withColumn("record_id", record_id(F.col("record_type"), F.col("refers_to"), F.col("block_digest"))).withColumn("content_length", F.octet_length("block"))
+    return rows.select(
+        "page_id", "record_type", "record_id", "refers_to", "target_uri", "date", "source_headers", "payload_digest", "block_digest", "content_type", "content_length", "block"
+    )
 
 
 def record_text() -> Column:

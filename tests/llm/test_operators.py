@@ -6,10 +6,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quaver.llm import components, decontaminate, katz, mixing, near_dedup, pii, preference, quality, toxicity, url_filter, warc, workspace
+from quaver.llm import components, decontaminate, katz, kernels, mixing, near_dedup, pii, preference, quality, toxicity, url_filter, warc, workspace
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -139,6 +140,51 @@ def test_host_verdict(spark):
     assert kept == set(range(34, 70))  # good texts of the junk host go, the fine host loses its bad one only
 
 
+def test_one_document_hosts(spark):
+    """A long tail of hosts of one document, a tenth of them bad: no rate says anything, so none is rejected for it."""
+    tail = [(f"h{i}", 1, int(i % 10 == 0)) for i in range(1000)]
+    mean, strength = quality.prior(spark.createDataFrame(tail, "host string, host_docs bigint, host_failed bigint"))
+    assert mean == 0.1 and strength == quality.PRIOR_STRENGTH[1] and (1 + mean * strength) / (1 + strength) < 0.15
+    # two kinds of hosts, drawn from a beta of strength 3 (mean 1/2): the moments find it, with and without the tail
+    rng = random.Random(22)
+    hosts = [(f"k{i}", 40, sum(rng.random() < p for _ in range(40))) for i in range(3000) for p in [rng.betavariate(1.5, 1.5)]]
+    for more in ([], [(f"t{i}", 1, i % 2) for i in range(500)]):
+        mean, strength = quality.prior(spark.createDataFrame(hosts + more, "host string, host_docs bigint, host_failed bigint"))
+        assert abs(mean - 0.5) < 0.02 and abs(strength - 3) < 0.3
+    # one bad document does not condemn the host of a clean population
+    clean = [(f"c{i}", 10, 0) for i in range(300)] + [("one", 1, 1), ("ten", 10, 1)]
+    mean, strength = quality.prior(spark.createDataFrame(clean, "host string, host_docs bigint, host_failed bigint"))
+    assert (1 + mean * strength) / (1 + strength) < quality.HOST_LIMIT and quality.prior(spark.createDataFrame([], "host string, host_docs bigint, host_failed bigint")) == (0.0, 1000.0)
+
+
+CLASHING = ("c0", "c1", "kept", "__kept", "__gone", "__source", "gone", "of", "cut", "copies", "row", "__d")
+
+
+def test_clashing_columns(spark):
+    """The pipeline's operators with columns that are called like working columns."""
+    rng = random.Random(23)
+    df = frame(spark, [prose(rng, 40, 10**6) for _ in range(12)] + ["bad"]).withColumns({c: F.lit("own") for c in CLASHING})
+    bench = spark.createDataFrame([(0, prose(rng, 30, 10**6))], "item_id bigint, text string")
+    for out in (quality.keep_good(df), near_dedup.drop_near_duplicates(df), decontaminate.drop_contaminated(df, bench), mixing.mixed(df), pii.replace_pii(df, "k")):
+        assert out.columns == df.columns
+        rows = out.collect()
+        assert rows and all(r[c] == "own" for r in rows for c in CLASHING)
+
+
+def test_text_ids(spark):
+    """Ids that are no numbers."""
+    rng = random.Random(24)
+    texts = [prose(rng, 40, 10**6) for _ in range(8)]
+    df = frame(spark, [*texts, texts[0]]).withColumn("doc_id", F.concat(F.lit("id-"), F.col("doc_id").cast("string")))
+    near = {r.id: r.component for r in near_dedup.near_duplicates(df).collect()}
+    assert near["id-8"] == "id-0" and near["id-1"] == "id-1" and near_dedup.drop_near_duplicates(df).count() == 8
+    assert {r.id for r in katz.score(df).collect()} == set(near) and {r.doc_id for r in mixing.plan(df).collect()} == set(near)
+    labels = df.select("doc_id", F.lit(1).alias("toxic"))
+    assert {r.id for r in toxicity.score(df, toxicity.train(df, labels)).collect()} == set(near)
+    bench = spark.createDataFrame([("item", texts[1])], "item_id string, text string")
+    assert [tuple(r) for r in decontaminate.contaminated(df, bench).select("doc_id", "item_id").collect()] == [("id-1", "item")]
+
+
 # 3
 
 
@@ -282,6 +328,62 @@ def test_toxicity(spark, odd, empty):
     assert not toxicity.train(docs, known.limit(0)).any()
 
 
+def test_ftrl_by_brute_force(spark):
+    """Weights and scores of a plain sequential model over dictionaries, on features made from strings."""
+    rng = random.Random(66)
+    mask = (1 << 64) - 1
+    hashes = {}
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    def word(w):
+        if w not in hashes:
+            hashes[w] = int(kernels.words_of(pa.array([w])).hashes[0])
+        return hashes[w]
+
+    def features(text):
+        h = [word(w) for w in re.findall(r"[^\x20\x09-\x0D.,:;!?\"'()\[\]|]+", text.lower())]
+        found = [*h, *(mix((a * 3 + b) & mask) for a, b in zip(h, h[1:], strict=False)), *(mix((a * 5 + b + 1) & mask) for a, b in zip(h, h[2:], strict=False))]
+        return sorted({toxicity.BIAS} | {x >> (64 - toxicity.BITS) for x in found})
+
+    texts = [prose(rng, rng.randint(1, 40)) + rng.choice((" idiot.", "", " fine!")) for _ in range(120)]
+    labels = [(i, int("idiot" in t)) for i, t in enumerate(texts)]
+    docs, known = frame(spark, texts), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    order = [r.doc_id for r in known.orderBy(F.xxhash64(F.lit(5), "doc_id")).collect()]
+
+    def learn(ids):
+        z, n = defaultdict(float), defaultdict(float)
+
+        def weight(i):
+            return 0.0 if abs(z[i]) <= toxicity.L1 else -(z[i] - math.copysign(toxicity.L1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+        for _ in range(toxicity.EPOCHS):
+            for i in ids:
+                at = features(texts[i])
+                w = [weight(x) for x in at]
+                g = 1 / (1 + math.exp(-sum(w))) - labels[i][1]
+                for x, own in zip(at, w, strict=True):
+                    z[x] += g - (math.sqrt(n[x] + g * g) - math.sqrt(n[x])) / toxicity.ALPHA * own
+                    n[x] += g * g
+        return {x: weight(x) for x in z}
+
+    want = learn(order)
+    got = toxicity.train(docs, known)
+    assert all(abs(got[x] - w) < 1e-9 for x, w in want.items()) and set(got.nonzero()[0]) == {x for x, w in want.items() if w}
+    for r in toxicity.score(docs, got).collect():
+        total = sum(want.get(x, 0.0) for x in features(texts[r.id]))
+        assert abs(r.score - 1 / (1 + math.exp(-total))) < 1e-6
+    # the bounds of the sample: whole texts in the order of their hashes
+    sizes = [len(features(texts[i])) for i in order]
+    few = learn(order[:40])
+    for bound in ({"max_train": 40}, {"max_features": sum(sizes[:41]) - 1}):
+        some = toxicity.train(docs, known, **bound)
+        assert all(abs(some[x] - w) < 1e-9 for x, w in few.items())
+
+
 # 6
 
 
@@ -291,17 +393,32 @@ def test_preference(spark):
         (1, 0, "user", "hi"), (1, 1, "assistant", "a"), (1, 2, "user", "B"),
         (2, 0, "user", "q"), (3, 0, "user", "q"), (3, 1, "assistant", None),
         (4, 0, None, "x"), (4, 0, None, "x"), (5, None, "user", "y"), (6, 0, "user", "alone"), (None, 0, "user", "lost"),
+        (7, 1, "assistant", "long " * 9000), (7, 0, "user", ""), (8, 0, "user", ""), (8, 1, "assistant", "short"),
     ]
-    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").withColumn("turns", F.lit(0))
-    out = {r.chosen_id: r for r in preference.format_pairs(df, preference.neighbours(df)).collect()}
-    assert set(out) == {0, 2, 4}
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").withColumns({"turns": F.lit(0), "end": F.lit("x"), "side": F.lit("x"), "conv": F.lit("x")})
+    pairs = spark.createDataFrame([(0, 1), (2, 3), (4, 5), (6, 99), (7, 8), (0, 1), (None, 1)], "chosen_id bigint, rejected_id bigint")
+    out = {r.chosen_id: r for r in preference.format_pairs(df, pairs).collect()}
+    assert set(out) == {0, 2, 4, 7}
     r = out[0]
     assert (r.n_common, r.prompt) == (2, "<|user|>\nhi<|end|>\n<|assistant|>\na<|end|>\n")
     assert [r.chosen[s.start : s.end] for s in r.chosen_spans] == ["cé<|end|>\n"] and r.rejected_spans == []
     assert r.prompt + r.chosen == "".join(f"<|{c}|>\n{t}<|end|>\n" for _, _, c, t in turns[:4])
     assert out[2].chosen == "" and out[2].rejected == "<|assistant|>\n<|end|>\n" and [tuple(s) for s in out[2].rejected_spans] == [(14, 22)]
     assert out[4].n_common == 0 and out[4].chosen.count("<|unknown|>") == 2
-    assert preference.format_pairs(df.limit(0), preference.neighbours(df)).count() == 0
+    assert out[7].n_common == 1 and len(out[7].chosen) > 45000 and [out[7].rejected[s.start : s.end] for s in out[7].rejected_spans] == ["short<|end|>\n"]
+    assert preference.format_pairs(df.limit(0), pairs).count() == 0 and preference.format_pairs(df, pairs.limit(0)).count() == 0
+
+
+def test_other_replies(spark):
+    turns = [(1, 0, "user", "p"), (1, 1, "assistant", "one"), (1, 2, "user", "bye"), (2, 0, "user", "q"), (2, 1, "assistant", "old"), (2, 2, "assistant", "two"), (5, 0, "user", "no reply"), (6, 0, "assistant", None)]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    rejected = preference.other_replies(df)
+    made = sorted(tuple(r) for r in rejected.collect())
+    assert made == [(1, 0, "user", "p"), (1, 1, "assistant", "two"), (2, 0, "user", "q"), (2, 1, "assistant", "old"), (2, 2, "assistant", "one"), (6, 0, "assistant", "one")]
+    pairs = rejected.select(F.col("conv_id").alias("chosen_id"), F.col("conv_id").alias("rejected_id")).distinct()
+    out = {r.chosen_id: r for r in preference.format_pairs(df, pairs, rejected_turns=rejected).collect()}
+    assert {i: r.n_common for i, r in out.items()} == {1: 1, 2: 2, 6: 0} and out[2].chosen.count("two") == 1 and out[2].rejected.count("one") == 1
+    assert preference.other_replies(df.limit(0)).count() == 0
 
 
 # 7
@@ -438,12 +555,28 @@ def test_warc(spark):
         assert r.block_digest == "sha1:" + base64.b32encode(hashlib.sha1(block.encode()).digest()).decode()
     text = {(r.page_id, r.record_type): r for r in rows}
     assert text[0, "conversion"].block == "A & b\nUn é<1\nlien\nfin"
-    assert text[0, "metadata"].block == "title: A &amp; b\r\nlanguage: fr\r\noutlinks: 1\r\ntext-length: 22\r\nhttp-header-Server: x\r\nhttp-header-Content-Type: text/html\r\n"
+    assert text[0, "metadata"].block == "title: A & b\r\nlanguage: fr\r\noutlinks: 1\r\ntext-length: 22\r\nhttp-header-Server: x\r\nhttp-header-Content-Type: text/html\r\n"
     assert text[0, "metadata"].refers_to == text[0, "conversion"].refers_to and text[0, "metadata"].payload_digest == "sha1:" + base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
     assert text[1, "conversion"].block == "" and len({r.record_id for r in rows}) == 8
     assert warc.derive(df.limit(0)).count() == 0
 
 
+def test_warc_identifiers(spark):
+    """Ids, digests and headers of the input stay; only what is missing is derived."""
+    own = "<urn:uuid:11111111-2222-3333-4444-555555555555>"
+    pages = [(0, "http://a/", "x", own, "sha1:GIVEN", "Server: a"), (1, "http://a/", "x", None, None, None), (2, "http://a/", "x", "", "", ""), (3, "http://b/", "<p>" + "y " * 100_000, own[:-2] + "6>", None, "Server: b")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string, rid string, pd string, h string").withColumns({"__id": F.lit("x"), "record_id": F.lit("x"), "payload_digest": F.lit("x"), "block": F.lit("x")})
+    out = {(r.page_id, r.record_type): r for r in warc.derive(df, headers="h", record="rid", payload="pd").withColumn("record", warc.record_text()).collect()}
+    plain = {(r.page_id, r.record_type): r for r in warc.derive(df).collect()}
+    for kind in ("metadata", "conversion"):
+        assert out[0, kind].refers_to == own and out[0, kind].payload_digest == "sha1:GIVEN" and out[0, kind].source_headers == "Server: a"
+        for i in (1, 2):
+            assert (out[i, kind].refers_to, out[i, kind].payload_digest, out[i, kind].source_headers) == (plain[i, kind].refers_to, plain[i, kind].payload_digest, plain[i, kind].source_headers)
+        ((fields, _),) = parse_warc(out[0, kind].record)
+        assert fields["WARC-Refers-To"] == own and fields["WARC-Refers-To-Payload-Digest"] == "sha1:GIVEN"
+    assert out[1, "metadata"].refers_to.startswith("<urn:uuid:") and out[3, "conversion"].content_length == 199_999 and len({r.record_id for r in out.values()}) == 8
+
+
 # 10
 
 
