@@ -64,9 +64,10 @@ OP3 = r"""
 WITH d AS (SELECT DISTINCT doc_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM benchmark WHERE text IS NOT NULL),
 ig AS (SELECT len(ws) AS l, greatest(len(ws) - 4, 1) AS n, item_id, ws FROM i WHERE len(ws) > 0),
-im AS (SELECT DISTINCT l, o, array_to_string(ws[o : o + least(l, 5) - 1], ' ') AS g, least(l, 5) AS z FROM (SELECT l, ws, unnest(range(1, n + 1)) AS o FROM ig)),
+im AS (SELECT DISTINCT l, array_to_string(ws[o : o + least(l, 5) - 1], ' ') AS g, least(l, 5) AS z FROM (SELECT l, ws, unnest(range(1, n + 1)) AS o FROM ig)),
 dg AS (SELECT doc_id, ws, len(ws) AS n, p, z, array_to_string(ws[p : p + z - 1], ' ') AS g FROM (SELECT doc_id, ws, z, unnest(range(1, len(ws) - z + 2)) AS p FROM d, (SELECT DISTINCT z FROM im) WHERE len(ws) >= z)),
-w AS (SELECT DISTINCT doc_id, ws, l, greatest(least(p - o, n - l), 0) AS s FROM dg JOIN im USING (z, g)),
+hit AS (SELECT DISTINCT doc_id, ws, n, l, z, p FROM dg JOIN im USING (z, g)),
+w AS (SELECT DISTINCT doc_id, ws, l, unnest(range(greatest(least(p - (l - z + 1), n - l), 0), greatest(least(p - 1, n - l), 0) + 1)) AS s FROM hit),
 x AS (SELECT row_number() OVER () AS wid, doc_id, l, ws[s + 1 : s + l] AS ws FROM w),
 wg AS (SELECT wid, g, count(*) AS c FROM (SELECT wid, array_to_string(ws[o : o + least(len(ws), 5) - 1], ' ') AS g FROM (SELECT wid, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS o FROM x)) GROUP BY ALL),
 bg AS (SELECT item_id, l, g, count(*) AS c FROM (SELECT item_id, l, array_to_string(ws[o : o + least(l, 5) - 1], ' ') AS g FROM (SELECT item_id, l, ws, unnest(range(1, n + 1)) AS o FROM ig)) GROUP BY ALL),
