@@ -11,16 +11,25 @@ begins with a mark, and an end token follows its last word.
 2. The ``DICT`` most frequent words, a fixed number, are broadcast with their counts.
 3. Word pairs are routed, packed and sorted, to the partition that holds all of a
    pair: by history; by pair, where the history is so frequent that it alone would fill
-   a partition; by the word, where that is not in the dictionary. Pairs that alone would
-   fill a partition are counted before and never routed. A partition counts
-   its pairs and writes, by document, what is decided there, and by history what its
-   seen words take.
-4. Histories are added up to the context table (count, alpha), which meets the
-   rest: pairs not seen, and pairs whose history is no dictionary word.
-
-Edge cases: null and empty texts are the end token only. Repeated rows each count and
-each get the same score. Rows without an id are trained on like others. With no training
-rows everything is unknown and each token has probability 1. Extra columns are not read.
+   a turn of a partition; by the word, where that is not in the dictionary. Pairs that
+   alone would fill a turn are counted before and never routed. A partition counts its
+   pairs in turns of about ``TURN_TOKENS`` and writes, by row, what is decided there, and
+   by history what its seen words take. The numbers of partitions and turns follow from
+   the number of tokens, so memory does not depend on the session's settings.
+4. Histories are added up to the context table (count, alpha), which meets what is open:
+   pairs of held-out rows that were not seen, or whose history is no dictionary word.
+   (A training row's pairs are all seen, and the count of a rare history is known where
+   that word itself was counted.) Contexts of dictionary words, a fixed number, are
+   broadcast, so frequent histories are no hot keys.
+
+Rows are numbered where they are read, so no two share a key; the input has to be
+repeatable row by row, as a table is.
+
+Edge cases: null and empty texts are the end token only; a very long text is scored
+whole. Repeated rows each count and each get the same score. Rows without an id are
+trained on like others; ids may be of any type. With no training rows everything is
+unknown and each token has probability 1. An empty table gives an empty one. Extra
+columns are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -30,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +49,10 @@ from .workspace import materialize
 K = 5
 DICT = 1 << 17
 FLUSH = 1 << 20
-#: A partition's pairs are counted in so many turns.
-TURNS = 4
+#: Tokens that a partition takes at most, about, and that it counts in one turn.
+PART_TOKENS, TURN_TOKENS = 1 << 24, 1 << 19
+#: Key under which the words' table counts the tokens of all rows.
+ALL = 0
 END, BEGIN = 1, 2
 _RARE = np.uint64(1 << 63)
 _CODEC = pa.Codec("zstd", compression_level=1)
@@ -76,12 +88,13 @@ def _tokens(batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word counts of training rows, by flush."""
+    """Word counts of training rows, by flush, and the number of all tokens."""
     held: list[np.ndarray] = []
-    size = 0
+    size = tokens = 0
 
     def out() -> pa.RecordBatch:
         h, c = np.unique(np.concatenate(held), return_counts=True)
+        h, c = np.append(h, np.uint64(ALL)), np.append(c, tokens)
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
 
     for whole in batches:
@@ -89,24 +102,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, v, rows = _tokens(batch, "text")
             own = v[batch.column(1).to_numpy(zero_copy_only=False)[rows]]
             held.append(own)
-            size += len(own)
+            size, tokens = size + len(own), tokens + len(v)
             if size >= FLUSH:
                 yield out()
-                held, size = [], 0
-    if size:
+                held, size, tokens = [], 0, 0
+    if tokens:
         yield out()
 
 
 class Unigrams:
     """What every task knows: the frequent words with their counts, and how counts become probabilities."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int, histogram: list[int], texts: int, places: list[int], size: int, least: int) -> None:
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int, histogram: list[int], texts: int, places: list[int], turns: int, size: int, least: int) -> None:
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
         self.total, self.distinct, self.texts, self.size, self.least = total, distinct, texts, size, least
-        self.places, parts = np.array(places, np.int32), len(places)
+        self.places, self.turns = np.array(places, np.int32), turns
+        #: a word or pair with more occurrences would fill a quarter or an eighth of a turn
+        self.turn = max(1, total // (len(places) * turns))
         self.d = np.array([0.0, *discounts(histogram)])
-        self.heavy = self.counts > max(least, total // (4 * parts))
+        self.heavy = self.counts > max(least, self.turn // 4)
         taken = sum(self.d[r] * r * histogram[r - 1] for r in range(1, K + 1)) + self.d[K + 1] * (total - sum(r * histogram[r - 1] for r in range(1, K + 1)))
         self.unknown = 1 - taken / total if total else 1.0
         self.pairs = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -173,9 +188,13 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+_ROUTED = ["part", "blob", "rid", "tokens", "known", "base", "seen", "beyond", "held", "id"]
+
+
 def _route(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    """Packed pairs by partition; and by document what needs no routing (part -1 - x)."""
+    """Packed pairs by partition; and by row what needs no routing (part -1 - x)."""
     uni: Unigrams = sent.value
+    number = TaskContext.get().partitionId() << 40
     held: list[tuple] = []
     size = 0
 
@@ -187,8 +206,8 @@ def _route(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
         heavy |= u == uni.size
         key = np.where(kv, np.where(heavy, mix64(u * np.uint64(0x9E3779B97F4A7C15) ^ v), mix64(u)), mix64(v))
         n = np.uint64(len(uni.places))
-        part = mix64(key + np.uint64(1))
-        part = uni.places[(part % n).astype(np.int64)] * TURNS + (part // n % np.uint64(TURNS)).astype(np.int32)
+        part, turns = mix64(key + np.uint64(1)), np.uint64(uni.turns)
+        part = uni.places[(part % n).astype(np.int64)].astype(np.int64) * uni.turns + (part // n % turns).astype(np.int64)
         del key, heavy, dict_u
         order = np.lexsort((v, u, part))
         u, v, rid, teach, part = (x[order] for x in (u, v, rid, teach, part))
@@ -201,17 +220,19 @@ def _route(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
             first = np.flatnonzero(np.concatenate([[True], u[a + 1 : b] != u[a : b - 1]]))
             runs = np.diff(np.concatenate([first, [b - a]]))
             parts.append(int(part[a]))
-            blobs.append(_pack(u[a:b][first], runs.astype(np.uint32), v[a:b], doc.astype(np.uint16 if len(docs) < 65536 else np.uint32), docs, taught))
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.large_binary()).cast(pa.binary())], names=["part", "blob"])
+            small = np.uint16 if len(docs) < 65536 else np.uint32
+            blobs.append(_pack(u[a:b][first], runs.astype(np.uint32), v[a:b], doc.astype(small), docs, taught))
+        none = [pa.nulls(len(parts), t) for t in (*[pa.int64()] * 3, *[pa.float64()] * 2, pa.int64(), pa.bool_(), kind)]
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(blobs, pa.large_binary()).cast(pa.binary()), *none], names=_ROUTED)
 
     hot, hot_counts = uni.pairs
     for whole in batches:
         for batch in slices(whole, "text"):
             u, v, rows = _tokens(batch, "text")
             du, dv, ku, kv = _pairs_of(u, v, uni)
-            rid = batch.column(2).to_numpy()
-            teach = batch.column(1).to_numpy(zero_copy_only=False)
-            m = len(rid)
+            teach, kind, m = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).type, batch.num_rows
+            rid = np.arange(number, number + m)
+            number += m
             # what is known here: the base score of dictionary words, and pairs that are counted already
             c = np.zeros(len(dv), np.int64)
             c[kv] = uni.counts[dv[kv].astype(np.int64)]
@@ -227,9 +248,11 @@ def _route(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
                 rest = ~is_hot
                 value = np.log10(hot_counts[at[is_hot]] / uni.counts[du[is_hot].astype(np.int64)])
                 seen, beyond = np.bincount(rows[is_hot], value, m), np.bincount(rows[is_hot], minlength=m)
-            own = [rid, np.ones(m, np.int64), np.bincount(rows, minlength=m), known, base, seen, beyond]
-            spread = TURNS * int(uni.places[int(mix64(rid[:1].view(np.uint64))[0] % np.uint64(len(uni.places)))])
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - spread], pa.int32()), pa.array([_pack(*(np.ascontiguousarray(x) for x in own))], pa.binary())], names=["part", "blob"])
+            spread = int(uni.places[int(mix64(rid[:1].view(np.uint64))[0] % np.uint64(len(uni.places)))]) * uni.turns
+            whole, real = np.int64, np.float64  # sums of nothing would come out as whole numbers
+            own = zip((np.full(m, -1 - spread), rid, np.bincount(rows, minlength=m), known, base, seen, beyond), (*[whole] * 4, real, real, whole), strict=True)
+            part, *own = (pa.array(x.astype(t)) for x, t in own)
+            yield pa.RecordBatch.from_arrays([part, pa.nulls(m, pa.binary()), *own, pa.array(~teach), batch.column(2)], names=_ROUTED)
             held.append(tuple(x[rest] for x in (du, dv, ku, kv, rid[rows], teach[rows])))
             size += int(rest.sum())
             if size >= FLUSH:
@@ -239,21 +262,20 @@ def _route(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
-_COLUMNS = ["kind", "rid", "u", "texts", "tokens", "known", *(f"r{i}" for i in range(1, K + 2)), "x", "y"]
-_SCHEMA = "kind int, rid long, u long, texts long, tokens long, known long, " + "".join(f"r{i} long, " for i in range(1, K + 2)) + "x double, y double"
+_COUNTS = [f"r{i}" for i in range(1, K + 2)]
+_COLUMNS = ["kind", "rid", "u", "tokens", "known", *_COUNTS, "x", "y", "held", "id"]
+_SCHEMA = "kind int, rid long, u long, tokens long, known long, " + "".join(f"{r} long, " for r in _COUNTS) + "x double, y double, held boolean, id "
 DOCUMENT, CONTEXT, OPEN = 0, 1, 2
 
 
-def _rows(kind: int, n: int, **cols: np.ndarray) -> pa.RecordBatch:
-    made = []
-    for c in _COLUMNS:
-        if c == "kind":
-            made.append(pa.array(np.full(n, kind, np.int32)))
-        elif c in cols:
-            x = np.asarray(cols[c])
-            made.append(pa.array(x.astype(np.float64) if c in "xy" else x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)))
-        else:
-            made.append(pa.nulls(n, pa.float64() if c in "xy" else pa.int64()))
+def _rows(kind: int, n: int, id_type: pa.DataType, **cols: np.ndarray | pa.Array) -> pa.RecordBatch:
+    types = {"x": pa.float64(), "y": pa.float64(), "held": pa.bool_(), "id": id_type}
+    made = [pa.array(np.full(n, kind, np.int32))]
+    for c in _COLUMNS[1:]:
+        x, to = cols.get(c), types.get(c, pa.int64())
+        if isinstance(x, np.ndarray):
+            x = pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(to.to_pandas_dtype()))
+        made.append(pa.nulls(n, to) if x is None else x)
     return pa.RecordBatch.from_arrays(made, names=_COLUMNS)
 
 
@@ -270,9 +292,12 @@ def _group(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return number, order[new]
 
 
-def _settle(blobs: list[bytes], uni: Unigrams, documents: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Some of a partition's pairs, all of each: by document what is decided (x: score, y: base, r: seen pairs by count), by history what its
-    seen words take (x: their probability without history, y: those seen K + 1 times), and what is open (x: pairs not seen, y: pairs seen)."""
+def _settle(blobs: list[bytes], uni: Unigrams, documents: list[list[np.ndarray]], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Some of a partition's pairs, all of each.
+
+    By row what is decided (x: score, y: base, r: seen pairs by count), by history what its seen words take (x: their
+    probability without history, y: those seen K + 1 times), and what is open (x: pairs not seen, y: pairs seen).
+    """
     us, vs, rids, teach = [], [], [], []
     for blob in blobs:
         first, runs, v, doc, docs, taught = _unpack(blob)
@@ -298,7 +323,7 @@ def _settle(blobs: list[bytes], uni: Unigrams, documents: list[list[np.ndarray]]
         h, own = _group(pu[some])
         c = count[some]
         r = {f"r{i}": np.bincount(h, c == i) for i in range(1, K + 1)} | {f"r{K + 1}": np.bincount(h, np.where(c > K, c, 0))}
-        yield _rows(CONTEXT, len(own), u=pu[some][own], x=np.bincount(h, 10 ** log_p[some]), y=np.bincount(h, c == K + 1), **r)
+        yield _rows(CONTEXT, len(own), id_type, u=pu[some][own], x=np.bincount(h, 10 ** log_p[some]), y=np.bincount(h, c == K + 1), **r)
     # documents
     at = np.minimum(count, K + 1)[pair]
     seen = at > 0
@@ -309,17 +334,20 @@ def _settle(blobs: list[bytes], uni: Unigrams, documents: list[list[np.ndarray]]
     log_c[u == uni.size] = math.log10(max(uni.texts, 1))
     rare_token = rare[pair]
     score = np.where(seen, np.log10(np.maximum(count[pair], 1)) - log_c, log_p[pair])
+    # in a training row a rare word is the history of one more pair, whose count it divides
+    divides = rare_token & (teach > 0) & (v != np.uint64(END) | _RARE)
+    score[divides] -= np.log10(word_count[pair[divides]])
     base = np.where(rare_token, uni.log_base(word_count[pair]), 0.0)
     d, own = _group(rid)
     m = len(own)
     counts = [np.bincount(d, at == i, m).astype(np.int32) for i in range(1, K + 2)]
     documents.append([rid[own], np.bincount(d, score, m), np.bincount(d, base, m), np.bincount(d, rare_token & (word_count[pair] > 0), m).astype(np.int32), *counts])
     del d, own, score, base, log_c, at
-    # open: alpha(u) of pairs not seen, c(u) of pairs whose history has no place in the dictionary
-    left = ~seen | ~dict_u
+    # open in held-out rows: alpha(u) of pairs not seen, c(u) of pairs whose history has no place in the dictionary
+    left = (teach == 0) & (~seen | ~dict_u)
     if left.any():
         g, own = _group(rid[left], u[left])
-        yield _rows(OPEN, len(own), rid=rid[left][own], u=u[left][own], x=np.bincount(g, ~seen[left]), y=np.bincount(g, seen[left]))
+        yield _rows(OPEN, len(own), id_type, rid=rid[left][own], u=u[left][own], x=np.bincount(g, ~seen[left]), y=np.bincount(g, seen[left]))
 
 
 def _reduce(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
@@ -327,24 +355,35 @@ def _reduce(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]
     held: list[bytes] = []
     documents: list[list[np.ndarray]] = []
     now = None
+
+    def decided() -> pa.RecordBatch:
+        rid, score, base, known, *counts = (np.concatenate(x) for x in zip(*documents, strict=True))
+        d, own = _group(rid)
+        m = len(own)
+        r = {c: np.bincount(d, x, m) for c, x in zip(_COUNTS, counts, strict=True)}
+        return _rows(DOCUMENT, m, id_type, rid=rid[own], known=np.bincount(d, known, m), x=np.bincount(d, score, m), y=np.bincount(d, base, m), **r)
+
+    id_type = pa.null()
     for batch in batches:
-        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if part < 0:
-                rid, texts, tokens, known, base, seen, beyond = _unpack(blob)
-                yield _rows(DOCUMENT, len(rid), rid=rid, texts=texts, tokens=tokens, known=known, x=seen, y=base, **{f"r{i}": beyond if i > K else np.zeros(len(rid)) for i in range(1, K + 2)})
-                continue
-            if part != now and held:
-                yield from _settle(held, uni, documents)
+        id_type = batch.column(9).type
+        part = batch.column(0).to_numpy()
+        own = batch.filter(pa.array(part < 0))
+        if own.num_rows:
+            _, _, rid, tokens, known, base, seen, beyond, out, ids = own.columns
+            yield _rows(DOCUMENT, own.num_rows, id_type, rid=rid, tokens=tokens, known=known, x=seen, y=base, held=out, id=ids, **{_COUNTS[-1]: beyond})
+        for p, blob in zip(part[part >= 0].tolist(), batch.column(1).filter(pa.array(part >= 0)).to_pylist(), strict=True):
+            if p != now and held:
+                yield from _settle(held, uni, documents, id_type)
                 held = []
-            now = part
+                if sum(len(x[0]) for x in documents) > TURN_TOKENS:
+                    yield decided()
+                    documents = []
+            now = p
             held.append(blob)
     if held:
-        yield from _settle(held, uni, documents)
+        yield from _settle(held, uni, documents, id_type)
     if documents:
-        rid, score, base, known, *counts = (np.concatenate(x) for x in zip(*documents, strict=True))
-        d, own = _group(rid)
-        m = len(own)
-        yield _rows(DOCUMENT, m, rid=rid[own], texts=np.zeros(m), tokens=np.zeros(m), known=np.bincount(d, known, m), x=np.bincount(d, score, m), y=np.bincount(d, base, m), **{f"r{i}": np.bincount(d, c, m) for i, c in enumerate(counts, 1)})
+        yield decided()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -376,44 +415,58 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", out: Colu
     spark = docs.sparkSession
     sc = spark.sparkContext
     out = held_out(F.col(doc_id)) if out is None else out
-    rows = docs.select(F.col(text).alias("text"), (~out).alias("teach"), F.xxhash64(F.lit(4), F.col(doc_id), F.col(text)).alias("rid"), F.col(doc_id).cast("long").alias("id"))
-    read = rows.select("text", "teach", "rid")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = materialize(read.mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
-    stats = words.agg(F.sum("c"), F.count(F.lit(1)), *(F.count_if(F.col("c") == r) for r in range(1, K + 2)), F.sum(F.when(F.col("h") == END, F.col("c")))).first()
-    top = _most_frequent(words, dictionary)
-    places = _places(spark, parts)
-    uni = Unigrams(np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64), stats[0] or 0, stats[1], list(stats[2 : K + 3]), stats[K + 3] or 0, places, dictionary, least)
-    extra = None
-    if uni.heavy.sum() > 0:
-        first = sc.broadcast(uni)
-        heavy = read.mapInArrow(lambda b: _count_heavy(b, first), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).where(F.col("c") > max(least, uni.total // (8 * parts))).collect()  # 8 a partition at most
-        if heavy:
-            pair, c = np.array(sorted(map(tuple, heavy)), np.int64).T
-            uni.pairs = (pair.view(np.uint64).copy(), c.copy())
-            p = 10 ** uni.log_p(uni.counts[pair % dictionary])
-            extra = spark.createDataFrame(list(zip((pair // dictionary).tolist(), p.tolist(), c.tolist(), strict=True)), "u long, x double, c long")
+    read = docs.select(F.col(text).alias("text"), (~out).alias("teach"), F.col(doc_id).alias("id"))
+    words = materialize(read.select("text", "teach").mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
+    known = words.where(F.col("h") != ALL)
+    found = known.agg(F.sum("c"), F.count(F.lit(1)), *(F.count_if(F.col("c") == r) for r in range(1, K + 2)), F.sum(F.when(F.col("h") == END, F.col("c")))).first()
+    tokens = words.where(F.col("h") == ALL).agg(F.sum("c")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // PART_TOKENS))
+    turns = max(1, -(-tokens // (parts * TURN_TOKENS)))
+    top = _most_frequent(known, dictionary)
+    frequent = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
+    uni = Unigrams(*frequent, found[0] or 0, found[1], list(found[2 : K + 3]), found[K + 3] or 0, _places(spark, parts), turns, dictionary, least)
+    extra = _heavy_pairs(read, uni, dictionary, least)
     sent = sc.broadcast(uni)
-    blobs = read.mapInArrow(lambda b: _route(b, sent), "part int, blob binary")
-    place = F.floor(F.when(F.col("part") >= 0, F.col("part")).otherwise(-1 - F.col("part")) / F.lit(TURNS)).cast("int")
-    packed = blobs.withColumn("place", place).repartition(parts, "place").sortWithinPartitions("part").select("part", "blob")
-    made = materialize(packed.mapInArrow(lambda b: _reduce(b, sent), _SCHEMA), "pairs", by="kind")
-    rs = [f"r{i}" for i in range(1, K + 2)]
-    context = made.where(F.col("kind") == CONTEXT).groupBy("u").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), *(F.sum(r).alias(r) for r in rs))
-    if extra is not None:
-        context = context.union(extra.select("u", "x", F.lit(0.0).alias("y"), *(F.lit(0).cast("long").alias(r) for r in rs[:-1]), F.col("c").alias(rs[-1]))).groupBy("u").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), *(F.sum(r).alias(r) for r in rs))
-    context = materialize(context, "contexts")
-    d = discounts([int(x or 0) for x in context.agg(*(F.sum(r) for r in rs[:-1]), F.sum("y")).first()])
-    taken = sum((F.col(r) * F.lit(i * x) for i, (r, x) in enumerate(zip(rs[:-1], d, strict=False), 1)), F.lit(0.0)) + F.col(rs[-1]) * F.lit(d[-1])
-    n = sum((F.col(r) * F.lit(i) for i, r in enumerate(rs[:-1], 1)), F.lit(0)) + F.col(rs[-1])
+    id_type = read.schema["id"].dataType.simpleString()
+    routed = f"part long, blob binary, rid long, tokens long, known long, base double, seen double, beyond long, held boolean, id {id_type}"
+    place = F.floor(F.when(F.col("part") >= 0, F.col("part")).otherwise(-1 - F.col("part")) / F.lit(turns)).cast("int")
+    packed = read.mapInArrow(lambda b: _route(b, sent), routed).withColumn("place", place).repartition(parts, "place").sortWithinPartitions("part").drop("place")
+    made = materialize(packed.mapInArrow(lambda b: _reduce(b, sent), _SCHEMA + id_type), "pairs", by="kind")
+
+    adds = [F.sum(c).alias(c) for c in ("x", "y", *_COUNTS)]
+    context = made.where(F.col("kind") == CONTEXT).select("u", "x", "y", *_COUNTS)
+    context = materialize((context if extra is None else context.union(extra)).groupBy("u").agg(*adds), "contexts")
+    d = discounts([int(x or 0) for x in context.agg(*(F.sum(r) for r in _COUNTS[:-1]), F.sum("y")).first()])
+    taken = sum((F.col(r) * F.lit(i * x) for i, (r, x) in enumerate(zip(_COUNTS[:-1], d, strict=False), 1)), F.lit(0.0)) + F.col(_COUNTS[-1]) * F.lit(d[-1])
+    n = sum((F.col(r) * F.lit(i) for i, r in enumerate(_COUNTS[:-1], 1)), F.lit(0)) + F.col(_COUNTS[-1])
     rest = F.greatest(F.lit(1.0) - F.col("x"), F.lit(1e-12))
     context = context.select("u", F.log10(n).alias("log_c"), F.log10((F.lit(1.0) - taken / n) / rest).alias("log_alpha"))
-    open_ = made.where(F.col("kind") == OPEN).select("rid", "u", "x", "y").join(context, "u", "left")
-    late = open_.select("rid", (F.col("x") * F.coalesce("log_alpha", F.lit(0.0)) - F.col("y") * F.coalesce("log_c", F.lit(0.0))).alias("s"))
-    zero = F.lit(0).cast("long")
-    soon = made.where(F.col("kind") == DOCUMENT).select("rid", "texts", "tokens", "known", F.col("y").alias("base"), (F.col("x") + sum((F.col(r) * F.lit(math.log10(x)) for r, x in zip(rs, d, strict=True)), F.lit(0.0))).alias("s"))
-    late = late.select("rid", zero.alias("texts"), zero.alias("tokens"), zero.alias("known"), F.lit(0.0).alias("base"), "s")
-    totals = soon.union(late).groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("texts", "tokens", "known", "base", "s")))
-    each = rows.select("id", (~F.col("teach")).alias("held_out"), "rid").join(totals, "rid")
-    whole = lambda c: F.floor(F.col(c) / F.col("texts")).cast("long")  # noqa: E731  equal rows add up under one rid
-    return each.select("id", "held_out", whole("tokens").alias("n_tokens"), whole("known").alias("n_known"), F.lit(uni.total).cast("long").alias("train_tokens"), (F.col("base") / F.col("texts")).alias("base_score"), (F.col("s") / F.col("texts")).alias("score"))
+
+    open_ = made.where(F.col("kind") == OPEN).select("rid", "u", "x", "y")
+    frequent = F.col("u") >= 0  # a place in the dictionary, or the beginning: dictionary + 1 at most
+    met = open_.where(frequent).join(F.broadcast(context.where(frequent)), "u", "left").union(open_.where(~frequent).join(context.where(~frequent), "u", "left"))
+    late = (F.col("x") * F.coalesce("log_alpha", F.lit(0.0)) - F.col("y") * F.coalesce("log_c", F.lit(0.0))).alias("s")
+    soon = (F.col("x") + sum((F.coalesce(r, F.lit(0)) * F.lit(math.log10(x)) for r, x in zip(_COUNTS, d, strict=True)), F.lit(0.0))).alias("s")
+    rows = made.where(F.col("kind") == DOCUMENT).select("rid", "tokens", "known", F.col("y").alias("base"), soon, "held", "id")
+    rows = rows.unionByName(met.select("rid", late), allowMissingColumns=True)
+    each = rows.groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("tokens", "known", "base", "s")), F.first("held", True).alias("held"), F.first("id", True).alias("id"))
+    train = F.lit(uni.total).cast("long").alias("train_tokens")
+    return each.select("id", F.col("held").alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), train, F.col("base").alias("base_score"), F.col("s").alias("score"))
+
+
+def _heavy_pairs(read: DataFrame, uni: Unigrams, dictionary: int, least: int) -> DataFrame | None:
+    """Pairs that alone would fill an eighth of a turn: given to ``uni`` with their counts, and returned as rows of the context table."""
+    if not uni.heavy.sum():
+        return None
+    spark = read.sparkSession
+    first = spark.sparkContext.broadcast(uni)
+    counted = read.select("text", "teach").mapInArrow(lambda b: _count_heavy(b, first), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+    heavy = counted.where(F.col("c") > max(least, uni.turn // 8)).collect()  # 8 a turn at most
+    if not heavy:
+        return None
+    pair, c = np.array(sorted(map(tuple, heavy)), np.int64).T
+    uni.pairs = (pair.view(np.uint64).copy(), c.copy())
+    p = 10 ** uni.log_p(uni.counts[pair % dictionary])
+    rows = spark.createDataFrame(list(zip((pair // dictionary).tolist(), p.tolist(), c.tolist(), strict=True)), "u long, x double, c long")
+    seen = [F.lit(0).cast("long").alias(r) for r in _COUNTS[:-1]]
+    return rows.select("u", "x", F.lit(0.0).alias("y"), *seen, F.col("c").alias(_COUNTS[-1]))
