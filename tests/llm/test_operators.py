@@ -1,5 +1,6 @@
 """Corpus operators against brute force, and their edge cases: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
+import hashlib
 import math
 import random
 import re
@@ -8,6 +9,8 @@ from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from quaver.llm import components, decontaminate, katz, kernels, mixing, near_dedup, pii, preference, quality, toxicity, url_filter, warc, workspace
@@ -245,6 +248,28 @@ def test_hamming_blocks(spark):
     assert got == {p: d for p, d in dist.items() if d <= decontaminate.RADIUS}
 
 
+def test_index_is_selective(spark, monkeypatch):
+    """The index joins far fewer rows than there are pairs of a window and an item of its length, also where all items share a phrase."""
+    rng = random.Random(44)
+    phrase = " ".join(prose(rng, 12, 10**6).split())
+    items = [f"{phrase} {prose(rng, 30, 10**6)}" for _ in range(400)]
+    texts = [f"{prose(rng, 20, 10**6)} {items[i]} {prose(rng, 20, 10**6)}" for i in range(25) for _ in range(3)]
+    joined = []
+    plain = decontaminate.block_join
+
+    def counted(*args):
+        out = plain(*args)
+        joined.append((args[0].select("w1", "w2").distinct().count() * args[1].select("iid").distinct().count(), out.count()))
+        return out
+
+    monkeypatch.setattr(decontaminate, "block_join", counted)
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id bigint, text string")
+    out = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, texts), bench).collect()}
+    assert out == {(d, d // 3) for d in range(75)}
+    ((pairs, rows),) = joined
+    assert pairs > 50_000 and rows < pairs / 2  # every pair meets almost four times in the blocks alone
+
+
 # 4
 
 
@@ -495,22 +520,40 @@ def test_near_duplicates(spark):
     assert all(out[i].n_shingles == len(sets[i]) and out[i].kept == (want[i] == i) for i in out)
 
 
-def test_long_lists(spark, monkeypatch):
-    """Hot lists in blocks: the same components."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+@pytest.mark.parametrize(("block", "sample"), [(8, 8), (8, 1), (4, 2)])
+def test_long_lists(spark, monkeypatch, block, sample):
+    """Hot lists in blocks, few members for a component: the same components. The copies drift, so that members of one are not alike."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "SAMPLE", sample)
     monkeypatch.setattr(near_dedup, "LONG", 5)
     rng = random.Random(9)
-    base = prose(rng, 80, 10**6).split()
     texts = []
-    for _ in range(70):
-        copy = list(base)
-        for _ in range(rng.randint(0, 6)):
-            copy[rng.randrange(80)] = f"n{rng.random()}"
-        texts.append(" ".join(copy))
-    _, want = brute_near(texts, 4)
+    for _ in range(2):
+        base = prose(rng, 80, 10**6).split()
+        for _ in range(50):
+            copy = list(base)
+            for _ in range(rng.randint(0, 6)):
+                copy[rng.randrange(80)] = f"n{rng.random()}"
+            texts.append(" ".join(copy))
+            if rng.random() < 0.3:
+                base = copy
+    shared = prose(rng, 60, 10**6)
+    texts += [f"{shared} {prose(rng, n, 10**6)}" for n in (5, 8, 12, 16, 20, 30) for _ in range(5)]
+    sets, want = brute_near(texts, 4)
+    assert len(set(want.values())) > 3
     assert {r.id: r.component for r in near_dedup.near_duplicates(frame(spark, texts)).collect()} == want
 
 
+def test_repeated_rows_and_ids(spark):
+    """Rows repeated very often, and ids with several texts, do not multiply."""
+    rng = random.Random(99)
+    a, b, c = (prose(rng, 50, 10**6) for _ in range(3))
+    rows = [(1, a)] * 40 + [(2, a + " x")] * 40 + [(3, b), (3, c), (3, a + " y"), (4, b + " z"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = [(r.id, r.component, r.kept) for r in near_dedup.near_duplicates(df).collect()]
+    assert sorted(out) == sorted([(1, 1, True)] * 40 + [(2, 1, False)] * 40 + [(3, 3, True), (3, 3, True), (3, 1, False), (4, 3, False), (5, 5, True)])
+
+
 def test_near_duplicate_edges(spark, odd, empty):
     out = near_dedup.near_duplicates(odd).collect()
     assert len(out) == len(ODD) + 3
@@ -542,7 +585,6 @@ def parse_warc(text):
 
 def test_warc(spark):
     import base64
-    import hashlib
 
     html = '<html lang="FR"><head><title> A &amp; b\n</title><style>x{}</style><script>var t="</p>";</script></head><body><p>Un é&lt;1</p><!-- no <p> --><a href="/x">lien</a><br>fin'
     pages = [(0, "http://a/", html), (1, None, None), (2, "http://b/", ""), (2, "http://b/", ""), (None, "http://c/", "x")]
@@ -602,7 +644,8 @@ def test_pii(spark, odd, empty):
     assert re.fullmatch(r"call \+1 \([2-9]\d\d\) \d{3}-\d{4} now", out[3].text) and "988" not in out[3].text
     assert re.fullmatch(r'password=[0-9a-f]{18} token = "[0-9a-f]{40}"', out[4].text) and "45bb0d" not in out[4].text
     assert re.fullmatch(r"key AKIA[A-Z0-9]{16}\.", out[5].text)
-    assert re.fullmatch(r"Mrs\. (Ala|Bria|Cera|Dina|Elva|Fara|Gila|Hana) [A-Z][a-z]+ met Mr [A-Z][a-z]+ and Frau [A-Z][a-z]+; Госпожа [А-Я][а-я]+", out[6].text)
+    jane, doe, doe2 = re.fullmatch(r"Mrs\. ([A-Z][a-z]{3}na) ([A-Z][a-z]{2}) met Mr ([A-Z][a-z]{2}) and Frau [A-Z][^\W\d_]{5}; Госпожа [А-Я][а-я]{3}ова", out[6].text).groups()
+    assert doe == doe2 and doe != "Doe" and "Jane" not in jane
     assert {r.doc_id: r.text for r in pii.replace_pii(df, "secret").collect()} == {i: r.text for i, r in out.items()}
     assert {r.doc_id: r.text for r in pii.replace_pii(df, "other").collect()}[3] != out[3].text
     same = pii.replace_pii(odd, "k")
@@ -610,26 +653,150 @@ def test_pii(spark, odd, empty):
     assert pii.replace_pii(empty, "k").count() == 0
 
 
-def test_distinct_surrogates(spark):
-    """More addresses than an eighth of the strings there are: all get their own, none an entity's."""
-    values = spark.range(40).select(F.lit("secret").alias("kind"), F.format_string("%02d", "id").alias("value"))
-    out = pii.deal(values, "k").collect()
-    assert len({r.surrogate for r in out}) == 40 and not {r.surrogate for r in out} & {f"{i:02d}" for i in range(40)}
-
-
-def test_short_formats(spark, monkeypatch):
-    """More entities than their format has strings: all get their own, if need be a longer one."""
-    monkeypatch.setitem(pii._PART, "latin", ("ba", "do"))
-    values = [("email", f"{c}@d{d}.com") for c in "abcdefghijklmnopqrstuvwxyz" for d in range(20)]
-    values += [("name_m", f"Xa{chr(97 + i // 14)}{chr(97 + i % 14)}") for i in range(120)] + [("phone", f"{i:02d}") for i in range(100)] + [("secret", "--------"), ("secret", "========")]
-    out = pii.deal(spark.createDataFrame(values, "kind string, value string"), "k").collect()
-    assert sorted((r.kind, r.value) for r in out) == sorted(values) and len({(r.kind, r.surrogate) for r in out}) == len(values)
-    assert not {(r.kind, r.surrogate) for r in out} & set(values)
-    form = {"email": r"[a-z]+@[a-z]\d\d?\.com", "name_m": r"[BD](a|o)((ba|do)+)", "phone": r"\d{3,}", "secret": r"(-{8}|={8})[a-z]+"}
-    assert all(re.fullmatch(form[r.kind], r.surrogate) for r in out)
-    text = spark.range(1).select(pii._render(F.lit("phone"), F.lit("+1 (2) 34 56"), F.lit("9876540"))).first()[0]
+def brute_permuted(s, alphabets, tweak, key):
+    """The permutation, on lists."""
+    halves = [[list(x[i::2]) for x in (s, alphabets)] for i in (0, 1)]
+    for r in range(1, pii.ROUNDS + 1):
+        (now, own), (other, _) = halves
+        seed = hashlib.sha256("|".join((key, tweak, str(r), "".join(other))).encode()).hexdigest().encode()
+        out = []
+        for i, (c, a) in enumerate(zip(now, own, strict=True)):
+            h = xxhash.xxh64_intdigest(i.to_bytes(4, "little"), xxhash.xxh64_intdigest(seed, 42))
+            out.append(a[(a.index(c) + (h - (h >> 63 << 64)) % len(a)) % len(a)] if a else c)
+        halves = [halves[1], [out, own]]
+    (even, _), (odd, _) = halves
+    return "".join(even[i // 2] if i % 2 == 0 else odd[i // 2] for i in range(len(s)))
+
+
+def brute_surrogate(kind, value, attempt, key):
+    find = lambda c, alphabets: next((a for a in alphabets if c in a), "")
+    script = lambda x: "cyrillic" if regex.search(r"\p{IsCyrillic}", x) else "greek" if regex.search(r"\p{IsGreek}", x) else "latin"
+    s, name = value, kind in pii.NAMES
+    if kind == "ip":
+        s = "".join(f"{int(o):02x}" for o in value.split("."))
+    elif name and any(not find(c, pii.LETTERS) and c not in "'’-" for c in value):
+        s = "".join("abcdefghijklmnop"[int(c, 16)] for c in hashlib.sha256(f"{key}|{value}".encode()).hexdigest()[:24]).capitalize()
+    if attempt and name:
+        s = s[0] + ({"latin": "na", "cyrillic": "на", "greek": "να"}[script(s)] * attempt)[:attempt] + s[1:]
+    elif attempt:
+        s = s + "0" * attempt if kind == "phone" else "a" * attempt + s if kind in ("local", "host", "secret") else s
+    if name:
+        end = re.search(r"(ова|ева|ёва|ина|ына|ая|ов|ев|ёв|ин|ын|ий|ой|ος|ης|ας|ου|η|α|ά|ή)$", s)
+        keep = len(end[0]) if end and kind == "last" and len(end[0]) + 2 <= len(s) else 0
+        alphabets = [find(c, pii.LETTERS) if i < len(s) - keep else "" for i, c in enumerate(s)]
+    elif kind == "ip" or kind == "secret" and re.fullmatch(r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]{16,}", value):
+        alphabets = [pii.HEX] * len(s)
+    elif kind == "key":
+        alphabets = ["" if i < 4 else pii.KEY for i in range(len(s))]
+    elif kind == "card":
+        alphabets = ["", *[pii.DIGITS] * (len(s) - 2), ""]
+    elif kind == "phone":
+        area = len(value) - 10
+        alphabets = ["" if i < area else pii.DIGITS if i != area else "01" if c in "01" else "23456789" for i, c in enumerate(s)]
+    else:
+        alphabets = [find(c, pii.PLAIN) if kind != "host" or i < s.rindex(".") else "" for i, c in enumerate(s)]
+    made = brute_permuted(s, alphabets, f"{kind}|{attempt}", key)
+    if kind.startswith("first"):
+        return made + {"first_f": {"latin": "na", "cyrillic": "на", "greek": "να"}, "first_m": {"latin": "ro", "cyrillic": "слав", "greek": "ος"}}[kind][script(made)]
+    if kind == "ip":
+        return ".".join(str(int(made[i : i + 2], 16)) for i in (0, 2, 4, 6))
+    if kind == "card":
+        right = lambda x: next(d for d in range(10) if luhn(f"{x}{d}"))
+        return made[:-1] + str((right(made[:-1]) + int(value[-1]) - right(value[:-1])) % 10)
+    return made
+
+
+def brute_deal(units, key):
+    units, out, attempt = set(units), {}, 0
+    own, todo = {v for _, v in units}, sorted(units)
+    while todo:
+        before, now, left = set(out.values()), {}, []
+        for k, v in todo:
+            x = brute_surrogate(k, v, attempt, key)
+            if x in now or x in before or x == v or (k != "ip" and x in own):
+                left.append((k, v))
+                now.setdefault(x, None)
+            else:
+                now[x] = out[k, v] = x
+        todo, attempt = left, attempt + 1
+    return out
+
+
+def random_entities(rng, n):
+    pick = lambda a, k: "".join(rng.choices(a, k=k))
+    low = "abcdefghijklmnopqrstuvwxyz"
+    names = ["Ann", "Li", "Émile", "O’Neil", "Иванова", "Пётр", "Ли", "Νίκος", "Παπάς", "Արամ", "Jean-Luc", "Bo", "Zoë"]
+    for _ in range(n):
+        digits = pick("0123456789", 15)
+        yield rng.choice((
+            f"{pick(low, rng.randint(1, 2))}@{pick('ab', 1)}.{pick('xy', 1)}.org", f"{pick(low + 'ABC019._', rng.randint(2, 9)).strip('._') or 'q'}@Mail.{pick(low, 3)}.com",
+            ".".join(str(rng.randint(0, 255)) for _ in range(4)), "4" + digits, "4" + digits[:14] + str(next(d for d in range(10) if luhn(f"4{digits[:14]}{d}"))),
+            f"{digits[:4]} {digits[4:8]} {digits[8:12]} {digits[11:15]}", f"+49 ({digits[:3]}) {digits[3:6]} {digits[6:10]}", f"({digits[:3]}) {digits[3:6]}-{digits[6:10]}", f"+3 12 {digits[:2]} {digits[2:4]}",
+            "AKIA" + pick(low.upper() + "0123456789", 16), f"password = '{pick(low + '_-0123456789', 12)}'", f"api_key:{pick('0123456789abcdef', 32)}",
+            f"Mr. {rng.choice(names)}", f"Frau {rng.choice(names)} {rng.choice(names)}", f"Herr {rng.choice(names)} {rng.choice(names)} {rng.choice(names)}",
+        ))
+
+
+def test_pii_by_brute_force(spark):
+    rng = random.Random(10)
+    found = list(random_entities(rng, 500))
+    texts = ["; ".join(rng.choices(found, k=rng.randint(1, 6))) + " end" for _ in range(150)] + ["nothing", "Ms Zoë Zoë " * 20_000]
+    pattern = regex.compile(pii.ENTITY)
+
+    def parts(e):
+        if m := regex.match(r"""(?i)((?:password|passwd|secret|token|api[_-]?key)\s*[=:]\s*["']?)([A-Za-z0-9+/_=-]{8,})(["']?)$""", e):
+            return [("secret", m[2])], lambda s: m[1] + s[0] + m[3]
+        if "@" in e:
+            local, host = e.lower().split("@")
+            return [("local", local), ("host", host)], "@".join
+        if m := regex.match(r"((\w+)\.? )(.*)$", e):
+            if m[2] in pii.FEMALE + pii.MALE:
+                words = m[3].split(" ")
+                first = "first_f" if m[2] in pii.FEMALE else "first_m"
+                return [(first if i == 0 and len(words) > 1 else "last", w) for i, w in enumerate(words)], lambda s: m[1] + " ".join(s)
+        if e.startswith("AKIA"):
+            return [("key", e)], "".join
+        if re.fullmatch(r"(\d+\.){3}\d+", e):
+            return [("ip", e)], "".join
+        plain = re.sub(r"\D", "", e)
+
+        def digits(s):
+            it = iter(s[0])
+            return "".join(next(it) if c.isdigit() else c for c in e) + "".join(it)
+
+        return [("card" if re.fullmatch(r"[\d -]+", e) and 13 <= len(plain) <= 19 else "phone", plain)], digits
+
+    mentions = {e: parts(e) for t in texts for e in pattern.findall(t)}
+    dealt = brute_deal({u for units, _ in mentions.values() for u in units}, "secret")
+    want = [pattern.sub(lambda m: mentions[m[0]][1]([dealt[u] for u in mentions[m[0]][0]]), t) for t in texts]
+    out = {r.doc_id: r for r in pii.replace_pii(frame(spark, texts), "secret", count="n").collect()}
+    assert [out[i].text for i in range(len(texts))] == want and [out[i].n for i in range(len(texts))] == [len(pattern.findall(t)) for t in texts]
+    kinds = {k for k, _ in dealt}
+    assert kinds == {"local", "host", "ip", "card", "phone", "key", "secret", *pii.NAMES} and len(set(dealt.values())) == len(dealt)
+    assert all(luhn(s) == luhn(v) and s[0] == v[0] for (k, v), s in dealt.items() if k == "card")
+
+
+def test_full_formats(spark):
+    """Formats that their units fill, and more one-word names than syllables would give: all distinct, none a unit's own string."""
+    low = "abcdefghijklmnopqrstuvwxyz"
+    values = [("local", a + b) for a in low for b in low] + [("local", a) for a in low] + [("phone", f"{i:02d}") for i in range(100)]
+    values += [("secret", "--------"), ("secret", "========"), ("host", "a.b"), ("host", "x.b"), ("last", "Արամ"), ("last", "Li"), ("first_f", "Li"), ("first_m", "Li")]
+    out = {(r.kind, r.value): r.surrogate for r in pii.deal(spark.createDataFrame(values, "kind string, value string"), "k").collect()}
+    assert out == brute_deal(values, "k") and set(out) == set(values)
+    assert len(set(out.values())) == len(values) and not set(out.values()) & {v for _, v in values}
+    assert re.fullmatch(r"[a-z]+-{8}", out["secret", "--------"]) and out["first_f", "Li"].endswith("na") and out["first_m", "Li"].endswith("ro")
+    text = spark.range(1).select(pii._render(F.lit("phone"), F.lit("+1 (2) 34 56"), F.array(F.lit("9876540")))).first()[0]
     assert text == "+9 (8) 76 540"
-    assert re.fullmatch(r"token = -{8}[a-z]+;", pii.replace_pii(frame(spark, ["token = --------;"]), "k").first().text)
+    assert re.fullmatch(r"token = [a-z]-{8};", pii.replace_pii(frame(spark, ["token = --------;"]), "k").first().text)
+
+
+def test_many_names(spark):
+    digit = lambda k, a: F.substring(F.lit(a), (F.floor(F.col("id") / k) % len(a) + 1).cast("int"), F.lit(1))
+    name = F.concat(digit(1, "BCDFGHJKLM"), digit(10, "aeiou"), digit(50, "bcdfghjklmnpqrst"), digit(800, "aeiou"), digit(4000, "bcdfghjklmnpqrstvwxz"))
+    units = spark.range(70_000).select(F.lit("last").alias("kind"), name.alias("value"))
+    assert units.distinct().count() == 70_000
+    out = pii.deal(units, "k").agg(F.count(F.lit(1)), F.countDistinct("surrogate"), F.count_if(F.col("surrogate").rlike("^[A-Z][a-z]+$"))).first()
+    assert tuple(out) == (70_000, 70_000, 70_000)
 
 
 def test_release(spark):
