@@ -2,7 +2,10 @@
 
     python -m quaver --frames frames.parquet --lyrics songs/ --format leadsheet --output notes.txt
 
-Options that are not given come from the [quaver] table of quaver.toml.
+One song gives one text or file, as its format says. Of several songs, ``--output`` names
+a folder, which all tasks write, with the summaries beside it; without it their lines
+are printed song by song. Options that are not given come from the [quaver] table of
+quaver.toml.
 """
 
 from __future__ import annotations
@@ -10,7 +13,8 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import align
@@ -21,10 +25,13 @@ from .sources import readers, sinks
 def parser(config: dict) -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quaver", description="Notes from pitch frames.")
     p.add_argument("--frames", required=True, help="Parquet or JSON of (song_id, seq, time, frequency, confidence)")
-    p.add_argument("--json", action="store_true", help="the frames are JSON arrays")
+    p.add_argument("--json", action="store_true", help="frames and beats are JSON files, one for each song")
     p.add_argument("--second-frames", help="frames of a second estimator")
+    p.add_argument("--dual-pitch", action="store_true", default=config.get("dual_pitch", False), help="compare with the second estimator (implied by --second-frames)")
     p.add_argument("--chords", help="Parquet of (song_id, chord_idx, time, chord_notes)")
-    p.add_argument("--beats", help="Parquet of (song_id, beat_idx, time)")
+    p.add_argument("--chroma", help="Parquet of (song_id, frame, pc, energy): chords between the beats are found in it")
+    p.add_argument("--chord-context", action="store_true", default=config.get("chord_context", False), help="compare with the chords (implied by --chords and --chroma)")
+    p.add_argument("--beats", help="Parquet or JSON of (song_id, beat_idx, time, bpm)")
     p.add_argument("--lyrics", help="LRC file or folder")
     p.add_argument("--confidence", type=float, default=config.get("confidence", 0.85))
     p.add_argument("--transpose", type=int, default=config.get("transpose", 9))
@@ -35,6 +42,49 @@ def parser(config: dict) -> argparse.ArgumentParser:
     return p
 
 
+def _warn(text: str) -> None:
+    print(f"warning: {text}", file=sys.stderr)
+
+
+def _second(spark: SparkSession, args: argparse.Namespace, kind: str) -> DataFrame | None:
+    if args.second_frames:
+        return readers.read_frames(spark, args.second_frames, kind)
+    if args.dual_pitch:
+        _warn("no --second-frames to compare with")
+    return None
+
+
+def _chords(spark: SparkSession, args: argparse.Namespace, beats: DataFrame | None) -> DataFrame | None:
+    if args.chords:
+        return spark.read.parquet(args.chords)
+    if args.chroma and beats is not None:
+        return align.chord_timeline(spark.read.parquet(args.chroma), beats)
+    if args.chroma or args.chord_context:
+        _warn("chords need --chords, or --chroma with --beats")
+    return None
+
+
+def _lyrics(spark: SparkSession, path: str | None, songs: DataFrame, one: bool) -> DataFrame | None:
+    """The lyrics; what cannot be read is a warning, and the notes stay without them."""
+    if not path:
+        return None
+    try:
+        lyrics = readers.read_lrc(spark, path)
+        if one and lyrics.select("song_id").distinct().limit(2).count() == 1:  # one song, one file: they belong together
+            lyrics = lyrics.withColumn("song_id", F.lit(songs.first()["song_id"]))
+    except (ValueError, AnalysisException) as e:
+        _warn(f"lyrics could not be read: {e}")
+        return None
+    return lyrics
+
+
+def _summary(row) -> str:
+    shown = {k: v for k, v in row.asDict().items() if v is not None}
+    if "bpm" in shown:
+        shown["bpm"] = f"{shown['bpm']:.1f}"
+    return ", ".join(f"{k}: {v}" for k, v in shown.items())
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser(readers.load_config()).parse_args(argv)
     if not 0 <= args.confidence <= 1:
@@ -44,22 +94,29 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     kind = "json" if args.json else "parquet"
     try:
         frames = readers.read_frames(spark, args.frames, kind)
-        second = readers.read_frames(spark, args.second_frames, kind) if args.second_frames else None
-        chords = spark.read.parquet(args.chords) if args.chords else None
-        grid = align.beat_subdivisions(spark.read.parquet(args.beats)) if args.beats else None
-        lyrics = None
-        if args.lyrics:
-            lyrics = readers.read_lrc(spark, args.lyrics)
-            songs = frames.select("song_id").distinct()
-            if songs.count() == 1 and lyrics.select("song_id").distinct().count() == 1:  # one song, one file: they belong together
-                lyrics = lyrics.withColumn("song_id", F.lit(songs.first()[0]))
-        events = T.transcribe(frames, confidence_threshold=args.confidence, transpose=args.transpose, apply_key_filter=args.key_filter, smooth=args.smooth, second_frames=second, chords=chords, grid=grid, lyrics=lyrics)
-        text = sinks.output(events, args.format, args.output)
-        if text is not None:
-            print(text)
-        for row in T.song_summary(events).orderBy("song_id").limit(20).collect():
-            print(", ".join(f"{k}: {v}" for k, v in row.asDict().items()), file=sys.stderr)
-    except (ValueError, FileNotFoundError) as e:
+        songs = readers.songs_of(frames)
+        one = songs.limit(2).count() == 1
+        beats = readers.read_beats(spark, args.beats, kind) if args.beats else None
+        events = T.transcribe(
+            frames, confidence_threshold=args.confidence, transpose=args.transpose, apply_key_filter=args.key_filter, smooth=args.smooth,
+            second_frames=_second(spark, args, kind), chords=_chords(spark, args, beats),
+            grid=align.beat_subdivisions(beats) if beats is not None else None, lyrics=_lyrics(spark, args.lyrics, songs, one),
+        )
+        summary = T.song_summary(events, songs, align.tempo(beats) if beats is not None else None)
+        if not one and args.output:
+            sinks.write(events, args.output, args.format)
+            summary.write.json(f"{args.output.rstrip('/')}-summary")
+            return 0
+        if one:
+            text = sinks.output(events, args.format, args.output)
+            if text is not None:
+                print(text)
+        else:
+            for line in sinks.lines(events, args.format):
+                print(line)
+        for row in summary.orderBy("song_id").toLocalIterator():
+            print(_summary(row), file=sys.stderr)
+    except (ValueError, FileNotFoundError, AnalysisException) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
     return 0

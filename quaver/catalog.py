@@ -244,14 +244,24 @@ def map_notes_full(spark, sf_dir):
     return _events(_transcribed(spark, sf_dir), "pyin_agrees", "chord_fit", "beat_aligned", "lyric")
 
 
-@query(
-    with_(
-        FULL_SUNG + "," + keyed("done", "best"),
-        "SELECT d.song_id, count(*) AS n_notes, CAST(count_if(pyin_agrees) AS BIGINT) AS n_pyin_agrees, CAST(count_if(chord_fit) AS BIGINT) AS n_chord_fit, CAST(count_if(beat_aligned) AS BIGINT) AS n_beat_aligned, count(lyric) AS n_lyric, round(min(start_time), 6) AS first_start, round(max(end_time), 6) AS last_end, any_value(b.key) AS key, any_value(format('{:.0f}%', b.score * 100)) AS key_score FROM done d JOIN best b ON b.song_id = d.song_id AND b.place = 1 GROUP BY d.song_id",
-    )
-)
+SUMMED = """
+tempo AS (SELECT song_id, max(bpm) AS bpm FROM beats GROUP BY song_id),
+summed AS (SELECT song_id, count(*) AS n_notes, CAST(count_if(pyin_agrees) AS BIGINT) AS n_pyin_agrees, CAST(count_if(chord_fit) AS BIGINT) AS n_chord_fit, CAST(count_if(beat_aligned) AS BIGINT) AS n_beat_aligned,
+  count(lyric) AS n_lyric, round(min(start_time), 6) AS first_start, round(max(end_time), 6) AS last_end FROM done GROUP BY song_id),
+all_songs AS (SELECT DISTINCT song_id FROM frames UNION SELECT -1 - i FROM range(3) AS r(i))"""
+SUMMARY = """
+SELECT a.song_id, coalesce(n_notes, 0) AS n_notes, coalesce(n_pyin_agrees, 0) AS n_pyin_agrees, coalesce(n_chord_fit, 0) AS n_chord_fit, coalesce(n_beat_aligned, 0) AS n_beat_aligned, coalesce(n_lyric, 0) AS n_lyric,
+  first_start, last_end, coalesce(b.key, 'Unknown') AS key, coalesce(format('{:.0f}%', b.score * 100), '0%') AS key_score, round(bpm, 6) AS bpm
+FROM all_songs a LEFT JOIN summed USING (song_id) LEFT JOIN best b ON b.song_id = a.song_id AND b.place = 1 LEFT JOIN tempo t ON t.song_id = a.song_id"""
+
+
+@query(with_(FULL_SUNG + "," + keyed("done", "best") + "," + SUMMED, SUMMARY))
 def song_summary(spark, sf_dir):
-    return T.song_summary(_transcribed(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("first_start", "last_end")})
+    """The summary of all songs, and of three that have no frames at all."""
+    frames = A.frames(spark, sf_dir)
+    songs = frames.select("song_id").union(spark.range(3).select((-1 - F.col("id")).alias("song_id")))
+    found = T.song_summary(_transcribed(spark, sf_dir), songs, align.tempo(A.beats(frames)))
+    return found.withColumns({c: F.round(c, 6) for c in ("first_start", "last_end", "bpm")})
 
 
 @query(with_(A.FRAMES_SQL, "SELECT song_id, count(*) AS n_frames, round(min(time), 6) AS min_time, round(max(time), 6) AS max_time, round(min(frequency), 6) AS min_frequency, round(max(frequency), 6) AS max_frequency, round(min(confidence), 6) AS min_confidence, round(max(confidence), 6) AS max_confidence FROM frames GROUP BY song_id"))

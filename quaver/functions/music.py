@@ -23,6 +23,15 @@ def valid_frequency(f: Column) -> Column:
     return (f > 0) & ~F.isnan(f) & (f < F.lit(float("inf")))
 
 
+def valid_time(t: Column) -> Column:
+    return t.isNotNull() & ~F.isnan(t) & (F.abs(t) < F.lit(float("inf")))
+
+
+def base_name(path: Column) -> Column:
+    """What follows the last separator of a path or URL."""
+    return F.regexp_extract(path, r"[^/\\]+$", 0)
+
+
 def midi_to_hz(midi: Column) -> Column:
     return F.lit(440.0) * F.pow(F.lit(2.0), (midi - F.lit(69.0)) / F.lit(12.0))
 

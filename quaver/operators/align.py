@@ -1,13 +1,16 @@
 """Aligning notes with other timelines: second estimates, chords, beats and lyrics.
 
-As-of and nearest joins put both sides in one sorted pass by song (a union and windows),
-so they cost one exchange and are linear. Interval joins meet on song and second,
-so that a long song is many keys.
+As-of and nearest joins put the events and the points of all timelines in one sorted
+pass by song (a union and windows), so that all of them together cost one exchange and
+are linear. Interval joins meet on song and second, so that a long song is many keys.
+Points and frames whose time is null or NaN are on no timeline and are left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -18,24 +21,65 @@ PENALTY = 0.85
 BEAT_TOLERANCE = 0.08
 
 
-def _neighbours(events: DataFrame, points: DataFrame, time: str, payload: Column, tie: str) -> DataFrame:
-    """Events with ``__prev`` and ``__next``: (time, payload) of the last point not after and the first not before them.
+class Timeline(NamedTuple):
+    """Points to align events with. Of points of one time, the last by ``tie`` is the previous and the first by it the next."""
+
+    points: DataFrame
+    time: str
+    payload: str | None = None
+    tie: str | None = None
+    #: whether the next point is wanted as well as the previous one
+    both: bool = True
+
+
+def neighbours(events: DataFrame, **timelines: Timeline) -> DataFrame:
+    """Events with ``__prev_<name>`` and, if wanted, ``__next_<name>`` for each timeline.
 
-    Of points of one time, the last by ``tie`` is the previous and the first by it the next.
+    These are structs (t, v), time and payload, of the last point not after and the first not before an event's start;
+    null where there is none. One exchange and two sorts, however many timelines there are.
     """
-    cols = events.columns
-    row = F.struct(*(F.col(c) for c in cols))
-    left = events.select("song_id", F.col("start_time").alias("__t"), F.lit(0).cast("long").alias("__tie"), row.alias("__e"), F.lit(None).alias("__p"))
-    right = points.select("song_id", F.col(time).alias("__t"), F.col(tie).cast("long").alias("__tie"), F.lit(None).alias("__e"), F.struct(F.col(time).alias("t"), payload.alias("v")).alias("__p"))
-    right = right.withColumn("__e", F.lit(None).cast(left.schema["__e"].dataType))
-    left = left.withColumn("__p", F.lit(None).cast(right.schema["__p"].dataType))
-    both = left.unionByName(right)
+    row = F.struct(*(F.col(f"`{c}`") for c in events.columns))
+    all_ = events.select("song_id", F.col("start_time").alias("__t"), F.lit(0).cast("long").alias("__tie"), row.alias("__e"))
+    for name, line in timelines.items():
+        tie = F.col(line.tie).cast("long") if line.tie else F.lit(0).cast("long")
+        point = F.struct(F.col(line.time).alias("t"), (F.col(line.payload) if line.payload else F.lit(True)).alias("v"))
+        points = line.points.where(M.valid_time(F.col(line.time))).select("song_id", F.col(line.time).alias("__t"), tie.alias("__tie"), point.alias(f"__{name}"))
+        all_ = all_.unionByName(points, allowMissingColumns=True)
     w = W.partitionBy("song_id")
-    order = [F.col("__t"), F.col("__e").isNotNull(), F.col("__tie")]  # points before events of the same time
-    before = w.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    after = w.orderBy(F.col("__t").desc(), F.col("__e").isNotNull(), F.col("__tie").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    both = both.withColumn("__prev", F.last("__p", ignorenulls=True).over(before)).withColumn("__next", F.last("__p", ignorenulls=True).over(after))
-    return both.where(F.col("__e").isNotNull()).select("__e.*", "__prev", "__next")
+    event = F.col("__e").isNotNull()  # points before events of the same time
+    before = w.orderBy("__t", event, "__tie").rowsBetween(W.unboundedPreceding, W.currentRow)
+    after = w.orderBy(F.col("__t").desc(), event, F.col("__tie").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = {f"__prev_{name}": F.last(f"__{name}", ignorenulls=True).over(before) for name in timelines}
+    found |= {f"__next_{name}": F.last(f"__{name}", ignorenulls=True).over(after) for name, line in timelines.items() if line.both}
+    return all_.withColumns(found).where(event).select("__e.*", *found)
+
+
+def annotate(events: DataFrame, chords: DataFrame | None = None, grid: DataFrame | None = None, lyrics: DataFrame | None = None, tolerance: float = BEAT_TOLERANCE) -> DataFrame:
+    """``chord_fit``, ``beat_aligned`` and ``lyric`` of the events, each where its timeline is given, in one pass.
+
+    chord_fit: whether the note is in the nearest chord (of two equally near, the earlier). beat_aligned: whether a point
+    of the grid is at most ``tolerance`` from the start. lyric: the line that is sung when the note starts.
+    """
+    lines, made = {}, {}
+    start = F.col("start_time")
+    if chords is not None:
+        # of chords of one time the first counts
+        first = chords.groupBy("song_id", "time").agg(F.min(F.struct("chord_idx", "chord_notes")).alias("c")).select("song_id", "time", "c.chord_idx", "c.chord_notes")
+        lines["chord"] = Timeline(first, "time", "chord_notes", "chord_idx")
+        before, after = start - F.col("__prev_chord.t"), F.col("__next_chord.t") - start
+        chord = F.when(F.coalesce(after < before, F.col("__prev_chord").isNull()), F.col("__next_chord.v")).otherwise(F.col("__prev_chord.v"))
+        made["chord_fit"] = F.coalesce(F.array_contains(chord, M.pitch_class_name(F.col("midi"))), F.lit(False))
+    if grid is not None:
+        lines["beat"] = Timeline(grid, "time")
+        off = F.least(F.abs(F.col("__prev_beat.t") - start), F.abs(F.col("__next_beat.t") - start))
+        made["beat_aligned"] = F.coalesce(off <= F.lit(tolerance), F.lit(False))
+    if lyrics is not None:
+        lines["lyric"] = Timeline(lyrics, "ts", "text", "line_no", both=False)
+        made["lyric"] = F.col("__prev_lyric.v")
+    if not lines:
+        return events
+    near = neighbours(events.drop(*made), **lines)
+    return near.withColumns(made).drop(*(c for c in near.columns if c.startswith(("__prev_", "__next_"))))
 
 
 def annotate_second_estimate(events: DataFrame, frames: DataFrame | None, cents: float = CENTS) -> DataFrame:
@@ -46,7 +90,8 @@ def annotate_second_estimate(events: DataFrame, frames: DataFrame | None, cents:
     if frames is None:
         return events
     second = lambda c: F.floor(c).cast("long")
-    points = frames.where(M.valid_frequency(F.col("frequency"))).select("song_id", second(F.col("time")).alias("__s"), F.col("time").alias("__time"), M.hz_to_midi(F.col("frequency")).alias("__m"))
+    valid = M.valid_frequency(F.col("frequency")) & M.valid_time(F.col("time"))
+    points = frames.where(valid).select("song_id", second(F.col("time")).alias("__s"), F.col("time").alias("__time"), M.hz_to_midi(F.col("frequency")).alias("__m"))
     spread = events.withColumn("__s", F.explode(F.sequence(second(F.col("start_time")), second(F.greatest("start_time", "end_time")))))
     met = spread.join(points, ["song_id", "__s"], "left").withColumn("__in", F.col("__time").between(F.col("start_time"), F.col("end_time")))
     agrees = F.col("__in") & (M.cents_apart(F.col("midi"), F.col("__m")) <= F.lit(cents))
@@ -58,15 +103,8 @@ def annotate_second_estimate(events: DataFrame, frames: DataFrame | None, cents:
 
 
 def annotate_chord_fit(events: DataFrame, chords: DataFrame | None) -> DataFrame:
-    """``chord_fit``: whether the note is in the nearest chord (of two equally near, the earlier). Without chords no column."""
-    if chords is None:
-        return events
-    # of chords of one time the first counts
-    first = chords.groupBy("song_id", "time").agg(F.min(F.struct("chord_idx", "chord_notes")).alias("c")).select("song_id", "time", "c.chord_idx", "c.chord_notes")
-    near = _neighbours(events.drop("chord_fit"), first, "time", F.col("chord_notes"), "chord_idx")
-    before, after = F.col("start_time") - F.col("__prev.t"), F.col("__next.t") - F.col("start_time")
-    chord = F.when(F.coalesce(after < before, F.col("__prev").isNull()), F.col("__next.v")).otherwise(F.col("__prev.v"))
-    return near.withColumn("chord_fit", F.coalesce(F.array_contains(chord, M.pitch_class_name(F.col("midi"))), F.lit(False))).drop("__prev", "__next")
+    """``chord_fit``; without chords no column."""
+    return annotate(events, chords=chords)
 
 
 def beat_subdivisions(beats: DataFrame, subdivisions: int = 4) -> DataFrame:
@@ -78,10 +116,16 @@ def beat_subdivisions(beats: DataFrame, subdivisions: int = 4) -> DataFrame:
 
 
 def annotate_beats(events: DataFrame, grid: DataFrame, tolerance: float = BEAT_TOLERANCE) -> DataFrame:
-    """``beat_aligned``: whether a point of the grid is at most ``tolerance`` from the start."""
-    near = _neighbours(events.drop("beat_aligned"), grid.withColumn("__k", F.lit(0)), "time", F.lit(0), "__k")
-    off = F.least(F.abs(F.col("__prev.t") - F.col("start_time")), F.abs(F.col("__next.t") - F.col("start_time")))
-    return near.withColumn("beat_aligned", F.coalesce(off <= F.lit(tolerance), F.lit(False))).drop("__prev", "__next")
+    """``beat_aligned``."""
+    return annotate(events, grid=grid, tolerance=tolerance)
+
+
+def tempo(beats: DataFrame) -> DataFrame:
+    """(song_id, bpm): the tempo that came with the beats, or else 60 s by the median beat interval; null below two beats."""
+    if "bpm" in beats.columns:
+        return beats.groupBy("song_id").agg(F.max("bpm").alias("bpm"))
+    step = F.col("time") - F.lag("time").over(W.partitionBy("song_id").orderBy("beat_idx"))
+    return beats.withColumn("__step", step).groupBy("song_id").agg((F.lit(60.0) / F.nullif(F.median("__step"), F.lit(0.0))).alias("bpm"))
 
 
 def chord_timeline(chroma: DataFrame, beats: DataFrame, sample_rate: int = 22050) -> DataFrame:
@@ -100,8 +144,9 @@ def chord_timeline(chroma: DataFrame, beats: DataFrame, sample_rate: int = 22050
 
 
 def align_lyrics(events: DataFrame, lyrics: DataFrame | None) -> DataFrame:
-    """``lyric``: the line that is sung when the note starts; null before the first, and for all without lyrics."""
-    if lyrics is None:
-        return events.drop("lyric").withColumn("lyric", F.lit(None).cast("string"))
-    near = _neighbours(events.drop("lyric"), lyrics, "ts", F.col("text"), "line_no")
-    return near.withColumn("lyric", F.col("__prev.v")).drop("__prev", "__next")
+    """``lyric``; null before the first line, and for all without lyrics."""
+    return without_lyrics(events) if lyrics is None else annotate(events, lyrics=lyrics)
+
+
+def without_lyrics(events: DataFrame) -> DataFrame:
+    return events.drop("lyric").withColumn("lyric", F.lit(None).cast("string"))

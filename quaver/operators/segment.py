@@ -34,7 +34,7 @@ def filter_by_confidence(frames: DataFrame, threshold: float = 0.85) -> DataFram
 
 
 def valid_frames(frames: DataFrame) -> DataFrame:
-    """Frames with a positive, finite frequency, and their MIDI number."""
+    """Frames with a positive, finite frequency, and their MIDI number. (A frame without a time is in no event, see ``segment_notes``.)"""
     return frames.where(M.valid_frequency(F.col("frequency"))).withColumn("midi", M.nearest_midi(F.col("frequency")))
 
 
@@ -44,11 +44,11 @@ def voiced_frames(frames: DataFrame) -> DataFrame:
 
 
 def segment_notes(frames: DataFrame, max_gap: float = 0.1) -> DataFrame:
-    """Events: runs of frames of one note, broken where two frames stand more than ``max_gap`` apart."""
+    """Events: runs of frames of one note, broken where two frames stand more than ``max_gap`` apart. Frames without a finite time are left out."""
     w = in_song("seq")
     gap = F.col("time") - F.lag("time").over(w) > F.lit(max_gap)
     new = F.coalesce((F.col("midi") != F.lag("midi").over(w)) | gap, F.lit(True))
-    runs = valid_frames(frames).withColumn("__new", new.cast("long")).withColumn("event_idx", F.sum("__new").over(_so_far("seq")) - 1)
+    runs = valid_frames(frames.where(M.valid_time(F.col("time")))).withColumn("__new", new.cast("long")).withColumn("event_idx", F.sum("__new").over(_so_far("seq")) - 1)
     events = runs.groupBy("song_id", "event_idx").agg(F.min("midi").alias("midi"), F.min_by("time", "seq").alias("start_time"), F.max_by("time", "seq").alias("end_time"), F.avg("confidence").alias("confidence"))
     return with_note(events)
 

@@ -25,23 +25,31 @@ def map_notes(frames: DataFrame, *, confidence_threshold: float = 0.85, transpos
     return segment.transpose(events, transpose)
 
 
-def transcribe(frames: DataFrame, *, grid: DataFrame | None = None, lyrics: DataFrame | None = None, **how) -> DataFrame:
-    """``map_notes`` and then beats and lyrics."""
-    events = map_notes(frames, **how)
-    if grid is not None:
-        events = align.annotate_beats(events, grid)
-    return align.align_lyrics(events, lyrics)
+def transcribe(frames: DataFrame, *, chords: DataFrame | None = None, grid: DataFrame | None = None, lyrics: DataFrame | None = None, transpose: int = 0, **how) -> DataFrame:
+    """``map_notes``, beats and lyrics. Chords, beats and lyrics are aligned in one pass, before transposition, which chords precede."""
+    events = align.annotate(map_notes(frames, **how), chords, grid, lyrics)
+    if lyrics is None:
+        events = align.without_lyrics(events)
+    return segment.transpose(events, transpose)
+
 
+def song_summary(events: DataFrame, songs: DataFrame | None = None, tempo: DataFrame | None = None) -> DataFrame:
+    """A row for each song: counts, the key of the events as they are, and time and confidence ranges.
 
-def song_summary(events: DataFrame) -> DataFrame:
-    """A row for each song: counts, the key of the events as they are, and time and confidence ranges."""
+    ``songs``: songs without events get a row as well, with counts of 0 and key Unknown; further columns of it (a song's
+    name, say) stay. ``tempo``: (song_id, bpm).
+    """
     flag = lambda c: F.count_if(F.col(c)).alias(f"n_{c}")
     more = [flag(c) for c in ("pyin_agrees", "chord_fit", "beat_aligned") if c in events.columns]
     more += [F.count("lyric").alias("n_lyric")] if "lyric" in events.columns else []
     ends = [F.min("start_time").alias("first_start"), F.max("end_time").alias("last_end")]
     counts = events.groupBy("song_id").agg(F.count(F.lit(1)).alias("n_notes"), *more, *ends, *keys.histogram())
     shown = [c for c in counts.columns if not c.startswith("__")]
-    return counts.select(*shown, *keys.best_keys()).select(*shown, "key", F.concat(M.rounded_text(F.col("score") * 100, 0), F.lit("%")).alias("key_score"))
+    out = counts.select(*shown, *keys.best_keys()).select(*shown, "key", F.concat(M.rounded_text(F.col("score") * 100, 0), F.lit("%")).alias("key_score"))
+    if songs is not None:
+        zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in out.columns if c.startswith("n_")}
+        out = songs.distinct().join(out, "song_id", "left").withColumns(zero | {"key": F.coalesce("key", F.lit(keys.UNKNOWN)), "key_score": F.coalesce("key_score", F.lit("0%"))})
+    return out if tempo is None else out.join(tempo, "song_id", "left")
 
 
 def frame_ranges(frames: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 FRAMES = "song_id bigint, seq bigint, time double, frequency double, confidence double"
 EVENTS = "song_id bigint, event_idx bigint, midi int, note string, start_time double, end_time double, confidence double"
-BEATS = "song_id bigint, beat_idx bigint, time double"
+BEATS = "song_id bigint, beat_idx bigint, time double, bpm double"
 SUBDIVISIONS = "song_id bigint, time double"
 CHROMA = "song_id bigint, frame int, pc int, energy double"
 CHORDS = "song_id bigint, chord_idx bigint, time double, chord_notes array<string>"

@@ -53,35 +53,39 @@ second AS (SELECT song_id, time, frequency * pow(CAST(2 AS DOUBLE), CASE WHEN re
 
 
 def beats(frames: DataFrame) -> DataFrame:
-    """A beat every 700 to 790 ms, by song, up to the last frame."""
+    """A beat every 700 to 790 ms, by song, up to the last frame, with the tempo."""
     ends = frames.groupBy("song_id").agg(F.max("time").alias("end")).withColumn("step", F.lit(700) + F.lit(10) * (F.col("song_id") % 10))
     count = F.floor(F.col("end") * 1000.0 / F.col("step")).cast("int")
-    return ends.select("song_id", "step", F.explode(F.sequence(F.lit(0), count)).alias("i")).select("song_id", F.col("i").cast("long").alias("beat_idx"), ((F.col("i") * F.col("step")).cast("double") / 1000.0).alias("time"))
+    return ends.select("song_id", "step", F.explode(F.sequence(F.lit(0), count)).alias("i")).select("song_id", F.col("i").cast("long").alias("beat_idx"), ((F.col("i") * F.col("step")).cast("double") / 1000.0).alias("time"), (F.lit(60_000.0) / F.col("step")).alias("bpm"))
 
 
 BEATS_SQL = """
-beats AS (SELECT song_id, i AS beat_idx, CAST(i * step AS DOUBLE) / CAST(1000 AS DOUBLE) AS time FROM (SELECT song_id, step, unnest(range(0, CAST(floor(e * 1000 / step) AS BIGINT) + 1)) AS i FROM (SELECT song_id, 700 + 10 * (song_id % 10) AS step, max(time) AS e FROM frames GROUP BY song_id)))"""
+beats AS (SELECT song_id, i AS beat_idx, CAST(i * step AS DOUBLE) / CAST(1000 AS DOUBLE) AS time, CAST(60000 AS DOUBLE) / step AS bpm FROM (SELECT song_id, step, unnest(range(0, CAST(floor(e * 1000 / step) AS BIGINT) + 1)) AS i FROM (SELECT song_id, 700 + 10 * (song_id % 10) AS step, max(time) AS e FROM frames GROUP BY song_id)))"""
 
 
 def lyric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LRC lines from conversations: the first line of each turn, 1.3 s apart."""
+    """LRC lines from conversations: each line of each turn, 1.3 s apart."""
     turns = table(spark, sf_dir, "conversations").withColumn("song_id", F.col("conv_id") % SONGS)
-    w = W.partitionBy("song_id").orderBy("conv_id", "turn", "role", "text")
+    turns = turns.select("song_id", "conv_id", "turn", "role", "text", F.posexplode(F.split("text", "\n")).alias("pos", "words"))
+    w = W.partitionBy("song_id").orderBy("conv_id", "turn", "role", "text", "pos")
     turns = turns.withColumn("line_no", F.row_number().over(w).cast("long")).withColumn("cs", F.col("line_no") * 130)
     stamp = F.format_string("[%02d:%02d.%02d]", F.floor(F.col("cs") / 6000) % 100, F.floor(F.col("cs") / 100) % 60, F.col("cs") % 100)
-    return turns.select("song_id", "line_no", F.concat(stamp, F.substring_index("text", "\n", 1)).alias("line"))
+    return turns.select("song_id", "line_no", F.concat(stamp, F.col("words")).alias("line"))
 
 
 LYRIC_LINES_SQL = """
-turns AS (SELECT conv_id % 40 AS song_id, row_number() OVER (PARTITION BY conv_id % 40 ORDER BY conv_id, turn, role, text) AS line_no, text FROM conversations),
-lyric_lines AS (SELECT song_id, line_no, '[' || lpad(CAST((line_no * 130 // 6000) % 100 AS VARCHAR), 2, '0') || ':' || lpad(CAST((line_no * 130 // 100) % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(line_no * 130 % 100 AS VARCHAR), 2, '0') || ']' || split_part(text, chr(10), 1) AS line FROM turns)"""
+split_turns AS (SELECT *, unnest(ws) AS words, unnest(range(len(ws))) AS pos FROM (SELECT *, string_split(text, chr(10)) AS ws FROM conversations)),
+turns AS (SELECT conv_id % 40 AS song_id, row_number() OVER (PARTITION BY conv_id % 40 ORDER BY conv_id, turn, role, text, pos) AS line_no, words FROM split_turns),
+lyric_lines AS (SELECT song_id, line_no, '[' || lpad(CAST((line_no * 130 // 6000) % 100 AS VARCHAR), 2, '0') || ':' || lpad(CAST((line_no * 130 // 100) % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(line_no * 130 % 100 AS VARCHAR), 2, '0') || ']' || words AS line FROM turns)"""
 
 
 def chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chroma frames from embeddings: a label is a song, a vector's first twelve numbers are a frame."""
+    """Chroma frames from embeddings: a label is a song, each twelve numbers of a vector are a frame (what is left over, a shorter one)."""
     w = W.partitionBy("label").orderBy("vec_id")
-    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("song_id"), (F.row_number().over(w) - 1).alias("frame"), F.slice("embedding", 1, 12).alias("e"))
-    return rows.select("song_id", "frame", F.posexplode("e").alias("pc", "energy")).withColumn("energy", F.col("energy").cast("double"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("song_id"), (F.row_number().over(w) - 1).alias("n"), F.col("embedding").alias("e"))
+    rows = rows.select("song_id", "n", F.ceil(F.size("e") / F.lit(12)).cast("int").alias("each"), F.posexplode("e").alias("p", "energy"))
+    frame = F.col("n") * F.col("each") + F.floor(F.col("p") / F.lit(12)).cast("int")
+    return rows.select("song_id", frame.alias("frame"), (F.col("p") % 12).alias("pc"), F.col("energy").cast("double").alias("energy"))
 
 
 def chroma_beats(chroma: DataFrame, sample_rate: int = 22050) -> DataFrame:
@@ -93,6 +97,6 @@ def chroma_beats(chroma: DataFrame, sample_rate: int = 22050) -> DataFrame:
 
 CHROMA_SQL = """
 vectors AS (SELECT CAST(label AS BIGINT) AS song_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, embedding FROM embeddings),
-chroma AS (SELECT song_id, frame, pc, CAST(embedding[pc + 1] AS DOUBLE) AS energy FROM vectors, (SELECT unnest(range(0, 12)) AS pc)),
+chroma AS (SELECT song_id, frame * ((len(embedding) + 11) // 12) + p // 12 AS frame, p % 12 AS pc, CAST(embedding[p + 1] AS DOUBLE) AS energy FROM (SELECT *, unnest(range(len(embedding))) AS p FROM vectors)),
 sizes AS (SELECT song_id, max(frame) + 1 AS n FROM chroma GROUP BY song_id),
 cbeats AS (SELECT song_id, i AS beat_idx, CAST(i AS DOUBLE) * CAST(0.25 AS DOUBLE) AS time FROM (SELECT song_id, unnest(range(0, CAST(floor(n * CAST(512 AS DOUBLE) / 22050 / CAST(0.25 AS DOUBLE)) AS BIGINT) + 1)) AS i FROM sizes))"""

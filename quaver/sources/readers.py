@@ -14,11 +14,11 @@ from ..functions import music as M
 
 
 def read_frames(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Pitch frames. JSON: one array of {time, frequency, confidence} a file, each file a song unless it has song_id."""
+    """Pitch frames. JSON: one array of {time, frequency, confidence} a file, each file a song unless it has song_id; ``source``: the file's name."""
     if fmt == "parquet":
         return spark.read.schema(schemas.FRAMES).parquet(path)
     raw = spark.read.schema("song_id bigint, seq bigint, time double, frequency double, confidence double").option("multiLine", True).json(path)
-    raw = raw.withColumn("song_id", F.coalesce("song_id", F.xxhash64(F.input_file_name()))).withColumn("__at", F.monotonically_increasing_id())
+    raw = raw.withColumn("source", M.base_name(F.input_file_name())).withColumn("song_id", F.coalesce("song_id", F.xxhash64(F.input_file_name()))).withColumn("__at", F.monotonically_increasing_id())
     order = W.partitionBy("song_id").orderBy("time", "__at")  # stable by time
     return raw.withColumn("seq", F.coalesce("seq", F.row_number().over(order).cast("long") - 1)).drop("__at")
 
@@ -33,6 +33,20 @@ def read_events(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     return raw.withColumn("midi", M.note_to_midi(F.col("note")).cast("int"))
 
 
+def read_beats(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Beats (song_id, beat_idx, time, and bpm if known). JSON: one {bpm, beat_times} a file, each file a song unless it has song_id."""
+    if fmt == "parquet":
+        return spark.read.parquet(path)
+    raw = spark.read.schema("song_id bigint, bpm double, beat_times array<double>").option("multiLine", True).json(path)
+    raw = raw.withColumn("song_id", F.coalesce("song_id", F.xxhash64(F.input_file_name())))
+    return raw.select("song_id", "bpm", F.posexplode("beat_times").alias("i", "time")).select("song_id", F.col("i").cast("long").alias("beat_idx"), "time", "bpm")
+
+
+def songs_of(frames: DataFrame) -> DataFrame:
+    """(song_id, and source if the frames have one): the songs of a table of frames."""
+    return frames.groupBy("song_id").agg(F.min("source").alias("source")) if "source" in frames.columns else frames.select("song_id").distinct()
+
+
 def notes_as_frames(notes: DataFrame) -> DataFrame:
     """Frames from a pitch model's notes (song_id, start_time, midi, amplitude): the start, the pitch in Hz, the amplitude, in order of time."""
     w = W.partitionBy("song_id").orderBy("start_time", "midi", "amplitude")
@@ -45,21 +59,24 @@ def parse_lrc(lines: DataFrame) -> DataFrame:
     tag = F.lit(False)
     for t in M.LRC_TAGS:
         tag = tag | line.startswith(t)
-    found = lines.where((line != "") & ~tag).select("song_id", "line_no", M.lrc_timestamp(line).alias("ts"), M.lrc_text(line).alias("text"))
+    named = ["source"] if "source" in lines.columns else []
+    found = lines.where((line != "") & ~tag).select("song_id", "line_no", M.lrc_timestamp(line).alias("ts"), M.lrc_text(line).alias("text"), *named)
     return found.where("ts is not null and text <> ''")
 
 
 def parse_lrc_content(contents: DataFrame, column: str = "content") -> DataFrame:
     """The same from (song_id, content) with whole files as strings; empty content gives no rows."""
-    return parse_lrc(contents.select("song_id", F.posexplode(F.split(column, "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long")))
+    named = ["source"] if "source" in contents.columns else []
+    return parse_lrc(contents.select("song_id", *named, F.posexplode(F.split(column, "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long")))
 
 
 def read_lrc(spark: SparkSession, path: str, require: bool = True) -> DataFrame:
-    """Lyrics of LRC files, each file a song (its id: a hash of the path). ValueError for another suffix or if no line is left."""
+    """Lyrics of LRC files, each file a song (its id: a hash of the path; ``source``: the file's name). ValueError for another suffix or if no line is left."""
     if not path.lower().rstrip("/*").endswith(".lrc") and "*" not in path and not _is_folder(spark, path):
         raise ValueError(f"lyrics must be .lrc files: {path}")
     files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.lrc").text(path)
-    found = parse_lrc_content(files.select(F.xxhash64(F.col("_metadata.file_path")).alias("song_id"), F.regexp_replace("value", "\r\n?", "\n").alias("content")))
+    files = files.select(F.xxhash64(F.col("_metadata.file_path")).alias("song_id"), M.base_name(F.col("_metadata.file_path")).alias("source"), F.regexp_replace("value", "\r\n?", "\n").alias("content"))
+    found = parse_lrc_content(files)
     if require and found.isEmpty():
         raise ValueError(f"no timed lyrics in {path}")
     return found

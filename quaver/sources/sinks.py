@@ -1,10 +1,11 @@
-"""Sinks: tables, CSV, JSON and leadsheets, as text for one song or as files for all."""
+"""Sinks: tables, CSV, JSON and leadsheets, as text for one song, or as files or lines for all."""
 
 from __future__ import annotations
 
 import csv
 import io
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -42,11 +43,19 @@ def table_rows(events: DataFrame) -> DataFrame:
     return events.select("song_id", "event_idx", F.concat_ws(" | ", F.col("note"), M.three(F.col("start_time")), M.three(F.col("end_time")), M.three(F.col("confidence")), lyric).alias("row"))
 
 
+def one_song(events: DataFrame, song_id: int | None = None) -> DataFrame:
+    """The events of the song, or of the only one. ValueError where several come without a choice: ``write`` and ``lines`` take those."""
+    if song_id is not None:
+        return events.where(F.col("song_id") == song_id)
+    if events.select("song_id").distinct().limit(2).count() > 1:
+        raise ValueError("name a song: the table has several")
+    return events
+
+
 def _rows(events: DataFrame, song_id: int | None) -> list[dict]:
     """One song's events, in order: what a person reads or a small file holds."""
-    one = events if song_id is None else events.where(F.col("song_id") == song_id)
     order = [c for c in ("song_id", "event_idx") if c in events.columns]
-    return [r.asDict(recursive=True) for r in one.orderBy(*order).select(*public_columns(events)).collect()]
+    return [r.asDict(recursive=True) for r in one_song(events, song_id).orderBy(*order).select(*public_columns(events)).collect()]
 
 
 def format_csv(events: DataFrame, song_id: int | None = None) -> str:
@@ -78,8 +87,7 @@ def format_table(events: DataFrame, song_id: int | None = None) -> str:
 
 
 def format_leadsheet(events: DataFrame, song_id: int | None = None) -> str:
-    one = events if song_id is None else events.where(F.col("song_id") == song_id)
-    sheets = [r.text for r in leadsheet.sheets(one).orderBy("song_id").collect()]
+    sheets = [r.text for r in leadsheet.sheets(one_song(events, song_id)).orderBy("song_id").collect()]
     return "\n\n".join(sheets) if sheets else "No note events."
 
 
@@ -101,16 +109,31 @@ def print_events(events: DataFrame, format_type: str = "table", song_id: int | N
     print(output(events, format_type, song_id=song_id))
 
 
+def lines(events: DataFrame, format_type: str = "table") -> Iterator[str]:
+    """All songs as lines of text, one partition at a time: the rows of a format, or the leadsheets, under a heading for each song."""
+    kind, now = format_type.lower(), None
+    if kind not in FORMATS:
+        raise ValueError(f"format {format_type!r} is none of {', '.join(FORMATS)}")
+    rows = leadsheet.sheets(events).orderBy("song_id") if kind == "leadsheet" else {"table": table_rows, "csv": csv_rows, "json": json_rows}[kind](events).orderBy("song_id", "event_idx")
+    for r in rows.toLocalIterator():
+        if r.song_id != now:
+            now = r.song_id
+            yield f"# {now}"
+        yield r.text if kind == "leadsheet" else r.row
+
+
 def write(events: DataFrame, path: str, format_type: str = "parquet", mode: str = "error") -> None:
-    """All songs as files, written by all tasks: parquet, json (a row a line), csv with header, or leadsheets (a row a song)."""
+    """All songs as files, written by all tasks: parquet, json (a row a line), csv with header, table (rows of cells), or leadsheets (a row a song)."""
     kind = format_type.lower()
     if kind == "csv":
         events.select("song_id", "event_idx", *public_columns(events)).write.mode(mode).option("header", True).option("emptyValue", "").option("nullValue", "").option("escape", '"').csv(path)
     elif kind == "json":
         events.write.mode(mode).option("ignoreNullFields", False).json(path)
+    elif kind == "table":
+        table_rows(events).repartition("song_id").sortWithinPartitions("song_id", "event_idx").write.mode(mode).option("header", True).csv(path)
     elif kind == "leadsheet":
         leadsheet.sheets(events).write.mode(mode).json(path)
     elif kind == "parquet":
         events.write.mode(mode).parquet(path)
     else:
-        raise ValueError(f"format {format_type!r} is none of parquet, json, csv, leadsheet")
+        raise ValueError(f"format {format_type!r} is none of parquet, table, json, csv, leadsheet")

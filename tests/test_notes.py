@@ -118,7 +118,7 @@ def test_second_estimate(spark):
 
 def test_chords(spark):
     chroma = spark.createDataFrame([(0, f, p, 1.0 if p in (0, 4, 7) else 0.05) for f in range(20) for p in range(12)], schemas.CHROMA)
-    beats = spark.createDataFrame([(0, i, t) for i, t in enumerate((0.0, 0.5, 1.0, 1.5))], schemas.BEATS)
+    beats = spark.createDataFrame([(0, i, t, 120.0) for i, t in enumerate((0.0, 0.5, 1.0, 1.5))], schemas.BEATS)
     out = align.chord_timeline(chroma, beats).orderBy("chord_idx").collect()
     assert len(out) == 4 and {n for r in out for n in r.chord_notes} == {"C", "E", "G"}
     assert align.chord_timeline(chroma, beats.limit(0)).count() == 0
@@ -130,7 +130,9 @@ def test_chords(spark):
 
 
 def test_beats(spark):
-    beats = spark.createDataFrame([(0, 0, 0.0), (0, 1, 0.5), (0, 2, 1.0), (0, 3, 1.5), (1, 0, 0.5)], schemas.BEATS)
+    beats = spark.createDataFrame([(0, 0, 0.0, 119.7), (0, 1, 0.5, 119.7), (0, 2, 1.0, 119.7), (0, 3, 1.5, 119.7), (1, 0, 0.5, None)], schemas.BEATS)
+    assert {r.song_id: r.bpm for r in align.tempo(beats).collect()} == {0: 119.7, 1: None}
+    assert {r.song_id: r.bpm for r in align.tempo(beats.drop("bpm")).collect()} == {0: 120.0, 1: None}
     subs = align.beat_subdivisions(beats)
     assert {r.song_id: r["count"] for r in subs.groupBy("song_id").count().collect()} == {0: 13, 1: 1}
     grid = spark.createDataFrame([(0, i * 0.125) for i in range(17)], schemas.SUBDIVISIONS)
@@ -169,3 +171,26 @@ def test_random_songs(spark):
 def test_one_exchange(spark):
     plan = T.map_notes(frames(spark, G1))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_one_pass_alignment(spark):
+    """All timelines at once give what each gives alone, in one exchange of the union."""
+    rng = random.Random(8)
+    df = events(spark, *[[(rng.randint(55, 75), t, t + 0.1, 0.9) for t in sorted(rng.uniform(0, 20) for _ in range(30))] for _ in range(3)])
+    chords = spark.createDataFrame([(s, i, rng.choice((0.5, 1.0)) * i, rng.sample(list(M.PITCH_CLASSES), 3)) for s in range(2) for i in range(12)], schemas.CHORDS)
+    grid = spark.createDataFrame([(s, i * 0.25) for s in range(3) for i in range(70)] + [(0, math.nan), (1, None)], schemas.SUBDIVISIONS)
+    lyrics = spark.createDataFrame([(s, i, rng.choice((1.0, 2.0)) * i, f"l{i}") for s in range(1, 3) for i in range(9)] + [(1, 99, math.nan, "no")], schemas.LYRICS)
+    cols = ("song_id", "event_idx", "chord_fit", "beat_aligned", "lyric")
+    alone = align.align_lyrics(align.annotate_beats(align.annotate_chord_fit(df, chords), grid), lyrics)
+    together = align.annotate(df, chords, grid, lyrics)
+    assert got(together, *cols) == got(alone, *cols) and together.columns == alone.columns
+    assert any(r[2] for r in got(together, *cols)) and any(r[3] for r in got(together, *cols)) and any(r[4] for r in got(together, *cols))
+    plan = together._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 2
+
+
+def test_times_that_are_none(spark):
+    song = [(0.0, 440, 0.9), (math.nan, 440, 0.9), (0.05, 440, 0.9), (math.inf, 440, 0.9)]
+    df = segment.segment_notes(segment.filter_by_confidence(frames(spark, song)))
+    assert got(df, "note", "start_time", "end_time") == [("A4", 0.0, 0.05)]
+    assert got(align.annotate_second_estimate(df, frames(spark, song)), "pyin_agrees") == [(True,)]

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from test_notes import events
 
 from quaver import __main__ as cli
+from quaver import schemas
+from quaver.functions import music as M
 from quaver.operators import align
 from quaver.sources import readers, sinks
 
@@ -124,3 +126,35 @@ def test_command_line(spark, tmp_path):
     args = ["--frames", str(tmp_path / "f"), "--lyrics", str(tmp_path / "a.lrc"), "--format", "leadsheet", "--output", str(tmp_path / "o.txt"), "--transpose", "0"]
     assert cli.main(args, spark) == 0 and (tmp_path / "o.txt").read_text() == "la\nA4"
     assert cli.main([*args, "--confidence", "2"], spark) == 1
+    assert cli.main(["--frames", str(tmp_path / "none")], spark) == 1
+
+
+def test_command_line_stages(spark, tmp_path, capsys):
+    """Chroma, beats with a tempo, lyrics that cannot be read (a warning only), and several songs in a folder."""
+    frames = [(s, i, i * 0.05, 440.0, 0.9 if s < 2 else 0.1) for s in range(3) for i in range(12)]
+    spark.createDataFrame(frames, schemas.FRAMES).write.parquet(str(tmp_path / "f"))
+    spark.createDataFrame([(s, i, i * 0.3, 100.0 + s) for s in range(3) for i in range(4)], schemas.BEATS).write.parquet(str(tmp_path / "b"))
+    spark.createDataFrame([(0, f, p, 1.0 if p in (9, 1, 4) else 0.0) for f in range(60) for p in range(12)], schemas.CHROMA).write.parquet(str(tmp_path / "c"))
+    more = ["--beats", str(tmp_path / "b"), "--chroma", str(tmp_path / "c"), "--lyrics", str(tmp_path / "no.txt"), "--transpose", "0"]
+    args = ["--frames", str(tmp_path / "f"), "--format", "csv", "--output", str(tmp_path / "o"), *more]
+    assert cli.main(args, spark) == 0 and "warning: lyrics" in capsys.readouterr().err
+    made = {r.song_id: r for r in spark.read.option("header", True).csv(str(tmp_path / "o")).collect()}
+    assert {i: (r.note, r.chord_fit, r.beat_aligned, r.lyric) for i, r in made.items()} == {"0": ("A4", "true", "true", None), "1": ("A4", "false", "true", None)}
+    rows = {r.song_id: r for r in spark.read.json(str(tmp_path / "o-summary")).collect()}
+    assert {i: (r.n_notes, r.key, r.bpm) for i, r in rows.items()} == {0: (1, "C major", 100.0), 1: (1, "C major", 101.0), 2: (0, "Unknown", 102.0)}
+    assert cli.main(["--frames", str(tmp_path / "f"), *more], spark) == 0
+    shown = capsys.readouterr()
+    assert shown.out.splitlines() == ["# 0", "A4 | 0.000 | 0.550 | 0.900 | ", "# 1", "A4 | 0.000 | 0.550 | 0.900 | "] and "key: Unknown, key_score: 0%, bpm: 102.0" in shown.err
+    with pytest.raises(ValueError):
+        sinks.output(spark.read.parquet(str(tmp_path / "f")), "json")
+
+
+def test_names_and_json_beats(spark, tmp_path):
+    (tmp_path / "My Song.json").write_text(json.dumps([{"time": 0.0, "frequency": 440.0, "confidence": 0.9}]))
+    assert [r.source for r in readers.songs_of(readers.read_frames(spark, str(tmp_path / "My Song.json"), "json")).collect()] in (["My Song.json"], ["My%20Song.json"])
+    (tmp_path / "x.lrc").write_text("[00:00.00]la")
+    assert readers.read_lrc(spark, str(tmp_path / "x.lrc")).first().source == "x.lrc"
+    (tmp_path / "b.json").write_text(json.dumps({"bpm": 120.0, "beat_times": [0.0, 0.5, 1.0]}))
+    assert [(r.beat_idx, r.time, r.bpm) for r in readers.read_beats(spark, str(tmp_path / "b.json"), "json").orderBy("beat_idx").collect()] == [(0, 0.0, 120.0), (1, 0.5, 120.0), (2, 1.0, 120.0)]
+    names = spark.createDataFrame([("/a/b.mp3",), ("c.wav",), ("C:\\d\\e.mp3",), ("x/",)], "p string").select(M.base_name(F.col("p")).alias("n"))
+    assert [r.n for r in names.collect()] == ["b.mp3", "c.wav", "e.mp3", ""]
