@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quaver.llm import decontaminate, mixing, near_dedup, pii, quality
 from quaver.llm.queries import PII_KEY, table
-from quaver.llm.workspace import materialize
+from quaver.llm.workspace import made, materialize, release
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages on ``documents``. An empty table gives an empty one; very long texts pass whole.
+
+    A stage's result stays until the next one is written; the tables that a stage has made on its way go at once.
+    """
+    docs, first = table(spark, sf_dir, "documents"), made(spark)
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark, since=first, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)

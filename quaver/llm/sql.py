@@ -4,8 +4,11 @@ OP1 = r"""
 WITH RECURSIVE p AS (SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 q AS (SELECT page_id, url, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
 rules(rh, rp, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
-links AS (SELECT url AS u, unnest([regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS l FROM pages),
+links AS (SELECT url AS u, unnest(list_concat(
+  list_transform(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda t: regexp_extract(t, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+  list_transform(regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda t: regexp_extract(t, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)))) AS l FROM pages WHERE html IS NOT NULL),
 full_links AS (SELECT u, CASE WHEN regexp_matches(l, '(?i)^https?://') THEN l WHEN starts_with(l, '//') THEN split_part(u, '://', 1) || ':' || l WHEN starts_with(l, '/') THEN regexp_extract(u, '(?s)^(.*?://[^/?#]*)', 1) || l
+  WHEN starts_with(l, '?') THEN regexp_extract(u, '(?s)^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1), ''), '/') || l
   WHEN NOT regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:|^[?#]') THEN regexp_extract(u, '(?s)^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*/)', 1), ''), '/') || l END AS l
   FROM (SELECT u, replace(l, '&amp;', '&') AS l FROM links WHERE l <> '')),
 names AS (SELECT DISTINCT x, CASE WHEN regexp_matches(regexp_extract(x, '(?s)^(.*?://[^/?#]*)', 1), '(?s)://.+') THEN translate(regexp_extract(x, '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || coalesce(nullif(regexp_extract(x, '(?s)^.*?://[^/?#]*([^#]*)', 1), ''), '/') END AS node

@@ -13,8 +13,9 @@ constant map inside the projection.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path, fits no rule
 and has no aliases. A page without HTML has no links. Links that name no URL, or
-are not to a web page, are left out. Repeated rows are judged alike. An empty table
-gives an empty one. Extra columns are not read.
+are not to a web page, are left out. Very long URLs and pages are read whole. Repeated
+rows are judged alike. Of rules of one length that fit, the last by name decides. An
+empty table gives an empty one. Extra columns are not read, whatever they are called.
 """
 
 from __future__ import annotations

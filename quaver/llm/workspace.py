@@ -42,11 +42,20 @@ def materialize(df: DataFrame, name: str = "t", by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables that ``materialize`` has written in this session, once their results are no longer read."""
+def made(spark: SparkSession) -> int:
+    """How many tables of this session there are."""
+    return sum(x[0] is spark for x in _made)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the tables that ``materialize`` has written in this session, once their results are no longer read.
+
+    ``since``: all but the first so many, as ``made`` has counted them; ``keep``: nor the last so many.
+    """
     mine = [x for x in _made if x[0] is spark]
-    for _, path in mine:
+    gone = mine[since : len(mine) - keep]
+    for _, path in gone:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _made[:] = [x for x in _made if x[0] is not spark]
-    return len(mine)
+    _made[:] = [x for x in _made if all(x is not g for g in gone)]
+    return len(gone)

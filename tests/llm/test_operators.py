@@ -13,7 +13,7 @@ import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from quaver.llm import components, decontaminate, katz, kernels, mixing, near_dedup, pii, preference, quality, toxicity, url_filter, warc, workspace
+from quaver.llm import components, decontaminate, katz, kernels, mixing, near_dedup, pii, preference, quality, sql, toxicity, url_filter, warc, workspace
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -117,6 +117,26 @@ def test_all_links_of_a_page(spark):
     assert got == {("http://x.org/d/e?q", x) for x in ("http://x.org/a", "http://x.org/d/e?p=2", "http://y.org/")} | {("http://z.org/", "http://z.org/?p")}
 
 
+def test_url_aliases_by_sql(spark):
+    """The query's SQL on pages that have aliases, which the given ones have not."""
+    import duckdb
+
+    rng = random.Random(111)
+    hosts = ["a.com", "b.com", "evil.net", "www.example.net", "example.com", "x.org"]
+    paths = ["", "/", "/en/x", "/de/y", "/fr/z?p=1", "/p/q#f"]
+    url = lambda: f"http://{rng.choice(hosts)}{rng.choice(paths)}"
+    link = lambda: rng.choice((url(), "/en/x", "r?a=1&amp;b=2", "?p=2", "//b.com/de/y", "#top", "mailto:x", ""))
+    tag = lambda: rng.choice((f'<link rel="canonical" href="{link()}">', f'<META http-equiv=refresh content="3; url={link()}">', "<p>"))
+    rows = [(i, rng.choice((url(), url(), url(), None, "nothing")), rng.choice(("".join(tag() for _ in range(rng.randint(0, 2))), None))) for i in range(40)] + [(40, url(), "x" * 100_000 + tag())]
+    made = url_filter.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    want = con.execute(f"SELECT {', '.join(made.columns)} FROM ({sql.OP1})").fetchall()
+    assert sorted(map(str, map(tuple, made.collect()))) == sorted(map(str, want))
+    assert any(r.alias_of for r in made.collect())
+
+
 def test_quality_metrics(spark, odd, empty):
     out = quality.quality_report(odd.select("doc_id", "source", "text", "kept", "n_words")).collect()
     assert len(out) == len(ODD) + 3
@@ -273,46 +293,56 @@ def test_index_is_selective(spark, monkeypatch):
 # 4
 
 
-def brute_katz(texts, train):
+def brute_katz(texts, train, order):
     tok = [(t or "").encode().lower().split() + [None] for t in texts]
-    c1, c2, cu = Counter(), Counter(), Counter()
-    for i in train:
-        u = 0
-        for w in tok[i]:
-            c1[w] += 1
-            c2[u, w] += 1
-            cu[u] += 1
-            u = w
-    hist = lambda c: [sum(x == r for x in c.values()) for r in range(1, katz.K + 2)]
-    d1, d2 = ([0, *katz.discounts(hist(c))] for c in (c1, c2))
-    total = sum(c1.values())
-    cap = lambda x: min(x, katz.K + 1)
-    unknown = 1 - sum(d1[cap(x)] * x for x in c1.values()) / total
-    p1 = lambda w: d1[cap(c1[w])] * c1[w] / total if w in c1 else unknown
-    after = defaultdict(list)
-    for (u, w), x in c2.items():
-        after[u].append((w, x))
-    alpha = {u: (1 - sum(d2[cap(x)] * x for _, x in s) / cu[u]) / (1 - sum(p1(w) for w, _ in s)) for u, s in after.items()}
-    p2 = lambda u, w: d2[cap(c2[u, w])] * c2[u, w] / cu[u] if c2.get((u, w)) else alpha.get(u, 1) * p1(w)
-    for u in [*list(after)[:5], "never"]:  # normalised: every known word, and the unknown one
-        assert abs(sum(p2(u, w) for w in c1) + alpha.get(u, 1) * unknown - 1) < 1e-9
+    grams = lambda words: [((0,) * (order - 1) + tuple(words))[i : i + order] for i in range(len(words))]  # noqa: E731  history and word
+    count = {n: Counter(g[-n:] for i in train for g in grams(tok[i])) for n in range(1, order + 1)}
+    after = {n: defaultdict(dict) for n in range(2, order + 1)}
+    for n in after:
+        for g, c in count[n].items():
+            after[n][g[:-1]][g[-1]] = c
+    d = {n: [0, *katz.discounts([sum(x == r for x in c.values()) for r in range(1, katz.K + 2)])] for n, c in count.items()}
+    total = sum(count[1].values())
+    part = lambda n, c: d[n][min(c, katz.K + 1)] * c
+    unknown = 1 - sum(part(1, c) for c in count[1].values()) / total
+    memo = {}
+
+    def alpha(h):
+        n = len(h) + 1
+        if h not in memo:
+            seen = after[n].get(h)
+            memo[h] = 1.0 if not seen else (1 - sum(part(n, c) for c in seen.values()) / sum(seen.values())) / (1 - sum(p(h[1:], w) for w in seen))
+        return memo[h]
+
+    def p(h, w):
+        if not h:
+            return part(1, count[1][w,]) / total if (w,) in count[1] else unknown
+        seen = after[len(h) + 1].get(h, {})
+        return part(len(h) + 1, seen[w]) / sum(seen.values()) if w in seen else alpha(h) * p(h[1:], w)
+
+    for n in after:  # normalised: every known word, and the unknown one
+        for h in [*list(after[n])[:4], ("never",) * (n - 1)]:
+            assert abs(sum(p(h, w) for (w,) in count[1]) + p(h, "no such word") - 1) < 1e-9
     out = []
     for t in tok:
-        u, s, b = 0, 0.0, 0.0
-        for w in t:
-            s, b, u = s + math.log10(p2(u, w)), b + math.log10((c1.get(w, 0) + 0.5) / (total + 0.5 * (len(c1) + 1))), w
-        out.append((len(t), sum(w in c1 for w in t), total, b, s))
+        s = sum(math.log10(p(g[:-1], g[-1])) for g in grams(t))
+        b = sum(math.log10((count[1].get((w,), 0) + 0.5) / (total + 0.5 * (len(count[1]) + 1))) for w in t)
+        out.append((len(t), sum((w,) in count[1] for w in t), total, b, s))
     return out
 
 
-@pytest.mark.parametrize(("dictionary", "least"), [(1 << 17, 1000), (20, 5)])
-def test_katz(spark, dictionary, least):
+@pytest.mark.parametrize(("order", "dictionary", "least", "turn"), [(2, 1 << 17, 1000, 1 << 19), (2, 20, 5, 100), (3, 1 << 17, 1000, 1 << 19), (3, 20, 5, 100), (3, 60, 2, 40), (4, 20, 5, 100)])
+def test_katz(spark, monkeypatch, order, dictionary, least, turn):
+    """Whole dictionaries and small ones, and turns so small that words, pairs and longer n-grams are hot."""
+    monkeypatch.setattr(katz, "TURN_TOKENS", turn)
     rng = random.Random(5)
-    texts = [None, "", "  ", *(prose(rng, rng.randint(1, 60), 80) for _ in range(60)), "unseen words only", "w1 " * 500]
+    texts = [None, "", "  ", *(prose(rng, rng.randint(1, 60), 80) for _ in range(60)), "unseen words only", "w1 " * 500, "w1 w2 w3 w1 w2 w3 w4 " * 60, "w2 w1 nobody w1 w2 w3 w9"]
+    texts += ["w1 w2 w3 " * 20] * 3
     train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 != 1]
     docs = frame(spark, texts).withColumn("rid", F.lit("x"))
-    out = {r.id: r for r in katz.score(docs, dictionary=dictionary, least=least).collect()}
-    for i, (n, known, total, base, score) in enumerate(brute_katz(texts, train)):
+    out = {r.id: r for r in katz.score(docs, order=order, dictionary=dictionary, least=least).collect()}
+    assert len(out) == len(texts)
+    for i, (n, known, total, base, score) in enumerate(brute_katz(texts, train, order)):
         r = out[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, total, i not in train)
         assert abs(r.base_score - base) < 1e-6 and abs(r.score - score) < 1e-6
@@ -800,4 +830,9 @@ def test_many_names(spark):
 
 
 def test_release(spark):
+    before = workspace.made(spark)
+    kept = [workspace.materialize(spark.range(n)) for n in (1, 2, 3)]
+    assert workspace.release(spark, since=before, keep=1) == 2 and kept[2].count() == 3
+    with pytest.raises(Exception, match="(?i)exist|not.found"):
+        kept[0].collect()
     assert workspace.release(spark) > 0 and workspace.release(spark) == 0

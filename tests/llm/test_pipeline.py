@@ -39,6 +39,13 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert abs(sum(len(r.text.split()) for r in out) - 1.5 * words) < 3 * 100
 
 
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    frame(spark, ["x"]).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, "an item")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(set(queries.oracle_sql())))
 def test_query_against_sql(spark, name):
