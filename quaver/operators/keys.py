@@ -42,7 +42,9 @@ def detect_key(events: DataFrame, songs: DataFrame | None = None) -> DataFrame:
     if songs is None:
         return found
     none = F.array().cast("array<struct<key: string, score: double>>")
-    return songs.select("song_id").distinct().join(found, "song_id", "left").select("song_id", F.coalesce("key", F.lit(UNKNOWN)).alias("key"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("candidates", none).alias("candidates"))
+    every = songs.select("song_id").distinct().join(found, "song_id", "left")
+    filled = {"key": F.lit(UNKNOWN), "score": F.lit(0.0), "candidates": none}
+    return every.select("song_id", *(F.coalesce(c, other).alias(c) for c, other in filled.items()))
 
 
 def scale_of(key: Column) -> Column:

@@ -20,7 +20,9 @@ def grouped(events: DataFrame) -> DataFrame:
     other = ~F.col("lyric").eqNullSafe(F.lag("lyric").over(w))
     far = F.col("start_time") - F.lag("start_time").over(w) > F.lit(LONG_GAP)
     new = F.when(first, False).when(F.col("__sung"), other).otherwise(far)
-    return events.withColumn("__sung", sung).withColumn("__new", new.cast("long")).withColumn("grp", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("__new").withColumnRenamed("__sung", "sung")
+    marked = events.withColumn("__sung", sung).withColumn("__new", new.cast("long"))
+    grp = F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return marked.withColumn("grp", grp).drop("__new").withColumnRenamed("__sung", "sung")
 
 
 def group_lines(events: DataFrame) -> DataFrame:
@@ -37,4 +39,5 @@ def sheets(events: DataFrame) -> DataFrame:
     lines = group_lines(events)
     block = F.concat(F.when(F.col("sung") & (F.coalesce("lyric", F.lit("")) != ""), F.concat("lyric", F.lit("\n"))).otherwise(""), F.col("notes"))
     blocks = F.sort_array(F.collect_list(F.struct("grp", block.alias("b"))))["b"]
-    return lines.groupBy("song_id").agg(F.array_join(blocks, "\n\n").alias("__a"), F.array_join(blocks, "\n").alias("__b"), F.first("sung").alias("__s")).select("song_id", F.when(F.col("__s"), F.col("__a")).otherwise(F.col("__b")).alias("text"))
+    both = lines.groupBy("song_id").agg(F.array_join(blocks, "\n\n").alias("__a"), F.array_join(blocks, "\n").alias("__b"), F.first("sung").alias("__s"))
+    return both.select("song_id", F.when(F.col("__s"), F.col("__a")).otherwise(F.col("__b")).alias("text"))

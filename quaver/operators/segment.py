@@ -49,7 +49,8 @@ def segment_notes(frames: DataFrame, max_gap: float = 0.1) -> DataFrame:
     gap = F.col("time") - F.lag("time").over(w) > F.lit(max_gap)
     new = F.coalesce((F.col("midi") != F.lag("midi").over(w)) | gap, F.lit(True))
     runs = valid_frames(frames.where(M.valid_time(F.col("time")))).withColumn("__new", new.cast("long")).withColumn("event_idx", F.sum("__new").over(_so_far("seq")) - 1)
-    events = runs.groupBy("song_id", "event_idx").agg(F.min("midi").alias("midi"), F.min_by("time", "seq").alias("start_time"), F.max_by("time", "seq").alias("end_time"), F.avg("confidence").alias("confidence"))
+    ends = F.min_by("time", "seq").alias("start_time"), F.max_by("time", "seq").alias("end_time")
+    events = runs.groupBy("song_id", "event_idx").agg(F.min("midi").alias("midi"), *ends, F.avg("confidence").alias("confidence"))
     return with_note(events)
 
 
@@ -73,7 +74,8 @@ def merge_flickers(events: DataFrame, max_gap: float = 0.08) -> DataFrame:
     joined = (F.col("midi") == F.lag("midi").over(w)) & (gap >= 0) & (gap <= F.lit(max_gap))
     runs = events.withColumn("__new", (~F.coalesce(joined, F.lit(False))).cast("long")).withColumn("__run", F.sum("__new").over(_so_far("event_idx")) - 1)
     in_order = F.sort_array(F.collect_list(F.struct("event_idx", "confidence")))["confidence"]
-    merged = runs.groupBy("song_id", F.col("__run").alias("event_idx")).agg(F.min("midi").alias("midi"), F.min_by("start_time", "event_idx").alias("start_time"), F.max_by("end_time", "event_idx").alias("end_time"), in_order.alias("__c"))
+    ends = F.min_by("start_time", "event_idx").alias("start_time"), F.max_by("end_time", "event_idx").alias("end_time")
+    merged = runs.groupBy("song_id", F.col("__run").alias("event_idx")).agg(F.min("midi").alias("midi"), *ends, in_order.alias("__c"))
     folded = F.aggregate(F.slice("__c", F.lit(2), F.size("__c")), F.get("__c", F.lit(0)), lambda a, c: (a + c) / 2)
     return with_note(merged.withColumn("confidence", folded).drop("__c"))
 

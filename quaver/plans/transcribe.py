@@ -10,7 +10,16 @@ from ..functions import music as M
 from ..operators import align, keys, segment
 
 
-def map_notes(frames: DataFrame, *, confidence_threshold: float = 0.85, transpose: int = 0, apply_key_filter: bool = True, smooth: bool = True, second_frames: DataFrame | None = None, chords: DataFrame | None = None) -> DataFrame:
+def map_notes(
+    frames: DataFrame,
+    *,
+    confidence_threshold: float = 0.85,
+    transpose: int = 0,
+    apply_key_filter: bool = True,
+    smooth: bool = True,
+    second_frames: DataFrame | None = None,
+    chords: DataFrame | None = None,
+) -> DataFrame:
     """Filter, segment, keep to the key, smooth, annotate, transpose: in this order, as the results depend on it.
 
     The key filter works on concert pitch, before transposition.
@@ -25,7 +34,15 @@ def map_notes(frames: DataFrame, *, confidence_threshold: float = 0.85, transpos
     return segment.transpose(events, transpose)
 
 
-def transcribe(frames: DataFrame, *, chords: DataFrame | None = None, grid: DataFrame | None = None, lyrics: DataFrame | None = None, transpose: int = 0, **how) -> DataFrame:
+def transcribe(
+    frames: DataFrame,
+    *,
+    chords: DataFrame | None = None,
+    grid: DataFrame | None = None,
+    lyrics: DataFrame | None = None,
+    transpose: int = 0,
+    **how,
+) -> DataFrame:
     """``map_notes``, beats and lyrics. Chords, beats and lyrics are aligned in one pass, before transposition, which chords precede."""
     events = align.annotate(map_notes(frames, **how), chords, grid, lyrics)
     if lyrics is None:

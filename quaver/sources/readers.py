@@ -27,7 +27,8 @@ def read_events(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     """Note events. JSON: one array of {note, start_time, end_time, confidence, ...} a file, in order."""
     if fmt == "parquet":
         return spark.read.parquet(path)
-    raw = spark.read.schema("song_id bigint, event_idx bigint, note string, start_time double, end_time double, confidence double, lyric string, pyin_agrees boolean, chord_fit boolean, beat_aligned boolean").option("multiLine", True).json(path)
+    flags = "pyin_agrees boolean, chord_fit boolean, beat_aligned boolean"
+    raw = spark.read.schema(f"song_id bigint, event_idx bigint, note string, start_time double, end_time double, confidence double, lyric string, {flags}").option("multiLine", True).json(path)
     raw = raw.withColumn("song_id", F.coalesce("song_id", F.xxhash64(F.input_file_name()))).withColumn("__at", F.monotonically_increasing_id())
     raw = raw.withColumn("event_idx", F.coalesce("event_idx", F.row_number().over(W.partitionBy("song_id").orderBy("__at")).cast("long") - 1)).drop("__at")
     return raw.withColumn("midi", M.note_to_midi(F.col("note")).cast("int"))
@@ -50,7 +51,8 @@ def songs_of(frames: DataFrame) -> DataFrame:
 def notes_as_frames(notes: DataFrame) -> DataFrame:
     """Frames from a pitch model's notes (song_id, start_time, midi, amplitude): the start, the pitch in Hz, the amplitude, in order of time."""
     w = W.partitionBy("song_id").orderBy("start_time", "midi", "amplitude")
-    return notes.select("song_id", (F.row_number().over(w).cast("long") - 1).alias("seq"), F.col("start_time").alias("time"), M.midi_to_hz(F.col("midi")).alias("frequency"), F.col("amplitude").alias("confidence"))
+    seq = (F.row_number().over(w).cast("long") - 1).alias("seq")
+    return notes.select("song_id", seq, F.col("start_time").alias("time"), M.midi_to_hz(F.col("midi")).alias("frequency"), F.col("amplitude").alias("confidence"))
 
 
 def parse_lrc(lines: DataFrame) -> DataFrame:
@@ -75,7 +77,8 @@ def read_lrc(spark: SparkSession, path: str, require: bool = True) -> DataFrame:
     if not path.lower().rstrip("/*").endswith(".lrc") and "*" not in path and not _is_folder(spark, path):
         raise ValueError(f"lyrics must be .lrc files: {path}")
     files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.lrc").text(path)
-    files = files.select(F.xxhash64(F.col("_metadata.file_path")).alias("song_id"), M.base_name(F.col("_metadata.file_path")).alias("source"), F.regexp_replace("value", "\r\n?", "\n").alias("content"))
+    at = F.col("_metadata.file_path")
+    files = files.select(F.xxhash64(at).alias("song_id"), M.base_name(at).alias("source"), F.regexp_replace("value", "\r\n?", "\n").alias("content"))
     found = parse_lrc_content(files)
     if require and found.isEmpty():
         raise ValueError(f"no timed lyrics in {path}")
