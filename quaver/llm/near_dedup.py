@@ -58,11 +58,11 @@ MISS = 1e-7
 SKETCH = 1 << 16
 #: Lists are long from this count on, or from LONG_X times the mean counter.
 LONG, LONG_X = 400, 4
-BLOCK = 512
+BLOCK = 256
 #: Coordinates of each round of merging, and how many members stand for a component after the first.
 ROUNDS = ((0, 2), (2, COORDS))
 SAMPLE = 8
-#: Ids of classes that need their texts are broadcast up to this number.
+#: Tables of at most this many ids are broadcast.
 BROADCAST_IDS = 500_000
 
 _A = stream64(COORDS, 21) | np.uint64(1)
@@ -151,7 +151,7 @@ def _posts(batches: Iterator[pa.RecordBatch], long_lists: np.ndarray, sizes: np.
         row, at = np.nonzero(take)
         coord = order[row, at]
         token = (coord.astype(np.int64) << 32) | sig[row, coord].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(token), batch.column(0).take(pa.array(row))], names=["token", "cls"])
+        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(batch.column(0).to_numpy()[row])], names=["token", "cls"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -178,7 +178,7 @@ class Group:
     """Classes of a list that meet in one pair of blocks: (token, bi, bj, blk, cls, comp, n, sig), and perhaps their texts."""
 
     def __init__(self, g: pa.Table, long_lists: np.ndarray, sizes: np.ndarray, share: int) -> None:
-        self.cls, self.comp = g.column(4).combine_chunks(), g.column(5).combine_chunks().dictionary_encode().indices.to_numpy()
+        self.cls, self.comp = g.column(4).to_numpy(), g.column(5).to_numpy()
         blk, n, sig = g.column(3).to_numpy(), g.column(6).to_numpy(), _sig_matrix(g.column(7))
         coord, m = g.column(0)[0].as_py() >> 32, len(g)
         hot = long_lists[_buckets(sig)]
@@ -211,7 +211,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], long_lists: np.ndarray, sizes
 
 
 def _links(batches: Iterator[pa.RecordBatch], long_lists: np.ndarray, sizes: np.ndarray, share: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Confirmed links of each group that connect what no earlier link of the group connects."""
+    """Components between which a confirmed link of the group is, where no earlier link of the group connects them."""
     for g in _runs(batches, 3):
         if len(g) < 2:
             continue
@@ -235,13 +235,17 @@ def _links(batches: Iterator[pa.RecordBatch], long_lists: np.ndarray, sizes: np.
                 for j in part[100 * common >= share * (size[i] + size[part] - common)]:
                     if label[j] != label[i]:
                         label[label == label[j]] = label[i]
-                        left.append(i)
-                        right.append(j)
+                        left.append(group.comp[i])
+                        right.append(group.comp[j])
         if left:
-            yield pa.RecordBatch.from_arrays([group.cls.take(pa.array(left)), group.cls.take(pa.array(right))], names=["src", "dst"])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["src", "dst"])
 
 
-_GROUP = "token long, bi long, bj long, blk long, cls binary, comp binary, n long, sig binary"
+_GROUP = "token long, bi long, bj long, blk long, cls long, comp long, n long, sig binary"
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
 
 
 class Merger:
@@ -257,7 +261,7 @@ class Merger:
         self.long_lists = counts >= max(LONG, LONG_X * counts.mean())
         self.sizes = np.array(prefix_sizes(share / 100))
         long_lists, sizes = self.long_lists, self.sizes
-        posts = classes.select("cls", "sig").mapInArrow(lambda b: _posts(b, long_lists, sizes), "token long, cls binary")
+        posts = classes.select("cls", "sig").mapInArrow(lambda b: _posts(b, long_lists, sizes), "token long, cls long")
         self.posts = materialize(posts, "posts")
         self.components: DataFrame | None = None
         self.whole: list[DataFrame] = []
@@ -271,8 +275,7 @@ class Merger:
             lists = own.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
         else:
             own = own.join(self.components, F.col("cls") == F.col("node"), "left").select("token", "cls", F.coalesce("component", "cls").alias("comp"))
-            h = F.xxhash64("comp")
-            lists = own.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(h).alias("a"), F.max(h).alias("b")).where("a <> b")
+            lists = own.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b")
         return own.join(lists.select("token", "c"), "token")
 
     def merge(self, groups: DataFrame) -> None:
@@ -283,26 +286,27 @@ class Merger:
         rows = rows.repartition(parts, *keys).sortWithinPartitions(*keys, "cls")
         found = materialize(rows.mapInArrow(lambda b: _candidates(b, long_lists, sizes, share), _GROUP), "candidates")
         wanted = self.classes.select("cls", "rep", "th").join(found.select("cls").distinct(), "cls", "left_semi")
-        if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # else all texts are shuffled
-            wanted = F.broadcast(wanted)
-        # one text for each class, however often its row is repeated
-        texts = self.texts.join(wanted, ["rep", "th"]).groupBy("cls").agg(F.first("text").alias("text"))
+        # one text for each class, however often its row is repeated; if the wanted are many, all texts are shuffled
+        texts = self.texts.join(broadcast_if_small(wanted), ["rep", "th"]).groupBy("cls").agg(F.first("text").alias("text"))
         full = found.join(texts, "cls").select(*keys, "blk", "cls", "comp", "n", "sig", "text").repartition(parts, *keys).sortWithinPartitions(*keys, "cls")
-        links = full.mapInArrow(lambda b: _links(b, long_lists, sizes, share, k), "src binary, dst binary")
-        if self.components is not None:
-            links = links.union(self.components.select("node", "component"))
-        self.components = materialize(connected_components(links), "components")
+        links = materialize(full.mapInArrow(lambda b: _links(b, long_lists, sizes, share, k), "src long, dst long"), "links")
+        merged = connected_components(links)
+        if self.components is not None:  # links are between components: those that go on go on with all their members
+            onto = merged.select(F.col("node").alias("component"), F.col("component").alias("onto"))
+            old = self.components.join(broadcast_if_small(onto), "component", "left").select("node", F.coalesce("onto", "component").alias("component"))
+            merged = old.union(merged.join(self.components.select("node"), "node", "left_anti"))
+        self.components = materialize(merged, "components")
 
     def round(self, low: int, high: int) -> None:
         """Compare members inside blocks of their lists; from the second round on, a few for each component."""
         own = self.members(low, high)
         if self.components is not None:
-            some = W.Window.partitionBy("token", "comp").orderBy(F.xxhash64("cls"), "cls")
+            some = W.Window.partitionBy("token", "comp").orderBy(F.xxhash64("cls", "token"), "cls")
             own = own.withColumn("place", F.row_number().over(some)).where(F.col("place") <= SAMPLE).drop("place")
         own = materialize(own, "members")
         lists = own.groupBy("token").agg(F.count(F.lit(1)).alias("taken"), F.first("c").alias("of"))
         self.whole.append(lists.where((F.col("taken") == F.col("of")) & (F.col("taken") <= BLOCK)).select("token"))
-        blk = F.pmod(F.xxhash64("cls", F.lit(low)), F.ceil(F.col("taken") / F.lit(BLOCK)))
+        blk = F.pmod(F.xxhash64("cls", "token"), F.ceil(F.col("taken") / F.lit(BLOCK)))  # other neighbours in every list
         cut = own.join(lists, "token").withColumn("blk", blk)
         self.merge(cut.select("token", F.col("blk").alias("bi"), F.col("blk").alias("bj"), "blk", "cls", "comp"))
 
@@ -342,13 +346,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     each = materialize(profiles(docs, doc_id, text, k), "profiles")
     full = each.where((F.col("n") > 0) & F.col("id").isNotNull())
     one = full.groupBy("fa", "fb").agg(F.min(F.struct("id", "th")).alias("m"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    cls = F.unhex(F.concat(F.lpad(F.hex("fa"), 16, "0"), F.lpad(F.hex("fb"), 16, "0")))
-    classes = materialize(one.select(cls.alias("cls"), "fa", "fb", F.col("m.id").alias("rep"), F.col("m.th").alias("th"), "n", "sig"), "classes")
+    number = F.monotonically_increasing_id()  # written with the class, so it stays
+    classes = materialize(one.select(number.alias("cls"), "fa", "fb", F.col("m.id").alias("rep"), F.col("m.th").alias("th"), "n", "sig"), "classes")
     comps = similar_components(classes, docs, doc_id, text, share, k)
     joined = classes.select("cls", "fa", "fb", "rep").join(comps, F.col("cls") == F.col("node"), "left")
     joined = materialize(joined.select("fa", "fb", "rep", "component"), "joined")
     smallest = joined.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
-    reps = joined.join(smallest, "component", "left").select("fa", "fb", F.coalesce("least", "rep").alias("component"))
+    reps = joined.join(broadcast_if_small(smallest), "component", "left").select("fa", "fb", F.coalesce("least", "rep").alias("component"))
     same = (each.fa == reps.fa) & (each.fb == reps.fb) & (each.n > 0) & each.id.isNotNull()
     out = each.join(reps, same, "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(True)))

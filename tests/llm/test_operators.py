@@ -550,7 +550,7 @@ def test_near_duplicates(spark):
     assert all(out[i].n_shingles == len(sets[i]) and out[i].kept == (want[i] == i) for i in out)
 
 
-@pytest.mark.parametrize(("block", "sample"), [(8, 8), (8, 1), (4, 2)])
+@pytest.mark.parametrize(("block", "sample"), [(8, 1), (4, 3)])
 def test_long_lists(spark, monkeypatch, block, sample):
     """Hot lists in blocks, few members for a component: the same components. The copies drift, so that members of one are not alike."""
     monkeypatch.setattr(near_dedup, "BLOCK", block)
