@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, katz, mixing, near_dedup, pii, preference, quality, sql, toxicity, url_filter, warc
+from .workspace import materialize
 
 #: Key of the surrogates in the registered query; production runs bring their own.
 PII_KEY = "quaver-demonstration-key"
@@ -48,7 +49,7 @@ def _spans(c: str) -> Column:
 def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation against itself with another's last reply, so that every pair has a prompt."""
     turns = table(spark, sf_dir, "conversations")
-    rejected = preference.other_replies(turns)
+    rejected = materialize(preference.other_replies(turns), "rejected")
     pairs = rejected.select(F.col("conv_id").alias("chosen_id"), F.col("conv_id").alias("rejected_id")).distinct()
     found = preference.format_pairs(turns, pairs, rejected_turns=rejected)
     return found.select("chosen_id", "rejected_id", "n_common", "prompt", "chosen", _spans("chosen_spans"), "rejected", _spans("rejected_spans"))
