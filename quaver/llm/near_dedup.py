@@ -276,7 +276,7 @@ class Merger:
         else:
             own = own.join(self.components, F.col("cls") == F.col("node"), "left").select("token", "cls", F.coalesce("component", "cls").alias("comp"))
             lists = own.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b")
-        return own.join(lists.select("token", "c"), "token")
+        return own.join(broadcast_if_small(materialize(lists.select("token", "c"), "lists")), "token")
 
     def merge(self, groups: DataFrame) -> None:
         """Confirm the links of the groups (token, bi, bj, blk, cls, comp) and contract them."""
@@ -304,17 +304,17 @@ class Merger:
             some = W.Window.partitionBy("token", "comp").orderBy(F.xxhash64("cls", "token"), "cls")
             own = own.withColumn("place", F.row_number().over(some)).where(F.col("place") <= SAMPLE).drop("place")
         own = materialize(own, "members")
-        lists = own.groupBy("token").agg(F.count(F.lit(1)).alias("taken"), F.first("c").alias("of"))
+        lists = materialize(own.groupBy("token").agg(F.count(F.lit(1)).alias("taken"), F.first("c").alias("of")), "lists")
         self.whole.append(lists.where((F.col("taken") == F.col("of")) & (F.col("taken") <= BLOCK)).select("token"))
         blk = F.pmod(F.xxhash64("cls", "token"), F.ceil(F.col("taken") / F.lit(BLOCK)))  # other neighbours in every list
-        cut = own.join(lists, "token").withColumn("blk", blk)
+        cut = own.join(broadcast_if_small(lists), "token").withColumn("blk", blk)  # few lists: a long one stays spread
         self.merge(cut.select("token", F.col("blk").alias("bi"), F.col("blk").alias("bj"), "blk", "cls", "comp"))
 
     def rest(self) -> None:
         """Compare all that is in one list and in different components, where the list was not compared as a whole."""
         own = self.members()
         for done in self.whole:
-            own = own.join(done, "token", "left_anti")
+            own = own.join(broadcast_if_small(done), "token", "left_anti")
         own = materialize(own, "members")
         if own.isEmpty():
             return
@@ -325,11 +325,11 @@ class Merger:
         sizes = sizes.join(few, "token", "left").select("token", "comp", F.when(F.col("m") > large, F.col("comp")).alias("pure"), "m", "few")
         pieces = F.ceil(F.when(F.col("pure").isNotNull(), F.col("m")).otherwise(F.col("few")) / F.lit(BLOCK))
         piece = F.pmod(F.when(F.col("pure").isNotNull(), F.xxhash64("cls")).otherwise(F.xxhash64("comp")), pieces)
-        own = materialize(own.join(sizes, ["token", "comp"]).select("token", "cls", "comp", "pure", F.xxhash64("pure", piece).alias("blk")), "blocks")
-        blocks = own.groupBy("token").agg(F.collect_set(F.struct("blk", "pure")).alias("all"))
-        other = F.filter("all", lambda x: F.coalesce(x["pure"] != F.col("pure"), F.lit(True)))
-        met = own.join(blocks, "token").withColumn("o", F.explode(other))
-        self.merge(met.select("token", F.least("blk", "o.blk").alias("bi"), F.greatest("blk", "o.blk").alias("bj"), "blk", "cls", "comp"))
+        sizes = materialize(sizes, "sizes")
+        own = materialize(own.join(broadcast_if_small(sizes), ["token", "comp"]).select("token", "cls", "comp", "pure", F.xxhash64("pure", piece).alias("blk")), "blocks")
+        blocks = materialize(own.select("token", F.col("blk").alias("o"), F.col("pure").alias("other")).distinct(), "pairs")
+        met = own.join(broadcast_if_small(blocks), "token").where(F.coalesce(F.col("pure") != F.col("other"), F.lit(True)))
+        self.merge(met.select("token", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), "blk", "cls", "comp"))
 
 
 def similar_components(classes: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: int = 80, k: int = 4) -> DataFrame:
