@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, katz, mixing, near_dedup, pii, preference, quality, sql, toxicity, url_filter, warc
+from . import decontaminate, katz, merkle, mixing, near_dedup, pii, preference, quality, sql, toxicity, url_filter, warc
 from .workspace import materialize
 
 #: Key of the surrogates in the registered query; production runs bring their own.
@@ -73,10 +73,18 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, count="n_entities")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All proofs, checked against rows of which some claim another length."""
+    told = merkle.leaf_hash(*(F.col(c) + 1 if c == "n_chars" else F.col(c) for c in merkle.FIELDS))
+    claim = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, told)
+    made = merkle.verified(merkle.manifest(table(spark, sf_dir, "documents"), claim=claim))
+    return made.select(F.col("order_value").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_hash(F.col("lefts"), F.col("rights")).alias("proof_sha256"), "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_url_filter, op2_quality_rules, op3_decontamination, op4_katz_backoff, op5_toxicity, op6_preference_pairs, op7_mixing, op8_minhash_near_dedup, op9_warc_derivatives, op10_pii_surrogates)
+    own = (op1_url_filter, op2_quality_rules, op3_decontamination, op4_katz_backoff, op5_toxicity, op6_preference_pairs, op7_mixing, op8_minhash_near_dedup, op9_warc_derivatives, op10_pii_surrogates, op12_merkle_manifest)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": sql.OP1, "op2_quality_rules": sql.OP2, "op3_decontamination": sql.OP3, "op6_preference_pairs": sql.OP6, "op9_warc_derivatives": sql.OP9}
+    return {"op1_url_filter": sql.OP1, "op2_quality_rules": sql.OP2, "op3_decontamination": sql.OP3, "op6_preference_pairs": sql.OP6, "op9_warc_derivatives": sql.OP9, "op12_merkle_manifest": sql.OP12}

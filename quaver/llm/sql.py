@@ -107,3 +107,31 @@ r AS (SELECT *, 'conversion' AS record_type, text AS block FROM u UNION ALL SELE
 d AS (SELECT *, {_base32("block")} AS block_digest FROM r)
 SELECT page_id, record_type, {_uuid("record_type || chr(10) || refers_to || chr(10) || block_digest")} AS record_id, refers_to, target_uri, source_headers, payload_digest, block_digest, CAST(octet_length(encode(block)) AS INT) AS content_length FROM d
 """
+
+
+def _field(x: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({x} AS VARCHAR)) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+#: CRC-32 bit by bit: a byte is taken in, then eight shifts follow, which are -1 in the list.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END))"""
+
+OP12 = f"""
+WITH RECURSIVE l AS (SELECT row_number() OVER () AS r, doc_id, lang, {_leaf("n_chars")} AS leaf, CASE WHEN {_CRC} % 7 = 0 THEN {_leaf("n_chars + 1")} END AS claim FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM l),
+low(g, k, i, n, h) AS (SELECT g, 0, i, n, leaf FROM p UNION ALL SELECT g, k + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY g, k, i // 2, n),
+sub AS (SELECT g, h AS subroot FROM low WHERE n = 1),
+top(k, i, n, h) AS (SELECT 0, g, (SELECT count(*) FROM sub), subroot FROM sub UNION ALL SELECT k + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY k, i // 2, n),
+beside AS (SELECT p.r, s.k, (p.i >> s.k) & 1 AS own, coalesce(b.h, '') AS h FROM p JOIN (SELECT DISTINCT g, k FROM low WHERE n > 1) s USING (g) LEFT JOIN low b ON b.g = p.g AND b.k = s.k AND b.i = xor(p.i >> s.k, 1)
+  UNION ALL SELECT p.r, 1000 + s.k, (p.g >> s.k) & 1, coalesce(b.h, '') FROM p CROSS JOIN (SELECT DISTINCT k FROM top WHERE n > 1) s LEFT JOIN top b ON b.k = s.k AND b.i = xor(p.g >> s.k, 1)),
+proof AS (SELECT r, string_agg(h, '' ORDER BY k) AS hs, list((CASE WHEN own = 1 THEN 'l' ELSE 'r' END) || h ORDER BY k) AS steps FROM beside GROUP BY r),
+done AS (SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(coalesce(hs, '')) AS proof_sha256,
+  list_reduce(list_concat([coalesce(claim, leaf)], coalesce(steps, [])), lambda a, s: sha256(CASE WHEN s[1] = 'l' THEN s[2:] || a ELSE a || s[2:] END)) AS folded_root
+  FROM p JOIN sub USING (g) LEFT JOIN proof USING (r))
+SELECT *, folded_root = root AS verified FROM done
+"""
