@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, katz, merkle, mixing, near_dedup, pii, preference, quality, sql, toxicity, url_filter, warc
+from . import align_tokens, decontaminate, katz, merkle, mixing, near_dedup, pii, preference, quality, sql, toxicity, url_filter, warc
 from .workspace import materialize
 
+#: Folder of the public tokenizers' files, the same on every executor.
+TOKENIZERS = "/opt/tokenizers"
 #: Key of the surrogates in the registered query; production runs bring their own.
 PII_KEY = "quaver-demonstration-key"
 
@@ -73,6 +75,12 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, count="n_entities")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align_tokens.alignment(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+    digest = F.when(F.col("groups_text") == "", "").otherwise(F.sha2("groups_text", 256)).alias("groups_sha256")
+    return found.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All proofs, checked against rows of which some claim another length."""
     told = merkle.leaf_hash(*(F.col(c) + 1 if c == "n_chars" else F.col(c) for c in merkle.FIELDS))
@@ -82,7 +90,7 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_url_filter, op2_quality_rules, op3_decontamination, op4_katz_backoff, op5_toxicity, op6_preference_pairs, op7_mixing, op8_minhash_near_dedup, op9_warc_derivatives, op10_pii_surrogates, op12_merkle_manifest)
+    own = (op1_url_filter, op2_quality_rules, op3_decontamination, op4_katz_backoff, op5_toxicity, op6_preference_pairs, op7_mixing, op8_minhash_near_dedup, op9_warc_derivatives, op10_pii_surrogates, op11_tokenizer_alignment, op12_merkle_manifest)
     return {f.__name__: f for f in own}
 
 

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+_tables: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +43,20 @@ def materialize(df: DataFrame, name: str = "t", by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, by: str, name: str = "t") -> DataFrame:
+    """The same as a table in buckets of a column: windows, joins and groups by it, or by it and more, need no shuffle.
+
+    The files lie in the shared folder; the session's catalog names them until ``release``.
+    """
+    spark = df.sparkSession
+    known = f"quaver_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quaver-{name}-{known}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(known)
+    _made.append((spark, path))
+    _tables[path] = known
+    return spark.table(known)
+
+
 def made(spark: SparkSession) -> int:
     """How many tables of this session there are."""
     return sum(x[0] is spark for x in _made)
@@ -55,6 +70,8 @@ def release(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
     mine = [x for x in _made if x[0] is spark]
     gone = mine[since : len(mine) - keep]
     for _, path in gone:
+        if path in _tables:
+            spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     _made[:] = [x for x in _made if all(x is not g for g in gone)]
