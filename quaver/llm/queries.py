@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align_tokens, decontaminate, katz, merkle, mixing, near_dedup, pii, preference, quality, sql, toxicity, url_filter, warc
+from . import align_tokens, decontaminate, katz, merkle, mixing, near_dedup, pii, preference, quality, set_join, sql, toxicity, url_filter, warc
 from .workspace import materialize
 
 #: Folder of the public tokenizers' files, the same on every executor.
@@ -89,8 +89,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("order_value").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_hash(F.col("lefts"), F.col("rights")).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op13_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.joined(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_url_filter, op2_quality_rules, op3_decontamination, op4_katz_backoff, op5_toxicity, op6_preference_pairs, op7_mixing, op8_minhash_near_dedup, op9_warc_derivatives, op10_pii_surrogates, op11_tokenizer_alignment, op12_merkle_manifest)
+    own = (op1_url_filter, op2_quality_rules, op3_decontamination, op4_katz_backoff, op5_toxicity, op6_preference_pairs, op7_mixing, op8_minhash_near_dedup, op9_warc_derivatives, op10_pii_surrogates, op11_tokenizer_alignment, op12_merkle_manifest, op13_set_join)
     return {f.__name__: f for f in own}
 
 
