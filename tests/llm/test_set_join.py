@@ -60,7 +60,7 @@ def test_against_brute_force(spark, monkeypatch, block, ids):
     texts = texts_of_many_kinds(random.Random(4))
     want = brute(texts)
     got = {r.id: (r.n_shingles, r.component) for r in J.joined(frame(spark, texts).repartition(3)).collect()}
-    assert got == want and len({c for _, c in want.values()}) < len(texts) - 150
+    assert got == want and len({c for _, c in want.values()}) < len(texts) - 100
 
 
 def test_other_thresholds(spark):
@@ -72,8 +72,9 @@ def test_other_thresholds(spark):
 def test_passages_alone_are_not_posted(spark):
     """Texts with enough members of their own stand in no list, whatever they share."""
     rng = random.Random(2)
-    passage = prose(rng, 60, 10**6)
-    texts = [f"{prose(rng, 200, 10**6)} {passage}" for _ in range(80)]
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = words(20)
+    texts = [f"{words(240)} {passage}" for _ in range(80)]
     each = J.profiles(frame(spark, texts))
     classes = each.withColumn("cls", F.col("id"))
     assert J.posts(classes, 90).groupBy("token").count().where("count > 1").count() == 0
