@@ -45,7 +45,7 @@ from .kernels import slices
 from .workspace import bucketed, materialize
 
 #: A block is full with so many distinct units, characters of them, or units in its texts.
-UNITS, UNIT_CHARS, USES = 1 << 19, 1 << 23, 1 << 22
+UNITS, UNIT_CHARS, USES = 1 << 17, 1 << 22, 1 << 20
 #: Pair tables of at most this many rows are broadcast.
 BROADCAST_PAIRS = 500_000
 #: Units whose strings are gathered at once.

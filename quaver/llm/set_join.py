@@ -13,8 +13,9 @@
 4. In a group of blocks, a set's intersections with all others are derived from those of a highly similar
    set that has been computed: only members in one of the two are looked up (answer-level skipping).
    Links are confirmed on the full sets; pairs that confirmed links already connect are passed over.
-5. Lists are merged in two rounds: first each class's two posts of smallest hash, inside blocks; then, exactly,
-   every pair of blocks in which different components are left. Links become components after each.
+5. Lists are merged in rounds: first each class's two posts of smallest hash, inside blocks; then, exactly, all
+   that is left in different components: in short lists the pairs, each once, and in long ones every pair of blocks. Links become
+   components after each.
 
 A list of n near copies so costs n rows, as they are one component after the first round. Nothing is
 capped: a list of any length is blocks of ``BLOCK`` classes. Broadcast tables are counted first.
@@ -44,6 +45,8 @@ from .workspace import materialize
 #: Share of all hashes whose members are counted. The prefix of a similarity of 0.9 is a tenth of a set.
 SAMPLE = 0.15
 BLOCK = 256
+#: Lists of at most this many classes give pairs, so that a pair that shares many lists is confirmed once.
+SHORT = 16
 _LIMIT = np.uint64(int(SAMPLE * (1 << 64)))
 
 
@@ -132,11 +135,22 @@ def _open(g: pa.Table, share: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
+    """Rows of each group that may be similar to another. With (sampled, low) as well, the sampled members two sets share bound their intersection."""
     for g in _runs(batches, 3):
-        if len(g) > 1:
-            use = _open(g, share)[1].any(axis=0)
-            if use.any():
-                yield from g.filter(pa.array(use)).combine_chunks().to_batches()
+        if len(g) < 2:
+            continue
+        good = _open(g, share)[1]
+        if g.num_columns > 8 and good.any():
+            n, sampled = g.column(6).to_numpy(), g.column(8).to_numpy()
+            lists = g.column(9).combine_chunks()
+            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+            answers = Answers([flat[a - ends[0] : a - ends[0] + k] for a, k in zip(ends, sampled, strict=False)])
+            for i in np.flatnonzero(good.any(axis=1)):
+                most = answers.of(int(i)) + np.minimum(n[i] - sampled[i], n - sampled)
+                good[i] &= (100 + share) * most >= least_common(n[i], n, share)
+        use = good.any(axis=1)
+        if use.any():
+            yield from g.select(range(8)).filter(pa.array(use)).combine_chunks().to_batches()
 
 
 class Answers:
@@ -200,6 +214,15 @@ def _links(batches: Iterator[pa.RecordBatch], share: int, k: int) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["src", "dst"])
 
 
+def _pairs(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a short list (token, cls, comp, n, pos) in different components that may be similar, the smaller class first."""
+    for g in _runs(batches, 1):
+        cls, comp, n, pos = (g.column(i).to_numpy() for i in range(1, 5))
+        i, j = np.nonzero(may_meet(n, pos, share) & (comp[:, None] != comp[None, :]) & (cls[:, None] < cls[None, :]))
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cls[i], comp[i], n[i], cls[j], comp[j], n[j])], names=["x", "xc", "xn", "y", "yc", "yn"])
+
+
 _GROUP = "token long, bi long, bj long, blk long, cls long, comp long, n long, pos long"
 
 
@@ -223,15 +246,20 @@ class Lists:
         several = rows.groupBy("token").agg(F.count(F.lit(1)).alias("length"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token", "length")
         return rows.join(broadcast_if_small(materialize(several, "lists")), "token")
 
-    def merge(self, groups: DataFrame) -> None:
-        """Confirm the links of the groups and contract them."""
+    def merge(self, groups: DataFrame, bounded: bool = False) -> None:
+        """Confirm the links of the groups and contract them. ``bounded``: leave out what the sampled members rule out before texts are fetched."""
         share, k, keys = self.share, self.k, ("token", "bi", "bj")
-        rows = groups.select(*keys, "blk", "cls", "comp", "n", "pos").repartition(self.parts, *keys).sortWithinPartitions(*keys, "cls")
+        rows = groups.select(*keys, "blk", "cls", "comp", "n", "pos")
+        if bounded:
+            rows = materialize(rows, "groups")
+            some = self.classes.select("cls", "sampled", "low").join(broadcast_if_small(rows.select("cls").distinct()), "cls", "left_semi")
+            rows = rows.join(some, "cls").select(*keys, "blk", "cls", "comp", "n", "pos", "sampled", "low")
+        rows = rows.repartition(self.parts, *keys).sortWithinPartitions(*keys, "cls")
         found = materialize(rows.mapInArrow(lambda b: _candidates(b, share), _GROUP), "candidates")
         wanted = self.classes.select("cls", "rep", "th").join(found.select("cls").distinct(), "cls", "left_semi")
         # one text for each class, however often its row is repeated
         texts = self.texts.join(broadcast_if_small(wanted), ["rep", "th"]).groupBy("cls").agg(F.first("text").alias("text"))
-        full = found.join(texts, "cls").select(*keys, "blk", "cls", "comp", "n", "pos", "text").repartition(self.parts, *keys).sortWithinPartitions(*keys, "cls")
+        full = texts.join(broadcast_if_small(found), "cls").select(*keys, "blk", "cls", "comp", "n", "pos", "text").repartition(self.parts, *keys).sortWithinPartitions(*keys, "cls")
         merged = connected_components(materialize(full.mapInArrow(lambda b: _links(b, share, k), "src long, dst long"), "links"))
         if self.components is not None:  # links are between components: those that go on go on with all their members
             onto = merged.select(F.col("node").alias("component"), F.col("component").alias("onto"))
@@ -250,13 +278,26 @@ class Lists:
         self.whole = materialize(own.where((F.col("length") == F.col("c")) & (F.col("length") <= BLOCK)).select("token").distinct(), "whole")
         self.merge(own.withColumn("blk", blk).withColumn("bi", F.col("blk")).withColumn("bj", F.col("blk")))
 
-    def rest(self) -> None:
-        """Every pair of a list's blocks in which different components are left and whose bounds leave room for a link."""
+    def _left(self) -> DataFrame:
+        """Members of the lists that were not compared as a whole and hold more than one component now."""
         own = self._with_components(self.posts)
-        if self.whole is not None:
-            own = own.join(broadcast_if_small(self.whole), "token", "left_anti")
+        return own if self.whole is None else own.join(broadcast_if_small(self.whole), "token", "left_anti")
+
+    def short_lists(self) -> None:
+        """Every pair of short lists, once however many lists it shares."""
+        share = self.share
+        short = self._left().where(F.col("length") <= SHORT).select("token", "cls", "comp", "n", "pos").repartition(self.parts, "token").sortWithinPartitions("token", "cls")
+        met = materialize(short.mapInArrow(lambda b: _pairs(b, share), "x long, xc long, xn long, y long, yc long, yn long").distinct(), "pairs")
+        # a class and those that may be similar to it, some at a time
+        piece = F.pmod(F.xxhash64("y"), F.ceil(F.count(F.lit(1)).over(W.Window.partitionBy("x")) / F.lit(BLOCK)))
+        star = met.withColumn("bi", 2 * piece).withColumn("bj", F.col("bi") + 1)
+        row = lambda blk, c: (F.col("x").alias("token"), "bi", "bj", F.col(blk).alias("blk"), F.col(c).alias("cls"), F.col(f"{c}c").alias("comp"), F.col(f"{c}n").alias("n"), F.lit(0).cast("long").alias("pos"))
+        self.merge(star.select(*row("bi", "x")).distinct().union(star.select(*row("bj", "y"))))
+
+    def long_lists(self) -> None:
+        """Every pair of a long list's blocks in which different components are left and whose bounds leave room for a link."""
         band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / self.share)))).cast("long")
-        own = materialize(own.withColumn("band", band), "members")
+        own = materialize(self._left().where(F.col("length") > SHORT).withColumn("band", band), "members")
         if own.isEmpty():
             return
         # a component with many members in a list and band has blocks of its own, the others share some
@@ -272,7 +313,7 @@ class Lists:
         blocks = own.groupBy("token", F.col("blk").alias("o"), F.col("pure").alias("other")).agg(F.min("n").alias("n0"), F.max("n").alias("n1"), room)
         met = own.join(broadcast_if_small(materialize(blocks, "bounds")), "token").where(F.coalesce(F.col("pure") != F.col("other"), F.lit(True)))
         fits = (F.lit(100) * F.least("n", "n1") >= F.lit(self.share) * F.greatest("n", "n0")) & (F.lit(100 + self.share) * F.least(F.col("n") - F.col("pos"), F.col("room")) >= least_common(F.col("n"), F.col("n0"), self.share))
-        self.merge(met.where(fits).withColumn("bi", F.least("blk", "o")).withColumn("bj", F.greatest("blk", "o")))
+        self.merge(met.where(fits).withColumn("bi", F.least("blk", "o")).withColumn("bj", F.greatest("blk", "o")), bounded=True)
 
 
 def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: int = 90, k: int = 3) -> DataFrame:
@@ -283,7 +324,8 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: i
     classes = materialize(one.select(F.monotonically_increasing_id().alias("cls"), "fa", "fb", F.col("m.id").alias("rep"), F.col("m.th").alias("th"), "n", "sampled", "low"), "classes")
     lists = Lists(classes, docs, doc_id, text, share, k)
     lists.first_round()
-    lists.rest()
+    lists.short_lists()
+    lists.long_lists()
     met = classes.select("cls", "fa", "fb", "rep").join(lists.components, F.col("cls") == F.col("node"), "left").select("fa", "fb", "rep", "component")
     met = materialize(met, "joined")
     smallest = met.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
