@@ -4,7 +4,8 @@
 
 One song gives one text or file, as its format says. Of several songs, ``--output`` names
 a folder, which all tasks write, with the summaries beside it; without it their lines
-are printed song by song. Options that are not given come from the [quaver] table of
+are printed song by song. Files of one name (frames, second frames, beats, lyrics) are
+one song, or ``--songs`` says which are; a file without a song, and a song without a file, are warnings. Options that are not given come from the [quaver] table of
 quaver.toml.
 """
 
@@ -15,17 +16,18 @@ import sys
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .operators import align
 from .plans import transcribe as T
 from .sources import readers, sinks
+from .sources import songs as S
 
 
 def parser(config: dict) -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quaver", description="Notes from pitch frames.")
     p.add_argument("--frames", required=True, help="Parquet or JSON of (song_id, seq, time, frequency, confidence)")
     p.add_argument("--json", action="store_true", help="frames and beats are JSON files, one for each song")
+    p.add_argument("--songs", help="CSV with a header, or Parquet, of (kind, path, song_id): the songs of files of frames, second, beats and lyrics; by default files of one name are one song")
     p.add_argument("--second-frames", help="frames of a second estimator")
     p.add_argument("--dual-pitch", action="store_true", default=config.get("dual_pitch", False), help="compare with the second estimator (implied by --second-frames)")
     p.add_argument("--chords", help="Parquet of (song_id, chord_idx, time, chord_notes)")
@@ -46,14 +48,59 @@ def _warn(text: str) -> None:
     print(f"warning: {text}", file=sys.stderr)
 
 
-def _second(spark: SparkSession, args: argparse.Namespace, kind: str) -> DataFrame | None:
+#: How many files or songs a warning names.
+NAMED = 10
+
+
+def _name_some(df: DataFrame, text: str) -> None:
+    """A warning for each of the first rows, and the number of all."""
+    some = df.orderBy(df.columns[-1]).limit(NAMED).collect()
+    for row in some:
+        _warn(text.format(*row))
+    if len(some) == NAMED and (n := df.count()) > NAMED:
+        _warn(f"... {n} in all")
+
+
+class Songs:
+    """The songs of the frames, and the manifests of the files that go with them."""
+
+    def __init__(self, spark: SparkSession, args: argparse.Namespace) -> None:
+        self.spark, self.json = spark, args.json
+        self.given = None
+        if args.songs:
+            self.given = spark.read.parquet(args.songs) if args.songs.endswith(".parquet") else spark.read.option("header", True).csv(args.songs)
+        own = None
+        if args.json:
+            listed = S.files(spark, "frames", args.frames)
+            own = S.by_manifest(listed, self.given) if self.given is not None else S.own_songs(listed)
+            _name_some(S.strays(own), "no song for {0}: {1}")
+        self.frames = readers.read_frames(spark, args.frames, "json" if args.json else "parquet", own)
+        self.all = readers.songs_of(self.frames)
+        self.known = self.all.withColumnRenamed("source", "song")
+        self.one = self.all.limit(2).count() == 1
+
+    def of(self, kind: str, path: str) -> DataFrame:
+        """The manifest of these files; what has no partner is a warning."""
+        found = S.manifest(S.files(self.spark, kind, path), self.known, self.given)
+        _name_some(S.strays(found), "no song for {0}: {1}")
+        _name_some(S.without(self.known, found), f"no {kind} for song {{{len(self.known.columns) - 1}}}")
+        return found
+
+
+def _second(spark: SparkSession, args: argparse.Namespace, songs: Songs) -> DataFrame | None:
     if args.second_frames:
-        return readers.read_frames(spark, args.second_frames, kind)
+        return readers.read_frames(spark, args.second_frames, "json", songs.of("second", args.second_frames)) if args.json else readers.read_frames(spark, args.second_frames)
     if args.dual_pitch:
         _warn("no --second-frames to compare with")
     return None
 
 
+def _beats(spark: SparkSession, args: argparse.Namespace, songs: Songs) -> DataFrame | None:
+    if not args.beats:
+        return None
+    return readers.read_beats(spark, args.beats, "json", songs.of("beats", args.beats)) if args.json else readers.read_beats(spark, args.beats)
+
+
 def _chords(spark: SparkSession, args: argparse.Namespace, beats: DataFrame | None) -> DataFrame | None:
     if args.chords:
         return spark.read.parquet(args.chords)
@@ -64,18 +111,18 @@ def _chords(spark: SparkSession, args: argparse.Namespace, beats: DataFrame | No
     return None
 
 
-def _lyrics(spark: SparkSession, path: str | None, songs: DataFrame, one: bool) -> DataFrame | None:
+def _lyrics(spark: SparkSession, path: str | None, songs: Songs) -> DataFrame | None:
     """The lyrics; what cannot be read is a warning, and the notes stay without them."""
     if not path:
         return None
     try:
-        lyrics = readers.read_lrc(spark, path)
-        if one and lyrics.select("song_id").distinct().limit(2).count() == 1:  # one song, one file: they belong together
-            lyrics = lyrics.withColumn("song_id", F.lit(songs.first()["song_id"]))
+        readers.lrc_files(spark, path)
+        lyrics = readers.read_lrc(spark, path, songs=songs.of("lyrics", path))
+        _name_some(readers.lrc_errors(spark, path).select("error", "path"), "lyrics could not be read: {0}: {1}")
     except (ValueError, AnalysisException) as e:
         _warn(f"lyrics could not be read: {e}")
         return None
-    return lyrics
+    return lyrics.drop("source")
 
 
 def _summary(row) -> str:
@@ -91,18 +138,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(f"confidence must lie between 0 and 1: {args.confidence}", file=sys.stderr)
         return 1
     spark = spark or SparkSession.builder.appName("quaver").getOrCreate()
-    kind = "json" if args.json else "parquet"
     try:
-        frames = readers.read_frames(spark, args.frames, kind)
-        songs = readers.songs_of(frames)
-        one = songs.limit(2).count() == 1
-        beats = readers.read_beats(spark, args.beats, kind) if args.beats else None
+        songs = Songs(spark, args)
+        one, beats = songs.one, _beats(spark, args, songs)
         events = T.transcribe(
-            frames, confidence_threshold=args.confidence, transpose=args.transpose, apply_key_filter=args.key_filter, smooth=args.smooth,
-            second_frames=_second(spark, args, kind), chords=_chords(spark, args, beats),
-            grid=align.beat_subdivisions(beats) if beats is not None else None, lyrics=_lyrics(spark, args.lyrics, songs, one),
+            songs.frames, confidence_threshold=args.confidence, transpose=args.transpose, apply_key_filter=args.key_filter, smooth=args.smooth,
+            second_frames=_second(spark, args, songs), chords=_chords(spark, args, beats),
+            grid=align.beat_subdivisions(beats) if beats is not None else None, lyrics=_lyrics(spark, args.lyrics, songs),
         )
-        summary = T.song_summary(events, songs, align.tempo(beats) if beats is not None else None)
+        summary = T.song_summary(events, songs.all, align.tempo(beats) if beats is not None else None)
         if not one and args.output:
             sinks.write(events, args.output, args.format)
             summary.write.json(f"{args.output.rstrip('/')}-summary")

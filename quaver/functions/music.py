@@ -32,6 +32,11 @@ def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/\\]+$", 0)
 
 
+def unescaped(url: Column) -> Column:
+    """A path without percent escapes; a plus sign and a stray percent sign stay."""
+    return F.coalesce(F.try_url_decode(F.replace(url, F.lit("+"), F.lit("%2B"))), url)
+
+
 def midi_to_hz(midi: Column) -> Column:
     return F.lit(440.0) * F.pow(F.lit(2.0), (midi - F.lit(69.0)) / F.lit(12.0))
 

@@ -11,40 +11,43 @@ from pyspark.sql.window import Window as W
 
 from .. import schemas
 from ..functions import music as M
+from . import songs as S
 
 
-def read_frames(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Pitch frames. JSON: one array of {time, frequency, confidence} a file, each file a song unless it has song_id; ``source``: the file's name."""
+def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+
+
+def read_frames(spark: SparkSession, path: str, fmt: str = "parquet", songs: DataFrame | None = None) -> DataFrame:
+    """Pitch frames. JSON: one array of {time, frequency, confidence} a file; ``songs``: the manifest of the files; without it, and without song_id, each file is a song. ``source``: the song's or the file's name."""
     if fmt == "parquet":
         return spark.read.schema(schemas.FRAMES).parquet(path)
-    raw = spark.read.schema("song_id bigint, seq bigint, time double, frequency double, confidence double").option("multiLine", True).json(path)
-    raw = raw.withColumn("source", M.base_name(F.input_file_name())).withColumn("song_id", F.coalesce("song_id", F.xxhash64(F.input_file_name()))).withColumn("__at", F.monotonically_increasing_id())
+    raw = S.placed(_json(spark, path, "song_id bigint, seq bigint, time double, frequency double, confidence double"), songs).withColumn("__at", F.monotonically_increasing_id())
     order = W.partitionBy("song_id").orderBy("time", "__at")  # stable by time
     return raw.withColumn("seq", F.coalesce("seq", F.row_number().over(order).cast("long") - 1)).drop("__at")
 
 
-def read_events(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_events(spark: SparkSession, path: str, fmt: str = "parquet", songs: DataFrame | None = None) -> DataFrame:
     """Note events. JSON: one array of {note, start_time, end_time, confidence, ...} a file, in order."""
     if fmt == "parquet":
         return spark.read.parquet(path)
     flags = "pyin_agrees boolean, chord_fit boolean, beat_aligned boolean"
-    raw = spark.read.schema(f"song_id bigint, event_idx bigint, note string, start_time double, end_time double, confidence double, lyric string, {flags}").option("multiLine", True).json(path)
-    raw = raw.withColumn("song_id", F.coalesce("song_id", F.xxhash64(F.input_file_name()))).withColumn("__at", F.monotonically_increasing_id())
+    raw = _json(spark, path, f"song_id bigint, event_idx bigint, note string, start_time double, end_time double, confidence double, lyric string, {flags}")
+    raw = S.placed(raw, songs).drop("source").withColumn("__at", F.monotonically_increasing_id())
     raw = raw.withColumn("event_idx", F.coalesce("event_idx", F.row_number().over(W.partitionBy("song_id").orderBy("__at")).cast("long") - 1)).drop("__at")
     return raw.withColumn("midi", M.note_to_midi(F.col("note")).cast("int"))
 
 
-def read_beats(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Beats (song_id, beat_idx, time, and bpm if known). JSON: one {bpm, beat_times} a file, each file a song unless it has song_id."""
+def read_beats(spark: SparkSession, path: str, fmt: str = "parquet", songs: DataFrame | None = None) -> DataFrame:
+    """Beats (song_id, beat_idx, time, and bpm if known). JSON: one {bpm, beat_times} a file, whose song the manifest names."""
     if fmt == "parquet":
         return spark.read.parquet(path)
-    raw = spark.read.schema("song_id bigint, bpm double, beat_times array<double>").option("multiLine", True).json(path)
-    raw = raw.withColumn("song_id", F.coalesce("song_id", F.xxhash64(F.input_file_name())))
+    raw = S.placed(_json(spark, path, "song_id bigint, bpm double, beat_times array<double>"), songs)
     return raw.select("song_id", "bpm", F.posexplode("beat_times").alias("i", "time")).select("song_id", F.col("i").cast("long").alias("beat_idx"), "time", "bpm")
 
 
 def songs_of(frames: DataFrame) -> DataFrame:
-    """(song_id, and source if the frames have one): the songs of a table of frames."""
+    """(song_id, and source if the frames have one): the songs of a table of frames, by which other files find them."""
     return frames.groupBy("song_id").agg(F.min("source").alias("source")) if "source" in frames.columns else frames.select("song_id").distinct()
 
 
@@ -72,19 +75,31 @@ def parse_lrc_content(contents: DataFrame, column: str = "content") -> DataFrame
     return parse_lrc(contents.select("song_id", *named, F.posexplode(F.split(column, "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long")))
 
 
-def read_lrc(spark: SparkSession, path: str, require: bool = True) -> DataFrame:
-    """Lyrics of LRC files, each file a song (its id: a hash of the path; ``source``: the file's name). ValueError for another suffix or if no line is left."""
+def lrc_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value): LRC files with their texts. ValueError for another suffix."""
     if not path.lower().rstrip("/*").endswith(".lrc") and "*" not in path and not _is_folder(spark, path):
         raise ValueError(f"lyrics must be .lrc files: {path}")
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.lrc").text(path)
-    at = F.col("_metadata.file_path")
-    files = files.select(F.xxhash64(at).alias("song_id"), M.base_name(at).alias("source"), F.regexp_replace("value", "\r\n?", "\n").alias("content"))
-    found = parse_lrc_content(files)
+    found = spark.read.option("wholetext", True).option("pathGlobFilter", "*.lrc").option("recursiveFileLookup", True).text(path)
+    return found.select(S.file_path().alias("path"), "value")
+
+
+def read_lrc(spark: SparkSession, path: str, require: bool = True, songs: DataFrame | None = None) -> DataFrame:
+    """Lyrics of LRC files of the songs that the manifest names; without one each file is a song (``source``: the file's name). ValueError for another suffix or if no line is left."""
+    files = S.placed(lrc_files(spark, path), songs, F.col("path"))
+    found = parse_lrc_content(files.select("song_id", "source", F.regexp_replace("value", "\r\n?", "\n").alias("content")))
     if require and found.isEmpty():
         raise ValueError(f"no timed lyrics in {path}")
     return found
 
 
+def lrc_errors(spark: SparkSession, path: str) -> DataFrame:
+    """(path, error): LRC files in which there is no timed line, so that their songs stay without lyrics."""
+    files = lrc_files(spark, path)
+    good = parse_lrc_content(files.select(F.col("path").alias("song_id"), F.regexp_replace("value", "\r\n?", "\n").alias("content"))).select(F.col("song_id").alias("path")).distinct()
+    error = F.when(F.trim("value") == "", "the file is empty").otherwise("no timed lines")
+    return files.join(good, "path", "left_anti").select("path", error.alias("error"))
+
+
 def _is_folder(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = where.getFileSystem(spark._jsc.hadoopConfiguration())

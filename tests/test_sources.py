@@ -151,10 +151,77 @@ def test_command_line_stages(spark, tmp_path, capsys):
 
 def test_names_and_json_beats(spark, tmp_path):
     (tmp_path / "My Song.json").write_text(json.dumps([{"time": 0.0, "frequency": 440.0, "confidence": 0.9}]))
-    assert [r.source for r in readers.songs_of(readers.read_frames(spark, str(tmp_path / "My Song.json"), "json")).collect()] in (["My Song.json"], ["My%20Song.json"])
+    assert [r.source for r in readers.songs_of(readers.read_frames(spark, str(tmp_path / "My Song.json"), "json")).collect()] == ["My Song.json"]
     (tmp_path / "x.lrc").write_text("[00:00.00]la")
     assert readers.read_lrc(spark, str(tmp_path / "x.lrc")).first().source == "x.lrc"
     (tmp_path / "b.json").write_text(json.dumps({"bpm": 120.0, "beat_times": [0.0, 0.5, 1.0]}))
     assert [(r.beat_idx, r.time, r.bpm) for r in readers.read_beats(spark, str(tmp_path / "b.json"), "json").orderBy("beat_idx").collect()] == [(0, 0.0, 120.0), (1, 0.5, 120.0), (2, 1.0, 120.0)]
     names = spark.createDataFrame([("/a/b.mp3",), ("c.wav",), ("C:\\d\\e.mp3",), ("x/",)], "p string").select(M.base_name(F.col("p")).alias("n"))
     assert [r.n for r in names.collect()] == ["b.mp3", "c.wav", "e.mp3", ""]
+
+
+def song_files(root, names):
+    """Two kinds of notes a song: frames at 440 Hz, second frames, beats and lyrics in folders of their own."""
+    for i, name in enumerate(names):
+        for kind, suffix in (("frames", ".json"), ("second", ".json"), ("beats", ".beats.json"), ("lyrics", ".lrc")):
+            (root / kind / name).parent.mkdir(parents=True, exist_ok=True)
+        rows = [{"time": k * 0.05, "frequency": 440.0 * 2 ** (i / 12), "confidence": 0.9} for k in range(8)]
+        (root / f"frames/{name}.json").write_text(json.dumps(rows))
+        (root / f"second/{name}.json").write_text(json.dumps(rows))
+        (root / f"beats/{name}.beats.json").write_text(json.dumps({"bpm": 100.0 + i, "beat_times": [0.0, 0.5, 1.0]}))
+        (root / f"lyrics/{name}.lrc").write_text(f"[00:00.00]line of {name}")
+
+
+def args_of(root, *more):
+    return ["--frames", str(root / "frames"), "--json", "--second-frames", str(root / "second"), "--beats", str(root / "beats"), "--lyrics", str(root / "lyrics"), "--transpose", "0", *more]
+
+
+def test_songs_of_several_files(spark, tmp_path, capsys):
+    """Frames, second frames, beats and lyrics of one name meet; what has no partner is reported."""
+    names = ["One Song", "live/10%+1", "live/b.c"]
+    song_files(tmp_path, names)
+    (tmp_path / "lyrics/stray.lrc").write_text("[00:00.00]nobody's")
+    (tmp_path / "beats/live/b.c.beats.json").unlink()
+    (tmp_path / "lyrics/live/b.c.lrc").write_text("no time at all")
+    assert cli.main(args_of(tmp_path, "--format", "json", "--output", str(tmp_path / "o")), spark) == 0
+    said = capsys.readouterr().err
+    assert "stray.lrc" in said and "no beats for song live/b.c" in said and "no timed lines" in said and "One Song" not in said
+    rows = {r.source: r for r in spark.read.json(str(tmp_path / "o-summary")).collect()}
+    assert {n: (r.n_notes, r.n_lyric, r.n_beat_aligned, r.n_pyin_agrees, r.bpm) for n, r in rows.items()} == {"One Song": (1, 1, 1, 1, 100.0), "live/10%+1": (1, 1, 1, 1, 101.0), "live/b.c": (1, 0, 0, 1, None)}
+    made = {(r.note, r.lyric) for r in spark.read.json(str(tmp_path / "o")).collect()}
+    assert made == {("A4", "line of One Song"), ("A#4", "line of live/10%+1"), ("B4", None)}
+
+
+def test_songs_given_by_the_user(spark, tmp_path):
+    song_files(tmp_path, ["a", "b"])
+    rows = ["kind,path,song_id", *(f"{k},{n}{x},{i}" for i, (n, m) in enumerate((("a", "b"), ("b", "a"))) for k, n, x in (("frames", n, ".json"), ("second", m, ".json"), ("beats", m, ".beats.json")))]
+    rows += [f",{tmp_path}/lyrics/b.lrc,0", "beats,a.lrc,1"]
+    (tmp_path / "songs.csv").write_text("\n".join(rows))
+    assert cli.main(args_of(tmp_path, "--songs", str(tmp_path / "songs.csv"), "--output", str(tmp_path / "o"), "--format", "json"), spark) == 0
+    got = {r.song_id: (r.note, r.lyric, r.pyin_agrees) for r in spark.read.json(str(tmp_path / "o")).collect()}
+    assert got == {0: ("A4", "line of b", False), 1: ("A#4", None, False)}
+    assert {r.song_id: r.bpm for r in spark.read.json(str(tmp_path / "o-summary")).collect()} == {0: 101.0, 1: 100.0}
+
+
+def test_lyrics_of_songs_with_ids(spark, tmp_path, capsys):
+    """Parquet frames bring ids: an LRC file of that number belongs to the song."""
+    spark.createDataFrame([(s, i, i * 0.05, 440.0, 0.9) for s in (7, 8) for i in range(5)], schemas.FRAMES).write.parquet(str(tmp_path / "f"))
+    (tmp_path / "l").mkdir()
+    for s in (7, 9):
+        (tmp_path / f"l/{s}.lrc").write_text(f"[00:00.00]la {s}")
+    assert cli.main(["--frames", str(tmp_path / "f"), "--lyrics", str(tmp_path / "l"), "--transpose", "0"], spark) == 0
+    shown = capsys.readouterr()
+    assert shown.out.splitlines() == ["# 7", "A4 | 0.000 | 0.200 | 0.900 | la 7", "# 8", "A4 | 0.000 | 0.200 | 0.900 | "]
+    assert "9.lrc" in shown.err and "no lyrics for song 8" in shown.err
+
+
+def test_manifest_ties_and_nulls(spark, tmp_path):
+    from quaver.sources import songs as S
+
+    listed = spark.createDataFrame([("beats", "/r/a.json", "a.json", "a"), ("beats", "/r/5.json", "5.json", "5"), ("beats", "/r/x.json", "x.json", "x")], "kind string, path string, relative string, song string")
+    known = spark.createDataFrame([(3, "a"), (2, "a"), (5, None), (6, "5")], "song_id bigint, song string")
+    assert {r.path: r.song_id for r in S.manifest(listed, known).collect()} == {"/r/a.json": 2, "/r/5.json": 6, "/r/x.json": None}
+    assert {r.song_id for r in S.without(known, S.manifest(listed, known)).collect()} == {3, 5}
+    assert S.manifest(listed.limit(0), known).count() == 0 and S.manifest(listed, known.limit(0)).where("song_id is not null").count() == 0
+    given = spark.createDataFrame([("beats", "file:///r/a.json", 9), (None, "a.json", 4), ("frames", "x.json", 1), (None, None, None)], "kind string, path string, song_id int")
+    assert {r.path: r.song_id for r in S.manifest(listed, known, given).collect()} == {"/r/a.json": 4, "/r/5.json": None, "/r/x.json": None}
