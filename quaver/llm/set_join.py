@@ -47,6 +47,8 @@ SAMPLE = 0.15
 BLOCK = 256
 #: Lists of at most this many classes give pairs, so that a pair that shares many lists is confirmed once.
 SHORT = 16
+#: Lists of a class that are known where pairs are met, so that a pair is confirmed in the first it shares.
+FIRST_LISTS = 64
 _LIMIT = np.uint64(int(SAMPLE * (1 << 64)))
 
 
@@ -135,11 +137,18 @@ def _open(g: pa.Table, share: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
-    """Rows of each group that may be similar to another. With (sampled, low) as well, the sampled members two sets share bound their intersection."""
+    """Rows of each group that may be similar to another. With (sampled, low, lists) as well, pairs of an earlier list are left to it, and the sampled members two sets share bound their intersection."""
     for g in _runs(batches, 3):
         if len(g) < 2:
             continue
         good = _open(g, share)[1]
+        if g.num_columns > 8 and good.any():
+            # pairs that stand together in an earlier list are compared there
+            token = g.column(0)[0].as_py()
+            before = [np.unique(x[: x.index(token)] if token in x else x) for x in g.column(10).to_pylist()]
+            met = Answers([b.astype(np.int64) for b in before])
+            for i in np.flatnonzero(good.any(axis=1)):
+                good[i] &= met.of(int(i)) == 0
         if g.num_columns > 8 and good.any():
             n, sampled = g.column(6).to_numpy(), g.column(8).to_numpy()
             lists = g.column(9).combine_chunks()
@@ -246,14 +255,14 @@ class Lists:
         several = rows.groupBy("token").agg(F.count(F.lit(1)).alias("length"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token", "length")
         return rows.join(broadcast_if_small(materialize(several, "lists")), "token")
 
-    def merge(self, groups: DataFrame, bounded: bool = False) -> None:
-        """Confirm the links of the groups and contract them. ``bounded``: leave out what the sampled members rule out before texts are fetched."""
+    def merge(self, groups: DataFrame, lists: DataFrame | None = None) -> None:
+        """Confirm the links of the groups and contract them. ``lists`` (cls, lists): leave out what an earlier list or the sampled members rule out, before texts are fetched."""
         share, k, keys = self.share, self.k, ("token", "bi", "bj")
         rows = groups.select(*keys, "blk", "cls", "comp", "n", "pos")
-        if bounded:
+        if lists is not None:
             rows = materialize(rows, "groups")
             some = self.classes.select("cls", "sampled", "low").join(broadcast_if_small(rows.select("cls").distinct()), "cls", "left_semi")
-            rows = rows.join(some, "cls").select(*keys, "blk", "cls", "comp", "n", "pos", "sampled", "low")
+            rows = rows.join(some.join(lists, "cls"), "cls").select(*keys, "blk", "cls", "comp", "n", "pos", "sampled", "low", "lists")
         rows = rows.repartition(self.parts, *keys).sortWithinPartitions(*keys, "cls")
         found = materialize(rows.mapInArrow(lambda b: _candidates(b, share), _GROUP), "candidates")
         wanted = self.classes.select("cls", "rep", "th").join(found.select("cls").distinct(), "cls", "left_semi")
@@ -300,6 +309,9 @@ class Lists:
         own = materialize(self._left().where(F.col("length") > SHORT).withColumn("band", band), "members")
         if own.isEmpty():
             return
+        # of a class's first lists, in the order of all members; a pair whose first common list is beyond them is compared in each it shares
+        lists = own.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "token"))), 1, FIRST_LISTS)["token"].alias("lists"))
+        lists = materialize(lists, "own-lists")
         # a component with many members in a list and band has blocks of its own, the others share some
         large = BLOCK // 4
         sizes = own.groupBy("token", "band", "comp").agg(F.count(F.lit(1)).alias("m"))
@@ -313,7 +325,7 @@ class Lists:
         blocks = own.groupBy("token", F.col("blk").alias("o"), F.col("pure").alias("other")).agg(F.min("n").alias("n0"), F.max("n").alias("n1"), room)
         met = own.join(broadcast_if_small(materialize(blocks, "bounds")), "token").where(F.coalesce(F.col("pure") != F.col("other"), F.lit(True)))
         fits = (F.lit(100) * F.least("n", "n1") >= F.lit(self.share) * F.greatest("n", "n0")) & (F.lit(100 + self.share) * F.least(F.col("n") - F.col("pos"), F.col("room")) >= least_common(F.col("n"), F.col("n0"), self.share))
-        self.merge(met.where(fits).withColumn("bi", F.least("blk", "o")).withColumn("bj", F.greatest("blk", "o")), bounded=True)
+        self.merge(met.where(fits).withColumn("bi", F.least("blk", "o")).withColumn("bj", F.greatest("blk", "o")), lists)
 
 
 def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: int = 90, k: int = 3) -> DataFrame:
