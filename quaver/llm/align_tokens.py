@@ -45,7 +45,7 @@ from .kernels import slices
 from .workspace import bucketed, materialize
 
 #: A block is full with so many distinct units, characters of them, or units in its texts.
-UNITS, UNIT_CHARS, USES = 1 << 17, 1 << 22, 1 << 20
+UNITS, UNIT_CHARS, USES = 1 << 18, 1 << 22, 1 << 21
 #: Pair tables of at most this many rows are broadcast.
 BROADCAST_PAIRS = 500_000
 #: Units whose strings are gathered at once.
@@ -213,6 +213,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Ite
                 block = _Block(block.number + 1)
     if pair:
         yield from block.rows(pair, kinds)
+    del block, pair  # the worker lives on and serves other stages
+    pa.default_memory_pool().release_unused()
 
 
 def encode(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
