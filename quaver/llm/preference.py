@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from .rows import ranked
+
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 TRAINED = "assistant"
 #: Tables of at most this many pairs are broadcast; larger ones are shuffled.
@@ -92,15 +94,17 @@ def format_pairs(
 def other_replies(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Rejected conversations for a table that has none, under the same ids.
 
-    Each conversation up to its last assistant turn, whose text is that of the conversation of the next id (of the
-    smallest, where there is no next one). Conversations without such a turn give none; only one's own ids are read.
+    Each conversation up to its last assistant turn, whose text is that of the next conversation in the order of ids
+    that has such a turn (the last takes the first's). Ids are ordered as their type is, however far apart they stand.
+    Conversations without such a turn give none, and so do those whose next one replies the same, as they would have
+    nothing to prefer: a table of one conversation gives none.
     """
     said = turns.where(F.col(conv_id).isNotNull()).select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    last = said.where((F.col("role") == TRAINED) & F.col("turn").isNotNull()).groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
-    first = last.agg(F.min(F.struct("conv_id", "last"))).first()[0]
-    own = last.select("conv_id", F.col("last.turn").alias("at"))
-    replies = last.select((F.col("conv_id") - 1).alias("conv_id"), F.struct(F.col("last.text").alias("text")).alias("reply"))
-    fallback = F.struct(F.lit(first["last"]["text"] if first else None).cast("string").alias("text"))
-    reply = own.join(replies, "conv_id", "left").select("conv_id", "at", F.coalesce("reply", fallback)["text"].alias("reply"))
+    own = F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))
+    last = said.where((F.col("role") == TRAINED) & F.col("turn").isNotNull()).groupBy("conv_id").agg(F.max(own).alias("last"))
+    last = ranked(last.select("conv_id", F.col("last.turn").alias("at"), F.col("last.text").alias("own")), "conv_id", "replies")
+    n = last.agg(F.max("rank") + 1).first()[0] or 1
+    following = last.select(F.pmod(F.col("rank") - 1, F.lit(n)).alias("rank"), F.col("own").alias("reply"))
+    reply = last.join(following, "rank").where(F.col("reply") != F.col("own")).select("conv_id", "at", "reply")
     swapped = F.when((F.col("turn") == F.col("at")) & (F.col("role") == TRAINED), F.col("reply")).otherwise(F.col("text"))
     return said.join(reply, "conv_id").where("turn is null or turn <= at").select("conv_id", "turn", "role", swapped.alias("text"))

@@ -27,8 +27,8 @@ FROM r LEFT JOIN names ON names.x = r.url LEFT JOIN comp ON comp.n = names.node
 OP6 = r"""
 WITH s0 AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 l AS (SELECT conv_id, max(turn) AS last_turn, max_by(text, struct_pack(turn := turn, text := text)) AS reply FROM s0 WHERE role = 'assistant' AND turn IS NOT NULL GROUP BY conv_id),
-o AS (SELECT l.conv_id, l.last_turn, CASE WHEN k.conv_id IS NULL THEN (SELECT reply FROM l ORDER BY conv_id LIMIT 1) ELSE k.reply END AS reply FROM l LEFT JOIN l k ON k.conv_id = l.conv_id + 1),
-s1 AS (SELECT conv_id, turn, role, CASE WHEN turn = last_turn AND role = 'assistant' THEN reply ELSE text END AS text FROM s0 JOIN o USING (conv_id) WHERE turn IS NULL OR turn <= last_turn),
+o AS (SELECT conv_id, last_turn, reply AS own, coalesce(lead(reply) OVER (ORDER BY conv_id), first_value(reply) OVER (ORDER BY conv_id)) AS reply FROM l),
+s1 AS (SELECT conv_id, turn, role, CASE WHEN turn = last_turn AND role = 'assistant' THEN reply ELSE text END AS text FROM s0 JOIN o USING (conv_id) WHERE reply <> own AND (turn IS NULL OR turn <= last_turn)),
 ta AS (SELECT conv_id, list(struct_pack(turn := turn, role := role, text := text) ORDER BY turn NULLS FIRST, role, text) AS x FROM s0 GROUP BY conv_id),
 tb AS (SELECT conv_id, list(struct_pack(turn := turn, role := role, text := text) ORDER BY turn NULLS FIRST, role, text) AS x FROM s1 GROUP BY conv_id),
 p AS (SELECT ta.conv_id AS chosen_id, tb.conv_id AS rejected_id, ta.x AS a, tb.x AS b FROM ta JOIN tb USING (conv_id)),

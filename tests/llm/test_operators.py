@@ -469,13 +469,32 @@ def test_other_replies(spark):
     df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
     rejected = preference.other_replies(df)
     made = sorted(tuple(r) for r in rejected.collect())
-    assert made == [(1, 0, "user", "p"), (1, 1, "assistant", "two"), (2, 0, "user", "q"), (2, 1, "assistant", "old"), (2, 2, "assistant", "one"), (6, 0, "assistant", "one")]
+    assert made == [(1, 0, "user", "p"), (1, 1, "assistant", "two"), (2, 0, "user", "q"), (2, 1, "assistant", "old"), (2, 2, "assistant", ""), (6, 0, "assistant", "one")]
     pairs = rejected.select(F.col("conv_id").alias("chosen_id"), F.col("conv_id").alias("rejected_id")).distinct()
     out = {r.chosen_id: r for r in preference.format_pairs(df, pairs, rejected_turns=rejected).collect()}
-    assert {i: r.n_common for i, r in out.items()} == {1: 1, 2: 2, 6: 0} and out[2].chosen.count("two") == 1 and out[2].rejected.count("one") == 1
+    assert {i: r.n_common for i, r in out.items()} == {1: 1, 2: 2, 6: 0} and out[2].chosen.count("two") == 1 and out[2].rejected == "<|assistant|>\n<|end|>\n" and out[6].rejected.count("one") == 1
     assert preference.other_replies(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_other_replies_of_any_ids(spark, kind):
+    replies = [(10, "a"), (20, "b"), (30, "b"), (40, "c"), (5000, "d"), (-7, "e")] + [(100 + 13 * i, f"r{i}") for i in range(200)]
+    if kind == "string":
+        replies = [(f"conv {i}", t) for i, t in replies]
+    rows = [(i, n, "user" if n == 0 else "assistant", "q" if n == 0 else t) for i, t in replies for n in (0, 1)]
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(rows, f"conv_id {kind}, turn bigint, role string, text string").repartition(7)
+    order = sorted(replies)
+    want = {i: nt for (i, t), (_, nt) in zip(order, order[1:] + order[:1], strict=True) if t != nt}
+    made = preference.other_replies(df)
+    assert {r.conv_id: r.text for r in made.where("turn = 1").collect()} == want and len(want) >= len(replies) - 1
+    pairs = made.select(F.col("conv_id").alias("chosen_id"), F.col("conv_id").alias("rejected_id")).distinct()
+    out = preference.format_pairs(df, pairs, rejected_turns=made).collect()
+    assert {r.chosen_id for r in out} == set(want) and all(r.chosen != r.rejected and r.n_common == 1 for r in out)
+    alone = df.where(F.col("conv_id") == (10 if kind == "bigint" else "conv 10"))
+    assert preference.other_replies(alone).count() == 0
+
+
 # 7
 
 
