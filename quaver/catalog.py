@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .functions import music as M
-from .operators import align, keys, leadsheet, segment
+from .operators import align, keys, leadsheet, segment, sliced
 from .plans import transcribe as T
 from .sources import adapters as A
 from .sources import readers, sinks
 
+#: Frames or events of a slice in the queries: less than the test songs have, so that all of them are cut.
+SLICE_ROWS = 100
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -139,6 +142,16 @@ def segment_notes(spark, sf_dir):
     return _events(_segments(spark, sf_dir))
 
 
+@query(with_(EVENTS, f"SELECT {EVENT_COLS} FROM segments"))
+def segment_notes_sliced(spark, sf_dir):
+    return _events(sliced.segment_notes(segment.filter_by_confidence(A.frames(spark, sf_dir)), slice_rows=SLICE_ROWS))
+
+
+@query(with_(NOTES, f"SELECT {EVENT_COLS} FROM merged"))
+def map_notes_sliced(spark, sf_dir):
+    return _events(sliced.map_notes(A.frames(spark, sf_dir), slice_rows=SLICE_ROWS))
+
+
 @query(with_(EVENTS, f"SELECT song_id, event_idx, midi + 9 AS midi, {NAME('(midi + 9)')} AS note FROM segments"))
 def transpose_notes(spark, sf_dir):
     return segment.transpose(_segments(spark, sf_dir), 9).select("song_id", "event_idx", "midi", "note")

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import model
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quaver import schemas
 from quaver.functions import music as M
-from quaver.operators import align, keys, leadsheet, segment
+from quaver.operators import align, keys, leadsheet, segment, sliced
 from quaver.plans import transcribe as T
 
 G1 = [(0.00, 261.63, 0.90), (0.05, 262.0, 0.88), (0.10, 260.5, 0.92), (0.15, 261.0, 0.70), (0.20, 329.63, 0.95), (0.25, 330.0, 0.93), (0.30, 392.0, 0.96), (0.45, 262.0, 0.91), (0.50, 261.5, 0.89)]
@@ -168,6 +169,48 @@ def test_random_songs(spark):
         assert out.get(i, []) == [(m, a, b, round(c, 9)) for m, a, b, c in want]
 
 
+def random_songs(seed, n=8):
+    rng, songs = random.Random(seed), []
+    for _ in range(n):
+        t, song, m = 0.0, [], 60
+        for _ in range(rng.randint(0, 150)):
+            t += rng.choice((0.02, 0.04, 0.04, 0.09, 0.11, 0.3))
+            m = rng.choice((m, m, m, m, m + 14, m - 14, 60, rng.randint(55, 75)))
+            song.append((t, 440 * 2 ** ((m - 69 + rng.uniform(-0.3, 0.3)) / 12), rng.choice((0.8, 0.85, 0.9, 1.0))))
+        songs.append(song)
+    return [*songs, [(i * 0.04, 440, 0.9) for i in range(60)], [(0.0, 440, 0.9)]]  # one run over many slices, one frame
+
+
+@pytest.mark.parametrize("slice_rows", [1, 7, sliced.SLICE_ROWS])
+def test_sliced_songs(spark, slice_rows):
+    """Wherever songs are cut, the results are those of whole songs."""
+    cols = ("song_id", "event_idx", "midi", "note", "start_time", "end_time", F.round("confidence", 12))
+    rng = random.Random(slice_rows)
+    df = frames(spark, *random_songs(slice_rows)).withColumn("seq", F.col("seq") * 3 - 50)  # numbers need not be dense or positive
+    sure = segment.filter_by_confidence(df)
+    assert got(sliced.segment_notes(sure, slice_rows=slice_rows), *cols) == got(segment.segment_notes(sure), *cols)
+    flicker = [[(rng.choice((60, 60, 62, 80)), i * 0.1, i * 0.1 + rng.choice((0.02, 0.05, 0.1, 0.12)), rng.random()) for i in range(rng.randint(1, 90))] for _ in range(6)]
+    notes = events(spark, *flicker, [(60, i * 0.1, i * 0.1 + 0.05, rng.random()) for i in range(50)])
+    assert got(sliced.merge_flickers(notes, slice_rows=slice_rows), *cols) == got(segment.merge_flickers(notes), *cols)
+    assert got(sliced.remove_octave_outliers(notes, slice_rows=slice_rows), *cols) == got(segment.remove_octave_outliers(notes), *cols)
+    assert got(sliced.filter_by_key(notes, slice_rows), *cols) == got(keys.filter_by_key(notes), *cols)
+    if slice_rows == 7:
+        assert got(sliced.map_notes(df, slice_rows=slice_rows), *cols) == got(T.map_notes(df), *cols)
+
+
+def test_no_task_holds_a_song(spark):
+    """Windows on the song alone run over slices, and nothing else is dealt by the song alone but its key."""
+    df = segment.filter_by_confidence(frames(spark, G1))
+    given = events(spark, [(60, 0, 0.1, 0.9)])
+    for made in (sliced.segment_notes(df), sliced.merge_flickers(given), sliced.remove_octave_outliers(given)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        specs = set(re.findall(r"windowspecdefinition\(song_id#\d+L?, (\w+)#\d+L?( ASC)?", plan))
+        assert specs and all(name == "__slice" for name, _ in specs)  # ordered by slice, or dealt by song and slice
+    with pytest.raises(ValueError):
+        sliced.segment_notes(df, slice_rows=0)
+    assert sliced.map_notes(frames(spark, G1).limit(0)).count() == 0
+
+
 def test_one_exchange(spark):
     plan = T.map_notes(frames(spark, G1))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
