@@ -45,11 +45,13 @@ from .kernels import slices
 from .workspace import bucketed, materialize
 
 #: A block is full with so many distinct units, characters of them, or units in its texts.
-UNITS, UNIT_CHARS, USES = 1 << 18, 1 << 22, 1 << 21
+UNITS, UNIT_CHARS, USES = 1 << 17, 1 << 21, 1 << 20
+#: Buckets for each shuffle partition: few blocks meet in a task, so that its sorts are small.
+SPREAD = 4
 #: Pair tables of at most this many rows are broadcast.
 BROADCAST_PAIRS = 500_000
 #: Units whose strings are gathered at once.
-GATHER = 1 << 19
+GATHER = 1 << 17
 SPACE = "\u2581"
 
 _BEFORE_SPACE = re.compile(r"\s ")
@@ -225,7 +227,7 @@ def encode(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", te
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"blk long, rid long, id {kind}, units array<int>, unit int, uses long, a array<int>, al array<int>, b array<int>, bl array<int>"
-    return bucketed(rows.mapInArrow(lambda b: _encoded(b, a_path, b_path), schema), "blk", "encoded")
+    return bucketed(rows.mapInArrow(lambda b: _encoded(b, a_path, b_path), schema), "blk", "encoded", SPREAD)
 
 
 @contextlib.contextmanager
@@ -316,10 +318,10 @@ def alignment(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id",
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_text) of every row; groups: ``a1,a2|b1;a3|b2,b3``."""
     both = encode(docs, a_path, b_path, doc_id, text)
     with _by_first_key(docs.sparkSession):
-        links = bucketed(cuts(both.where("rid is null"), ("blk", "unit"), ("uses",)), "blk", "links")
+        links = bucketed(cuts(both.where("rid is null"), ("blk", "unit"), ("uses",)), "blk", "links", SPREAD)
     pairs = pair_counts(links)
     few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
-    counted = links.join(F.broadcast(pairs) if few else pairs, ["a", "b"]).select("blk", "unit", "g", "pa", "pb", "count", "best")
+    counted = links.join(F.broadcast(pairs) if few else pairs, ["a", "b"]).select("blk", "unit", F.col("g").cast("int").alias("g"), "pa", "pb", "count", "best")
     sides = both.select("blk", "rid", "id", "units", "unit", "a", "b").groupBy("blk").cogroup(counted.groupBy("blk"))
     kind = both.schema["id"].dataType.simpleString()
     return sides.applyInArrow(_gather, f"id {kind}, " + ", ".join(f"{c} long" for c in FIGURES) + ", groups_text string")

@@ -43,15 +43,15 @@ def materialize(df: DataFrame, name: str = "t", by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, by: str, name: str = "t") -> DataFrame:
+def bucketed(df: DataFrame, by: str, name: str = "t", spread: int = 1) -> DataFrame:
     """The same as a table in buckets of a column: windows, joins and groups by it, or by it and more, need no shuffle.
 
-    The files lie in the shared folder; the session's catalog names them until ``release``.
+    ``spread``: buckets for each shuffle partition. The files lie in the shared folder; the session's catalog names them until ``release``.
     """
     spark = df.sparkSession
     known = f"quaver_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/quaver-{name}-{known}"
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(known)
+    df.write.bucketBy(spread * int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(known)
     _made.append((spark, path))
     _tables[path] = known
     return spark.table(known)
