@@ -7,7 +7,7 @@ unit of parallelism.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -30,7 +30,11 @@ def check_threshold(threshold: float) -> float:
 
 def filter_by_confidence(frames: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Frames of at least this confidence; NaN is no confidence."""
-    return frames.where((F.col("confidence") >= F.lit(check_threshold(threshold))) & ~F.isnan("confidence"))
+    return frames.where(confident(threshold))
+
+
+def confident(threshold: float) -> Column:
+    return (F.col("confidence") >= F.lit(check_threshold(threshold))) & ~F.isnan("confidence")
 
 
 def valid_frames(frames: DataFrame) -> DataFrame:
@@ -67,12 +71,17 @@ def remove_octave_outliers(events: DataFrame, max_duration: float = 0.15) -> Dat
     return events.withColumn("__out", F.coalesce(out, F.lit(False))).where("not __out").drop("__out")
 
 
-def merge_flickers(events: DataFrame, max_gap: float = 0.08) -> DataFrame:
-    """Join consecutive events of one note at most ``max_gap`` apart; confidence is halved step by step towards the later one."""
+def flicker_runs(events: DataFrame, max_gap: float = 0.08) -> DataFrame:
+    """Events with ``__new``: 1 where one begins a run of events of one note at most ``max_gap`` apart, else 0."""
     w = in_song("event_idx")
     gap = F.col("start_time") - F.lag("end_time").over(w)
     joined = (F.col("midi") == F.lag("midi").over(w)) & (gap >= 0) & (gap <= F.lit(max_gap))
-    runs = events.withColumn("__new", (~F.coalesce(joined, F.lit(False))).cast("long")).withColumn("__run", F.sum("__new").over(_so_far("event_idx")) - 1)
+    return events.withColumn("__new", (~F.coalesce(joined, F.lit(False))).cast("long"))
+
+
+def merge_flickers(events: DataFrame, max_gap: float = 0.08) -> DataFrame:
+    """Join consecutive events of one note at most ``max_gap`` apart; confidence is halved step by step towards the later one."""
+    runs = flicker_runs(events, max_gap).withColumn("__run", F.sum("__new").over(_so_far("event_idx")) - 1)
     in_order = F.sort_array(F.collect_list(F.struct("event_idx", "confidence")))["confidence"]
     ends = F.min_by("start_time", "event_idx").alias("start_time"), F.max_by("end_time", "event_idx").alias("end_time")
     merged = runs.groupBy("song_id", F.col("__run").alias("event_idx")).agg(F.min("midi").alias("midi"), *ends, in_order.alias("__c"))

@@ -75,19 +75,26 @@ def frame_ranges(frames: DataFrame) -> DataFrame:
     return frames.groupBy("song_id").agg(F.count(F.lit(1)).alias("n_frames"), *ends)
 
 
+STAGES = ("frames", "confident", "segments", "in key", "no outliers", "merged")
+
+
 def stage_counts(frames: DataFrame, confidence_threshold: float = 0.85) -> DataFrame:
-    """(song_id, stage, n): how many rows each step leaves; the differences are what it removed or merged."""
-    steps = {"frames": frames}
-    steps["confident"] = segment.filter_by_confidence(frames, confidence_threshold)
-    steps["segments"] = segment.segment_notes(steps["confident"])
-    steps["in key"] = keys.filter_by_key(steps["segments"])
-    steps["no outliers"] = segment.remove_octave_outliers(steps["in key"])
-    steps["merged"] = segment.merge_flickers(steps["no outliers"])
-    out = None
-    for stage, df in steps.items():
-        one = df.groupBy("song_id").agg(F.count(F.lit(1)).alias("n")).select("song_id", F.lit(stage).alias("stage"), "n")
-        out = one if out is None else out.union(one)
-    return out
+    """(song_id, stage, n): how many rows each step leaves; the differences are what it removed or merged.
+
+    The chain runs once: each step writes its count beside the events that it leaves, by a window on the song, and no step
+    leaves none of some. Frames are counted by an aggregation of their own, as a song may have no events.
+    """
+    song = W.partitionBy("song_id")
+    counted = lambda events, stage: events.withColumn(f"__{stage}", F.count(F.lit(1)).over(song))
+    events = counted(frames.transform(segment.filter_by_confidence, confidence_threshold).transform(segment.segment_notes), "segments")
+    events = counted(keys.filter_by_key(events), "in key")
+    events = counted(segment.remove_octave_outliers(events), "no outliers")
+    kept = [F.max(f"__{stage}").alias(stage) for stage in STAGES[2:5]]
+    notes = segment.flicker_runs(events).groupBy("song_id").agg(*kept, F.sum("__new").alias("merged"))
+    given = frames.groupBy("song_id").agg(F.count(F.lit(1)).alias("frames"), F.count_if(segment.confident(confidence_threshold)).alias("confident"))
+    # a union and not a join: null is a song of its own
+    long = [df.unpivot("song_id", [F.col(f"`{s}`") for s in of], "stage", "n") for df, of in ((given, STAGES[:2]), (notes, STAGES[2:]))]
+    return long[0].union(long[1]).where("n > 0")
 
 
 def preview(events: DataFrame, n: int = 5) -> DataFrame:

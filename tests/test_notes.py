@@ -211,6 +211,21 @@ def test_no_task_holds_a_song(spark):
     assert sliced.map_notes(frames(spark, G1).limit(0)).count() == 0
 
 
+def test_stage_counts(spark):
+    """Counts of each step on its own, for songs with and without events; the chain is planned once."""
+    df = frames(spark, *random_songs(5), [(0.0, 440, 0.1)], [(0.0, -1, 0.9)])
+    steps = [df, segment.filter_by_confidence(df)]
+    steps.append(segment.segment_notes(steps[-1]))
+    steps.append(keys.filter_by_key(steps[-1]))
+    steps.append(segment.remove_octave_outliers(steps[-1]))
+    steps.append(segment.merge_flickers(steps[-1]))
+    want = {(r.song_id, stage): r["count"] for stage, step in zip(T.STAGES, steps, strict=True) for r in step.groupBy("song_id").count().collect()}
+    made = T.stage_counts(df)
+    assert {(r.song_id, r.stage): r.n for r in made.collect()} == want and made.columns == ["song_id", "stage", "n"]
+    plan = T.stage_counts(df)._jdf.queryExecution().executedPlan().toString()  # not run yet: one plan
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Scan") == 2
+
+
 def test_one_exchange(spark):
     plan = T.map_notes(frames(spark, G1))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
