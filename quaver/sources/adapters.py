@@ -11,7 +11,8 @@ from pyspark.sql.window import Window as W
 
 from ..functions import music as M
 
-SONGS = 40
+#: Orders and conversations of a song: songs keep their size, and their number grows with the tables.
+ORDERS, CONVERSATIONS = 150, 2
 STEPS = (0, 2, 4, 5, 7, 9, 11)
 
 
@@ -20,12 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pitch frames from lineitem: orders are dealt to songs; an order is a run of frames 40 ms apart."""
+    """Pitch frames from lineitem: neighbouring orders are a song, each a run of frames 40 ms apart."""
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
     w = W.partitionBy("song_id").orderBy(*key)
-    rows = table(spark, sf_dir, "lineitem").withColumn("song_id", F.col("l_orderkey") % SONGS)
+    rows = table(spark, sf_dir, "lineitem").withColumn("song_id", F.floor(F.col("l_orderkey") / F.lit(ORDERS)))
     before = F.lag("l_orderkey").over(w)
-    order = F.floor(F.col("l_orderkey") / F.lit(SONGS))
+    order = F.col("l_orderkey") % ORDERS
     rows = rows.withColumn("seq", F.row_number().over(w).cast("long")).withColumn("step", F.when((before != F.col("l_orderkey")) & (order % 3 == 0), 750).otherwise(40))
     ms = F.sum("step").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
     jump = F.when(F.col("l_quantity") >= 49, 24).when(F.col("l_quantity") <= 2, 1).otherwise(0)
@@ -35,10 +36,10 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FRAMES_SQL = """
-lines AS (SELECT l_orderkey % 40 AS song_id, row_number() OVER w AS seq, CASE WHEN lag(l_orderkey) OVER w <> l_orderkey AND (l_orderkey // 40) % 3 = 0 THEN 750 ELSE 40 END AS step, * FROM lineitem
-  WINDOW w AS (PARTITION BY l_orderkey % 40 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate)),
+lines AS (SELECT l_orderkey // 150 AS song_id, row_number() OVER w AS seq, CASE WHEN lag(l_orderkey) OVER w <> l_orderkey AND (l_orderkey % 150) % 3 = 0 THEN 750 ELSE 40 END AS step, * FROM lineitem
+  WINDOW w AS (PARTITION BY l_orderkey // 150 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate)),
 frames AS (SELECT song_id, seq, CAST(sum(step) OVER (PARTITION BY song_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS DOUBLE) / CAST(1000 AS DOUBLE) AS time,
-  CAST(440 AS DOUBLE) * pow(CAST(2 AS DOUBLE), (60 + song_id % 12 + [0, 2, 4, 5, 7, 9, 11][CAST((l_orderkey // 40) % 7 + 1 AS INT)] + CASE WHEN l_quantity >= 49 THEN 24 WHEN l_quantity <= 2 THEN 1 ELSE 0 END + (l_tax * 5 - CAST(0.2 AS DOUBLE)) - CAST(69 AS DOUBLE)) / CAST(12 AS DOUBLE)) AS frequency,
+  CAST(440 AS DOUBLE) * pow(CAST(2 AS DOUBLE), (60 + song_id % 12 + [0, 2, 4, 5, 7, 9, 11][CAST((l_orderkey % 150) % 7 + 1 AS INT)] + CASE WHEN l_quantity >= 49 THEN 24 WHEN l_quantity <= 2 THEN 1 ELSE 0 END + (l_tax * 5 - CAST(0.2 AS DOUBLE)) - CAST(69 AS DOUBLE)) / CAST(12 AS DOUBLE)) AS frequency,
   CAST(1 AS DOUBLE) - l_discount * 2 AS confidence, l_returnflag AS returnflag, l_linestatus AS linestatus FROM lines)"""
 
 
@@ -64,19 +65,19 @@ beats AS (SELECT song_id, i AS beat_idx, CAST(i * step AS DOUBLE) / CAST(1000 AS
 
 
 def lyric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LRC lines from conversations: each line of each turn, 1.3 s apart."""
-    turns = table(spark, sf_dir, "conversations").withColumn("song_id", F.col("conv_id") % SONGS)
+    """LRC lines from conversations: each line of each turn, 1.3 s apart. The format has two digits for minutes, so lines after 100 minutes have no stamp."""
+    turns = table(spark, sf_dir, "conversations").withColumn("song_id", F.floor(F.col("conv_id") / F.lit(CONVERSATIONS)))
     turns = turns.select("song_id", "conv_id", "turn", "role", "text", F.posexplode(F.split("text", "\n")).alias("pos", "words"))
     w = W.partitionBy("song_id").orderBy("conv_id", "turn", "role", "text", "pos")
     turns = turns.withColumn("line_no", F.row_number().over(w).cast("long")).withColumn("cs", F.col("line_no") * 130)
-    stamp = F.format_string("[%02d:%02d.%02d]", F.floor(F.col("cs") / 6000) % 100, F.floor(F.col("cs") / 100) % 60, F.col("cs") % 100)
+    stamp = F.format_string("[%02d:%02d.%02d]", F.floor(F.col("cs") / 6000), F.floor(F.col("cs") / 100) % 60, F.col("cs") % 100)
     return turns.select("song_id", "line_no", F.concat(stamp, F.col("words")).alias("line"))
 
 
 LYRIC_LINES_SQL = """
 split_turns AS (SELECT *, unnest(ws) AS words, unnest(range(len(ws))) AS pos FROM (SELECT *, string_split(text, chr(10)) AS ws FROM conversations)),
-turns AS (SELECT conv_id % 40 AS song_id, row_number() OVER (PARTITION BY conv_id % 40 ORDER BY conv_id, turn, role, text, pos) AS line_no, words FROM split_turns),
-lyric_lines AS (SELECT song_id, line_no, '[' || lpad(CAST((line_no * 130 // 6000) % 100 AS VARCHAR), 2, '0') || ':' || lpad(CAST((line_no * 130 // 100) % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(line_no * 130 % 100 AS VARCHAR), 2, '0') || ']' || words AS line FROM turns)"""
+turns AS (SELECT conv_id // 2 AS song_id, row_number() OVER (PARTITION BY conv_id // 2 ORDER BY conv_id, turn, role, text, pos) AS line_no, words FROM split_turns),
+lyric_lines AS (SELECT song_id, line_no, '[' || printf('%02d', line_no * 130 // 6000) || ':' || lpad(CAST((line_no * 130 // 100) % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(line_no * 130 % 100 AS VARCHAR), 2, '0') || ']' || words AS line FROM turns)"""
 
 
 def chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
