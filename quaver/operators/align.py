@@ -2,7 +2,7 @@
 
 As-of and nearest joins put the events and the points of all timelines in one sorted
 pass by song (a union and windows), so that all of them together cost one exchange and
-are linear. Interval joins meet on song and second, so that a long song is many keys.
+are linear. So does the interval join with a second estimator, in a pass of its own.
 Points and frames whose time is null or NaN are on no timeline and are left out.
 """
 
@@ -86,20 +86,29 @@ def annotate_second_estimate(events: DataFrame, frames: DataFrame | None, cents:
     """``pyin_agrees``: whether a second-estimator frame within the event is at most ``cents`` off.
 
     An event with frames, none of which agrees, loses confidence; one without frames does not.
+
+    An event has a frame within it where the last frame not after its end is not before its start; and one that agrees where
+    this holds for the last frame that is near its pitch. So frames and events' ends need one sorted pass by song, and one by song
+    and pitch: one exchange, linear in both, however long an event is. A frame is filed under each whole pitch that it is near,
+    one at 50 cents but for ties. An event without start, end or pitch agrees with nothing.
     """
     if frames is None:
         return events
-    second = lambda c: F.floor(c).cast("long")
     valid = M.valid_frequency(F.col("frequency")) & M.valid_time(F.col("time"))
-    points = frames.where(valid).select("song_id", second(F.col("time")).alias("__s"), F.col("time").alias("__time"), M.hz_to_midi(F.col("frequency")).alias("__m"))
-    spread = events.withColumn("__s", F.explode(F.sequence(second(F.col("start_time")), second(F.greatest("start_time", "end_time")))))
-    met = spread.join(points, ["song_id", "__s"], "left").withColumn("__in", F.col("__time").between(F.col("start_time"), F.col("end_time")))
-    agrees = F.col("__in") & (M.cents_apart(F.col("midi"), F.col("__m")) <= F.lit(cents))
-    rest = [c for c in events.columns if c not in ("song_id", "event_idx")]
-    found = met.groupBy("song_id", "event_idx").agg(F.first(F.struct(*rest)).alias("__e"), F.count_if("__in").alias("__n"), F.coalesce(F.bool_or(agrees), F.lit(False)).alias("pyin_agrees"))
-    confidence = F.when((F.col("__n") > 0) & ~F.col("pyin_agrees"), F.col("__e.confidence") * F.lit(PENALTY)).otherwise(F.col("__e.confidence"))
-    value = lambda c: confidence.alias(c) if c == "confidence" else F.col(f"__e.{c}").alias(c)
-    return found.select(*(F.col(c) if c in ("song_id", "event_idx") else value(c) for c in events.columns if c != "pyin_agrees"), "pyin_agrees")
+    midi = M.hz_to_midi(F.col("frequency"))
+    around = F.sequence(F.floor(midi - F.lit(cents / 100)), F.ceil(midi + F.lit(cents / 100)))
+    near = F.explode_outer(F.filter(around, lambda m: M.cents_apart(m, midi) <= F.lit(cents))).alias("__m")
+    points = frames.where(valid).select("song_id", F.col("time").alias("__t"), near, F.col("time").alias("__frame"))
+    kept = [c for c in events.columns if c != "pyin_agrees"]
+    row = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("__e")
+    ends = events.select("song_id", F.col("end_time").alias("__t"), F.col("midi").cast("long").alias("__m"), row)
+    order = ("__t", F.col("__e").isNotNull())  # frames before events that end then
+    last = lambda *keys: F.last("__frame", ignorenulls=True).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    met = ends.unionByName(points, allowMissingColumns=True).withColumns({"__any": last("song_id"), "__near": last("song_id", "__m")})
+    inside = lambda c: F.coalesce(F.col(c) >= F.col("__e.start_time"), F.lit(False))
+    found = met.where("__e is not null").select("__e.*", inside("__any").alias("__n"), inside("__near").alias("pyin_agrees"))
+    confidence = F.when(F.col("__n") & ~F.col("pyin_agrees"), F.col("confidence") * F.lit(PENALTY)).otherwise(F.col("confidence"))
+    return found.withColumn("confidence", confidence).select(*(F.col(f"`{c}`") for c in kept), "pyin_agrees")
 
 
 def annotate_chord_fit(events: DataFrame, chords: DataFrame | None) -> DataFrame:

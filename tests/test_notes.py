@@ -117,6 +117,32 @@ def test_second_estimate(spark):
     assert "pyin_agrees" not in align.annotate_second_estimate(df, None).columns
 
 
+@pytest.mark.parametrize("cents", [50.0, 130.0, -1.0])
+def test_second_estimate_by_brute_force(spark, cents):
+    """Random events, overlapping, short and long, against every frame within each; one exchange and no rows for the seconds of an event."""
+    rng = random.Random(21)
+    hz = lambda m: 440.0 * 2 ** ((m - 69) / 12)
+    songs = [[(rng.randint(60, 63), a := rng.uniform(0, 30), a + rng.choice((0.0, 0.1, 1.0, 9.0, -0.5)), 0.8) for _ in range(25)] for _ in range(3)]
+    second = [(s, i, rng.choice((songs[s][i % 25][1], songs[s][i % 25][2], rng.uniform(0, 30))), hz(rng.uniform(59, 64)), 1.0) for s in (0, 1) for i in range(40)]
+    second += [(0, 90, 5.0, hz(61.5), 1.0), (0, 91, math.nan, 440.0, 1.0), (1, 92, 5.0, 0.0, 1.0), (1, 93, None, 440.0, 1.0)]
+    df = events(spark, *songs).withColumn("extra", F.lit("x"))
+    out = align.annotate_second_estimate(df, spark.createDataFrame(second, schemas.FRAMES), cents)
+    expected = []
+    for s, song in enumerate(songs):
+        for m, a, b, c in song:
+            within = [f for q, _, t, f, _ in second if q == s and t is not None and a <= t <= b and f > 0]
+            agrees = any(abs(m - (12 * (math.log2(f) - math.log2(440.0)) + 69)) * 100 <= cents for f in within)
+            expected.append((agrees, round(c * 0.85 if within and not agrees else c, 9)))
+    assert got(out, "pyin_agrees", F.round("confidence", 9)) == expected
+    assert out.columns == [*df.columns, "pyin_agrees"] and {x for x, _ in expected} == ({True, False} if cents > 0 else {False})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    hour = events(spark, [(69, 0.0, 3.6e9, 0.8)])
+    assert got(align.annotate_second_estimate(hour, frames(spark, [(3.5e9, 440, 1)])), "pyin_agrees") == [(True,)]
+    again = align.annotate_second_estimate(out, spark.createDataFrame(second, schemas.FRAMES), cents)
+    assert again.columns == out.columns
+
+
 def test_chords(spark):
     chroma = spark.createDataFrame([(0, f, p, 1.0 if p in (0, 4, 7) else 0.05) for f in range(20) for p in range(12)], schemas.CHROMA)
     beats = spark.createDataFrame([(0, i, t, 120.0) for i, t in enumerate((0.0, 0.5, 1.0, 1.5))], schemas.BEATS)
