@@ -4,7 +4,8 @@
 
 One song gives one text or file, as its format says. Of several songs, ``--output`` names
 a folder, which all tasks write, with the summaries beside it; without it their lines
-are printed song by song. Files of one name (frames, second frames, beats, lyrics) are
+are printed song by song. With ``--file-per-song`` the folder has a file for each song, the same
+as for that song alone. Files of one name (frames, second frames, beats, lyrics) are
 one song, or ``--songs`` says which are; a file without a song, and a song without a file, are warnings. Options that are not given come from the [quaver] table of
 quaver.toml.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators import align
 from .plans import transcribe as T
-from .sources import readers, sinks
+from .sources import readers, sinks, song_files
 from .sources import songs as S
 
 
@@ -38,6 +39,7 @@ def parser(config: dict) -> argparse.ArgumentParser:
     p.add_argument("--confidence", type=float, default=config.get("confidence", 0.85))
     p.add_argument("--transpose", type=int, default=config.get("transpose", 9))
     p.add_argument("--output", default=config.get("output"))
+    p.add_argument("--file-per-song", action="store_true", default=config.get("file_per_song", False), help="--output is a folder with a file for each song")
     p.add_argument("--format", choices=sinks.FORMATS, default=config.get("format", "table"))
     p.add_argument("--no-key-filter", dest="key_filter", action="store_false", default=config.get("key_filter", True))
     p.add_argument("--no-smooth", dest="smooth", action="store_false", default=config.get("smooth", True))
@@ -147,8 +149,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             grid=align.beat_subdivisions(beats) if beats is not None else None, lyrics=_lyrics(spark, args.lyrics, songs),
         )
         summary = T.song_summary(events, songs.all, align.tempo(beats) if beats is not None else None)
-        if not one and args.output:
-            sinks.write(events, args.output, args.format)
+        if args.output and (args.file_per_song or not one):
+            if args.file_per_song:
+                song_files.write(events, args.output, args.format, songs.all)
+            else:
+                sinks.write(events, args.output, args.format)
             summary.write.json(f"{args.output.rstrip('/')}-summary")
             return 0
         if one:

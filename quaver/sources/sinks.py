@@ -5,11 +5,12 @@ from __future__ import annotations
 import csv
 import io
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import music as M
 from ..operators import leadsheet
@@ -58,32 +59,71 @@ def _rows(events: DataFrame, song_id: int | None) -> list[dict]:
     return [r.asDict(recursive=True) for r in one_song(events, song_id).orderBy(*order).select(*public_columns(events)).collect()]
 
 
-def format_csv(events: DataFrame, song_id: int | None = None) -> str:
-    rows = _rows(events, song_id)
-    if not rows:
-        return ""
+def csv_pieces(rows: Iterable[dict]) -> Iterator[str]:
+    """A song's CSV, a row at a time; nothing without rows."""
     out = io.StringIO()
-    writer = csv.DictWriter(out, fieldnames=list(rows[0]))
-    writer.writeheader()
-    writer.writerows({k: "" if v is None else v for k, v in r.items()} for r in rows)
-    return out.getvalue()
+    writer = None
+    for r in rows:
+        if writer is None:
+            writer = csv.DictWriter(out, fieldnames=list(r))
+            writer.writeheader()
+        writer.writerow({k: "" if v is None else v for k, v in r.items()})
+        yield out.getvalue()
+        out.seek(0)
+        out.truncate()
+
+
+def json_pieces(rows: Iterable[dict], indent: int | None = 2) -> Iterator[str]:
+    """A song's JSON array, a row at a time."""
+    pad, between, end = ("", ", ", "]") if indent is None else ("\n" + " " * indent, ",\n" + " " * indent, "\n]")
+    some = False
+    for r in rows:
+        # line feeds inside of values are escaped, those between them are indented once more
+        yield (between if some else "[" + pad) + json.dumps(r, indent=indent, ensure_ascii=False).replace("\n", pad)
+        some = True
+    yield end if some else "[]"
+
+
+HEADINGS = ("Note", "Start (s)", "End (s)", "Confidence", "Lyric")
+
+
+def _cells(r: dict) -> list[str]:
+    return [r.get("note") or "", *(f"{r.get(c) or 0:.3f}" for c in FIRST[1:4]), r.get("lyric") or ""]
+
+
+def table_pieces(rows: Iterable[dict], widths: list[int]) -> Iterator[str]:
+    """A song's printed table, a row at a time, in columns of these widths."""
+    rule = lambda mark: "+" + "+".join(mark * (w + 2) for w in widths) + "+"
+    line = lambda cells: "| " + " | ".join(c.ljust(w) for c, w in zip(cells, widths, strict=True)) + " |"
+    yield f"{rule('-')}\n{line(HEADINGS)}\n{rule('=')}"
+    for i, r in enumerate(rows):
+        yield (f"\n{rule('-')}\n" if i else "\n") + line(_cells(r))
+    yield f"\n{rule('-')}"
+
+
+def table_widths(events: DataFrame) -> Column:
+    """The widths of the columns of a song's printed table, for each of its rows."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in events.columns else F.lit("")
+    number = lambda c: M.three(F.coalesce(F.col(c), F.lit(0.0))) if c in events.columns else F.lit("0.000")
+    cells = (text("note"), *map(number, FIRST[1:4]), text("lyric"))
+    w = W.partitionBy("song_id")
+    return F.array(*(F.greatest(F.max(F.length(c)).over(w), F.lit(len(h))) for c, h in zip(cells, HEADINGS, strict=True)))
+
+
+def format_csv(events: DataFrame, song_id: int | None = None) -> str:
+    return "".join(csv_pieces(_rows(events, song_id)))
 
 
 def format_json(events: DataFrame, song_id: int | None = None, indent: int | None = 2) -> str:
-    return json.dumps(_rows(events, song_id), indent=indent, ensure_ascii=False)
+    return "".join(json_pieces(_rows(events, song_id), indent))
 
 
 def format_table(events: DataFrame, song_id: int | None = None) -> str:
     rows = _rows(events, song_id)
     if not rows:
         return "No note events to display."
-    cells = [["Note", "Start (s)", "End (s)", "Confidence", "Lyric"]]
-    cells += [[r.get("note") or "", *(f"{r.get(c) or 0:.3f}" for c in FIRST[1:4]), r.get("lyric") or ""] for r in rows]
-    widths = [max(len(line[i]) for line in cells) for i in range(5)]
-    rule = lambda mark: "+" + "+".join(mark * (w + 2) for w in widths) + "+"
-    lines = ["| " + " | ".join(c.ljust(w) for c, w in zip(line, widths, strict=True)) + " |" for line in cells]
-    body = f"\n{rule('-')}\n".join(lines[1:])
-    return "\n".join([rule("-"), lines[0], rule("="), body, rule("-")])
+    widths = [max(map(len, column)) for column in zip(HEADINGS, *map(_cells, rows), strict=True)]
+    return "".join(table_pieces(rows, widths))
 
 
 def format_leadsheet(events: DataFrame, song_id: int | None = None) -> str:
