@@ -62,7 +62,7 @@ class SongFilesWriter(DataSourceWriter):
         for name, rows in groupby(iterator, key=lambda r: r[NAME]):
             target = f"{stage}/{attempt}/{name}{SUFFIX[self.kind]}"
             where.create_dir(target.rpartition("/")[0], recursive=True)
-            with where.open_output_stream(target) as out:
+            with where.open_output_stream(target, compression=None) as out:
                 for piece in self.pieces(rows):
                     out.write(piece.encode())
             n += 1
