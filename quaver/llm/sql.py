@@ -1,5 +1,7 @@
 """The same results in DuckDB's SQL, for the corpus queries that SQL can express."""
 
+from .warc import named_characters, renumbered
+
 OP1 = r"""
 WITH RECURSIVE p AS (SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 q AS (SELECT page_id, url, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
@@ -92,16 +94,36 @@ def _uuid(x: str) -> str:
 
 _STRIPPED = r"""regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)', ' ', 'g'),
   '(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|main|aside|nav|header|footer|title|head|body|blockquote|pre|form)\b[^>]*>', chr(10), 'g'), '<[^<>]*>', '', 'g')"""
-_ENTITIES = r"""replace(replace(replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&')""".format
-_CLEAN = rf"""regexp_replace(regexp_replace(regexp_replace({_ENTITIES("t")}, '[ \t\r\f\x0B]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"""
-_TITLE = rf"""trim(regexp_replace({_ENTITIES("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '\s+', ' ', 'g'))"""
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _map(table: dict) -> str:
+    return "MAP {" + ", ".join(f"{_quoted(str(k))}: {_quoted(v)}" for k, v in table.items()) + "}"
+
+
+def _entities(text: str) -> str:
+    """Character references of a text, read once: the text is cut at each ampersand, and what each cut begins with looked up in ``names`` and ``numbers``."""
+    bare = "rtrim(s.r, ';')"
+    is_hex = "s.r[2] IN ('x', 'X')"
+    digits = f"ltrim(CASE WHEN {is_hex} THEN {bare}[3:] ELSE {bare}[2:] END, '0')"
+    number = f"CASE WHEN len({digits}) BETWEEN 1 AND 7 THEN CAST(CASE WHEN {is_hex} THEN '0x' ELSE '' END || {digits} AS BIGINT) END"
+    char = f"coalesce(numbers[CAST({number} AS VARCHAR)], CASE WHEN {number} BETWEEN 1 AND 1114111 AND NOT {number} BETWEEN 55296 AND 57343 THEN chr(CAST({number} AS INT)) ELSE chr(65533) END)"
+    read = f"CASE WHEN s.r = '' THEN NULL WHEN s.r[1] = '#' THEN {char} ELSE names[{bare}] END"
+    cuts = f"list_transform(string_split({text}, '&'), lambda x: {{'x': x, 'r': regexp_extract(x, '^(#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;)', 1)}})"
+    return f"array_to_string(list_transform({cuts}, lambda s, i: CASE WHEN i = 1 THEN s.x ELSE coalesce(({read}) || substr(s.x, len(s.r) + 1), '&' || s.x) END), '')"
+
+
+_CLEAN = rf"""regexp_replace(regexp_replace(regexp_replace({_entities("t")}, '[ \t\r\f\x0B]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"""
+_TITLE = rf"""trim(regexp_replace({_entities("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '\s+', ' ', 'g'))"""
 _LANG = r"""lower(regexp_extract(html, '(?i)<html\b[^>]*\blang\s*=\s*["'']?([A-Za-z-]+)', 1))"""
 _LINKS = r"len(regexp_extract_all(html, '(?i)<a\b[^>]*\bhref'))"
 _NL = "chr(13) || chr(10)"
 OP9 = f"""
 WITH p AS (SELECT page_id, url AS target_uri, coalesce(html, '') AS html FROM pages),
+lookup AS (SELECT {_map(named_characters())} AS names, {_map(renumbered())} AS numbers),
 t AS (SELECT *, 'Content-Type: text/html; charset=utf-8' || {_NL} || 'Content-Length: ' || CAST(octet_length(encode(html)) AS VARCHAR) AS source_headers, {_base32("html")} AS payload_digest, {_STRIPPED} AS t FROM p),
-u AS (SELECT *, {_CLEAN} AS text, {_uuid("'response' || chr(10) || coalesce(CAST(page_id AS VARCHAR), '') || chr(10) || coalesce(target_uri, '') || chr(10) || payload_digest")} AS refers_to, {_TITLE} AS title, {_LANG} AS lang, {_LINKS} AS links FROM t),
+u AS (SELECT t.*, {_CLEAN} AS text, {_uuid("'response' || chr(10) || coalesce(CAST(page_id AS VARCHAR), '') || chr(10) || coalesce(target_uri, '') || chr(10) || payload_digest")} AS refers_to, {_TITLE} AS title, {_LANG} AS lang, {_LINKS} AS links FROM t, lookup),
 r AS (SELECT *, 'conversion' AS record_type, text AS block FROM u UNION ALL SELECT *, 'metadata' AS record_type, CASE WHEN title <> '' THEN 'title: ' || title || {_NL} ELSE '' END || CASE WHEN lang <> '' THEN 'language: ' || lang || {_NL} ELSE '' END
   || 'outlinks: ' || CAST(links AS VARCHAR) || {_NL} || 'text-length: ' || CAST(octet_length(encode(text)) AS VARCHAR) || {_NL} || 'http-header-' || replace(source_headers, chr(10), chr(10) || 'http-header-') || {_NL} AS block FROM u),
 d AS (SELECT *, {_base32("block")} AS block_digest FROM r)

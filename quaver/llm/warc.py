@@ -14,13 +14,27 @@ Edge cases: a null or empty page gives a conversion record with an empty block;
 URL leaves the target out; a null or empty id, digest or header block counts as not
 given. A very long page is converted whole. Repeated rows give repeated records with
 equal ids. An empty table gives an empty one. Extra columns are not read, whatever they
-are called.
+are called. Character references in text and title are read once, whatever their number; one
+that is no number and no HTML name stays as it is, a number that is no character gives U+FFFD.
+
+``write`` makes .warc.gz files of the records, one for each task that has some, with a gzip
+member for each record, so that readers may start at any of them.
 """
 
 from __future__ import annotations
 
+import gzip
+import json
+from collections.abc import Iterator
+from html.entities import html5
+
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource
+from pyspark.sql.types import StructType
+
+from ..sources.song_files import SongFilesWriter, Written, opened
 
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
@@ -45,11 +59,50 @@ def record_id(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), cut(1, 8), F.lit("-"), cut(9, 4), F.lit("-"), cut(13, 4), F.lit("-"), cut(17, 4), F.lit("-"), cut(21, 12), F.lit(">"))
 
 
+def named_characters() -> dict[str, str]:
+    """The characters of the HTML names that end in a semicolon, the common ones first; a no-break space is a space here."""
+    first = ("nbsp", "amp", "lt", "gt", "quot", "apos")
+    names = [f"{n};" for n in first] + sorted((n for n in html5 if n.endswith(";") and n[:-1] not in first), key=lambda n: (len(n), n))
+    return {n[:-1]: " " if n == "nbsp;" else html5[n] for n in names}
+
+
+def renumbered() -> dict[int, str]:
+    """Numbers that stand for another character: 128 to 159 are Windows-1252 in pages, 160 a space here."""
+    found = {n: bytes([n]).decode("cp1252", "ignore") for n in range(128, 160)}
+    return {n: c for n, c in found.items() if c} | {160: " "}
+
+
+def _constant(table: dict, kind: str) -> Column:
+    """A map as one literal of the plan."""
+    return F.from_json(F.lit(json.dumps({str(k): v for k, v in table.items()})), f"map<string,{kind}>")
+
+
+def _numbered(digits: Column, base: int) -> Column:
+    """The character of a number; what is no character gives U+FFFD."""
+    short = F.regexp_replace(digits, "^0+", "")
+    n = F.when(F.length(short).between(1, 7), F.conv(short, base, 10).cast("long"))
+    legal = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.when(legal, F.coalesce(F.try_element_at(_constant(renumbered(), "string"), n.cast("string")), char)).otherwise(F.lit("\ufffd"))
+
+
 def entities(t: Column) -> Column:
-    """The text with the characters that its common entities name."""
-    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("amp", "&")):
-        t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
-    return t
+    """The text with the characters that its references stand for: all numbers, and all HTML names that end in a semicolon. Each is read once, so ``&amp;lt;`` is ``&lt;``."""
+    names = _constant(named_characters(), "string")
+
+    def one(part: Column) -> Column:
+        ref = F.regexp_extract(part, r"^(#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;)", 1)
+        bare = F.rtrim(ref, F.lit(";"))
+        char = (
+            F.when(ref == "", F.lit(None).cast("string"))
+            .when(ref.rlike("^#[xX]"), _numbered(F.substr(bare, F.lit(3)), 16))
+            .when(ref.startswith("#"), _numbered(F.substr(bare, F.lit(2)), 10))
+            .otherwise(F.try_element_at(names, bare))
+        )
+        return F.coalesce(F.concat(char, F.substr(part, F.length(ref) + 1)), F.concat(F.lit("&"), part))
+
+    read = F.array_join(F.transform(F.split(t, "&", -1), lambda part, i: F.when(i == 0, part).otherwise(one(part))), "")
+    return F.when(F.contains(t, F.lit("&")), read).otherwise(t)
 
 
 def plain_text(html: Column) -> Column:
@@ -115,3 +168,50 @@ def record_text() -> Column:
         ("Content-Type", F.col("content_type")), ("Content-Length", F.col("content_length").cast("string")),
     )
     return F.concat(F.lit(VERSION + "\r\n"), head, F.lit("\r\n"), F.col("block"), F.lit("\r\n\r\n"))
+
+
+class WarcFilesWriter(SongFilesWriter):
+    """A task's records as one file, staged and moved into place when all tasks are done."""
+
+    def write(self, iterator: Iterator) -> Written:
+        context = TaskContext.get()
+        attempt = str(context.taskAttemptId())
+        where, stage = opened(self.stage)
+        first = next(iterator, None)
+        if first is None:
+            return Written(attempt, 0)
+        where.create_dir(f"{stage}/{attempt}", recursive=True)
+        job = self.stage.rpartition("-")[2]
+        with where.open_output_stream(f"{stage}/{attempt}/part-{context.partitionId():05d}-{job}.warc.gz", compression=None) as out:
+            out.write(self.member(first))
+            for r in iterator:
+                out.write(self.member(r))
+        return Written(attempt, 1)
+
+    @staticmethod
+    def member(row) -> bytes:
+        return gzip.compress(row["record"].encode(), mtime=0)
+
+
+class WarcFiles(DataSource):
+    """``df.write.format("warcfiles")`` of (record), as ``write`` makes it."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "warcfiles"
+
+    def schema(self) -> str:
+        return "record string"
+
+    def writer(self, schema: StructType, overwrite: bool) -> WarcFilesWriter:
+        return WarcFilesWriter(self.options["path"], "warc", [], overwrite)
+
+
+def write(derived: DataFrame, path: str, overwrite: bool = False) -> None:
+    """The records of ``derive`` as .warc.gz files in a folder that executors and driver share; added to those that are there, or in their place.
+
+    Nothing is shuffled. A failed job leaves the folder as it was; rows without a record id or a block are no records and are left out.
+    """
+    derived.sparkSession.dataSource.register(WarcFiles)
+    records = derived.select(record_text().alias("record")).where("record is not null")
+    records.write.format("warcfiles").option("path", path).mode("overwrite" if overwrite else "append").save()
