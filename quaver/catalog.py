@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from .functions import music as M
 from .operators import align, keys, leadsheet, segment, sliced
+from .plans import summaries
 from .plans import transcribe as T
 from .sources import adapters as A
 from .sources import readers, sinks
@@ -277,6 +278,16 @@ def song_summary(spark, sf_dir):
     return found.withColumns({c: F.round(c, 6) for c in ("first_start", "last_end", "bpm")})
 
 
+@query(SQL["song_summary"])
+def song_summary_merged(spark, sf_dir):
+    """The same from states of 20 neighbouring events each, merged."""
+    frames = A.frames(spark, sf_dir)
+    songs = frames.select("song_id").union(spark.range(3).select((-1 - F.col("id")).alias("song_id")))
+    parts = summaries.state(_transcribed(spark, sf_dir).withColumn("part", F.floor(F.col("event_idx") / 20)), "part")
+    found = summaries.finished(summaries.merged(parts), songs, align.tempo(A.beats(frames)))
+    return found.withColumns({c: F.round(c, 6) for c in ("first_start", "last_end", "bpm")})
+
+
 @query(with_(A.FRAMES_SQL, "SELECT song_id, count(*) AS n_frames, round(min(time), 6) AS min_time, round(max(time), 6) AS max_time, round(min(frequency), 6) AS min_frequency, round(max(frequency), 6) AS max_frequency, round(min(confidence), 6) AS min_confidence, round(max(confidence), 6) AS max_confidence FROM frames GROUP BY song_id"))
 def frame_ranges(spark, sf_dir):
     found = T.frame_ranges(A.frames(spark, sf_dir))

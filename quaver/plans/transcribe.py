@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions import music as M
 from ..operators import align, keys, segment
+from . import summaries
 
 
 def map_notes(
@@ -56,17 +56,7 @@ def song_summary(events: DataFrame, songs: DataFrame | None = None, tempo: DataF
     ``songs``: songs without events get a row as well, with counts of 0 and key Unknown; further columns of it (a song's
     name, say) stay. ``tempo``: (song_id, bpm).
     """
-    flag = lambda c: F.count_if(F.col(c)).alias(f"n_{c}")
-    more = [flag(c) for c in ("pyin_agrees", "chord_fit", "beat_aligned") if c in events.columns]
-    more += [F.count("lyric").alias("n_lyric")] if "lyric" in events.columns else []
-    ends = [F.min("start_time").alias("first_start"), F.max("end_time").alias("last_end")]
-    counts = events.groupBy("song_id").agg(F.count(F.lit(1)).alias("n_notes"), *more, *ends, *keys.histogram())
-    shown = [c for c in counts.columns if not c.startswith("__")]
-    out = counts.select(*shown, *keys.best_keys()).select(*shown, "key", F.concat(M.rounded_text(F.col("score") * 100, 0), F.lit("%")).alias("key_score"))
-    if songs is not None:
-        zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in out.columns if c.startswith("n_")}
-        out = songs.distinct().join(out, "song_id", "left").withColumns(zero | {"key": F.coalesce("key", F.lit(keys.UNKNOWN)), "key_score": F.coalesce("key_score", F.lit("0%"))})
-    return out if tempo is None else out.join(tempo, "song_id", "left")
+    return summaries.finished(summaries.state(events), songs, tempo)
 
 
 def frame_ranges(frames: DataFrame) -> DataFrame:
