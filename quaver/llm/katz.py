@@ -16,8 +16,10 @@ on the way take 7 times the input instead of less than 4.
    holds all with the same last two words, and so all their longer n-grams: by the word
    before; by both words, where the one before is so frequent that it alone would fill a
    turn of a partition; by the word itself, where that is not in the dictionary. N-grams
-   that alone would fill a turn are counted before: those of full length are never routed,
-   and the tokens of shorter ones are spread by their longer n-grams. A partition counts
+   with more than one in ``HOT`` of all tokens are counted before: those of full length are never
+   routed, and the tokens of shorter ones are spread by their longer n-grams. Those are found with
+   the words: each flush of the tokens names what it holds at more than half that share, 2 x ``HOT`` at
+   most however large the table is, and what is more frequent in all is named for more than half of its count. A partition counts
    its n-grams in turns of about ``TURN_TOKENS`` and writes, by row, what is decided there,
    and by history what its seen words take. The numbers of partitions and turns follow
    from the number of tokens, so memory does not depend on the session's settings.
@@ -59,6 +61,8 @@ DICT = 1 << 17
 FLUSH = 1 << 20
 #: Tokens that a partition takes at most, about, and that it counts in one turn.
 PART_TOKENS, TURN_TOKENS = 1 << 24, 1 << 19
+#: An n-gram is hot if more than one token in so many ends it.
+HOT = 1 << 14
 #: Key under which the words' table counts the tokens of all rows.
 ALL = 0
 END, BEGIN = 1, 2
@@ -100,27 +104,44 @@ def _tokens(batch: pa.RecordBatch, text: str, order: int) -> tuple[list[np.ndarr
     return gram, rows
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word counts of training rows, by flush, and the number of all tokens."""
-    held: list[np.ndarray] = []
+def _gram_names(order: int) -> list[str]:
+    return [f"w{i}" for i in range(order)]
+
+
+def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """By flush of training rows: counts of words (n = 1), the number of all tokens, and counts of the n-grams that are frequent in it."""
+    held: list[list[np.ndarray]] = []
     size = tokens = 0
 
-    def out() -> pa.RecordBatch:
-        h, c = np.unique(np.concatenate(held), return_counts=True)
-        h, c = np.append(h, np.uint64(ALL)), np.append(c, tokens)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
+    def rows(n: int, gram: list[np.ndarray], c: np.ndarray) -> pa.RecordBatch:
+        words = [pa.array(g.view(np.int64)) for g in gram] + [pa.nulls(len(c), pa.int64())] * (order - n)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(c), n, np.int32)), *words, pa.array(c.astype(np.int64))], names=["n", *_gram_names(order), "c"])
+
+    def out() -> Iterator[pa.RecordBatch]:
+        gram = [np.concatenate(g) for g in zip(*held, strict=True)]
+        h, c = np.unique(gram[0], return_counts=True)
+        yield rows(1, [np.append(h, np.uint64(ALL))], np.append(c, tokens))
+        least = size / (2 * HOT)
+        key = gram[0]
+        for n in range(2, order + 1):
+            key = mix64(key * _ODD ^ gram[n - 1])
+            _, first, c = np.unique(key, return_index=True, return_counts=True)
+            first, c = first[c > least], c[c > least]
+            own = [g[first] for g in gram[:n]]
+            within = own[-1] != BEGIN
+            yield rows(n, [g[within] for g in own], c[within])
 
     for whole in batches:
         for batch in slices(whole, "text"):
-            (v,), rows = _tokens(batch, "text", 1)
-            own = v[batch.column(1).to_numpy(zero_copy_only=False)[rows]]
-            held.append(own)
-            size, tokens = size + len(own), tokens + len(v)
+            gram, of = _tokens(batch, "text", order)
+            use = batch.column(1).to_numpy(zero_copy_only=False)[of]
+            held.append([g[use] for g in gram])
+            size, tokens = size + int(use.sum()), tokens + len(of)
             if size >= FLUSH:
-                yield out()
+                yield from out()
                 held, size, tokens = [], 0, 0
     if tokens:
-        yield out()
+        yield from out()
 
 
 class Model:
@@ -131,9 +152,9 @@ class Model:
         self.words, self.counts = words[by], counts[by]
         self.total, self.distinct, self.texts, self.size, self.order = total, distinct, texts, size, order
         self.places, self.turns = np.array(places, np.int32), turns
-        #: a word with more occurrences would fill a quarter of a turn, an n-gram an eighth
+        #: a word with more occurrences would fill a quarter of a turn
         turn = max(1, total // (len(places) * turns))
-        self.heavy, self.hot_from = self.counts > max(least, K, turn // 4), max(least, K, turn // 8)
+        self.heavy, self.hot_from = self.counts > max(least, K, turn // 4), max(least, K, total // HOT)
         self.d = np.array([0.0, *discounts(histogram)])
         taken = sum(self.d[r] * r * histogram[r - 1] for r in range(1, K + 1)) + self.d[K + 1] * (total - sum(r * histogram[r - 1] for r in range(1, K + 1)))
         self.unknown = 1 - taken / total if total else 1.0
@@ -212,25 +233,21 @@ def _history(gram: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _count_hot(batches: Iterator[pa.RecordBatch], sent, n: int) -> Iterator[pa.RecordBatch]:
-    """Counts in training rows of n-grams of heavy words, or with a hot (n-1)-gram at either end; those are few, so each task holds few."""
+def _count_hot(batches: Iterator[pa.RecordBatch], sent, keys: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """Counts in training rows of the n-grams with these sorted keys, each once a task."""
     model: Model = sent.value
+    found = np.zeros(len(keys), np.int64)
     for whole in batches:
         for batch in slices(whole, "text"):
             gram, rows = _tokens(batch, "text", n)
             use = batch.column(1).to_numpy(zero_copy_only=False)[rows]
             gram = [model.ids(g)[use] for g in gram]
-            ok = np.ones(len(gram[0]), bool)
-            for g in gram:
-                ok &= model.known(g)
-                ok[ok] = model.heavy[g[ok].astype(np.int64)]
-            gram = [g[ok] for g in gram]
-            if n > 2:
-                ok = (model.hot_counts(gram[:-1])[-1] > 0) & (model.hot_counts(gram[1:])[-1] > 0)
-                gram = [g[ok] for g in gram]
-            _, first, c = np.unique(model.key(gram), return_index=True, return_counts=True)
-            words = [pa.array(g[first].astype(np.int64)) for g in gram]
-            yield pa.RecordBatch.from_arrays([*words, pa.array(c.astype(np.int64))], names=[*(f"w{i}" for i in range(n)), "c"])
+            ok = np.logical_and.reduce([model.known(g) for g in gram])
+            own = model.key([g[ok] for g in gram])
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            found += np.bincount(at[keys[at] == own], minlength=len(keys))
+    some = np.flatnonzero(found)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], names=["i", "c"])
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -525,7 +542,10 @@ def score(
     sc = spark.sparkContext
     out = held_out(F.col(doc_id)) if out is None else out
     read = docs.select(F.col(text).alias("text"), (~out).alias("teach"), F.col(doc_id).alias("id"))
-    words = materialize(read.select("text", "teach").mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
+    names = _gram_names(order)
+    counted = read.select("text", "teach").mapInArrow(lambda b: _count(b, order), f"n int, {', '.join(f'{w} long' for w in names)}, c long")
+    grams = materialize(counted.groupBy("n", *names).agg(F.sum("c").alias("c")), "words")
+    words = grams.where("n = 1").select(F.col("w0").alias("h"), "c")
     known = words.where(F.col("h") != ALL)
     found = known.agg(F.sum("c"), F.count(F.lit(1)), *(F.count_if(F.col("c") == r) for r in range(1, K + 2)), F.sum(F.when(F.col("h") == END, F.col("c")))).first()
     tokens = words.where(F.col("h") == ALL).agg(F.sum("c")).first()[0] or 0
@@ -535,7 +555,7 @@ def score(
     frequent = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
     model = Model(*frequent, found[0] or 0, found[1], list(found[2 : K + 3]), found[K + 3] or 0, _places(spark, parts), turns, dictionary, least, order)
     model.end = model.ids(np.array([END], np.uint64))[0]
-    extra = _hot_contexts(read, model)
+    extra = _hot_contexts(read, grams, model)
     sent = sc.broadcast(model)
     id_type, classes = read.schema["id"].dataType.simpleString(), _classes(order)
     routed = f"part long, blob binary, rid long, tokens long, known long, base double, seen double, beyond long, held boolean, id {id_type}"
@@ -588,22 +608,30 @@ def _contexts(made: DataFrame, extra: DataFrame | None, order: int, most: int) -
     return materialize(out, "alphas"), d
 
 
-def _hot_contexts(read: DataFrame, model: Model) -> DataFrame | None:
-    """N-grams that alone would fill an eighth of a turn: given to ``model`` with their counts, and returned as rows of the context tables."""
+def _hot_contexts(read: DataFrame, grams: DataFrame, model: Model) -> DataFrame | None:
+    """Hot n-grams: given to ``model`` with their counts, and returned as rows of the context tables. ``grams``: from ``_count``."""
     spark = read.sparkSession
     classes, rows = _classes(model.order), []
     for n in range(2, model.order + 1):
-        if not model.heavy.any() or (n > 2 and n - 1 not in model.hot):
+        # flushes that do not name an n-gram have half of ``hot_from`` of it at most; the others together, more than that of 2 x HOT n-grams at most
+        found = grams.where((F.col("n") == n) & (2 * F.col("c") > model.hot_from)).select(_gram_names(n)).collect()
+        gram = [model.ids(g.view(np.uint64)) for g in np.array(found, np.int64).reshape(-1, n).T.copy()]
+        ok = np.logical_and.reduce([model.known(g) for g in gram])
+        if n > 2:
+            gram = [np.where(ok, g, 0).astype(np.uint64) for g in gram]
+            ok &= (model.hot_counts(gram[:-1])[-1] > 0) & (model.hot_counts(gram[1:])[-1] > 0)
+        gram = [g[ok] for g in gram]
+        if not len(gram[0]):
             break
-        words = [f"w{i}" for i in range(n)]
+        keys, first = np.unique(model.key(gram), return_index=True)
+        gram = [g[first] for g in gram]
         sent = spark.sparkContext.broadcast(model)
-        schema = ", ".join(f"{c} long" for c in (*words, "c"))
-        counted = read.select("text", "teach").mapInArrow(lambda b, n=n, sent=sent: _count_hot(b, sent, n), schema).groupBy(*words).agg(F.sum("c").alias("c"))
-        found = counted.where(F.col("c") > model.hot_from).collect()  # 8 a turn at most
+        counted = read.select("text", "teach").mapInArrow(lambda b, n=n, sent=sent, keys=keys: _count_hot(b, sent, keys, n), "i long, c long").groupBy("i").agg(F.sum("c").alias("c"))
+        found = counted.where(F.col("c") > model.hot_from).collect()
         if not found:
             break
-        *gram, c = np.array(found, np.int64).T
-        gram = [g.astype(np.uint64) for g in gram]
+        at, c = np.array(found, np.int64).T
+        gram = [g[at] for g in gram]
         key = model.key(gram)
         by = np.argsort(key)
         model.hot[n] = (key[by], c[by])

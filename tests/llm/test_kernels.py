@@ -63,3 +63,27 @@ def test_packing():
     arrays = [np.arange(5, dtype=np.uint64), np.zeros(0, np.int64), np.array([1.5]), np.array([1, 2], np.uint8)]
     for a, b in zip(arrays, katz._unpack(katz._pack(*arrays)), strict=True):
         assert a.dtype == b.dtype and (a == b).all()
+
+
+def test_katz_hot_candidates(monkeypatch):
+    """Each flush names few n-grams however many it holds, and no frequent one is lost; the exact count is a row a task for each."""
+    monkeypatch.setattr(katz, "HOT", 16)
+    monkeypatch.setattr(katz, "FLUSH", 1000)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, 50)) + " often so" * int(rng.integers(0, 12)) for _ in range(300)]
+    teach = pa.array(rng.random(300) < 0.8)
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[a : a + 10]), teach[a : a + 10]], names=["text", "teach"]) for a in range(0, 300, 10)]
+    out = pa.Table.from_batches(katz._count(iter(batches), 2)).to_pydict()
+    rows = list(zip(*out.values(), strict=True))
+    words = [r for r in rows if r[0] == 1 and r[1] != katz.ALL]
+    flushes = sum(r[0] == 1 and r[1] == katz.ALL for r in rows)
+    total = sum(r[-1] for r in words)
+    assert total == sum(len(t.split()) + 1 for t, use in zip(texts, teach.to_pylist(), strict=True) if use)
+    pairs = [r for r in rows if r[0] == 2]
+    assert flushes > 5 and 0 < len(pairs) <= 2 * katz.HOT * flushes < len(set(" ".join(texts).split())) ** 2
+    found = {}
+    for _, v, u, c in pairs:
+        found[v, u] = found.get((v, u), 0) + c
+    hash_of = dict(zip(("often", "so"), (int(x) for x in katz._tokens(batches[0].set_column(0, "text", pa.array(["often so"] * 10)), "text", 1)[0][0][:2].view(np.int64)), strict=True))
+    exact = sum(t.count("often so") for t, use in zip(texts, teach.to_pylist(), strict=True) if use)
+    assert exact > total / katz.HOT and exact / 2 < found[hash_of["so"], hash_of["often"]] <= exact
