@@ -101,6 +101,10 @@ def _lyrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.parse_lrc(A.lyric_lines(spark, sf_dir))
 
 
+def _beats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.beats(A.frames(spark, sf_dir), A.frame_ends(spark, sf_dir))
+
+
 def _sung(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_lyrics(_notes(spark, sf_dir), _lyrics(spark, sf_dir))
 
@@ -210,7 +214,7 @@ def pyin_agreement(spark, sf_dir):
 
 @query(with_(A.FRAMES_SQL + "," + A.BEATS_SQL + "," + SUBS, "SELECT song_id, round(time, 6) AS time FROM subs"))
 def beat_subdivisions(spark, sf_dir):
-    return align.beat_subdivisions(A.beats(A.frames(spark, sf_dir))).select("song_id", *_six("time"))
+    return align.beat_subdivisions(_beats(spark, sf_dir)).select("song_id", *_six("time"))
 
 
 @query(with_(CHORDS, "SELECT song_id, chord_idx, round(time, 6) AS time, array_to_string(chord_notes, ' ') AS chord_notes FROM chords"))
@@ -229,8 +233,7 @@ def chord_fit(spark, sf_dir):
 
 @query(with_(NOTES + ", fitted AS (SELECT * FROM merged)," + A.BEATS_SQL + "," + SUBS + "," + ALIGNED, "SELECT song_id, event_idx, round(start_time, 6) AS start_time, beat_aligned FROM timed"))
 def beat_alignment(spark, sf_dir):
-    frames = A.frames(spark, sf_dir)
-    return align.annotate_beats(T.map_notes(frames), align.beat_subdivisions(A.beats(frames))).select("song_id", "event_idx", *_six("start_time"), "beat_aligned")
+    return align.annotate_beats(_notes(spark, sf_dir), align.beat_subdivisions(_beats(spark, sf_dir))).select("song_id", "event_idx", *_six("start_time"), "beat_aligned")
 
 
 @query(with_(LYRICS, "SELECT song_id, line_no, round(ts, 6) AS ts, text FROM lyrics"))
@@ -250,7 +253,7 @@ FULL_SUNG = FULL + "," + LYRICS + ", last_line AS (SELECT song_id, ts, arg_max(t
 def _transcribed(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames, chroma = A.frames(spark, sf_dir), A.chroma(spark, sf_dir)
     chords = align.chord_timeline(chroma, A.chroma_beats(chroma))
-    return T.transcribe(frames, transpose=9, second_frames=A.second_frames(frames), chords=chords, grid=align.beat_subdivisions(A.beats(frames)), lyrics=_lyrics(spark, sf_dir))
+    return T.transcribe(frames, transpose=9, second_frames=A.second_frames(frames), chords=chords, grid=align.beat_subdivisions(_beats(spark, sf_dir)), lyrics=_lyrics(spark, sf_dir))
 
 
 @query(with_(FULL_SUNG, f"SELECT {EVENT_COLS}, pyin_agrees, chord_fit, beat_aligned, lyric FROM done"))
@@ -274,7 +277,7 @@ def song_summary(spark, sf_dir):
     """The summary of all songs, and of three that have no frames at all."""
     frames = A.frames(spark, sf_dir)
     songs = frames.select("song_id").union(spark.range(3).select((-1 - F.col("id")).alias("song_id")))
-    found = T.song_summary(_transcribed(spark, sf_dir), songs, align.tempo(A.beats(frames)))
+    found = T.song_summary(_transcribed(spark, sf_dir), songs, align.tempo(_beats(spark, sf_dir)))
     return found.withColumns({c: F.round(c, 6) for c in ("first_start", "last_end", "bpm")})
 
 
@@ -284,7 +287,7 @@ def song_summary_merged(spark, sf_dir):
     frames = A.frames(spark, sf_dir)
     songs = frames.select("song_id").union(spark.range(3).select((-1 - F.col("id")).alias("song_id")))
     parts = summaries.state(_transcribed(spark, sf_dir).withColumn("part", F.floor(F.col("event_idx") / 20)), "part")
-    found = summaries.finished(summaries.merged(parts), songs, align.tempo(A.beats(frames)))
+    found = summaries.finished(summaries.merged(parts), songs, align.tempo(_beats(spark, sf_dir)))
     return found.withColumns({c: F.round(c, 6) for c in ("first_start", "last_end", "bpm")})
 
 

@@ -53,9 +53,20 @@ SECOND_SQL = """
 second AS (SELECT song_id, time, frequency * pow(CAST(2 AS DOUBLE), CASE WHEN returnflag = 'N' THEN CAST(0.2 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END / CAST(12 AS DOUBLE)) AS frequency FROM frames WHERE linestatus = 'O')"""
 
 
-def beats(frames: DataFrame) -> DataFrame:
-    """A beat every 700 to 790 ms, by song, up to the last frame, with the tempo."""
-    ends = frames.groupBy("song_id").agg(F.max("time").alias("end")).withColumn("step", F.lit(700) + F.lit(10) * (F.col("song_id") % 10))
+def frame_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(song_id, end): the last frame's time of each song in ``frames``. Steps add up in any order, so these are counts by order, without the sort by song."""
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    orders = orders.withColumn("song_id", F.floor(F.col("l_orderkey") / F.lit(ORDERS)))
+    long = F.col("l_orderkey") % ORDERS % 3 == 0
+    # a long step leads to each such order but the song's first
+    steps = F.count_if(long) - F.coalesce(F.min(F.struct("l_orderkey", long.alias("long")))["long"].cast("long"), F.lit(0))
+    return orders.groupBy("song_id").agg(((F.sum("n") * 40 + steps * 710).cast("double") / 1000.0).alias("end"))
+
+
+def beats(frames: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """A beat every 700 to 790 ms, by song, up to the last frame, with the tempo. ``ends`` (song_id, end): the last frames' times, where they are known."""
+    ends = frames.groupBy("song_id").agg(F.max("time").alias("end")) if ends is None else ends
+    ends = ends.withColumn("step", F.lit(700) + F.lit(10) * (F.col("song_id") % 10))
     count = F.floor(F.col("end") * 1000.0 / F.col("step")).cast("int")
     return ends.select("song_id", "step", F.explode(F.sequence(F.lit(0), count)).alias("i")).select("song_id", F.col("i").cast("long").alias("beat_idx"), ((F.col("i") * F.col("step")).cast("double") / 1000.0).alias("time"), (F.lit(60_000.0) / F.col("step")).alias("bpm"))
 
