@@ -5,6 +5,9 @@ song. Within a slice, runs are numbered from 0. A slice then gives one row, its
 window over these few rows tells which first runs go on from the slice before, and where a slice's numbers begin. Pieces
 of one run, which may lie in any number of slices, are put together by (song, number).
 
+What a step reads twice, for the slices' rows and for its own, is computed once and kept on the executors' disks until
+nothing refers to it (``localCheckpoint``): without that, each step would double the work of all before it.
+
 The results are those of ``segment`` and ``keys``, but for the last bits of confidences, whose sums are taken in another order.
 """
 
@@ -12,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -29,6 +33,10 @@ def _slices(df: DataFrame, order: str, slice_rows: int) -> DataFrame:
     return df.withColumn("__slice", F.floor(F.col(order) / F.lit(slice_rows)))
 
 
+def _once(df: DataFrame) -> DataFrame:
+    return df.localCheckpoint(storageLevel=StorageLevel.DISK_ONLY)
+
+
 def _in_slice(order: str) -> W:
     return W.partitionBy(*KEY).orderBy(order)
 
@@ -41,6 +49,7 @@ def _runs(df: DataFrame, new: Column, order: str) -> DataFrame:
 
 def _numbered(pieces: DataFrame, goes_on: Callable[[Column, Column], Column]) -> DataFrame:
     """``event_idx`` of each piece: slices in order, and the first run of a slice with the last of the one before where it goes on."""
+    pieces = _once(pieces)
     ends = F.struct("midi", "start_time", "end_time")
     slices = pieces.groupBy(*KEY).agg(F.min_by(ends, "__run").alias("first"), F.max_by(ends, "__run").alias("last"), F.count(F.lit(1)).alias("n"))
     along = W.partitionBy("song_id").orderBy("__slice")
@@ -67,8 +76,8 @@ def segment_notes(frames: DataFrame, max_gap: float = 0.1, slice_rows: int = SLI
 
 def filter_by_key(events: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """``keys.filter_by_key``: each song's key from sums, joined back by slice, so that the events of a song stay in many tasks."""
-    rows = _slices(events, "event_idx", slice_rows)
-    found = rows.select(*KEY).distinct().join(keys.detect_key(events), "song_id")
+    rows = _once(_slices(events, "event_idx", slice_rows))
+    found = rows.select(*KEY).distinct().join(keys.detect_key(rows), "song_id")
     # song and slice in place of the song
     of_slice = lambda df: df.withColumn("song_id", F.struct(*KEY))
     kept = keys.filter_by_key(of_slice(rows), of_slice(found))
@@ -77,7 +86,7 @@ def filter_by_key(events: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
 
 def remove_octave_outliers(events: DataFrame, max_duration: float = 0.15, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """``segment.remove_octave_outliers`` in slices: the neighbours of a slice's first and last event come from the slices beside it."""
-    rows = _slices(events, "event_idx", slice_rows)
+    rows = _once(_slices(events, "event_idx", slice_rows))
     ends = rows.groupBy(*KEY).agg(F.min_by("midi", "event_idx").alias("first"), F.max_by("midi", "event_idx").alias("last"))
     along, w = W.partitionBy("song_id").orderBy("__slice"), _in_slice("event_idx")
     beside = ends.select(*KEY, F.lag("last").over(along).alias("__before"), F.lead("first").over(along).alias("__after"))

@@ -278,3 +278,18 @@ def test_times_that_are_none(spark):
     df = segment.segment_notes(segment.filter_by_confidence(frames(spark, song)))
     assert got(df, "note", "start_time", "end_time") == [("A4", 0.0, 0.05)]
     assert got(align.annotate_second_estimate(df, frames(spark, song)), "pyin_agrees") == [(True,)]
+
+
+def test_sliced_chain_reads_its_input_once(spark):
+    """The rows of slices do not repeat the steps before them: each frame is segmented once for all later steps."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = frames(spark, [(0.04 * i, 440.0 * 2 ** (i // 9 % 5 / 12), 0.95) for i in range(300)])
+    passed = df.mapInArrow(counted, df.schema)
+    assert sliced.map_notes(passed, slice_rows=50).count() > 0
+    assert read.value == df.count()
