@@ -50,6 +50,9 @@ UNITS, UNIT_CHARS, USES = 1 << 17, 1 << 21, 1 << 20
 SPREAD = 4
 #: Pair tables of at most this many rows are broadcast.
 BROADCAST_PAIRS = 500_000
+#: Rows and bytes that a batch brings to the tokenizers, and bytes of text that are encoded at once: a worker and its
+#: executor's buffers hold as much beside the dictionary of a block.
+BATCH_ROWS, BATCH_BYTES, SLICE = 256, 1 << 20, 1 << 19
 #: Units whose strings are gathered at once.
 GATHER = 1 << 17
 SPACE = "\u2581"
@@ -175,8 +178,8 @@ class _Block:
         if not self.numbers:
             return
         sides = [(np.concatenate(i), np.concatenate([[0], np.cumsum(np.concatenate(n))])) for i, n in zip(self.ids, self.sizes, strict=True)]
-        for low in range(0, len(self.numbers), 50_000):
-            high = min(low + 50_000, len(self.numbers))
+        for low in range(0, len(self.numbers), 10_000):
+            high = min(low + 10_000, len(self.numbers))
             cols = {"blk": pa.array(np.full(high - low, self.number)), "unit": pa.array(np.arange(low, high, dtype=np.int32)), "uses": pa.array(self.uses[low:high])}
             for side, sizes, (ids, ends) in zip("ab", (pair.a_size, pair.b_size), sides, strict=True):
                 at = ends[low : high + 1]
@@ -204,7 +207,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Ite
         ints = pa.list_(pa.int32())
         kinds = pa.schema([("blk", pa.int64()), ("rid", pa.int64()), ("id", whole.schema.field(0).type), ("units", ints), ("unit", pa.int32()), ("uses", pa.int64()), ("a", ints), ("al", ints), ("b", ints), ("bl", ints)])
         pair = pair or Pair(a_path, b_path)
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", SLICE):
             rows = block.add(batch.column(1).to_pylist(), pair)
             cols = {"blk": pa.array(np.full(len(rows), block.number)), "rid": pa.array(np.arange(n, n + len(rows))), "id": batch.column(0)}
             cols["units"] = _lists(np.cumsum([0, *map(len, rows)]), np.concatenate(rows))
@@ -227,19 +230,25 @@ def encode(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", te
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"blk long, rid long, id {kind}, units array<int>, unit int, uses long, a array<int>, al array<int>, b array<int>, bl array<int>"
-    return bucketed(rows.mapInArrow(lambda b: _encoded(b, a_path, b_path), schema), "blk", "encoded", SPREAD)
+    batches = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    with _settings(docs.sparkSession, batches):
+        return bucketed(rows.mapInArrow(lambda b: _encoded(b, a_path, b_path), schema), "blk", "encoded", SPREAD)
 
 
 @contextlib.contextmanager
-def _by_first_key(spark: SparkSession) -> Iterator[None]:
-    """Joins on (blk, unit, end) may use rows dealt out by blk: tokens, far more than texts, are then not shuffled."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+def _settings(spark: SparkSession, given: dict[str, object]) -> Iterator[None]:
+    before = {name: spark.conf.get(name) for name in given}
+    for name, value in given.items():
+        spark.conf.set(name, str(value))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+#: Joins on (blk, unit, end) may use rows dealt out by blk: tokens, far more than texts, are then not shuffled.
+BY_FIRST_KEY = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
 
 
 def cuts(lists: DataFrame, by: tuple, carry: tuple = ()) -> DataFrame:
@@ -317,7 +326,7 @@ def _gather(left: pa.Table, right: pa.Table) -> pa.Table:
 def alignment(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_text) of every row; groups: ``a1,a2|b1;a3|b2,b3``."""
     both = encode(docs, a_path, b_path, doc_id, text)
-    with _by_first_key(docs.sparkSession):
+    with _settings(docs.sparkSession, BY_FIRST_KEY):
         links = bucketed(cuts(both.where("rid is null"), ("blk", "unit"), ("uses",)), "blk", "links", SPREAD)
     pairs = pair_counts(links)
     few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS

@@ -118,3 +118,21 @@ def test_units_join_to_the_text():
         if t is not None:
             assert "".join(" " + u for u in L.units_of(t)) == " " + t
     assert L.units_of("a b\n c  d") == ["a", "b\n c", " d"] and np.all([u == u.strip() for u in L.units_of("x y z")])
+
+
+def test_encoding_takes_small_batches(spark, monkeypatch):
+    """However many rows a task has, a batch that the tokenizers get is small, and the session's own batches are as before."""
+    real, name = L._encoded, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def watched(batches, *paths):
+        def small():
+            for batch in batches:
+                assert batch.num_rows <= 256 and batch.nbytes < 4 << 20, batch.num_rows
+                yield batch
+
+        return real(small(), *paths)
+
+    monkeypatch.setattr(L, "_encoded", watched)
+    before = spark.conf.get(name)
+    made = L.encode(spark.range(1000, numPartitions=1).selectExpr("id AS doc_id", "repeat(concat('word ', id, ' '), 2000) AS text"), *PATHS)
+    assert made.where("rid is not null").count() == 1000 and spark.conf.get(name) == before
