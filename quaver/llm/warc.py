@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import gzip
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.entities import html5
 
 from pyspark import TaskContext
@@ -39,18 +39,21 @@ from ..sources.song_files import SongFilesWriter, Written, opened
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+_HIDDEN = r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z))"
 _BLOCK = r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|main|aside|nav|header|footer|title|head|body|blockquote|pre|form)\b[^>]*>"
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a variable that holds the value: inside lambdas Spark computes a repeated expression each time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def digest(text: Column) -> Column:
     """``sha1:`` and the base 32 form of the SHA-1 of the UTF-8 bytes."""
     letter = lambda n: F.substring(F.lit(BASE32), n.cast("int") + 1, F.lit(1))
     four = lambda n: F.concat(letter(F.shiftright(n, 15)), letter(F.shiftright(n, 10) % 32), letter(F.shiftright(n, 5) % 32), letter(n % 32))
-    # the hash is bound to a variable, so that it is computed once
     groups = lambda h: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda g: F.conv(F.substring(h, g * 5 + 1, F.lit(5)), 16, 10).cast("int"))
-    base32 = F.transform(F.array(F.sha1(text.cast("binary"))), lambda h: F.array_join(F.transform(groups(h), four), ""))
-    return F.concat(F.lit("sha1:"), F.get(base32, F.lit(0)))
+    return F.concat(F.lit("sha1:"), _bound(F.sha1(text.cast("binary")), lambda h: F.array_join(F.transform(groups(h), four), "")))
 
 
 def record_id(*parts: Column) -> Column:
@@ -79,38 +82,54 @@ def _constant(table: dict, kind: str) -> Column:
 
 def _numbered(digits: Column, base: int) -> Column:
     """The character of a number; what is no character gives U+FFFD."""
-    short = F.regexp_replace(digits, "^0+", "")
-    n = F.when(F.length(short).between(1, 7), F.conv(short, base, 10).cast("long"))
-    legal = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
-    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-    return F.when(legal, F.coalesce(F.try_element_at(_constant(renumbered(), "string"), n.cast("string")), char)).otherwise(F.lit("\ufffd"))
+    renamed = _constant(renumbered(), "string")
+
+    def char(n: Column) -> Column:
+        legal = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        own = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return F.when(legal, F.coalesce(F.when(n.between(128, 160), F.try_element_at(renamed, n.cast("string"))), own)).otherwise(F.lit("\ufffd"))
+
+    number = lambda short: F.when(F.length(short).between(1, 7), F.conv(short, base, 10).cast("long"))
+    return _bound(F.regexp_replace(digits, "^0+", ""), lambda short: _bound(number(short), char))
 
 
 def entities(t: Column) -> Column:
     """The text with the characters that its references stand for: all numbers, and all HTML names that end in a semicolon. Each is read once, so ``&amp;lt;`` is ``&lt;``."""
     names = _constant(named_characters(), "string")
 
-    def one(part: Column) -> Column:
-        ref = F.regexp_extract(part, r"^(#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;)", 1)
+    def char(ref: Column) -> Column:
         bare = F.rtrim(ref, F.lit(";"))
-        char = (
+        return (
             F.when(ref == "", F.lit(None).cast("string"))
             .when(ref.rlike("^#[xX]"), _numbered(F.substr(bare, F.lit(3)), 16))
             .when(ref.startswith("#"), _numbered(F.substr(bare, F.lit(2)), 10))
             .otherwise(F.try_element_at(names, bare))
         )
-        return F.coalesce(F.concat(char, F.substr(part, F.length(ref) + 1)), F.concat(F.lit("&"), part))
+
+    def one(part: Column) -> Column:
+        ref = F.regexp_extract(part, r"^(#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;)", 1)
+        return _bound(ref, lambda ref: F.coalesce(F.concat(char(ref), F.substr(part, F.length(ref) + 1)), F.concat(F.lit("&"), part)))
 
     read = F.array_join(F.transform(F.split(t, "&", -1), lambda part, i: F.when(i == 0, part).otherwise(one(part))), "")
     return F.when(F.contains(t, F.lit("&")), read).otherwise(t)
 
 
-def plain_text(html: Column) -> Column:
-    """The text of a page: no scripts, styles, comments or tags; a line for each block."""
+def without_tags(html: Column) -> Column:
+    """A page without scripts, styles, comments and tags; a line for each block."""
     t = F.regexp_replace(html, _HIDDEN, " ")
-    t = F.regexp_replace(t, _BLOCK, "\n")
-    t = F.regexp_replace(entities(F.regexp_replace(t, r"<[^<>]*>", "")), r"[ \t\r\f\x0B]+", " ")
-    return F.regexp_replace(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    return F.regexp_replace(F.regexp_replace(t, _BLOCK, "\n"), r"<[^<>]*>", "")
+
+
+def spaced(t: Column) -> Column:
+    """A text with single spaces and lines, and none at its ends."""
+    # what is one space or one line already is not matched: a match costs far more than a step
+    t = F.regexp_replace(t, r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " ")
+    return F.btrim(F.regexp_replace(t, r" \n[ \n]*|\n[ \n]+", "\n"), F.lit(" \n"))
+
+
+def plain_text(html: Column) -> Column:
+    """The text of a page: no scripts, styles, comments or tags, references read; a line for each block."""
+    return spaced(entities(without_tags(html)))
 
 
 def _fields(*pairs: tuple[str, Column]) -> Column:
@@ -144,9 +163,12 @@ def derive(
         (F.col(record) if record else F.lit(None).cast("string")).alias("__id"),
     )
     rows = rows.withColumn("refers_to", given("__id", record_id(F.lit("response"), F.col("page_id"), F.col("target_uri"), F.col("payload_digest"))))
-    rows = rows.withColumn("__text", plain_text(F.col("__html")))
-    title = F.trim(F.regexp_replace(entities(F.regexp_extract("__html", r"(?is)<title[^>]*>(.*?)</title>", 1)), r"\s+", " "))
+    # a column for what is used more than once, so that it is found once a row
+    named = F.regexp_extract("__html", r"(?is)<title[^>]*>(.*?)</title>", 1)
     lang = F.lower(F.regexp_extract("__html", r"""(?i)<html\b[^>]*\blang\s*=\s*["']?([A-Za-z-]+)""", 1))
+    rows = rows.withColumns({"__bare": without_tags(F.col("__html")), "__named": named, "__lang": lang})
+    rows = rows.withColumns({"__text": spaced(entities(F.col("__bare"))), "__title": F.trim(F.regexp_replace(entities(F.col("__named")), r"\s+", " "))})
+    title, lang = F.col("__title"), F.col("__lang")
     links = F.regexp_count("__html", F.lit(r"(?i)<a\b[^>]*\bhref")).cast("string")
     found = _fields(("title", some(title)), ("language", some(lang)), ("outlinks", links), ("text-length", F.octet_length("__text").cast("string")))
     about = F.concat(found, F.regexp_replace("source_headers", r"(?m)^(?=[^\r\n])", "http-header-"), F.lit("\r\n"))

@@ -676,6 +676,17 @@ def test_character_references(spark):
     assert dict(con.execute(f"SELECT t, {sql._entities('t')} FROM given, {lookup}").fetchall()) == want
 
 
+def test_warc_spaces_and_repeated_work(spark):
+    """Spaces and lines as plain passes over all of them leave them, and each search of a page once in the plan."""
+    rng = random.Random(9)
+    texts = ["", " ", "\n", "x \u2028", *("".join(rng.choices(" \n\t\r\f\x0bab\u2028\x85", k=rng.randrange(12))) for _ in range(500))]
+    df = spark.createDataFrame([(t,) for t in texts], "html string")
+    plain = lambda t: re.sub(r"\A[ \n]+|[ \n]+\Z", "", re.sub(r" ?\n[ \n]*", "\n", re.sub(r"[ \t\r\f\x0B]+", " ", t)))
+    assert [r.t for r in df.select(warc.plain_text(F.col("html")).alias("t")).collect()] == [plain(t) for t in texts]
+    plan = warc.derive(df.selectExpr("1L AS page_id", "html AS url", "html"))._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(x) for x in ("(?is)<title", "\\blang", "</script", "[^<>]*>, ,")] == [1, 1, 1, 1]
+
+
 def test_warc_files(spark, tmp_path):
     """One gzip member a record, read again from each member's own offset; files come whole or not at all."""
     df = spark.createDataFrame([(i, f"http://h/{i}", f"<p>caf&eacute; {i}\r\n\r\nx") for i in range(50)], "page_id long, url string, html string").repartition(3)
