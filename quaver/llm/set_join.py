@@ -94,9 +94,11 @@ def profiles(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share:
 
 def posts(classes: DataFrame, share: int) -> DataFrame:
     """(token, cls, n, pos): the index lists. pos: the member's place in the order of all members, counted from 0."""
-    members = classes.select("cls", "n", "sampled", F.posexplode("low").alias("at", "token"))
+    members = classes.select("cls", F.posexplode("low").alias("at", "token"))
     counts = members.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = members.join(broadcast_if_small(materialize(counts, "counts")), "token")
+    # sizes come to the members that are left, where these are dealt by class in any case; most have gone by then
+    shared = shared.join(classes.select("cls", "n", "sampled"), "cls")
     own, order = W.Window.partitionBy("cls"), W.Window.partitionBy("cls", "inside").orderBy("c", "token")
     inside = F.col("at") < F.col("sampled")
     alone = F.col("sampled") - F.sum(inside.cast("long")).over(own)  # sampled members that no other class has come first

@@ -109,3 +109,15 @@ def test_odd_texts(odd, empty):  # noqa: F811
     assert [(r.n_shingles, r.component) for r in rows if r.id is None] in ([(3, None), (0, None)], [(0, None), (3, None)], [(2, None), (0, None)], [(0, None), (2, None)])
     out = J.joined(empty)
     assert out.count() == 0 and out.columns == ["id", "n_shingles", "component"]
+
+
+def test_members_are_dealt_without_sizes(spark):
+    """What is shuffled for each counted member is its class, place and hash; sizes come to those that are left."""
+    rows = [(c, 20, 3, [1, 2, 3 + c % 2, 100 + c]) for c in range(6)]
+    classes = spark.createDataFrame(rows, "cls long, n long, sampled long, low array<long>")
+    made = J.posts(classes, 90)
+    lines = made._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = [lines[i + 1] for i, line in enumerate(lines) if "Generate posexplode" in line]
+    assert len(below) == 1 and "Project [cls#" in below[0] and "sampled#" not in below[0]
+    # 3 and 4 are the rarest of the sampled that another class has, and all sampled ones are shared: places 0, 1, 2
+    assert sorted(map(tuple, made.collect())) == sorted((t, c, 20, p) for c in range(6) for p, t in enumerate([3 + c % 2, 1, 2]))
