@@ -2,8 +2,8 @@
 
 1. ``profiles``: the hash of each text's set, and the smallest hashes of its members (``SAMPLE`` of all
    hashes, or as many as its prefix needs). Texts with equal sets become one class.
-2. ``posts``: members are counted over all classes and put in one order: sampled ones by how many
-   classes have them, then the others. Two sets similar enough share one of the first members of
+2. ``posts``: members are counted over all classes (shuffled once, for their counts and to keep those of
+   several classes) and put in one order: sampled ones by how many classes have them, then the others. Two sets similar enough share one of the first members of
    both (prefix rule), so each class is posted under these. A member of one class only meets nobody, and is
    counted as a place but not posted: a text with enough members of its own is posted nowhere, whatever
    passages it shares with others.
@@ -49,6 +49,8 @@ BLOCK = 256
 SHORT = 16
 #: Lists of a class that are known where pairs are met, so that a pair is confirmed in the first it shares.
 FIRST_LISTS = 64
+#: One class in ``SOME`` tells which members about ``OFTEN`` classes or more have.
+SOME, OFTEN = 64, 2048
 _LIMIT = np.uint64(int(SAMPLE * (1 << 64)))
 
 
@@ -95,8 +97,15 @@ def profiles(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share:
 def posts(classes: DataFrame, share: int) -> DataFrame:
     """(token, cls, n, pos): the index lists. pos: the member's place in the order of all members, counted from 0."""
     members = classes.select("cls", F.posexplode("low").alias("at", "token"))
-    counts = members.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = members.join(broadcast_if_small(materialize(counts, "counts")), "token")
+    # any figure that is the same wherever a member stands gives an order: those that would fill a task are counted in some classes, and dealt out
+    some = members.where(F.pmod(F.xxhash64("cls"), F.lit(SOME)) == 0).groupBy("token").agg((F.count(F.lit(1)) * SOME).alias("about")).where(F.col("about") >= OFTEN)
+    often = materialize(some, "often")
+    if often.isEmpty():
+        counted = members.withColumn("c", F.count(F.lit(1)).over(W.Window.partitionBy("token")))
+    else:
+        dealt = members.join(broadcast_if_small(often), "token", "left").withColumn("deal", F.when(F.col("about").isNotNull(), F.col("cls")))
+        counted = dealt.withColumn("c", F.coalesce("about", F.count(F.lit(1)).over(W.Window.partitionBy("token", "deal")))).drop("about", "deal")
+    shared = counted.where("c > 1")
     # sizes come to the members that are left, where these are dealt by class in any case; most have gone by then
     shared = shared.join(classes.select("cls", "n", "sampled"), "cls")
     own, order = W.Window.partitionBy("cls"), W.Window.partitionBy("cls", "inside").orderBy("c", "token")
@@ -139,16 +148,21 @@ def _open(g: pa.Table, share: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
-    """Rows of each group that may be similar to another. With (sampled, low, lists) as well, pairs of an earlier list are left to it, and the sampled members two sets share bound their intersection."""
+    """Rows of each group that may be similar to another. With (sampled, low, lists: places in low) as well, pairs of an earlier list are left to it, and the sampled members two sets share bound their intersection."""
     for g in _runs(batches, 3):
         if len(g) < 2:
             continue
         good = _open(g, share)[1]
         if g.num_columns > 8 and good.any():
             # pairs that stand together in an earlier list are compared there
-            token = g.column(0)[0].as_py()
-            before = [np.unique(x[: x.index(token)] if token in x else x) for x in g.column(10).to_pylist()]
-            met = Answers([b.astype(np.int64) for b in before])
+            token, low = g.column(0)[0].as_py(), g.column(9).combine_chunks()
+            flat, ends = low.flatten().to_numpy(), low.offsets.to_numpy() - low.offsets[0].as_py()
+            before = []
+            for at, places in zip(ends, g.column(10).to_pylist(), strict=False):
+                own = flat[at + np.array(places, np.int64)]
+                here = np.flatnonzero(own == token)
+                before.append(np.unique(own[: here[0]] if len(here) else own))
+            met = Answers(before)
             for i in np.flatnonzero(good.any(axis=1)):
                 good[i] &= met.of(int(i)) == 0
         if g.num_columns > 8 and good.any():
@@ -264,7 +278,10 @@ class Lists:
         if lists is not None:
             rows = materialize(rows, "groups")
             some = self.classes.select("cls", "sampled", "low").join(broadcast_if_small(rows.select("cls").distinct()), "cls", "left_semi")
-            rows = rows.join(some.join(lists, "cls"), "cls").select(*keys, "blk", "cls", "comp", "n", "pos", "sampled", "low", "lists")
+            # a list stands as its member's place in low, which is smaller than the member
+            places = F.transform("lists", lambda t: (F.array_position("low", t) - 1).cast("int")).alias("lists")
+            some = some.join(lists, "cls").select("cls", "sampled", "low", places)
+            rows = rows.join(some, "cls").select(*keys, "blk", "cls", "comp", "n", "pos", "sampled", "low", "lists")
         rows = rows.repartition(self.parts, *keys).sortWithinPartitions(*keys, "cls")
         found = materialize(rows.mapInArrow(lambda b: _candidates(b, share), _GROUP), "candidates")
         wanted = self.classes.select("cls", "rep", "th").join(found.select("cls").distinct(), "cls", "left_semi")
@@ -283,7 +300,7 @@ class Lists:
         place = F.row_number().over(W.Window.partitionBy("cls").orderBy(F.xxhash64("token"), "token"))
         shared = self.posts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "c")
         own = self.posts.join(broadcast_if_small(materialize(shared, "lists")), "token").withColumn("place", place).where("place <= 2")
-        own = materialize(self._with_components(own.drop("place")), "members")
+        own = materialize(self._with_components(materialize(own.drop("place"), "own")), "members")
         blk = F.pmod(F.xxhash64("cls", "token"), F.ceil(F.col("length") / F.lit(BLOCK)))  # other neighbours in every list
         # lists of which every member was compared with every other
         self.whole = materialize(own.where((F.col("length") == F.col("c")) & (F.col("length") <= BLOCK)).select("token").distinct(), "whole")

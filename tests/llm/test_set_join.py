@@ -121,3 +121,25 @@ def test_members_are_dealt_without_sizes(spark):
     assert len(below) == 1 and "Project [cls#" in below[0] and "sampled#" not in below[0]
     # 3 and 4 are the rarest of the sampled that another class has, and all sampled ones are shared: places 0, 1, 2
     assert sorted(map(tuple, made.collect())) == sorted((t, c, 20, p) for c in range(6) for p, t in enumerate([3 + c % 2, 1, 2]))
+
+
+def test_members_are_shuffled_once_to_be_counted(spark, monkeypatch):
+    """However many counts there are: they come with the members and are not joined to them by a second shuffle."""
+    from quaver.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
+    classes = spark.createDataFrame([(c, 20, 3, [1, 2, 3 + c % 2, 100 + c]) for c in range(6)], "cls long, n long, sampled long, low array<long>")
+    plan = J.posts(classes, 90)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(token#") == 1
+
+
+@pytest.mark.parametrize("some", [1, 2])
+def test_frequent_members_are_dealt_out(spark, monkeypatch, some):
+    """Members that many classes have are counted in some classes, and the components are those of all pairs."""
+    monkeypatch.setattr(J, "SOME", some)
+    monkeypatch.setattr(J, "OFTEN", 8)
+    texts = texts_of_many_kinds(random.Random(6))
+    classes = J.profiles(frame(spark, texts)).where("n > 0").withColumn("cls", F.col("id"))
+    plan = J.posts(classes, 90)._jdf.queryExecution().optimizedPlan().toString()
+    assert "deal#" in plan
+    assert {r.id: (r.n_shingles, r.component) for r in J.joined(frame(spark, texts)).collect()} == brute(texts)
