@@ -7,16 +7,16 @@ Method:
    distinct unit of a block of texts is encoded once. A text becomes the numbers of its
    units. A block ends with the slice of texts that fills its dictionary, so a task holds one dictionary
    however many rows it reads. Texts and units are written in buckets of their block.
-2. ``cuts``: tokens of every unit are exploded with their place, a window sums their lengths
-   to ends, both sides meet by an equi-join on (unit, end), and a window counts the cuts: the number of
-   the group that ends there. The tokens that end together are a link.
+2. ``meetings``: tokens of every unit are exploded with their place and end, and both sides meet by an
+   equi-join on (unit, end): a cut. The tokens that end together are a link. A unit's cuts stand in the order
+   of their ends. (``cuts`` has lists with lengths: windows sum them to ends, and number the cuts.)
 3. ``pair_counts``: links, weighted by how often their unit is used, are counted by id pair (combined
    before the shuffle), with the highest count of each B id.
 4. ``alignment``: links meet their counts, and blocks their texts: a text's figures are the sums of
    its units', its groups theirs in order.
 
-The unit is the document of steps 2 and 3, and ``cuts`` takes lists of whole texts as well. Nothing but pair
-counts is shuffled: windows, joins and groups use the buckets. A block is bounded (``UNITS``, ``UNIT_CHARS``, ``USES``, and a slice more).
+The unit is the document of steps 2 and 3; ``cuts`` takes lists of whole texts as well. Nothing but pair
+counts is shuffled: joins and groups use the buckets. A block is bounded (``UNITS``, ``UNIT_CHARS``, ``USES``, and a slice more).
 
 Edge cases: null and empty texts have no tokens, nor have texts whose tokens, joined, are not
 the space and the text again (one with U+2581 in it): figures are 0, groups none. Special tokens'
@@ -104,14 +104,14 @@ class Pair:
         self.lone = [self.b.piece_to_id(SPACE)]
         self.a_size, self.b_size = (np.array([len(x) for x in side]) for side in (self.a_bytes, self.b_bytes))
 
-    def _a(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units, one after the other, and where each unit's end; one call for all, but for those that end in a space or are empty."""
+    def _a(self, units: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units (of so many bytes with their space), one after the other, and where each unit's end; one call for all, but for those that end in a space or are empty."""
         odd = [i for i, u in enumerate(units) if not u or u[-1].isspace()]
         ids, ends, low = [], [], 0
         for i in [*odd, len(units)]:
             if plain := units[low:i]:
                 made = np.array(self.a.encode_ordinary(" " + " ".join(plain)), np.int64)
-                want = np.cumsum([len(u.encode()) + 1 for u in plain])
+                want = np.cumsum(sizes[low:i])
                 ids.append(made)
                 ends.append(np.searchsorted(np.cumsum(self.a_size[made]), want) + 1)
             if i < len(units):
@@ -128,9 +128,10 @@ class Pair:
     def encode(self, units: list[str]) -> tuple[list[bool], tuple, tuple]:
         """Whether the tokens of space and unit have its bytes on both sides, and the ids and their ends on both."""
         want = "".join([" " + u for u in units]).encode()
-        cut = np.cumsum([0, *(len(u.encode()) + 1 for u in units)])
+        size = np.fromiter(map(len, map(str.encode, units)), np.int64, len(units)) + 1
+        cut = np.concatenate([[0], np.cumsum(size)])
         good, sides = np.ones(len(units), bool), []
-        for (ids, ends), names, sizes in ((self._a(units), self.a_bytes, self.a_size), (self._b(units), self.b_bytes, self.b_size)):
+        for (ids, ends), names, sizes in ((self._a(units, size), self.a_bytes, self.a_size), (self._b(units), self.b_bytes, self.b_size)):
             at = np.concatenate([[0], np.cumsum(sizes[ids])])[ends]
             have = b"".join([names[i] for i in ids.tolist()])
             if have != want or (at != cut).any():  # rare: look at each
@@ -182,10 +183,11 @@ class _Block:
             high = min(low + 10_000, len(self.numbers))
             cols = {"blk": pa.array(np.full(high - low, self.number)), "unit": pa.array(np.arange(low, high, dtype=np.int32)), "uses": pa.array(self.uses[low:high])}
             for side, sizes, (ids, ends) in zip("ab", (pair.a_size, pair.b_size), sides, strict=True):
-                at = ends[low : high + 1]
-                values = ids[at[0] : at[-1]]
-                cols[side] = _lists(at - at[0], values)
-                cols[f"{side}l"] = _lists(at - at[0], sizes[values])
+                at = ends[low : high + 1] - ends[low]
+                values = ids[ends[low] : ends[high]]
+                so_far = np.concatenate([[0], np.cumsum(sizes[values])])
+                cols[side] = _lists(at, values)
+                cols[f"{side}e"] = _lists(at, so_far[1:] - np.repeat(so_far[at[:-1]], np.diff(at)))
             yield _batch(cols, high - low, kinds)
 
 
@@ -205,7 +207,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Ite
     pair, block, n = None, _Block(first), first
     for whole in batches:
         ints = pa.list_(pa.int32())
-        kinds = pa.schema([("blk", pa.int64()), ("rid", pa.int64()), ("id", whole.schema.field(0).type), ("units", ints), ("unit", pa.int32()), ("uses", pa.int64()), ("a", ints), ("al", ints), ("b", ints), ("bl", ints)])
+        kinds = pa.schema([("blk", pa.int64()), ("rid", pa.int64()), ("id", whole.schema.field(0).type), ("units", ints), ("unit", pa.int32()), ("uses", pa.int64()), ("a", ints), ("ae", ints), ("b", ints), ("be", ints)])
         pair = pair or Pair(a_path, b_path)
         for batch in slices(whole, "text", SLICE):
             rows = block.add(batch.column(1).to_pylist(), pair)
@@ -223,13 +225,13 @@ def _encoded(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Ite
 
 
 def encode(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A bucketed table of two kinds of rows: (blk, rid, id, units) for every row of ``docs``, and with null rid (blk, unit, uses, a, al, b, bl) for every distinct unit of a block.
+    """A bucketed table of two kinds of rows: (blk, rid, id, units) for every row of ``docs``, and with null rid (blk, unit, uses, a, ae, b, be) for every distinct unit of a block.
 
-    ``units``: the units of a text by number; a, b: token ids; al, bl: the tokens' lengths in bytes. The paths name files that every executor has.
+    ``units``: the units of a text by number; a, b: token ids; ae, be: where the tokens end in the unit, in bytes. The paths name files that every executor has.
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"blk long, rid long, id {kind}, units array<int>, unit int, uses long, a array<int>, al array<int>, b array<int>, bl array<int>"
+    schema = f"blk long, rid long, id {kind}, units array<int>, unit int, uses long, a array<int>, ae array<int>, b array<int>, be array<int>"
     batches = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
     with _settings(docs.sparkSession, batches):
         return bucketed(rows.mapInArrow(lambda b: _encoded(b, a_path, b_path), schema), "blk", "encoded", SPREAD)
@@ -251,6 +253,20 @@ def _settings(spark: SparkSession, given: dict[str, object]) -> Iterator[None]:
 BY_FIRST_KEY = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
 
 
+def meetings(lists: DataFrame, by: tuple, carry: tuple = ()) -> DataFrame:
+    """(by, end, pa, pb, a, b, carry): one row for each place where both sides of a text end a token, as ``cuts`` has them but not numbered.
+
+    ``lists`` has a, ae, b, be: the ids of each text's tokens, and where they end. Buckets of the first column are used, where ``lists`` has them.
+    """
+
+    def tokens(ids: str, ends: str, at: str, *more: str) -> DataFrame:
+        return lists.select(*by, *more, ids, F.posexplode(ends).alias(at, "end")).withColumn(ids, F.col(ids)[F.col(at)])
+
+    keys = [*by[1:], "end", by[0]]  # a sort then tells most rows apart by its first key
+    both = tokens("a", "ae", "pa", *carry).hint("merge").join(tokens("b", "be", "pb"), keys)
+    return both.select(*by, "end", "pa", "pb", "a", "b", *carry)
+
+
 def cuts(lists: DataFrame, by: tuple, carry: tuple = ()) -> DataFrame:
     """(by, g, pa, pb, a, b, carry): one row for each place where both sides of a text end a token.
 
@@ -293,9 +309,9 @@ FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
 def _gather(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The texts of a block (blk, rid, id, units, unit, a, b) from its links (blk, unit, g, pa, pb, count, best)."""
+    """The texts of a block (blk, rid, id, units, unit, a, b) from its links (blk, unit, end, pa, pb, count, best)."""
     texts, units = left.filter(pc.is_valid(left["rid"])), left.filter(pc.is_null(left["rid"])).sort_by("unit")
-    right = right.sort_by([("unit", "ascending"), ("g", "ascending")])
+    right = right.sort_by([("unit", "ascending"), ("end", "ascending")])
     unit, best, count = (right[c].to_numpy() for c in ("unit", "best", "count"))
     first = np.searchsorted(unit, np.arange(len(units) + 1))  # each unit has a cut, its end
     shown, sizes = [], []
@@ -327,10 +343,10 @@ def alignment(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id",
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_text) of every row; groups: ``a1,a2|b1;a3|b2,b3``."""
     both = encode(docs, a_path, b_path, doc_id, text)
     with _settings(docs.sparkSession, BY_FIRST_KEY):
-        links = bucketed(cuts(both.where("rid is null"), ("blk", "unit"), ("uses",)), "blk", "links", SPREAD)
+        links = bucketed(meetings(both.where("rid is null"), ("blk", "unit"), ("uses",)), "blk", "links", SPREAD)
     pairs = pair_counts(links)
     few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
-    counted = links.join(F.broadcast(pairs) if few else pairs, ["a", "b"]).select("blk", "unit", F.col("g").cast("int").alias("g"), "pa", "pb", "count", "best")
+    counted = links.join(F.broadcast(pairs) if few else pairs, ["a", "b"]).select("blk", "unit", "end", "pa", "pb", "count", "best")
     sides = both.select("blk", "rid", "id", "units", "unit", "a", "b").groupBy("blk").cogroup(counted.groupBy("blk"))
     kind = both.schema["id"].dataType.simpleString()
     return sides.applyInArrow(_gather, f"id {kind}, " + ", ".join(f"{c} long" for c in FIGURES) + ", groups_text string")

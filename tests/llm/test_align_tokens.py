@@ -136,3 +136,17 @@ def test_encoding_takes_small_batches(spark, monkeypatch):
     before = spark.conf.get(name)
     made = L.encode(spark.range(1000, numPartitions=1).selectExpr("id AS doc_id", "repeat(concat('word ', id, ' '), 2000) AS text"), *PATHS)
     assert made.where("rid is not null").count() == 1000 and spark.conf.get(name) == before
+
+
+def test_tokens_meet_by_ends_without_windows(spark, sides):
+    """Ends come with the tokens, so each side is sorted for the join and for nothing else; the cuts are those that windows find."""
+    texts = ["some words, and unusualities", "é a longer example of antidisestablishmentarianism"]
+    made = L.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), *PATHS).where("rid is null")
+    with L._settings(spark, L.BY_FIRST_KEY):
+        met = L.meetings(made, ("blk", "unit"), ("uses",))
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Sort [") == 2 and "Window" not in plan and "Exchange" not in plan
+    sizes = lambda ends: F.transform(ends, lambda x, i: x - F.when(i > 0, F.col(ends)[i - 1]).otherwise(0)).alias(f"{ends[0]}l")
+    want = L.cuts(made.select("blk", "unit", "a", "b", sizes("ae"), sizes("be")), ("blk", "unit"))
+    got = sorted(tuple(r)[:2] + tuple(r)[3:7] for r in met.orderBy("blk", "unit", "end").collect())
+    assert got == sorted((r.blk, r.unit, r.pa, r.pb, r.a, r.b) for r in want.collect()) and got
