@@ -27,7 +27,6 @@ empty one. Only id and text are read, whatever other columns are called.
 
 from __future__ import annotations
 
-import contextlib
 import itertools
 import json
 import re
@@ -37,12 +36,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .kernels import slices
 from .workspace import bucketed, materialize
+from .workspace import settings as _settings
 
 #: A block is full with so many distinct units, characters of them, or units in its texts.
 UNITS, UNIT_CHARS, USES = 1 << 17, 1 << 21, 1 << 20
@@ -234,19 +234,7 @@ def encode(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", te
     schema = f"blk long, rid long, id {kind}, units array<int>, unit int, uses long, a array<int>, ae array<int>, b array<int>, be array<int>"
     batches = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
     with _settings(docs.sparkSession, batches):
-        return bucketed(rows.mapInArrow(lambda b: _encoded(b, a_path, b_path), schema), "blk", "encoded", SPREAD)
-
-
-@contextlib.contextmanager
-def _settings(spark: SparkSession, given: dict[str, object]) -> Iterator[None]:
-    before = {name: spark.conf.get(name) for name in given}
-    for name, value in given.items():
-        spark.conf.set(name, str(value))
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
+        return bucketed(rows.mapInArrow(lambda b: _encoded(b, a_path, b_path), schema), "blk", "encoded", SPREAD, rising="unit")
 
 
 #: Joins on (blk, unit, end) may use rows dealt out by blk: tokens, far more than texts, are then not shuffled.
@@ -308,10 +296,18 @@ def pair_counts(links: DataFrame, uses: str = "uses") -> DataFrame:
 FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
+def _ordered(rows: pa.Table, *by: str) -> pa.Table:
+    """Rows by one or two columns of small numbers; they mostly are in that order, as they were written so."""
+    key = rows[by[0]].to_numpy().astype(np.int64)
+    for c in by[1:]:
+        key = (key << 32) + rows[c].to_numpy()
+    return rows if (key[1:] >= key[:-1]).all() else rows.take(pa.array(np.argsort(key, kind="stable")))
+
+
 def _gather(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The texts of a block (blk, rid, id, units, unit, a, b) from its links (blk, unit, end, pa, pb, count, best)."""
-    texts, units = left.filter(pc.is_valid(left["rid"])), left.filter(pc.is_null(left["rid"])).sort_by("unit")
-    right = right.sort_by([("unit", "ascending"), ("end", "ascending")])
+    """The texts of a block (blk, rid, id, units, unit, a, b) from its links (blk, unit, pa, pb, count, best), which come in any order."""
+    texts, units = left.filter(pc.is_valid(left["rid"])), _ordered(left.filter(pc.is_null(left["rid"])), "unit")
+    right = _ordered(right, "unit", "pa")
     unit, best, count = (right[c].to_numpy() for c in ("unit", "best", "count"))
     first = np.searchsorted(unit, np.arange(len(units) + 1))  # each unit has a cut, its end
     shown, sizes = [], []
@@ -343,10 +339,10 @@ def alignment(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id",
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_text) of every row; groups: ``a1,a2|b1;a3|b2,b3``."""
     both = encode(docs, a_path, b_path, doc_id, text)
     with _settings(docs.sparkSession, BY_FIRST_KEY):
-        links = bucketed(meetings(both.where("rid is null"), ("blk", "unit"), ("uses",)), "blk", "links", SPREAD)
+        links = bucketed(meetings(both.where("rid is null"), ("blk", "unit"), ("uses",)).drop("end"), "blk", "links", SPREAD, rising="unit")
     pairs = pair_counts(links)
     few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
-    counted = links.join(F.broadcast(pairs) if few else pairs, ["a", "b"]).select("blk", "unit", "end", "pa", "pb", "count", "best")
+    counted = links.join(F.broadcast(pairs) if few else pairs, ["a", "b"]).select("blk", "unit", "pa", "pb", "count", "best")
     sides = both.select("blk", "rid", "id", "units", "unit", "a", "b").groupBy("blk").cogroup(counted.groupBy("blk"))
     kind = both.schema["id"].dataType.simpleString()
     return sides.applyInArrow(_gather, f"id {kind}, " + ", ".join(f"{c} long" for c in FIGURES) + ", groups_text string")

@@ -6,11 +6,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from quaver.llm import align_tokens as L
 from quaver.llm.queries import TOKENIZERS
+from quaver.llm.workspace import OPEN_BUCKETS, bucketed
 
 PATHS = (f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
 pytestmark = pytest.mark.skipif(not os.path.exists(PATHS[0]), reason="no tokenizers")
@@ -150,3 +152,46 @@ def test_tokens_meet_by_ends_without_windows(spark, sides):
     want = L.cuts(made.select("blk", "unit", "a", "b", sizes("ae"), sizes("be")), ("blk", "unit"))
     got = sorted(tuple(r)[:2] + tuple(r)[3:7] for r in met.orderBy("blk", "unit", "end").collect())
     assert got == sorted((r.blk, r.unit, r.pa, r.pb, r.a, r.b) for r in want.collect()) and got
+
+
+def test_tables_take_little_disk(spark, monkeypatch):
+    """What is written between the steps: no column that another gives, units as differences, and all of it packed."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(6000)]
+    texts = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(100)]
+    written, real = [], L.bucketed
+    monkeypatch.setattr(L, "bucketed", lambda df, *more, **options: written.append(real(df, *more, **options)) or written[-1])
+    out = L.alignment(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), *PATHS)
+    assert out.count() == 100
+    files = [[pq.ParquetFile(f.removeprefix("file://")).metadata for f in t.inputFiles()] for t in written]
+    chunks = [[m.row_group(g).column(c) for m in made for g in range(m.num_row_groups) for c in range(m.num_columns)] for made in files]
+    assert all(c.compression == "ZSTD" for made in chunks for c in made)
+    assert all("DELTA_BINARY_PACKED" in c.encodings for made in chunks for c in made if c.path_in_schema == "unit")
+    assert written[1].columns == ["blk", "unit", "pa", "pb", "a", "b", "uses"]
+    assert sum(c.total_compressed_size for made in chunks for c in made) < 1.1 * sum(map(len, texts))
+
+
+def test_gather_in_any_order(spark, sides):
+    """Units and links of a block may come in any order."""
+    texts = ["some words, and unusualities", None, "a longer example of antidisestablishmentarianism", "some some"]
+    made = L.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), *PATHS)
+    met = L.meetings(made.where("rid is null"), ("blk", "unit"), ("uses",))
+    links = met.join(L.pair_counts(met), ["a", "b"]).select("blk", "unit", "pa", "pb", "count", "best")
+    left, right = (t.orderBy("blk", "unit").toArrow() for t in (made.select("blk", "rid", "id", "units", "unit", "a", "b"), links))
+    want = brute(texts, sides)
+    rng = np.random.default_rng(1)
+    for _ in range(3):
+        mixed = [t.take(pa.array(rng.permutation(len(t)))) for t in (left, right)]
+        got = {r["id"]: tuple(r.values())[1:] for r in L._gather(*mixed).to_pylist()}
+        assert got == dict(enumerate(want))
+
+
+def test_more_buckets_than_open_files(spark):
+    """A task that fills more buckets than it may have files open loses no row, one that fills few keeps their order, and the session's setting is as before."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    many = bucketed(spark.range(1000, numPartitions=1).selectExpr("id", "999 - id AS down"), "id", spread=4)
+    assert len(many.inputFiles()) > OPEN_BUCKETS and sorted(map(tuple, many.collect())) == [(i, 999 - i) for i in range(1000)]
+    few = bucketed(spark.range(1000, numPartitions=1).selectExpr("id % 2 AS id", "id AS n"), "id", rising="n")
+    assert [[r.n for r in few.where(F.col("id") == k).collect()] for k in (0, 1)] == [list(range(k, 1000, 2)) for k in (0, 1)]
+    assert spark.conf.get(name) == before
